@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,13 +33,18 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode
+        whole = Tokenizer.from_file(path)
+        self._encode, self._merge = whole.encode, whole.model.tokenize
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self._encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[word] = packed = np.asarray(ids, "<u4").tobytes()
+        core, tail = (word[:-1], word[-1:]) if word[-1] in b".,;:!?" else (word, b"")
+        if core.isalpha():  # ASCII letters: lower case is all that the tokenizer's first steps do to them
+            ids = [t.id for t in self._merge(core.lower().decode())] + [t.id for t in self._merge(tail.decode())] * bool(tail)
+        else:
+            ids = self._encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < REMEMBERED:
+            self[word] = packed
         return packed
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments remembered by a task; beyond, the memory is emptied (results do not change).
+#: Fragments remembered by a task; beyond, new ones are encoded each time (results do not change).
 REMEMBERED = 300_000
 CHUNK = 1 << 16
 
@@ -27,9 +27,9 @@ class Fragments(dict):
         self._count, self._prefix = count, prefix
 
     def __missing__(self, key: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = n = self._count("\n" + self._prefix + key) - 2
+        n = self._count("\n" + self._prefix + key) - 2
+        if len(self) < REMEMBERED:
+            self[key] = n
         return n
 
 
