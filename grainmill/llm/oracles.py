@@ -49,6 +49,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM y
 """
 
+OP6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM d),
+g AS (SELECT doc_id, n, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS e, lead(w, 4) OVER o AS f FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c, e, f) AS s FROM g WHERE f IS NOT NULL OR (n < 5 AND i = 0)),
+k AS MATERIALIZED (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+OP9 = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP10 = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text <> ''),
+g AS (SELECT doc_id, i, l AS a, lead(l, 1) OVER o AS b, lead(l, 2) OVER o AS c FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM g WHERE c IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM f, (SELECT unnest(range(3)) AS k)),
+m AS (SELECT l.doc_id, l.l, l.i, gone.i IS NOT NULL AS x FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i),
+t AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (x)::BIGINT AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT x), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     from grainmill.llm.quality_rules import STOP_WORDS
@@ -56,4 +86,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": OP2,
         "op3_quality_rules": OP3.replace("{stop}", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))),
+        "op6_jaccard_join": OP6,
+        "op9_topk_search": OP9,
+        "op10_line_dedup": OP10,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, packing, quality_rules, token_counts
+from grainmill.llm import jaccard_join, line_dedup, mixing, packing, quality_rules, suffix_dedup, token_counts, topk_search
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,14 +26,34 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(documents(spark, sf_dir))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op3_quality_rules": op3_quality_rules,
         "op5_token_counts": op5_token_counts,
+        "op6_jaccard_join": op6_jaccard_join,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_packing": op8_packing,
+        "op9_topk_search": op9_topk_search,
+        "op10_line_dedup": op10_line_dedup,
     }
