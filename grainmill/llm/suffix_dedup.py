@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import RollingHash, binary_text, byte_slices, drop_table, small, table
+from grainmill.llm.common import RollingHash, binary_text, byte_slices, drop_table, mix64, table
 
 LENGTH = 100
 #: Length of the first rank; suffixes start where such a string is the least of all in some window of LENGTH bytes.
@@ -67,23 +67,42 @@ def _tiles(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray
                 yield i, at, part, np.array([0, len(part)])
 
 
+def _known(ids: np.ndarray, order: tuple[np.ndarray, ...], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(known, rank): rows of a batch that an earlier row of it with equal ids precedes are known to repeat.
+
+    order: the place, as keys for lexsort (least first). Known rows get ranks of their own, so that common strings
+    do not meet in one task: they are decided already. Rows of one place are not earlier than each other.
+    """
+    by = np.lexsort((*order[::-1], ids))
+    same = np.concatenate([[False], ids[by][1:] == ids[by][:-1]])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
+    later = np.zeros(len(by), bool)
+    for o in order:
+        later |= o[by] != o[by][head]
+    known = np.zeros(len(by), bool)
+    known[by] = same & later
+    own = mix64(order[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + order[1].astype(np.uint64))
+    return known, np.where(known, own, rank)
+
+
 def _suffixes(docs: DataFrame, length: int, first: int) -> DataFrame:
-    """d, rank, whole, at: one row for each sampled suffix; at packs start << 16 | place - start << 8 | last start - start."""
+    """_d, rank, whole, at, known: one row for each sampled suffix; at packs start << 16 | place - start << 8 | last start - start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, at, data, off in _tiles(b.column(1), length):
                 row, rank, whole, lo, hi, place = sampled_suffixes(data, off, length, first)
                 packed = (lo + at) << 16 | (place - lo) << 8 | (hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(packed)], names=["_d", "rank", "whole", "at"])
+                doc = b.column(0).to_numpy()[row + i]
+                known, rank = _known(mix64(rank) ^ whole, (doc, packed), rank)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(packed), pa.array(known)], names=["_d", "rank", "whole", "at", "known"])
 
-    return binary_text(docs.select(_key(docs), "text"), "_d").mapInArrow(run, "_d long, rank long, whole long, at long")
+    return binary_text(docs.select(_key(docs), "text"), "_d").mapInArrow(run, "_d long, rank long, whole long, at long, known boolean")
 
 
-def _with_text(docs: DataFrame, lists: DataFrame, row_bytes: int, how: str = "inner") -> DataFrame:
-    """_d, _bytes and the column of lists: a broadcast if lists are known to be small, else a shuffle of the texts."""
-    text = binary_text(docs.select(_key(docs), "text"), "_d")
-    return text.join(small(lists, row_bytes), "_d", how)
+def _with_text(docs: DataFrame, lists: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """_d, _bytes, keys and the column of lists. Texts are shuffled once and streamed past a hash table of the short lists; never sorted."""
+    return binary_text(docs.select(_key(docs), *keys, "text"), "_d", *keys).join(lists.hint("shuffle_hash"), "_d", how)
 
 
 def _longer(docs: DataFrame, live: DataFrame, length: int, first: int) -> DataFrame:
@@ -108,7 +127,7 @@ def _longer(docs: DataFrame, live: DataFrame, length: int, first: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), d.as_py(), np.int64)), *map(pa.array, cols)], names=["_d", "rank", "at", "side"])
 
     lists = table(live.groupBy("_d").agg(F.collect_list("at").alias("_at")), "live")
-    pairs = _with_text(docs, lists, 400).mapInArrow(run, "_d long, rank long, at long, side int")
+    pairs = _with_text(docs, lists).mapInArrow(run, "_d long, rank long, at long, side int")
     seen = F.count("*").over(Window.partitionBy("rank", "side"))
     kept = table(pairs.withColumn("_n", seen).where("_n > 1").select("_d", "at", "side"), "longer")
     drop_table(lists)
@@ -121,6 +140,7 @@ def _windows(docs: DataFrame, live: DataFrame, length: int, first: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            docs_of, ranks, starts = [], [], []
             for d, x, ats in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 packed = np.asarray(ats.values)
                 at, side = packed >> 1, packed & 1
@@ -128,13 +148,19 @@ def _windows(docs: DataFrame, live: DataFrame, length: int, first: int) -> DataF
                 lo, hi = np.where(side == 0, np.maximum(lo, place - reach), lo), np.where(side == 1, np.minimum(hi, place - reach - 1), hi)
                 n = hi - lo + 1
                 start = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                rank = RollingHash(np.frombuffer(x.as_buffer(), np.uint8)).spans(start, start + length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), d.as_py(), np.int64)), pa.array(rank.view(np.int64)), pa.array(start)], names=["_d", "rank", "start"])
+                docs_of.append(np.full(len(start), d.as_py(), np.int64))
+                ranks.append(RollingHash(np.frombuffer(x.as_buffer(), np.uint8)).spans(start, start + length))
+                starts.append(start)
+            if not ranks:
+                continue
+            doc, rank, start = map(np.concatenate, (docs_of, ranks, starts))
+            known, rank = _known(rank, (doc, start), rank)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rank.view(np.int64)), pa.array(start), pa.array(known)], names=["_d", "rank", "start", "known"])
 
     lists = table(live.groupBy("_d").agg(F.collect_list(F.shiftleft("at", 1).bitwiseOR(F.col("side").cast("long"))).alias("_at")), "live")
-    ranks = _with_text(docs, lists, 400).mapInArrow(run, "_d long, rank long, start long")
+    ranks = _with_text(docs, lists).mapInArrow(run, "_d long, rank long, start long, known boolean")
     place = F.rank().over(Window.partitionBy("rank").orderBy("_d", "start"))
-    return ranks.withColumn("_k", place).where("_k > 1").select("_d", F.shiftleft("start", 16).alias("at"))
+    return ranks.withColumn("_k", place).where("known OR _k > 1").select("_d", F.shiftleft("start", 16).alias("at"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
@@ -142,12 +168,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
 
     Three rounds of ranks at growing lengths, in each of which Spark sorts (rank, place) and drops what is unique:
     `first` bytes at sampled suffixes, twice that to either side, then all `length` bytes of the windows left.
-    Suffixes whose whole surroundings (the hash `whole`) occur earlier need no further round.
+    Suffixes whose whole surroundings (the hash `whole`) occur earlier need no further round, and what a task sees to
+    repeat within its own rows is decided there: common strings are thinned before they are moved.
     """
     at_rank, in_class = Window.partitionBy("rank"), Window.partitionBy("rank", "whole").orderBy("_d", "at")
     ranked = _suffixes(docs, length, first).withColumns({"_fd": F.first("_d").over(in_class), "_fa": F.first("at").over(in_class)})
     ranked = ranked.withColumns({"_one": F.min("whole").over(at_rank), "_two": F.max("whole").over(at_rank)})
-    again = (F.col("_d") != F.col("_fd")) | (F.col("at") != F.col("_fa"))
+    again = F.col("known") | (F.col("_d") != F.col("_fd")) | (F.col("at") != F.col("_fa"))
     ranked = table(ranked.select("_d", "at", again.alias("again"), (F.col("_one") != F.col("_two")).alias("others")).where("again OR others"), "ranked")
     live = ranked.where("NOT again").select("_d", "at").distinct()
     longer = _longer(docs, live, length, first)
@@ -193,8 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
                 kept.append(rest)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), b.column(2), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    text = binary_text(docs.select(_key(docs), "doc_id", "text"), "_d", "doc_id")
-    return text.join(small(spans, 200), "_d", "left").select("doc_id", "_bytes", "spans").mapInArrow(run, schema)
+    return _with_text(docs, spans, "doc_id", how="left").select("doc_id", "_bytes", "spans").mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
