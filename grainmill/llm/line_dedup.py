@@ -19,9 +19,16 @@ def _key(docs: DataFrame) -> Column:
 
 
 def _repeated(ranked: DataFrame, label: str) -> DataFrame:
-    """The rows whose rank another place has, each with that rank's first place; counted before anything is moved by rank."""
-    groups = ranked.groupBy("rank").agg(F.count("*").alias("_n"), F.min(F.struct("_d", "_i")).alias("_first")).where("_n > 1").drop("_n")
-    return table(ranked.join(groups, "rank").select("_d", "_i", "rank", F.col("_first._d").alias("_fd"), F.col("_first._i").alias("_fi")), label)
+    """The rows whose rank another place has, each with that rank's first place.
+
+    Ranks are counted before anything is moved by rank, and the repeated ones written: the join is then a broadcast
+    if they are few, else a plain join of two exchanges, in which Spark splits the partition of a very common line.
+    """
+    groups = ranked.groupBy("rank").agg(F.count("*").alias("_n"), F.min("_d").alias("_fd"), F.min_by("_i", F.struct("_d", "_i")).alias("_fi")).where("_n > 1").drop("_n")
+    groups = table(groups, f"{label}-ranks")
+    out = table(ranked.join(small(groups, 64), "rank").select("_d", "_i", "rank", "_fd", "_fi"), label)
+    drop_table(groups)
+    return out
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
