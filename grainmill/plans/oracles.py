@@ -1,0 +1,289 @@
+"""DuckDB SQL with the same results as the queries, from the same patterns and tables.
+
+DuckDB matches bytes of ASCII classes, so texts are folded first: other letters become z, other characters spaces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from grainmill.functions import patterns as P
+from grainmill.functions import taxonomy as X
+from grainmill.operators.affect import ADDED, INTENT_RULES, SIGNALS
+from grainmill.operators.safety import EXIT_REPLIES, SHOWN, TIERS
+from grainmill.operators.sessions import SOCIAL_INTENTS, TENDER_EMOTIONS
+from grainmill.plans.fixtures import OPENERS, PHRASES
+
+WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def array(values: Sequence[str]) -> str:
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
+def fold(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '[^\p{{L}}\p{{N}}_\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', 'z', 'g')"
+
+
+def has(c: str, pattern: str, case: bool = False) -> str:
+    return f"regexp_matches({c}, {q(pattern if case else '(?i)' + pattern)})"
+
+
+def count(c: str, pattern: str, case: bool = False) -> str:
+    return f"len(regexp_extract_all({c}, {q(pattern if case else '(?i)' + pattern)}))"
+
+
+def strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def pick(values: Sequence[str], at: str) -> str:
+    return f"({array(values)})[(({at}) % {len(values)} + 1)::INT]"
+
+
+RECORDS = f"""SELECT doc_id, text || ' ' || {pick(PHRASES, "doc_id")} AS text, CASE WHEN lang = 'en' THEN 'en' ELSE 'hi-en-mix' END AS language,
+  {pick(X.INTENTS, "doc_id")} AS intent, {pick(X.CATEGORIES, "doc_id // 26")} AS category, (doc_id % 7)::INT AS urgency FROM documents"""
+TURNS = f"""SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 2 = 0 THEN {pick(OPENERS, "(conv_id + turn) // 2")} ELSE text || ' ' || {pick(PHRASES, "conv_id + turn")} END AS text FROM conversations"""
+PREDICTIONS = f"""SELECT doc_id, substring(text, 1, 40) AS text, {pick(X.INTENTS, "doc_id")} AS true_intent,
+  {pick(X.INTENTS, "doc_id + CASE WHEN doc_id % 5 = 0 THEN doc_id % 3 ELSE 0 END")} AS pred_intent, (doc_id % 5 + 1)::INT AS true_urgency,
+  ((doc_id * 7 + CASE WHEN doc_id % 5 = 0 THEN doc_id % 3 ELSE 0 END) % 5 + 1)::INT AS pred_urgency FROM documents"""
+
+
+def scrub(c: str) -> str:
+    steps = [
+        (r"[\x{200b}\x{200c}\x{200d}\x{feff}\x{00ad}]", ""),
+        ("&[a-z]+;|&#[0-9]+;", " "),
+        (r"https?://[^\s\x{85}\p{Z}]+|www\.[^\s\x{85}\p{Z}]+", "[link]"),
+        (r"([?!.,]){3,}", r"\1\1"),
+        (r"[ \t]{2,}", " "),
+        (r"\n{3,}", "\n\n"),
+    ]
+    c = f"nfc_normalize({c})"
+    for pattern, new in steps:
+        c = f"regexp_replace({c}, {q(pattern)}, {q(new)}, 'g')"
+    return strip(c)
+
+
+CLEANED = rf"""
+a AS (SELECT *, text AS original, {scrub("text")} AS s, {has(fold("text"), P.META_LANGUAGE)} AS meta FROM r),
+b AS (SELECT *, CASE WHEN meta THEN 'meta_language_detected' WHEN length(s) < 8 THEN 'too_short' END AS reason,
+  CASE WHEN length(s) > 1200 THEN regexp_replace(substring(s, 1, 1200), '{WS}+$', '') ELSE s END AS short FROM a),
+c AS (SELECT *, {fold("short")} AS f FROM b),
+d AS (SELECT *, {count("f", P.CLEAN_HINDI)} AS hindi, {count("f", P.CLEAN_ENGLISH, True)} AS english FROM c),
+cleaned AS (SELECT doc_id, intent, category, urgency, reason, language AS given, CASE WHEN reason IS NULL THEN short ELSE original END AS text,
+  CASE WHEN reason IS NULL AND language = 'en' AND hindi >= 3 THEN 'hi-en-mix' WHEN reason IS NULL AND language = 'hi-en-mix' AND hindi = 0 AND english >= 3 THEN 'en' ELSE language END AS language FROM d)
+"""
+
+
+def fingerprint(c: str) -> str:
+    return f"md5({strip(rf'''regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s\x1c-\x1f\x{{85}}\p{{Z}}]', '', 'g'), '{WS}+', ' ', 'g')''')})"
+
+
+def seed_fingerprint(c: str) -> str:
+    return rf"md5(regexp_replace(regexp_replace({strip(f'lower({c})')}, '{WS}+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s\x1c-\x1f\x{{85}}\p{{Z}}]', '', 'g'))"
+
+
+def category_of(c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {q(i)} THEN {q(k)}" for i, k in X.INTENT_CATEGORY.items()) + " END"
+
+
+def validated(source: str) -> str:
+    """Common table expressions on `source` (doc_id, text, intent, category, urgency, language); the last is named v5."""
+    return rf"""
+v0 AS (SELECT doc_id, {strip("text")} AS text, urgency, intent AS i, category AS c, language AS l FROM {source}),
+v1 AS (SELECT *, {fold("text")} AS f, greatest(1, least(5, urgency)) AS u1, CASE WHEN list_contains({array(X.INTENTS)}, i) THEN i ELSE 'casual_chat' END AS i1,
+  CASE WHEN list_contains({array(X.LANGUAGES)}, l) THEN l ELSE 'en' END AS l1 FROM v0),
+v2 AS (SELECT *, CASE WHEN list_contains({array(X.CATEGORIES)}, c) THEN c ELSE {category_of("i1")} END AS c1,
+  {has("f", P.LABEL_METAPHOR)} AS metaphor, {has("f", P.LABEL_CRISIS)} AS risk, {has("f", P.LABEL_DISTRESS)} AS low FROM v1),
+v3 AS (SELECT *, risk AND NOT metaphor AS promote, metaphor AND c1 = 'crisis' AS demote, i1 IN ('self_harm_intent', 'suicidal_thoughts') AS own FROM v2),
+v4 AS (SELECT *, CASE WHEN promote THEN 'crisis' WHEN demote THEN 'life_stressor' ELSE c1 END AS c2, CASE WHEN promote AND NOT own THEN 'suicidal_thoughts' ELSE i1 END AS i2,
+  CASE WHEN promote THEN 5 WHEN demote THEN least(u1, 2) ELSE u1 END AS u2 FROM v3),
+v4b AS (SELECT *, CASE c2 WHEN 'crisis' THEN greatest(u2, 4) WHEN 'high_distress' THEN greatest(u2, 3) WHEN 'neutral' THEN 1 ELSE u2 END AS u3, {category_of("i2")} AS want FROM v4),
+v4c AS (SELECT *, u3 >= 4 AND c2 NOT IN ('crisis', 'high_distress') AND low AS raised FROM v4b),
+v4d AS (SELECT *, CASE WHEN raised THEN 'high_distress' ELSE c2 END AS c4 FROM v4c),
+v5 AS (SELECT *, c4 <> want AND NOT (risk AND want <> 'crisis') AS align, concat_ws('|',
+  CASE WHEN i <> i1 THEN 'intent_invalid:''' || i || '''' END,
+  CASE WHEN c <> c1 THEN 'category_fixed_from_intent:''' || c || '''→''' || c1 || '''' END,
+  CASE WHEN l <> l1 THEN 'language_defaulted:''' || l || '''→en' END,
+  CASE WHEN promote AND c1 <> 'crisis' THEN 'category_crisis_promoted:''' || c1 || '''→crisis' END,
+  CASE WHEN promote AND NOT own THEN 'intent_crisis_promoted:''' || i1 || '''→suicidal_thoughts' END,
+  CASE WHEN promote AND u1 < 5 THEN 'urgency_crisis_promoted:' || u1 || '→5' END,
+  CASE WHEN demote AND NOT promote THEN 'category_metaphor_demoted:crisis→life_stressor' END,
+  CASE WHEN demote AND NOT promote AND u1 > 2 THEN 'urgency_metaphor_capped:' || u1 || '→2' END,
+  CASE WHEN c2 = 'crisis' AND u2 < 4 THEN 'urgency_crisis_floor:' || u2 || '→4' END,
+  CASE WHEN c2 = 'high_distress' AND u2 < 3 THEN 'urgency_distress_floor:' || u2 || '→3' END,
+  CASE WHEN c2 = 'neutral' AND u2 > 1 THEN 'urgency_neutral_cap:' || u2 || '→1' END,
+  CASE WHEN raised THEN 'category_high_urgency_escalated:''' || c2 || '''→''high_distress''' END,
+  CASE WHEN c4 <> want AND NOT (risk AND want <> 'crisis') THEN 'category_intent_aligned:''' || c4 || '''→''' || want || '''' END) AS said FROM v4d)
+"""
+
+
+ODD = f"""SELECT doc_id, text, CASE WHEN doc_id % 13 = 0 THEN 'odd' ELSE intent END AS intent, CASE WHEN doc_id % 17 = 0 THEN 'odd' ELSE category END AS category, urgency,
+  CASE WHEN doc_id % 11 = 0 THEN 'xx' ELSE language END AS language FROM ({RECORDS})"""
+CURATED = rf"""r AS ({RECORDS}), {CLEANED},
+e AS (SELECT *, {fingerprint("text")} AS fp FROM cleaned WHERE reason IS NULL),
+m AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY fp) AS copy FROM e),
+k AS (SELECT * FROM m WHERE NOT copy), {validated("k")}"""
+
+
+def assessed(source: str) -> str:
+    """Common table expressions on `source` with a text; the last is named risk."""
+    first = lambda listed: "CASE " + " ".join(f"WHEN {has('f', p)} THEN {q(p[:SHOWN])}" for p in listed) + " END"
+    line = lambda n: "CASE line " + " ".join(f"WHEN {q(k)} THEN {q(v[n])}" for k, v in X.HELPLINES.items()) + " ELSE '' END"
+    tiers = ", ".join(f"CASE WHEN NOT metaphor THEN {first(listed)} END AS p{level}" for level, listed in TIERS)
+    return rf"""
+s0 AS (SELECT *, {fold("text")} AS f FROM {source}),
+s1 AS (SELECT *, {has("f", "|".join(f"(?:{p})" for p in P.RISK_METAPHORS))} AS metaphor FROM s0),
+s2 AS (SELECT *, {tiers} FROM s1),
+s3 AS (SELECT *, CASE WHEN p5 IS NOT NULL THEN 5 WHEN p4 IS NOT NULL THEN 4 WHEN p3 IS NOT NULL THEN 3 WHEN p2 IS NOT NULL THEN 2 ELSE 1 END::INT AS risk_level FROM s2),
+s4 AS (SELECT *, CASE WHEN risk_level > 2 THEN 'tier_' || risk_level WHEN risk_level = 2 AND {has("f", P.RISK_MINOR)} THEN 'tier_2_minor' WHEN risk_level = 2 THEN 'tier_2_adult' END AS line FROM s3),
+risk AS (SELECT *, risk_level > 1 AS is_crisis, CASE WHEN risk_level > 1 THEN 'tier_' || risk_level ELSE 'safe' END AS tier, coalesce(p5, p4, p3, p2, '') AS matched_pattern,
+  {line(0)} AS helpline_name, {line(1)} AS helpline_number, risk_level = 2 AS safeguarding, risk_level IN (2, 4, 5) AS hard_exit FROM s4)
+"""
+
+
+def detected(source: str) -> str:
+    """Common table expressions on `source` with a text; the last is named felt."""
+    words = f"list_filter(regexp_split_to_array(t, '{WS}+'), lambda w: w <> '')"
+    signals = ", ".join(f"{has('f', p)} AS x_{k}" for k, p in SIGNALS.items())
+    rule = lambda n: "CASE " + " ".join("WHEN " + " AND ".join(f"x_{s}" for s in r[0]) + f" THEN {q(r[n])}" for r in INTENT_RULES) + (" ELSE 'vent_frustration' END" if n == 1 else " ELSE 'none' END")
+    base = "CASE intent " + " ".join(f"WHEN {q(k)} THEN {array(v)}" for k, v in X.BASE_EMOTIONS.items()) + " END"
+    added = ", ".join(f"CASE WHEN x_{e} THEN {q(e)} END" for e in ADDED) + ", CASE WHEN urgency_level >= 2 AND intent = 'express_academic_pressure' THEN 'inadequacy' END"
+    tech = "CASE intent || '|' || emotions_all[1] " + " ".join(f"WHEN {q(f'{i}|{e}')} THEN {q(t)}" for (i, e), t in X.TECHNIQUES.items()) + f" ELSE {q(X.OTHER_TECHNIQUE)} END"
+    idiom = ", ".join(f"CASE WHEN {has('g', p, k in P.CASED_IDIOMS)} THEN {q(k)} END" for k, p in P.IDIOMS.items())
+    names = lambda listed: ", ".join(f"CASE WHEN contains(t, {q(n.lower())}) THEN {q(n)} END" for n in listed)
+    tone = "CASE intent " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in X.TONES.items()) + f" ELSE {q(X.OTHER_TONE)} END"
+    mixed = array(P.MIXED_WORDS)
+    return rf"""
+t0 AS (SELECT *, {strip("lower(text)")} AS t, {fold("text")} AS g FROM {source}),
+t1 AS (SELECT *, {fold("t")} AS f, {words} AS ws FROM t0),
+t2 AS (SELECT *, {signals}, ({has("f", P.GREETING_OPENER)} AND len(ws) <= 6) OR {has("f", P.GREETING_EXACT)} OR {has("f", P.GREETING_CHECK_IN)} AS x_greeting FROM t1),
+t3 AS (SELECT *, {rule(1)} AS intent, {rule(2)} AS stressor_type, CASE WHEN NOT x_greeting AND x_hopeless THEN 2 ELSE 1 END::INT AS urgency_level FROM t2),
+t4 AS (SELECT *, {base} AS base, [{added}] AS more FROM t3),
+t5 AS (SELECT *, CASE WHEN intent IN ('greeting', 'share_positive_news') THEN base ELSE list_concat(base, list_filter(more, lambda x: x IS NOT NULL AND NOT list_contains(base, x)))[1:4] END AS emotions_all FROM t4),
+felt AS (SELECT *, emotions_all[1] AS primary_emotion, coalesce(emotions_all[2], '') AS secondary_emotion, {tone} AS tone_mode, {tech} AS cbt_technique,
+  round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ({count("f", P.POSITIVE_WORDS)} - {count("f", P.NEGATIVE_WORDS)}) * 0.2::DOUBLE)), 2) AS sentiment_score,
+  CASE WHEN regexp_matches(text, '[\x{{0900}}-\x{{097F}}]') THEN 'hi' WHEN regexp_matches(text, '[\x{{0980}}-\x{{09FF}}]') THEN 'bn' WHEN len(list_intersect(list_distinct(ws), {mixed})) >= 2 THEN 'hi-en-mix' ELSE 'en' END AS lang_code,
+  {has("g", P.STIGMA)} AS stigma_flag, concat_ws('|', {idiom}) AS idioms, concat_ws('|', {names(P.PERSONS)}) AS persons, concat_ws('|', {names(P.ROLES)}) AS roles FROM t5)
+"""
+
+
+FELT = f"u AS ({TURNS}), {detected('u')}"
+FELT_RISK = f"{FELT}, w AS (SELECT * EXCLUDE (t, g, f, ws) FROM felt), {assessed('w')}"
+INDEX = "i AS (SELECT vec_id AS chunk_id, embedding, CASE WHEN label % 3 <> 0 THEN 's' || (label % 3) END AS st FROM embeddings), a AS (SELECT vec_id AS query_id, embedding AS e, CASE WHEN vec_id % 2 = 0 THEN 's1' END AS wanted FROM embeddings WHERE vec_id < 20)"
+SCORES = f"""{INDEX}, p AS (SELECT query_id, chunk_id, st, wanted, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM a, i),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS near FROM p)"""
+FILTERED = f"{SCORES}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near)::INT AS rank FROM n WHERE near <= 9 AND (wanted IS NULL OR st IS NULL OR st = wanted))"
+COUNTS = f"""p AS ({PREDICTIONS}), l AS (SELECT unnest({array(X.INTENTS)}) AS label, unnest(range(26)) AS idx),
+s AS (SELECT label, idx, (SELECT count(*) FROM p WHERE true_intent = label) AS support, (SELECT count(*) FROM p WHERE pred_intent = label) AS predicted, (SELECT count(*) FROM p WHERE true_intent = label AND pred_intent = label) AS tp FROM l),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS re FROM s),
+f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM m)"""
+GAPS = f"t AS (SELECT unnest({array(list(X.TARGETS))}) AS label, unnest([{', '.join(map(str, X.TARGETS.values()))}]) AS target), c AS (SELECT intent, count(*) AS n FROM ({RECORDS}) GROUP BY 1), g AS (SELECT label, coalesce(n, 0) AS n, target, target - coalesce(n, 0) AS gap FROM t LEFT JOIN c ON intent = label)"
+SEED_ROWS = f"{FELT}, z AS (SELECT conv_id, turn, text, g, urgency_level AS x, conv_id * 1000 + turn AS row_, intent FROM felt)"
+REASON = f"""CASE WHEN length(text) < 10 THEN 'too_short' WHEN length(text) > 1500 THEN 'too_long' WHEN {has("g", P.SEED_TEMPLATED)} THEN 'templated_text' WHEN {has("g", P.SEED_UNSAFE)} THEN 'unsafe_crisis_content'
+  WHEN {has("g", P.SEED_METAPHOR)} AND row_ % 5 + 1 >= 3 THEN 'metaphor_crisis_mismatch' WHEN row_ % 19 = 0 OR NOT list_contains({array(X.SEED_INTENTS)}, intent) THEN 'invalid_intent' ELSE '' END"""
+EPOCHS = "e AS (SELECT event_id AS epoch, round(1 - 1 / (1 + event_id % 12)::DOUBLE, 4) AS score, event_id * 0.1::DOUBLE AS a FROM events WHERE event_id < 40)"
+
+
+def oracle_sql() -> dict[str, str]:
+    reply = "CASE WHEN safeguarding AND helpline_name = 'CHILDLINE' THEN {minor} WHEN safeguarding THEN {safeguarding} WHEN risk_level = 5 THEN {immediate} ELSE {direct} END".format(**{k: q(v) for k, v in EXIT_REPLIES.items()})
+    score_line = f"CASE WHEN doc_id % 3 = 0 THEN (CASE WHEN {has('f', P.SCORE_MINOR)} THEN 'CHILDLINE' ELSE 'iCall' END) ELSE 'iCall' END"
+    return {
+        "curated_by_language": f"WITH {CURATED} SELECT language, CASE WHEN copy THEN 'exact_duplicate' ELSE 'kept' END AS outcome, count(*) AS n FROM m GROUP BY ALL",
+        "clean_documents": f"WITH r AS ({RECORDS}), {CLEANED} SELECT doc_id, text, language, coalesce(reason, '') AS drop_reason, language <> given AS language_corrected FROM cleaned",
+        "clean_drop_reasons": f"WITH r AS ({RECORDS}), {CLEANED} SELECT coalesce(reason, '') AS drop_reason, count(*) AS n FROM cleaned GROUP BY 1",
+        "clean_language_fix": f"WITH r AS ({RECORDS}), {CLEANED} SELECT language, language <> given AS corrected, count(*) AS n FROM cleaned WHERE reason IS NULL GROUP BY ALL",
+        "clean_pages_entities": f"SELECT page_id, md5({scrub("coalesce(html, '')")}) AS scrubbed_md5 FROM pages",
+        "fingerprint_documents": f"SELECT doc_id, {fingerprint('text')} AS fp FROM documents",
+        "dedup_seed_fingerprint": f"SELECT doc_id, {seed_fingerprint('text')} AS fp FROM documents",
+        "dedup_fingerprint_set": f"SELECT DISTINCT {fingerprint('text')} AS fp FROM documents",
+        "dedup_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+        "dedup_exact": f"SELECT doc_id FROM documents QUALIFY doc_id = min(doc_id) OVER (PARTITION BY {fingerprint('text')})",
+        "dedup_removed": f"SELECT doc_id, 'exact_duplicate' AS reason FROM documents QUALIFY doc_id > min(doc_id) OVER (PARTITION BY {fingerprint('text')})",
+        "dedup_cross_batch": f"WITH d AS (SELECT doc_id, {fingerprint('text')} AS fp FROM documents), o AS (SELECT fp FROM d WHERE doc_id % 3 = 0 UNION SELECT {fingerprint('text')} FROM benchmark) SELECT doc_id, fp NOT IN (SELECT fp FROM o) AS kept FROM d WHERE doc_id % 3 <> 0",
+        "dedup_counters": f"SELECT count(*) AS total, count(*) - count(DISTINCT {fingerprint('text')}) AS exact_removed FROM documents",
+        "semantic_pairs": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.e, y.e) AS s FROM v x JOIN v y ON x.vec_id < y.vec_id) SELECT a, b, round(s, 6) AS sim FROM p WHERE s >= 0.35",
+        "validate_records": f"WITH o AS ({ODD}), {validated('o')} SELECT doc_id, i2 AS intent, CASE WHEN align THEN want ELSE c4 END AS category, u3 AS urgency, l1 AS language FROM v5",
+        "validate_corrections": f"WITH o AS ({ODD}), {validated('o')} SELECT doc_id, said AS corrections FROM v5",
+        "validate_split_counts": f"WITH o AS ({ODD}), {validated('o')} SELECT CASE WHEN text = '' THEN 'dropped' WHEN said <> '' THEN 'corrected' ELSE 'clean' END AS outcome, count(*) AS n FROM v5 GROUP BY 1",
+        "pipeline_stats": f"""WITH {CURATED} SELECT (SELECT count(*) FROM cleaned) AS raw_loaded, (SELECT count(*) FROM e) AS after_clean, (SELECT count(*) FROM cleaned WHERE reason IS NOT NULL) AS clean_dropped,
+          (SELECT count(*) FROM k) AS after_dedup, (SELECT count(*) FROM m WHERE copy) AS dedup_exact, 0::BIGINT AS dedup_semantic, count(*) FILTER (text <> '') AS after_validate,
+          count(*) FILTER (text <> '' AND said <> '') AS validate_corrected, count(*) FILTER (text = '') AS validate_dropped, count(*) FILTER (text <> '') AS final_written FROM v5""",
+        "pipeline_final": f"WITH {CURATED} SELECT doc_id, i2 AS intent, CASE WHEN align THEN want ELSE c4 END AS category, u3 AS urgency, l1 AS language FROM v5 WHERE text <> ''",
+        "distribution_category": f"SELECT category AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM ({RECORDS}) GROUP BY 1",
+        "distribution_intent_top10": f"SELECT intent AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM ({RECORDS}) WHERE doc_id % 3 <> 1 OR intent <> 'greeting' GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
+        "gap_report": f"WITH {GAPS} SELECT label, n, target, gap FROM g WHERE gap > 0",
+        "seed_gap_report": f"WITH {FELT}, t1_ AS (SELECT unnest({array(X.SEED_INTENTS)}) AS label, unnest([{', '.join(map(str, X.SEED_TARGETS.values()))}]) AS target), c_ AS (SELECT intent, count(*) AS n FROM felt GROUP BY 1), g_ AS (SELECT label, coalesce(n, 0) AS n, target, target - coalesce(n, 0) AS gap FROM t1_ LEFT JOIN c_ ON intent = label), h AS (SELECT *, CASE WHEN label = 'crisis_signal' THEN least(gap, 50) ELSE gap END AS this_run FROM g_ WHERE gap > 0) SELECT *, least(this_run, 20) AS this_call FROM h",
+        "generation_calls": f"WITH {GAPS}, x AS (SELECT label, gap, unnest(range((gap + 9) // 10))::INT AS call FROM g WHERE gap > 0) SELECT label, gap, call, least(10, gap - call * 10) AS ask FROM x",
+        "generation_prompts": f"""WITH {GAPS}, x AS (SELECT label, gap, unnest(range((gap + 9) // 10))::INT AS call FROM g WHERE gap > 0),
+          d AS (SELECT * FROM (VALUES {', '.join(f"({q(a)}, {q(b)}, {c}, {d}, {q(e)})" for a, b, c, d, e, _ in X.INTENT_TABLE)}) t(label, category, low, high, language)),
+          y AS (SELECT label, call, least(10, gap - call * 10) || '|' || label || '|' || category || '|' || low || '|' || high || '|' || language || '|' || CASE WHEN category = 'crisis' THEN 'no methods' ELSE '' END AS prompt FROM x JOIN d USING (label)) SELECT *, substr(md5(prompt), 1, 8) AS prompt_hash FROM y""",
+        "quality_check_reasons": f"WITH {SEED_ROWS} SELECT conv_id, turn, {REASON} AS reason FROM z",
+        "assign_ids": "SELECT doc_id, 'seed_train_' || CASE WHEN k < 10000 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCHAR END AS id FROM (SELECT doc_id, 41 + row_number() OVER (ORDER BY doc_id) AS k FROM documents)",
+        "safety_risk": f"WITH r AS ({RECORDS}), {assessed('r')} SELECT doc_id, is_crisis, risk_level, tier, helpline_name, helpline_number, safeguarding, hard_exit FROM risk",
+        "safety_matched_pattern": f"WITH r AS ({RECORDS}), {assessed('r')} SELECT doc_id, matched_pattern FROM risk",
+        "safety_tier_counts": f"WITH u AS ({TURNS}), {assessed('u')} SELECT tier, count(*) AS n FROM risk GROUP BY 1",
+        "safety_combined": f"WITH r AS ({RECORDS}), {assessed('r')}, x AS (SELECT *, (doc_id % 5 + 1)::INT AS scored FROM risk) SELECT doc_id, greatest(risk_level, scored)::INT AS effective_risk, CASE WHEN scored >= 3 THEN 'llm' WHEN risk_level > 1 THEN 'regex' ELSE 'none' END AS risk_source, CASE WHEN greatest(risk_level, scored) = 3 THEN 'crisis_calm_conversation' WHEN urgency = 2 THEN 'gentle_checkin' ELSE 'none' END AS risk_action, {score_line} AS score_helpline FROM x",
+        "safety_exit_reply": f"WITH r AS ({RECORDS}), {assessed('r')} SELECT doc_id, CASE risk_level WHEN 5 THEN 'crisis_overlay' WHEN 4 THEN 'urgent_prompt' ELSE 'safeguarding' END AS action, replace(replace({reply}, '{{name}}', helpline_name), '{{number}}', helpline_number) AS reply FROM risk WHERE hard_exit",
+        "emotion_intent": f"WITH {FELT} SELECT conv_id, turn, intent, stressor_type, urgency_level, tone_mode, cbt_technique, array_to_string(emotions_all, '|') AS emotions, primary_emotion, secondary_emotion FROM felt",
+        "emotion_documents": f"WITH u AS (SELECT doc_id, text FROM ({RECORDS})), {detected('u')} SELECT intent, primary_emotion, count(*) AS n FROM felt GROUP BY ALL",
+        "emotion_sentiment": f"WITH {FELT} SELECT conv_id, turn, sentiment_score FROM felt",
+        "emotion_lang": f"WITH {FELT} SELECT conv_id, turn, lang_code, stigma_flag FROM felt",
+        "emotion_entities": f"WITH {FELT} SELECT conv_id, turn, persons, roles FROM felt",
+        "emotion_idioms": f"WITH {FELT} SELECT conv_id, turn, idioms FROM felt",
+        "cbt_lookup": f"WITH {FELT} SELECT intent, primary_emotion, cbt_technique, count(*) AS n FROM felt GROUP BY ALL",
+        "retrieve_topk": f"WITH {SCORES} SELECT query_id, near AS rank, chunk_id, round(score, 6) AS score FROM n WHERE near <= 5",
+        "retrieve_topk_filtered": f"WITH {FILTERED} SELECT query_id, rank, chunk_id, coalesce(st, '') AS stressor_type FROM g WHERE rank <= 3",
+        "retrieve_context": f"WITH {FILTERED} SELECT query_id, string_agg(rank || '. [src' || (chunk_id % 4) || '] chunk ' || chunk_id, chr(10) ORDER BY rank) AS context FROM g WHERE rank <= 3 GROUP BY 1",
+        "retrieve_query_text": f"WITH {FELT} SELECT conv_id, turn, md5(stressor_type || ' ' || primary_emotion || ' ' || substring(text, 1, 200)) AS query_md5 FROM felt",
+        "vectors_normalised": "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS square FROM embeddings",
+        "kb_enriched": "SELECT 'academic_pressure,financial_stress,marriage_pressure' AS ids, 'new note' AS notes, 'forced to marry,locked in' AS tier_2",
+        "kb_risk_phrases": "SELECT 'tier_3' AS tier, 'no point' AS phrases",
+        "session_turns": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_count FROM conversations",
+        "session_history_window": "WITH h AS (SELECT conv_id, turn, list(role || ':' || substring(coalesce(text, ''), 1, 120)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM conversations) SELECT conv_id, turn, coalesce(len(h), 0)::INT AS n_history, md5(coalesce(array_to_string(h, chr(10)), '')) AS history_md5 FROM h",
+        "session_emotion_arc": f"""WITH {FELT_RISK}, x AS (SELECT conv_id, turn, coalesce(list(primary_emotion) FILTER (NOT hard_exit) OVER (PARTITION BY conv_id ORDER BY turn), []) AS l FROM risk)
+          SELECT conv_id, turn, len(l) AS arc_length, CASE WHEN len(l) >= 3 THEN array_to_string(l[-4:], ' → ') ELSE '' END AS arc FROM x""",
+        "session_last_stressor": f"WITH {FELT} SELECT conv_id, turn, coalesce(last_value(nullif(stressor_type, 'none') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS last_stressor FROM felt",
+        "session_profile": f"WITH {FELT}, x AS (SELECT conv_id, primary_emotion AS e, min(turn) AS at_ FROM felt WHERE primary_emotion <> 'neutral' GROUP BY ALL) SELECT conv_id, array_to_string(list(e ORDER BY at_), '|') AS stressors FROM x GROUP BY 1",
+        "session_summary": f"WITH {FELT_RISK} SELECT conv_id, count(*) AS turns, count(*) FILTER (hard_exit) AS crisis_exits, round(avg(turn % 4), 1) AS avg_chunks FROM risk GROUP BY 1",
+        "session_intent_counts": f"WITH {FELT} SELECT intent, count(*) AS n FROM felt GROUP BY 1",
+        "prompt_modes": f"WITH {FELT_RISK} SELECT CASE WHEN risk_level >= 4 THEN 'crisis' WHEN list_contains({array(SOCIAL_INTENTS)}, intent) THEN 'social' WHEN urgency_level >= 4 THEN 'high_distress' WHEN list_contains({array(TENDER_EMOTIONS)}, primary_emotion) THEN 'emotional' WHEN intent = 'greeting' THEN 'greeting' ELSE 'normal' END AS mode, CASE WHEN risk_level >= 4 THEN 150 ELSE 120 END AS word_cap, count(*) AS n FROM risk GROUP BY ALL",
+        "parse_events_props": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
+        "parse_records": f"SELECT doc_id, md5({strip("replace(text, ']', ')')")}) AS text_md5, CASE WHEN doc_id % 2 = 0 THEN intent ELSE 'casual_chat' END AS intent, 'neutral' AS category, greatest(1, least(5, doc_id % 9))::INT AS urgency, 'en' AS language FROM ({RECORDS}) WHERE doc_id % 3 < 2 AND length({strip('text')}) >= 5",
+        "parse_metadata_kv": f"""WITH x AS (SELECT doc_id, doc_id % 3 < 2 AS meta, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE greatest(1, least(5, doc_id % 6)) END AS risk, 2 + doc_id % 200 AS words, CASE WHEN doc_id % 3 < 2 AND doc_id % 5 <> 0 AND doc_id % 6 >= 4 THEN 150 ELSE 120 END AS cap FROM documents)
+          SELECT doc_id, CASE WHEN NOT meta THEN 'neutral' WHEN doc_id % 4 = 0 THEN 'hope' ELSE 'fear' END AS emotion, 'unknown' AS intent, CASE WHEN meta THEN greatest(1, least(5, doc_id % 8)) ELSE 1 END::INT AS urgency,
+          CASE WHEN meta THEN risk ELSE 1 END::INT AS risk, CASE WHEN meta THEN 'a|b|c' ELSE '' END AS strategies, ['exact', 'partial', 'fallback'][(doc_id % 3 + 1)::INT] AS parse_strategy, CASE WHEN words > cap THEN cap ELSE words END::INT AS n_words FROM x""",
+        "parse_risk_scores": """WITH x AS (SELECT doc_id, (doc_id % 8)::INT AS l, doc_id % 10 = 0 AS none, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 8 = 1 THEN 'safe' ELSE 'tier_' || doc_id % 8 END ELSE 'tier_2' END AS t FROM documents),
+          y AS (SELECT *, NOT none AND l BETWEEN 1 AND 5 AS ok FROM x)
+          SELECT doc_id, CASE WHEN ok THEN l ELSE 1 END AS risk_level, CASE WHEN ok THEN t ELSE 'safe' END AS tier, CASE WHEN none THEN 'no_json_in_response' WHEN NOT ok THEN 'invalid_risk_level' ELSE 'because' END AS reason,
+          ok AND doc_id % 2 = 0 AS safeguarding, CASE WHEN NOT ok OR t = 'safe' THEN '' WHEN t = 'tier_2' THEN 'tier_2_minor' ELSE t END AS helpline_key FROM y""",
+        "parse_emotion_lists": "SELECT doc_id, ['guilt,anger,fear,hope', 'neutral', 'shame'][(doc_id % 3 + 1)::INT] AS emotions, doc_id % 2 = 0 AS mixed FROM documents",
+        "parse_token_stream": "WITH e AS (SELECT user_id, event_id, substr(event_type, 1, 1) AS p, event_id % 97 = 0 AND event_id % 13 <> 0 AS done FROM events), d AS (SELECT user_id, min(event_id) FILTER (done) AS stop FROM e GROUP BY 1) SELECT e.user_id, coalesce(string_agg(p, '' ORDER BY event_id) FILTER (event_id % 13 <> 0), '') AS text FROM e JOIN d ON e.user_id = d.user_id WHERE stop IS NULL OR event_id <= stop GROUP BY 1",
+        "class_weights": f"WITH r AS (SELECT intent FROM ({RECORDS}) WHERE intent <> 'greeting'), l AS (SELECT unnest({array(X.INTENTS)}) AS label), c AS (SELECT label, greatest(1, (SELECT count(*) FROM r WHERE intent = label)) AS n FROM l) SELECT label, n, round((SELECT count(*) FROM r) / (26.0 * n), 6)::DOUBLE AS weight FROM c",
+        "label_index": f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 25 ELSE list_position({array(X.INTENTS)}, intent) - 1 END::INT AS intent_idx, (list_position({array(X.CATEGORIES)}, category) - 1)::INT AS category_idx FROM ({RECORDS})",
+        "ordinal_encode": "SELECT doc_id, array_to_string(list_transform([1, 2, 3, 4], lambda k: (doc_id % 5 + 1 > k)::INT), ',') AS bits, (doc_id % 5 + 1)::INT AS level FROM documents",
+        "best_labels": "WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS l FROM embeddings), m AS (SELECT *, list_max(l) AS top FROM v) SELECT vec_id, (['a','b','c','d','e','f','g','h'])[list_position(l, top)] AS label, round(1 / list_sum(list_transform(l, lambda x: exp(x - top))), 4) AS confidence FROM m",
+        "accuracy": f"SELECT round(avg((true_intent = pred_intent)::INT), 4) AS accuracy FROM ({PREDICTIONS})",
+        "macro_f1": f"WITH {COUNTS} SELECT round(avg(f1), 4) AS macro_f1 FROM f",
+        "per_class_f1": f"WITH {COUNTS} SELECT idx::INT AS idx, label, round(pr, 3)::DOUBLE AS precision, round(re, 3)::DOUBLE AS recall, round(f1, 3)::DOUBLE AS f1, support FROM f",
+        "confusion_matrix": "SELECT quality AS label, count(*) FILTER (toxic = 0) AS pred_0, count(*) FILTER (toxic = 1) AS pred_1 FROM labels GROUP BY 1",
+        "urgency_mae": f"SELECT round(avg(abs(true_urgency - pred_urgency)), 4) AS mae, round(avg((abs(true_urgency - pred_urgency) <= 1)::INT), 4) AS within_one FROM ({PREDICTIONS})",
+        "urgency_missed": f"SELECT round(avg((pred_urgency < 4)::INT), 4) AS false_negative_rate FROM ({PREDICTIONS}) WHERE true_urgency >= 4",
+        "error_pairs": f'SELECT true_intent AS "true", pred_intent AS pred, count(*) AS n, arg_min(text, doc_id) AS example FROM ({PREDICTIONS}) WHERE true_intent <> pred_intent GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10',
+        "urgency_distribution": f"WITH p AS ({PREDICTIONS}) SELECT k::INT AS level, (SELECT count(*) FROM p WHERE true_urgency = k) AS n_true, (SELECT count(*) FROM p WHERE pred_urgency = k) AS n_pred FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k)",
+        "train_val_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= greatest(1, (count(*) OVER ()) // 10) THEN 'val' ELSE 'train' END AS split FROM documents",
+        "stratified_split": "WITH x AS (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT doc_id, CASE WHEN k <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM x",
+        "evaluation_sample": "SELECT doc_id, quality FROM labels ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
+        "early_stopping": f"""WITH {EPOCHS}, b AS (SELECT epoch, score, max(score) OVER (ORDER BY epoch) AS best, max(score) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+          c AS (SELECT *, before IS NULL OR score > before AS improved FROM b), d AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch) AS stale FROM c)
+          SELECT epoch, best AS best_so_far, improved, stale, bool_or(stale >= 3) OVER (ORDER BY epoch) AS stopped FROM d""",
+        "joint_loss": f"WITH {EPOCHS} SELECT epoch, round(score + a * 0.7::DOUBLE + 0.25, 6) AS loss, floor(epoch * 7 * 0.1::DOUBLE)::INT AS warmup FROM e",
+        "events_tumbling": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+        "events_session": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, k",
+        "retention_30d": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1",
+        "user_last_event": "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1",
+    }
