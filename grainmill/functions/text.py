@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as in Python's str.strip and \s: Unicode spaces and the four separators.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -90,7 +91,7 @@ def unsettled() -> str:
     return r"[\p{M}\x{1161}-\x{11C2}" + "".join(runs) + "]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

@@ -44,7 +44,7 @@ def validate(df: DataFrame, strict: bool = False, missing: dict[str, Column] | N
     number = whole_number(df, "urgency")
     df = df.withColumns({
         "_meta": matches(F.col("_text"), P.LABEL_METAPHOR), "_risk": matches(F.col("_text"), P.LABEL_CRISIS), "_low": matches(F.col("_text"), P.LABEL_DISTRESS),
-        "_u": F.least(F.greatest(number, F.lit(1)), F.lit(5)).cast("int"),
+        "_u": F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(1)), F.lit(5))).cast("int"),
         "_i": strip(F.coalesce(F.col("intent"), F.lit("None"))), "_c": strip(F.coalesce(F.col("category"), F.lit("None"))), "_l": strip(F.coalesce(F.col("language"), F.lit("None"))),
     })
     df = df.withColumns({
