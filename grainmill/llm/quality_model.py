@@ -65,17 +65,16 @@ class ConvNet:
         return hidden, np.concatenate([hidden.mean(0), hidden.max(0)]) @ self.v + self.d[0]
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Probabilities; texts are convolved together up to PART bytes at a time."""
-        out, group, size = np.zeros(len(texts)), [], 0
+        """Probabilities; texts are convolved together up to PART bytes at a time, a block of zeros behind each, so that no filter reads two texts."""
+        out, group, size, reach = np.zeros(len(texts)), [], 0, WIDTH - STRIDE
         for i, t in enumerate(texts):
-            group.append((i, self.padded(t)))
+            group.append((i, np.concatenate([self.padded(t), np.zeros(BLOCK - reach, np.uint8)])))
             size += len(group[-1][1])
             if size >= PART or i + 1 == len(texts):
-                tops = self.block_tops(np.concatenate([p[: len(p) - (WIDTH - STRIDE)] for _, p in group] + [np.zeros(WIDTH - STRIDE, np.uint8)])) if len(group) > 1 else self.block_tops(group[0][1])
-                at = 0
+                tops, at = self.block_tops(np.concatenate([p for _, p in group] + [np.zeros(reach, np.uint8)])), 0
                 for k, p in group:
                     n = len(p) // BLOCK
-                    out[k] = self.head(tops[at : at + n])[1]
+                    out[k] = self.head(tops[at : at + n - 1])[1]
                     at += n
                 group, size = [], 0
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
