@@ -1,0 +1,16 @@
+"""Filters on computed columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def settled(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows of df where the condition, which reads columns that are costly to compute, is true.
+
+    A random column stands between, so that Catalyst leaves the filter above the projections that made them; pushed
+    below, it would compute them once more. Not for conditions on columns of a table: those should reach the scan.
+    """
+    flag = F.coalesce(condition, F.lit(False)).cast("int")
+    return df.withColumns({"_flag": flag, "_random": F.rand(0)}).where(F.col("_flag") > F.col("_random")).drop("_flag", "_random")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import patterns as P
+from grainmill.functions.rows import settled
 from grainmill.functions.text import SPACE, cased, composed, hits, matches, strip
 
 MIN_LENGTH, MAX_LENGTH = 8, 1200
@@ -56,4 +57,4 @@ def clean(df: DataFrame, text: str = "text", language: str = "language", min_len
 def split_clean(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected rows of one pass."""
     done = clean(df, **options)
-    return done.where("_drop_reason IS NULL").drop("_drop_reason"), done.where("_drop_reason IS NOT NULL")
+    return settled(done, F.col("_drop_reason").isNull()).drop("_drop_reason"), settled(done, F.col("_drop_reason").isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import patterns as P
+from grainmill.functions.rows import settled
 from grainmill.functions.taxonomy import CATEGORIES, INTENT_CATEGORY, INTENTS, LANGUAGES
 from grainmill.functions.text import matches, messages, quoted, strip
 
@@ -93,5 +94,5 @@ def validate(df: DataFrame, strict: bool = False, missing: dict[str, Column] | N
 def split_validated(df: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clean, corrected, dropped) of one pass."""
     done = validate(df, **options)
-    kept = done.where("_drop_reason IS NULL").drop("_drop_reason")
-    return kept.where(F.size("_corrections") == 0), kept.where(F.size("_corrections") > 0), done.where("_drop_reason IS NOT NULL")
+    kept, some = F.col("_drop_reason").isNull(), F.size("_corrections") > 0
+    return settled(done, kept & ~some).drop("_drop_reason"), settled(done, kept & some).drop("_drop_reason"), settled(done, ~kept)

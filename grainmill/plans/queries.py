@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.functions.rows import settled
 from grainmill.functions.taxonomy import INTENTS
 from grainmill.functions.text import fingerprint, seed_fingerprint
 from grainmill.operators import affect, cleaning, dedup, labels, metrics, parse, reports, retrieval, safety
@@ -61,7 +62,7 @@ def clean_drop_reasons(spark, sf_dir):
 
 @query
 def clean_language_fix(spark, sf_dir):
-    return _cleaned(spark, sf_dir).where("_drop_reason IS NULL").groupBy("language", F.col("_language_corrected").alias("corrected")).agg(F.count("*").alias("n"))
+    return settled(_cleaned(spark, sf_dir), F.col("_drop_reason").isNull()).groupBy("language", F.col("_language_corrected").alias("corrected")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -242,7 +243,7 @@ def safety_combined(spark, sf_dir):
 
 @query
 def safety_exit_reply(spark, sf_dir):
-    out = safety.assess(fixtures.records(spark, sf_dir)).where(safety.hard_exit(F.col("risk_level")))
+    out = settled(safety.assess(fixtures.records(spark, sf_dir)), safety.hard_exit(F.col("risk_level")))
     return out.select("doc_id", safety.exit_action(F.col("risk_level")).alias("action"), safety.exit_reply(F.col("risk_level"), F.col("helpline_name"), F.col("helpline_number"), F.col("safeguarding")).alias("reply"))
 
 
