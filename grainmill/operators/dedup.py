@@ -127,14 +127,16 @@ def overlap_window(df: DataFrame, order: str, text: str = "text", least: float =
                 if g != at:
                     at, held = g, []
                 mine = set(words or ())
-                found = next((k for k, w in held if mine and w and len(mine & w) / max(len(mine), len(w)) >= least), None)
+                n = len(mine)
+                # Sets whose sizes are too far apart cannot reach the share: they are not intersected.
+                found = next((k for k, w in held if n and w and (n / len(w) if n < len(w) else len(w) / n) >= least and len(mine & w) / max(n, len(w)) >= least), None)
                 near.append(found)
                 if found is None:
                     held = [*held[-(window - 1) :], (o, mine)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(near, pa.int64())], names=["order", "near_of"])
 
     rows = df.select((F.col(group) if group else F.lit(0)).cast("string").alias("g"), F.col(order).cast("long").alias("o"), F.array_distinct(word_list(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("w"))
-    rows = rows.repartition("g").sortWithinPartitions("g", "o") if group else rows.orderBy("o").coalesce(1)
+    rows = rows.repartition("g").sortWithinPartitions("g", "o") if group else rows.repartition(1).sortWithinPartitions("o")
     return rows.mapInArrow(fold, "order long, near_of long")
 
 

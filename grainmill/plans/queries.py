@@ -126,7 +126,7 @@ def semantic_dedup(spark, sf_dir):
 
 @query
 def near_dup_overlap(spark, sf_dir):
-    return dedup.overlap_window(_read(spark, sf_dir, "documents"), "doc_id", group="source")
+    return dedup.overlap_window(_read(spark, sf_dir, "documents"), "doc_id")
 
 
 @query

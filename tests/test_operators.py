@@ -97,6 +97,21 @@ def test_overlap_window(spark):
     assert near == {0: None, 1: 0, 2: None, 3: 0, 4: None}
 
 
+def test_overlap_query_is_one_fold(spark):
+    from grainmill.plans.queries import ALL
+
+    held, want, across = [], {}, 0
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect():
+        words = set((r["text"] or "").lower().split())
+        near = next((h for h in held[-200:] if words and h[1] and len(words & h[1]) / max(len(words), len(h[1])) >= 0.85), None)
+        want[r["doc_id"]] = near and near[0]
+        across += near is not None and near[2] != r["source"]
+        if near is None:
+            held.append((r["doc_id"], words, r["source"]))
+    assert across
+    assert {r["order"]: r["near_of"] for r in ALL["near_dup_overlap"](spark, DATA).collect()} == want
+
+
 VALID = [
     (("I want to die", "anxiety_panic", "emotional", "3", "en"), ("suicidal_thoughts", "crisis", 5)),
     (("I will kill this exam", "academic_pressure", "crisis", "4", "en"), ("academic_pressure", "life_stressor", 2)),
