@@ -42,6 +42,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(documents(spark, sf_dir))
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_links(documents(spark, sf_dir))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
         "op6_jaccard_join": op6_jaccard_join,
+        "op6_jaccard_links": op6_jaccard_links,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_packing": op8_packing,
         "op9_topk_search": op9_topk_search,

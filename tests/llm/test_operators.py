@@ -214,6 +214,29 @@ def test_join_odd_rows(odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in want.items() if c == d}
 
 
+def brute_links(rows):
+    sets = {}
+    for d, t in rows:
+        w = SPACE.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return {a: sum(1 for b, y in sets.items() if a != b and x and y and 5 * len(x & y) >= 4 * len(x | y)) for a, x in sets.items()}
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_all_links_are_counted(spark, docs, odd, none, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    # A clique of distinct near copies: a spanning forest has 6 links, the join 21.
+    near = spark.createDataFrame([(100_000 + i, " ".join(f"w{k}" for k in range(60)) + f" end{i}") for i in range(7)], "doc_id long, text string")
+    for df in (near.unionByName(docs.select("doc_id", "text")), odd.select("doc_id", "text")):
+        rows = [tuple(r) for r in df.collect()]
+        out = jaccard_join.join_links(df).collect()
+        want = brute_links(rows)
+        assert len(out) == len(rows) and all(r["n_links"] == want[r["doc_id"]] for r in out)
+    assert want[4] == 2 and brute_links([tuple(r) for r in near.collect()])[100_000] == 6
+    assert jaccard_join.join_links(none).count() == 0
+
+
 def test_components(spark):
     r = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (None, 3)]
