@@ -140,23 +140,34 @@ def overlap_window(df: DataFrame, order: str, text: str = "text", least: float =
     return rows.mapInArrow(fold, "order long, near_of long")
 
 
+#: Distinct sets of one part of a band.
+PART = 256
+
+
 def minhash(df: DataFrame, key: str, text: str = "text", least: float = 0.85, hashes: int = 128, bands: int = 32) -> DataFrame:
     """Extension: (a, b, jaccard) of word sets, by MinHash signatures of `hashes` values in `bands` bands; approximate recall.
 
-    Signatures are native: the least of seeded hashes of the words. Each band's key joins rows with the band's
-    first row only, so a large group of copies makes one row each, not all pairs.
+    Signatures are native: the least of seeded hashes of the words. Equal word sets are one from the start, held by
+    their smallest key: each further row of a set is returned with that key and 1.0, and all pairs of distinct sets
+    that share a band are verified. A band of many distinct sets is dealt out in parts of about PART of them.
     """
     rows = df.select(F.col(key).alias("k"), F.array_distinct(word_list(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("w")).where(F.size("w") > 0)
+    rows = table(rows.withColumn("id", F.sha2(F.array_join(F.array_sort("w"), " "), 256)), "words")
+    first = table(rows.groupBy("id").agg(F.min("k").alias("a")), "first")
+    copies = rows.select("id", F.col("k").alias("b")).join(first, "id").where("b > a").select("a", "b", F.lit(1.0).alias("jaccard")).distinct()
+    sets = rows.join(first, "id").where("k = a").dropDuplicates(["id"]).select("k", "w")
     per = hashes // bands
     word = F.explode("w").alias("word")
-    mins = rows.select("k", word).groupBy("k").agg(*[F.min(F.xxhash64("word", F.lit(i))).alias(f"h{i}") for i in range(hashes)])
-    keys = mins.select("k", F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"h{b * per + i}") for i in range(per)]) for b in range(bands)])).alias("band"))
-    first = keys.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = keys.join(first, "band").where("k > a").select("a", F.col("k").alias("b")).distinct()
-    sets = rows.select("k", "w")
+    mins = sets.select("k", word).groupBy("k").agg(*[F.min(F.xxhash64("word", F.lit(i))).alias(f"h{i}") for i in range(hashes)])
+    keys = table(mins.select("k", F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"h{b * per + i}") for i in range(per)]) for b in range(bands)])).alias("band")), "bands")
+    parts = table(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / PART).cast("long").alias("parts")), "parts")
+    held = keys.join(parts, "band")
+    left = held.select("band", F.col("k").alias("a"), F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"))
+    right = held.select("band", F.col("k").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    near = left.join(right, ["band", "part"]).where("a < b").select("a", "b").distinct()
     both = near.join(sets.withColumnsRenamed({"k": "a", "w": "wa"}), "a").join(sets.withColumnsRenamed({"k": "b", "w": "wb"}), "b")
     jaccard = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
+    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least).unionByName(copies)
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -97,6 +97,18 @@ def test_overlap_window(spark):
     assert near == {0: None, 1: 0, 2: None, 3: 0, 4: None}
 
 
+@pytest.mark.parametrize("part", [256, 2])
+def test_minhash_pairs_of_distinct_sets(spark, part, monkeypatch):
+    monkeypatch.setattr(dedup, "PART", part)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*words, f"end{i}"]) for i in range(5)]
+    # 5 distinct near copies, two of them again in other order and case, one text apart, one empty.
+    data = [*enumerate(texts), (10, " ".join(reversed(texts[1].split()))), (11, texts[1].upper()), (12, "quite other words"), (13, "")]
+    got = {(r["a"], r["b"]): r["jaccard"] for r in dedup.minhash(rows(spark, data, "i long, text string"), "i").collect()}
+    want = {(a, b): 200 / 202 for a in range(5) for b in range(a + 1, 5)} | {(1, 10): 1.0, (1, 11): 1.0}
+    assert got == want
+
+
 def test_overlap_query_is_one_fold(spark):
     from grainmill.plans.queries import ALL
 
