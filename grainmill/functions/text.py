@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Sequence
@@ -18,6 +19,12 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NOT_WORD = r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 
 
+#: The characters of SPACE, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+#: Characters that match an ASCII letter without regard to case, beyond that letter's own two forms.
+ALIKE = {"ſ": "s", "ı": "i", "İ": "i", "\u212a": "k"}
+
+
 def cased(pattern: str, flags: str = "") -> str:
     """A Java pattern whose classes and \\b are Unicode-aware."""
     return f"(?U{flags}){pattern}"
@@ -33,17 +40,122 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(anycase(pattern)), F.lit(False))
 
 
+def folded(text: Column) -> Column:
+    """Lower case in which an ASCII letter stands wherever a pattern without regard to case would take it."""
+    for c, plain in ALIKE.items():
+        text = F.replace(text, F.lit(c), F.lit(plain))
+    return F.lower(text)
+
+
+@lru_cache(None)
+def needed(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of lower-case literals, from the pattern's syntax: each match of it, folded, holds one of each set.
+
+    A literal run outside of all choices is a set of its own; a choice gives the best set of each of its branches
+    together; what may be absent gives nothing.
+    """
+    shortest = lambda literals: min(map(len, literals))
+
+    def walk(items) -> list[set[str]]:
+        sets, run = [], ""
+        for kind, value in [*((str(k), v) for k, v in items), ("END", None)]:
+            if kind == "LITERAL" and value < 128:
+                run += chr(value).lower()
+                continue
+            if run:
+                sets.append({run})
+                run = ""
+            if kind == "SUBPATTERN":
+                sets += walk(value[3])
+            elif kind == "BRANCH":
+                best = [max(walk(b), key=shortest, default=None) for b in value[1]]
+                if all(best):
+                    sets.append(set().union(*best))
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+                sets += walk(value[2])
+        return sets
+
+    found = sorted(walk(re._parser.parse(pattern)), key=lambda x: (-shortest(x), len(x)))
+    good = [x for x in found if shortest(x) >= 3] or [x for x in found if shortest(x) >= 2][:1]
+    return tuple(dict.fromkeys(tuple(sorted(x)) for x in good))
+
+
+@lru_cache(None)
+def openers(pattern: str) -> frozenset[str] | None:
+    """The characters that a match can begin with; None if the syntax does not tell."""
+
+    def walk(items) -> tuple[set[str] | None, bool]:
+        """(first characters, whether the items may be empty)."""
+        chars: set[str] = set()
+        for kind, value in ((str(k), v) for k, v in items):
+            if kind == "AT":
+                continue
+            if kind == "LITERAL":
+                got, empty = {chr(value)}, False
+            elif kind == "SUBPATTERN":
+                got, empty = walk(value[3])
+            elif kind == "BRANCH":
+                each = [walk(b) for b in value[1]]
+                got = None if any(g is None for g, _ in each) else set().union(*(g for g, _ in each))
+                empty = any(e for _, e in each)
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                got, empty = walk(value[2])
+                empty = empty or value[0] == 0
+            else:
+                got, empty = None, False
+            if got is None:
+                return None, False
+            chars |= got
+            if not empty:
+                return chars, False
+        return chars, True
+
+    chars, empty = walk(re._parser.parse(pattern))
+    plain = chars and not empty and all(c.isascii() and (c.isalnum() or c == "'") for c in chars)
+    return frozenset(chars) if plain else None
+
+
+def quick(pattern: str) -> str:
+    """The same pattern, Unicode-aware, with a look at the next character before the costlier word boundaries."""
+    chars = openers(pattern)
+    return cased(f"(?=[{''.join(sorted(chars))}])(?:{pattern})" if chars else pattern)
+
+
+def may_match(low: Column, pattern: str) -> Column:
+    """False only where the pattern cannot match a text whose folded form is `low`: plain searches, some nanoseconds a byte."""
+    gate = F.lit(True)
+    for literals in needed(pattern):
+        some = low.contains(literals[0])
+        for x in literals[1:]:
+            some = some | low.contains(x)
+        gate = gate & some
+    return gate
+
+
+def found(low: Column, pattern: str) -> Column:
+    """As matches(text, pattern), where `low` is folded(text), best in a column of its own.
+
+    The pattern runs only on the few texts that hold its literals, and needs no case folding of its own there.
+    """
+    return F.coalesce(may_match(low, pattern) & low.rlike(quick(pattern.lower())), F.lit(False))
+
+
 def any_of(patterns: Sequence[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def hits(text: Column, pattern: str, case: bool = False) -> Column:
-    """How many times the pattern is found, without overlaps."""
-    return F.coalesce(F.regexp_count(text, F.lit(cased(pattern) if case else anycase(pattern))), F.lit(0))
+def hits(text: Column, pattern: str) -> Column:
+    """How many times the pattern is found, without overlaps and with regard to case."""
+    return F.coalesce(F.regexp_count(text, F.lit(quick(pattern))), F.lit(0))
+
+
+def hits_folded(low: Column, pattern: str) -> Column:
+    """The same without regard to case, where `low` is folded(text); not run on texts without the pattern's literals."""
+    return F.when(may_match(low, pattern), hits(low, pattern.lower())).otherwise(0)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
@@ -97,5 +209,9 @@ def _composed(text: pd.Series) -> pd.Series:
 
 
 def composed(text: Column) -> Column:
-    """Unicode NFC. Only texts that it may change go through Python, in Arrow batches; Spark has no such function."""
-    return F.coalesce(_composed(F.when(text.rlike(unsettled()), text)), text)
+    """Unicode NFC. Only texts that it may change go through Python, in Arrow batches; Spark has no such function.
+
+    Nothing below U+0300 changes or joins; the long class of what does is searched only in texts with others.
+    """
+    other = (F.octet_length(text) > F.length(text)) & text.rlike(r"[^\x{0}-\x{2FF}]")
+    return F.coalesce(_composed(F.when(other & text.rlike(unsettled()), text)), text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import patterns as P
 from grainmill.functions import taxonomy as X
-from grainmill.functions.text import cased, hits, matches, messages, strip, word_list
+from grainmill.functions.text import folded, found, hits_folded, may_match, messages, quick, strip, word_list
 
 
 def language_of(text: Column, lowered: Column) -> Column:
@@ -15,13 +15,13 @@ def language_of(text: Column, lowered: Column) -> Column:
     return F.when(text.rlike("[\\x{0900}-\\x{097F}]"), "hi").when(text.rlike("[\\x{0980}-\\x{09FF}]"), "bn").when(mixed, "hi-en-mix").otherwise("en")
 
 
-def sentiment(lowered: Column) -> Column:
-    score = (hits(lowered, P.POSITIVE_WORDS) - hits(lowered, P.NEGATIVE_WORDS)) * F.lit(0.2)
+def sentiment(low: Column) -> Column:
+    score = (hits_folded(low, P.POSITIVE_WORDS) - hits_folded(low, P.NEGATIVE_WORDS)) * F.lit(0.2)
     return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), 2)
 
 
-def idioms(text: Column) -> Column:
-    return messages(*[F.when(F.coalesce(text.rlike(cased(p)), F.lit(False)) if k in P.CASED_IDIOMS else matches(text, p), F.lit(k)) for k, p in P.IDIOMS.items()])
+def idioms(text: Column, low: Column) -> Column:
+    return messages(*[F.when(F.coalesce(may_match(low, p) & text.rlike(quick(p)), F.lit(False)) if k in P.CASED_IDIOMS else found(low, p), F.lit(k)) for k, p in P.IDIOMS.items()])
 
 
 def named(lowered: Column, names: list[str]) -> Column:
@@ -66,25 +66,25 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
     Pattern matches are made once, in a projection of their own; the cascades read only their booleans. Null text
     counts as empty.
     """
-    df = df.withColumns({"_raw": F.coalesce(F.col(text), F.lit(""))}).withColumn("_t", strip(F.lower("_raw")))
-    t = F.col("_t")
-    opener = matches(t, P.GREETING_OPENER) & (F.size(word_list(t)) <= 6)
-    df = df.withColumns({f"_{k}": matches(t, p) for k, p in SIGNALS.items()} | {"_greeting": opener | matches(t, P.GREETING_EXACT) | matches(t, P.GREETING_CHECK_IN)})
+    df = df.withColumns({"_gm_raw": F.coalesce(F.col(text), F.lit(""))}).withColumns({"_gm_t": strip(F.lower("_gm_raw")), "_gm_low": strip(folded(F.col("_gm_raw")))})
+    t, low = F.col("_gm_t"), F.col("_gm_low")
+    opener = found(low, P.GREETING_OPENER) & (F.size(word_list(t)) <= 6)
+    df = df.withColumns({f"_gm_{k}": found(low, p) for k, p in SIGNALS.items()} | {"_gm_greeting": opener | found(low, P.GREETING_EXACT) | found(low, P.GREETING_CHECK_IN)})
     intent, stressor = F.lit("vent_frustration"), F.lit("none")
     for signals, i, s in reversed(INTENT_RULES):
-        met = F.col(f"_{signals[0]}")
+        met = F.col(f"_gm_{signals[0]}")
         for more in signals[1:]:
-            met = met & F.col(f"_{more}")
+            met = met & F.col(f"_gm_{more}")
         intent, stressor = F.when(met, i).otherwise(intent), F.when(met, s).otherwise(stressor)
-    df = df.withColumns({"_intent": intent, "_stressor": stressor, "_urgency": F.when(~F.col("_greeting") & F.col("_hopeless"), 2).otherwise(1)})
-    base = F.create_map(*[x for k, v in X.BASE_EMOTIONS.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])[F.col("_intent")]
-    fixed = F.col("_intent").isin("greeting", "share_positive_news")
-    more = [F.when(F.col(f"_{e}"), F.lit(e)) for e in ADDED] + [F.when((F.col("_urgency") >= 2) & (F.col("_intent") == "express_academic_pressure"), F.lit("inadequacy"))]
-    df = df.withColumn("_emotions", F.when(fixed, base).otherwise(F.slice(F.array_union(base, messages(*more)), 1, 4)))
-    tone = F.coalesce(F.create_map(*[F.lit(x) for pair in X.TONES.items() for x in pair])[F.col("_intent")], F.lit(X.OTHER_TONE))
+    df = df.withColumns({"_gm_intent": intent, "_gm_stressor": stressor, "_gm_urgency": F.when(~F.col("_gm_greeting") & F.col("_gm_hopeless"), 2).otherwise(1)})
+    base = F.create_map(*[x for k, v in X.BASE_EMOTIONS.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])[F.col("_gm_intent")]
+    fixed = F.col("_gm_intent").isin("greeting", "share_positive_news")
+    more = [F.when(F.col(f"_gm_{e}"), F.lit(e)) for e in ADDED] + [F.when((F.col("_gm_urgency") >= 2) & (F.col("_gm_intent") == "express_academic_pressure"), F.lit("inadequacy"))]
+    df = df.withColumn("_gm_emotions", F.when(fixed, base).otherwise(F.slice(F.array_union(base, messages(*more)), 1, 4)))
+    tone = F.coalesce(F.create_map(*[F.lit(x) for pair in X.TONES.items() for x in pair])[F.col("_gm_intent")], F.lit(X.OTHER_TONE))
     return df.withColumns({
-        "intent": F.col("_intent"), "primary_emotion": F.get("_emotions", F.lit(0)), "secondary_emotion": F.get("_emotions", F.lit(1)), "emotions_all": F.col("_emotions"),
-        "urgency_level": F.col("_urgency"), "stressor_type": F.col("_stressor"), "tone_mode": F.when(F.col("_urgency") >= 3, "crisis_calm").otherwise(tone),
-        "lang_code": language_of(F.col("_raw"), t), "sentiment_score": sentiment(t), "idioms_detected": idioms(F.col("_raw")), "stigma_flag": matches(F.col("_raw"), P.STIGMA),
-        "cbt_technique": technique(F.col("_intent"), F.get("_emotions", F.lit(0))), "entities_persons": named(t, P.PERSONS), "entities_roles": named(t, P.ROLES),
-    }).drop("_raw", "_t", "_greeting", "_intent", "_stressor", "_urgency", "_emotions", *[f"_{k}" for k in SIGNALS])
+        "intent": F.col("_gm_intent"), "primary_emotion": F.get("_gm_emotions", F.lit(0)), "secondary_emotion": F.get("_gm_emotions", F.lit(1)), "emotions_all": F.col("_gm_emotions"),
+        "urgency_level": F.col("_gm_urgency"), "stressor_type": F.col("_gm_stressor"), "tone_mode": F.when(F.col("_gm_urgency") >= 3, "crisis_calm").otherwise(tone),
+        "lang_code": language_of(F.col("_gm_raw"), t), "sentiment_score": sentiment(low), "idioms_detected": idioms(F.col("_gm_raw"), low), "stigma_flag": found(low, P.STIGMA),
+        "cbt_technique": technique(F.col("_gm_intent"), F.get("_gm_emotions", F.lit(0))), "entities_persons": named(t, P.PERSONS), "entities_roles": named(t, P.ROLES),
+    }).drop("_gm_raw", "_gm_t", "_gm_low", "_gm_greeting", "_gm_intent", "_gm_stressor", "_gm_urgency", "_gm_emotions", *[f"_gm_{k}" for k in SIGNALS])

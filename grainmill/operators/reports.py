@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import patterns as P
 from grainmill.functions.taxonomy import INTENT_TABLE, SEED_INTENTS, SEED_TARGETS, TARGETS
-from grainmill.functions.text import anycase, matches, seed_fingerprint
+from grainmill.functions.text import folded, found, seed_fingerprint
 from grainmill.operators.dedup import overlap_window
 
 
@@ -32,12 +32,13 @@ def seed_gaps(df: DataFrame, column: str = "intent", per_call: int = 20, crisis_
     return out.withColumn("this_call", F.least("this_run", F.lit(per_call)))
 
 
-def quality_reason(text: Column, urgency: Column, intent: Column) -> Column:
-    """The first reason of a row on its own, else null."""
+def quality_reason(text: Column, urgency: Column, intent: Column, low: Column | None = None) -> Column:
+    """The first reason of a row on its own, else null. low: folded(text), best in a column of its own."""
+    low = folded(text) if low is None else low
     return (
         F.when(F.length(text) < 10, "too_short").when(F.length(text) > 1500, "too_long")
-        .when(matches(text, P.SEED_TEMPLATED), "templated_text").when(F.coalesce(text.rlike(anycase(P.SEED_UNSAFE)), F.lit(False)), "unsafe_crisis_content")
-        .when(matches(text, P.SEED_METAPHOR) & (urgency >= 3), "metaphor_crisis_mismatch").when(~F.coalesce(intent.isin(SEED_INTENTS), F.lit(False)), "invalid_intent")
+        .when(found(low, P.SEED_TEMPLATED), "templated_text").when(found(low, P.SEED_UNSAFE), "unsafe_crisis_content")
+        .when(found(low, P.SEED_METAPHOR) & (urgency >= 3), "metaphor_crisis_mismatch").when(~F.coalesce(intent.isin(SEED_INTENTS), F.lit(False)), "invalid_intent")
     )
 
 
@@ -46,16 +47,16 @@ def quality_check(df: DataFrame, order: str, text: str = "text", urgency: str =
 
     A near row is not accepted and so cannot make a later copy of itself a duplicate; that copy is near as well.
     """
-    df = df.withColumns({"_t": F.coalesce(F.col(text), F.lit(""))})
-    df = df.withColumns({"_own": quality_reason(F.col("_t"), F.coalesce(F.col(urgency), F.lit(1)), F.col(intent)), "_fp": seed_fingerprint(F.col("_t"))})
+    df = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", folded(F.col("_t")))
+    df = df.withColumns({"_own": quality_reason(F.col("_t"), F.coalesce(F.col(urgency), F.lit(1)), F.col(intent), F.col("_low")), "_fp": seed_fingerprint(F.col("_t"))})
     good = df.where("_own IS NULL")
     # Copies have equal fingerprints but may differ in case and punctuation, so the fold sees each fingerprint once.
     first = good.groupBy("_fp").agg(F.min(order).alias("_first"))
-    folded = overlap_window(good.join(first, (good["_fp"] == first["_fp"]) & (good[order] == first["_first"])).select(order, "_t", *([group] if group else [])), order, "_t", group=group)
-    near = folded.where("near_of IS NOT NULL").select(F.col("order").alias("_near"))
+    fold = overlap_window(good.join(first, (good["_fp"] == first["_fp"]) & (good[order] == first["_first"])).select(order, "_t", *([group] if group else [])), order, "_t", group=group)
+    near = fold.where("near_of IS NOT NULL").select(F.col("order").alias("_near"))
     out = df.join(first, "_fp", "left").join(near, F.col("_first") == F.col("_near"), "left")
     reason = F.when(F.col("_own").isNotNull(), F.col("_own")).when(F.col("_near").isNotNull(), "near_duplicate").when(F.col(order) > F.col("_first"), "exact_duplicate")
-    return out.withColumn("rejection_reason", reason).drop("_t", "_own", "_fp", "_first", "_near")
+    return out.withColumn("rejection_reason", reason).drop("_t", "_low", "_own", "_fp", "_first", "_near")
 
 
 def reasons(df: DataFrame, column: str = "rejection_reason") -> DataFrame:

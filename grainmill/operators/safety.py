@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import patterns as P
 from grainmill.functions.taxonomy import HELPLINES
-from grainmill.functions.text import any_of, anycase, matches
+from grainmill.functions.text import folded, found
 
 #: Tiers in the order in which they are tried.
 TIERS = ((5, P.RISK_TIER_5), (4, P.RISK_TIER_4), (3, P.RISK_TIER_3), (2, P.RISK_TIER_2))
 SHOWN = 80
 
 
-def _first_pattern(text: Column, listed: list[str]) -> Column:
-    """Source of the first pattern that matches, at most SHOWN characters; null if none. One alternation goes first, since most texts match nothing."""
-    each = F.coalesce(*[F.when(text.rlike(anycase(p)), F.lit(p[:SHOWN])) for p in listed])
-    return F.when(text.rlike(anycase(any_of(listed))), each)
+def _first_pattern(low: Column, listed: list[str]) -> Column:
+    """Source of the first pattern that matches, at most SHOWN characters; null if none."""
+    return F.coalesce(*[F.when(found(low, p), F.lit(p[:SHOWN])) for p in listed])
 
 
 def helpline(key: Column) -> Column:
@@ -30,21 +32,22 @@ def assess(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
 
     A harmless figure of speech exits as safe before any tier; null text is safe. No match: level 1, tier safe.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_metaphor", t.rlike(anycase(any_of(P.RISK_METAPHORS))))
-    df = df.withColumns({f"_p{level}": F.when(~F.col("_metaphor"), _first_pattern(t, listed)) for level, listed in TIERS})
-    found = [F.col(f"_p{level}").isNotNull() for level, _ in TIERS]
-    level = F.when(found[0], 5).when(found[1], 4).when(found[2], 3).when(found[3], 2).otherwise(1)
-    key = F.when(found[0], "tier_5").when(found[1], "tier_4").when(found[2], "tier_3").when(found[3] & matches(t, P.RISK_MINOR), "tier_2_minor").when(found[3], "tier_2_adult")
-    df = df.withColumns({"_level": level, "_line": helpline(key)})
+    t, low = F.coalesce(F.col(text), F.lit("")), F.col("_gm_low")
+    df = df.withColumn("_gm_low", folded(t))
+    df = df.withColumn("_gm_metaphor", reduce(or_, [found(low, p) for p in P.RISK_METAPHORS]))
+    df = df.withColumns({f"_gm_p{level}": F.when(~F.col("_gm_metaphor"), _first_pattern(low, listed)) for level, listed in TIERS})
+    met = [F.col(f"_gm_p{level}").isNotNull() for level, _ in TIERS]
+    level = F.when(met[0], 5).when(met[1], 4).when(met[2], 3).when(met[3], 2).otherwise(1)
+    key = F.when(met[0], "tier_5").when(met[1], "tier_4").when(met[2], "tier_3").when(met[3] & found(low, P.RISK_MINOR), "tier_2_minor").when(met[3], "tier_2_adult")
+    df = df.withColumns({"_gm_level": level, "_gm_line": helpline(key)})
     out = {
-        "is_crisis": F.col("_level") > 1, "risk_level": F.col("_level"),
-        "tier": F.when(F.col("_level") > 1, F.concat(F.lit("tier_"), F.col("_level").cast("string"))).otherwise("safe"),
-        "matched_pattern": F.coalesce(*[F.col(f"_p{level}") for level, _ in TIERS], F.lit("")),
-        "helpline_name": F.coalesce(F.col("_line.name"), F.lit("")), "helpline_number": F.coalesce(F.col("_line.number"), F.lit("")), "helpline_hours": F.coalesce(F.col("_line.hours"), F.lit("")),
-        "safeguarding": F.col("_level") == 2,
+        "is_crisis": F.col("_gm_level") > 1, "risk_level": F.col("_gm_level"),
+        "tier": F.when(F.col("_gm_level") > 1, F.concat(F.lit("tier_"), F.col("_gm_level").cast("string"))).otherwise("safe"),
+        "matched_pattern": F.coalesce(*[F.col(f"_gm_p{level}") for level, _ in TIERS], F.lit("")),
+        "helpline_name": F.coalesce(F.col("_gm_line.name"), F.lit("")), "helpline_number": F.coalesce(F.col("_gm_line.number"), F.lit("")), "helpline_hours": F.coalesce(F.col("_gm_line.hours"), F.lit("")),
+        "safeguarding": F.col("_gm_level") == 2,
     }
-    return df.withColumns({f"{prefix}{k}": v for k, v in out.items()}).drop("_metaphor", "_level", "_line", *[f"_p{level}" for level, _ in TIERS])
+    return df.withColumns({f"{prefix}{k}": v for k, v in out.items()}).drop("_gm_low", "_gm_metaphor", "_gm_level", "_gm_line", *[f"_gm_p{level}" for level, _ in TIERS])
 
 
 def hard_exit(level: Column) -> Column:
@@ -54,7 +57,7 @@ def hard_exit(level: Column) -> Column:
 
 def score_helpline(key: Column, safeguarding: Column, text: Column) -> Column:
     """Helpline of a scored risk: by age when safeguarding, else by key, tier_3 by default."""
-    by_age = F.when(matches(text, P.SCORE_MINOR), "tier_2_minor").otherwise("tier_2_adult")
+    by_age = F.when(found(folded(text), P.SCORE_MINOR), "tier_2_minor").otherwise("tier_2_adult")
     given = F.when(key.isin(*HELPLINES), key).otherwise("tier_3")
     return helpline(F.when(safeguarding, by_age).otherwise(given))
 

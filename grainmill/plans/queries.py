@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.functions.rows import settled
 from grainmill.functions.taxonomy import INTENTS
 from grainmill.functions.text import fingerprint, seed_fingerprint
 from grainmill.operators import affect, cleaning, dedup, labels, metrics, parse, reports, retrieval, safety
 from grainmill.operators import sessions as talk
 from grainmill.plans import curation, fixtures
+from grainmill.sources.scratch import table
 from grainmill.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,12 +62,12 @@ def clean_drop_reasons(spark, sf_dir):
 
 @query
 def clean_language_fix(spark, sf_dir):
-    return settled(_cleaned(spark, sf_dir), F.col("_drop_reason").isNull()).groupBy("language", F.col("_language_corrected").alias("corrected")).agg(F.count("*").alias("n"))
+    return cleaning.split_clean(fixtures.records(spark, sf_dir))[0].groupBy("language", F.col("_language_corrected").alias("corrected")).agg(F.count("*").alias("n"))
 
 
 @query
 def clean_pages_entities(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", F.md5(cleaning.scrub(F.coalesce("html", F.lit("")))).alias("scrubbed_md5"))
+    return _read(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")).transform(cleaning.scrub, "html", "scrubbed").select("page_id", F.md5("scrubbed").alias("scrubbed_md5"))
 
 
 @query
@@ -243,7 +243,7 @@ def safety_combined(spark, sf_dir):
 
 @query
 def safety_exit_reply(spark, sf_dir):
-    out = settled(safety.assess(fixtures.records(spark, sf_dir)), safety.hard_exit(F.col("risk_level")))
+    out = table(safety.assess(fixtures.records(spark, sf_dir)).drop("text"), "assessed").where(safety.hard_exit(F.col("risk_level")))
     return out.select("doc_id", safety.exit_action(F.col("risk_level")).alias("action"), safety.exit_reply(F.col("risk_level"), F.col("helpline_name"), F.col("helpline_number"), F.col("safeguarding")).alias("reply"))
 
 
