@@ -92,6 +92,8 @@ def openers(pattern: str) -> frozenset[str] | None:
                 continue
             if kind == "LITERAL":
                 got, empty = {chr(value)}, False
+            elif kind == "IN":
+                got, empty = ({chr(v) for _, v in value} if all(str(k) == "LITERAL" for k, _ in value) else None), False
             elif kind == "SUBPATTERN":
                 got, empty = walk(value[3])
             elif kind == "BRANCH":
