@@ -109,21 +109,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """64-bit fingerprints of any spans of a byte array, from one prefix sum over random per-byte values."""
+    """64-bit fingerprints of any spans of an array of bytes or wider numbers, from one prefix sum over random values of each."""
 
     def __init__(self, data: np.ndarray):
         up, self._down = _powers(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self._sums[1:])
+        values = _TABLE[data] if data.dtype == np.uint8 else mix64(data.astype(np.uint64) + np.uint64(_MULT))
+        np.cumsum(values * up[: len(data)], out=self._sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some rows, and where each row's words begin (one more entry than rows)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of all words of some rows, and where each row's words begin among them (one more entry than rows)."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -134,6 +135,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = solid[last]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    return RollingHash(data).spans(starts, stops), np.searchsorted(starts, offsets)
+    return starts, stops, np.searchsorted(starts, offsets)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return np.where((data >= 65) & (data <= 90), data + data.dtype.type(32), data)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some rows, and where each row's words begin (one more entry than rows)."""
+    starts, stops, begin = word_spans(data, offsets)
+    if not len(data):
+        return np.zeros(0, np.uint64), begin
+    return RollingHash(lowered(data) if lower else data).spans(starts, stops), begin

@@ -15,8 +15,9 @@ from grainmill.llm.training import labelled_sample
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 48, 16
 #: A chunk is two neighbouring blocks of so many bytes; chunks overlap by one block.
 BLOCK = 128
-#: The bounded training sample: documents of each class, and bytes of one contiguous stretch of each in an epoch.
-SAMPLE_PER_CLASS, TRAIN_BYTES, EPOCHS, BATCH = 1200, 2048, 6, 32
+#: The bounded training sample: whole documents of each class, their bytes in all, and the longest that trains.
+SAMPLE_PER_CLASS, SAMPLE_BYTES, LONGEST_BYTES = 1200, 16 << 20, 1 << 18
+EPOCHS, BATCH = 6, 32
 #: Bytes that a task convolves at a time.
 PART = 1 << 18
 
@@ -123,7 +124,7 @@ class ConvNet:
 
 
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 5, rate: float = 0.004) -> ConvNet:
-    """Adam over shuffled batches; every epoch takes another stretch of each long text."""
+    """Adam over shuffled batches; every epoch sees all chunks of each text."""
     net, r = ConvNet(seed), np.random.default_rng(seed)
     data = [np.frombuffer(t, np.uint8) for t in texts]
     mean = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
@@ -132,12 +133,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
         order, pace = r.permutation(len(data)), rate * (1 - epoch / (epochs + 1))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            cut = []
-            for i in some:
-                x = data[i]
-                start = int(r.integers(0, max(1, len(x) - TRAIN_BYTES + 1)))
-                cut.append(x[start : start + TRAIN_BYTES])
-            grads, step = net.gradients(cut, labels[some], weights[some] / len(some)), step + 1
+            grads, step = net.gradients([data[i] for i in some], labels[some], weights[some] / len(some)), step + 1
             for n, g in grads.items():
                 mean[n] = 0.9 * mean[n] + 0.1 * g
                 square[n] = 0.99 * square[n] + 0.01 * g * g
@@ -160,12 +156,14 @@ def score(docs: DataFrame, net: ConvNet, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, least: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for all documents, with a network trained on a bounded sample of the other folds.
+    """doc_id, held_out, score, predicted: one row for each row of docs, with a network trained on a bounded sample of the other folds.
 
-    Only the text is an input. Unlabelled documents and null labels do not train; a null doc_id is in no fold
-    (held_out is null). Without labelled documents of both classes every score is the share of label 1 (0.5 if none).
+    Only the text is an input; extra columns, whatever their names, do not matter. Unlabelled documents and null labels
+    do not train; repeated rows train once and are each scored, alike. A null doc_id is in no fold (held_out is null).
+    Null and empty texts are scored as blocks of zero bytes; long texts whole. An empty table gives no rows. Without
+    labelled documents of both classes every score is the share of label 1 (0.5 if none).
     """
-    texts, y, w = labelled_sample(docs, labels, "quality", folds, held, SAMPLE_PER_CLASS)
+    texts, y, w = labelled_sample(docs, labels, "quality", folds, held, SAMPLE_PER_CLASS, SAMPLE_BYTES, LONGEST_BYTES)
     held_out = F.crc32(F.col("doc_id").cast("string")) % folds == held
     if len(set(y.tolist())) == 2:
         out = score(docs, train(texts, y, w))

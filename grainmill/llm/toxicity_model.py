@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import operator
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,76 +9,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import binary_text
+from grainmill.llm.common import RollingHash, binary_text, byte_slices, lowered, word_spans
 from grainmill.llm.training import labelled_sample
 
-#: Hash buckets of subwords, their embedding, and lengths of character n-grams in bytes.
-BUCKETS, EMBED, SHORTEST, LONGEST = 1 << 17, 8, 3, 6
-#: The bounded training sample: documents of each class, and words of one stretch of each in an epoch.
-SAMPLE_PER_CLASS, TRAIN_WORDS, EPOCHS, BATCH = 2500, 400, 10, 32
+#: Hash buckets of subwords, their embedding, and lengths of n-grams in characters.
+BUCKETS, EMBED, SHORTEST, LONGEST = 1 << 18, 8, 3, 6
+#: The bounded training sample: whole documents of each class, their bytes in all, and the longest that trains.
+SAMPLE_PER_CLASS, SAMPLE_BYTES, LONGEST_BYTES = 2500, 24 << 20, 1 << 20
+#: Bytes that a task takes apart at a time.
+TILE = 2 << 20
+EPOCHS, BATCH = 10, 32
+#: What a missed toxic document costs in training, in wrongly flagged ones.
+MISS_COST = 3.0
+#: Subwords of fewer training documents have no embedding of their own: they would only tell single documents apart.
+LEAST_DOCS = 3
 #: A document's mean is taken times SCALE, so that a few words in a hundred can decide; SHRINK draws embeddings to 0.
-SCALE, SHRINK = 20.0, 0.002
-REMEMBERED = 300_000
-_EDGE = b".,!?;:\"'()[]"
-
-
-def subwords(word: bytes) -> list[int]:
-    """Buckets of the whole word and of its n-grams, with marks for its ends; ASCII letters in lower case, outer punctuation off."""
-    w = b"<" + (word.strip(_EDGE) or word).lower() + b">"
-    crc, n = zlib.crc32, len(w)
-    found = {crc(w)}
-    for k in range(SHORTEST, min(LONGEST, n) + 1):
-        found.update([crc(w[i : i + k]) for i in range(n - k + 1)])
-    return [x % BUCKETS for x in found]
+SCALE, SHRINK = 40.0, 0.002
+_EDGE = np.isin(np.arange(128), np.frombuffer(b".,!?;:\"'()[]", np.uint8))
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 rows and where each row begins among them; rows that are no UTF-8 are taken byte by byte."""
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return data.astype(np.uint32), offsets
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return points, before[offsets]
+
+
+def words_of(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word: what stands between white space, without punctuation at its ends (unless it is nothing else)."""
+    start, stop, begin = word_spans(points, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(begin))
+    inner = np.flatnonzero(~_EDGE[np.minimum(points, 127)])
+    if len(inner):
+        first = np.searchsorted(inner, start)
+        last = np.searchsorted(inner, stop) - 1
+        some = last >= first
+        start, stop = np.where(some, inner[np.minimum(first, len(inner) - 1)], start), np.where(some, inner[np.maximum(last, 0)] + 1, stop)
+    return start, stop, row
+
+
+def subwords(points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of each n-gram of <word> and of each longer <word> as a whole; ASCII letters in lower case."""
+    size = stop - start + 2
+    edge = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+    which = np.repeat(np.arange(len(size)), size)
+    marked = lowered(points)[np.clip(np.repeat(start, size) + at - 1, 0, max(len(points) - 1, 0))]
+    marked[edge[:-1]], marked[edge[1:] - 1] = 60, 62
+    rolling, words, spans = RollingHash(marked), [], []
+    for n in range(SHORTEST, LONGEST + 1):
+        here = np.flatnonzero(at + n <= size[which])
+        words.append(which[here])
+        spans.append(rolling.spans(here, here + n))
+    long = np.flatnonzero(size > LONGEST)
+    words.append(long)
+    spans.append(rolling.spans(edge[long], edge[long + 1]))
+    return np.concatenate(words), (np.concatenate(spans) >> np.uint64(20)).astype(np.int64) % BUCKETS
+
+
+def distinct_words(points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and one place of each distinct word, and each word's number among them."""
+    return np.unique(RollingHash(lowered(points)).spans(start, stop), return_index=True, return_inverse=True)
 
 
 class Bag:
-    """Document = mean over its words (weighted by the root of their counts) of the mean of their subword embeddings; softmax over two classes of a linear map of it."""
+    """Document = SCALE times the mean of its words; word = mean of its subword embeddings; softmax over two classes of a linear map.
+
+    The mean of a document is over its distinct words, by the roots of their counts, so that function words do not drown the rest.
+    """
 
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
-        self.vectors = r.uniform(-0.05, 0.05, (BUCKETS, EMBED)).astype(np.float32)
+        self.vectors = np.zeros((BUCKETS, EMBED), np.float32)
         self.map, self.bias = r.normal(0, 0.3, (EMBED, 2)).astype(np.float32), np.zeros(2, np.float32)
 
     def word_weights(self) -> np.ndarray:
-        """Of each bucket: what it adds to the difference of the two logits. The model is linear in the embeddings, so a word is one number."""
+        """Of each bucket: what it adds to the difference of the two logits. The model is linear in the embeddings, so a subword is one number."""
         return (self.vectors @ (self.map[:, 1] - self.map[:, 0])).astype(np.float64)
 
 
+def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text, the buckets of its whole bag with their shares in its mean: document, bucket, share, in order of document.
+
+    Only buckets of at least LEAST_DOCS texts are kept; the others keep their place in the mean, with nothing to add.
+    """
+    seen, parts = np.zeros(BUCKETS, np.int32), []
+    column, done = pa.array(texts, pa.large_binary()), 0
+    for i, j, data, off in byte_slices(column):
+        points, begin = characters(data, off)
+        start, stop, row = words_of(points, begin)
+        _, first, number = distinct_words(points, start, stop)
+        word, bucket = subwords(points, start[first], stop[first])
+        order = np.argsort(word, kind="stable")
+        bucket, grams = bucket[order], np.bincount(word, minlength=len(first))
+        place = np.concatenate([[0], np.cumsum(grams)])
+        pair, times = np.unique(row * max(len(first), 1) + number, return_counts=True)
+        doc, of = np.divmod(pair, max(len(first), 1))
+        root = np.sqrt(times)
+        share = root / np.bincount(doc, root, j - i)[doc] / grams[of]
+        each = grams[of]
+        flat = np.repeat(place[of] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+        key, at = np.unique(np.repeat(doc, each) * BUCKETS + bucket[flat], return_inverse=True)
+        value = np.bincount(at, np.repeat(share, each), len(key)).astype(np.float32)
+        np.add.at(seen, key % BUCKETS, 1)
+        parts.append(((key // BUCKETS + i).astype(np.int32), (key % BUCKETS).astype(np.int32), value))
+        done = j
+    if not done:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    doc, bucket, value = (np.concatenate(c) for c in zip(*[(d[k], b[k], v[k]) for d, b, v in parts for k in [seen[b] >= LEAST_DOCS]], strict=True))
+    return doc, bucket, value
+
+
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 3, rate: float = 0.1) -> Bag:
-    """Adagrad over embeddings and map together; every epoch takes another stretch of each long text."""
+    """Adagrad over embeddings and map together, on the whole bag of each text in every epoch."""
+    weights = weights * np.where(labels == 1, MISS_COST, 1)
     net, r = Bag(seed), np.random.default_rng(seed)
-    vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], np.int32) for t in texts]
-    grams = [np.array(subwords(w), np.int32) for w in vocabulary]
-    start = np.cumsum([0, *map(len, grams)])
-    flat = np.concatenate(grams) if grams else np.zeros(0, np.int32)
-    count = np.diff(start)
+    doc, bucket, share = bags(texts)
+    edge = np.searchsorted(doc, np.arange(len(texts) + 1))
     seen, seen_map, seen_bias = np.full((BUCKETS, 1), 1e-8, np.float32), np.full((EMBED, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     for epoch in range(epochs):
-        pace = rate * (1 - epoch / epochs)
-        order = r.permutation(len(docs))
+        pace, order = rate * (1 - epoch / epochs), r.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            words, share, row = [], [], []
-            for k, i in enumerate(some):
-                d = docs[i]
-                if not len(d):
-                    continue
-                first = int(r.integers(0, max(1, len(d) - TRAIN_WORDS + 1)))
-                u, c = np.unique(d[first : first + TRAIN_WORDS], return_counts=True)
-                words.append(u)
-                root = np.sqrt(c)
-                share.append(SCALE * root / root.sum())
-                row.append(np.full(len(u), k))
-            if not words:
-                continue
-            words, share, row = np.concatenate(words), np.concatenate(share), np.concatenate(row)
-            n = count[words]
-            each = np.repeat((share / n).astype(np.float32), n)
-            place = flat[np.repeat(start[words] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            doc = np.repeat(row, n)
-            hidden = np.stack([np.bincount(doc, each * net.vectors[place, e], len(some)) for e in range(EMBED)], 1).astype(np.float32)
+            n = edge[some + 1] - edge[some]
+            flat = np.repeat(edge[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            row, place, x = np.repeat(np.arange(len(some)), n), bucket[flat], SCALE * share[flat]
+            hidden = np.stack([np.bincount(row, x * net.vectors[place, e], len(some)) for e in range(EMBED)], 1).astype(np.float32)
             logits = hidden @ net.map + net.bias
             odds = np.exp(logits - logits.max(1, keepdims=True))
             odds /= odds.sum(1, keepdims=True)
@@ -90,7 +146,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
             miss = odds * weights[some][:, None] / len(some)
             g_map, g_bias, back = hidden.T @ miss, miss.sum(0), miss @ net.map.T
             used, where = np.unique(place, return_inverse=True)
-            g = np.stack([np.bincount(where, each * back[doc, e], len(used)) for e in range(EMBED)], 1).astype(np.float32)
+            g = np.stack([np.bincount(where, x * back[row, e], len(used)) for e in range(EMBED)], 1).astype(np.float32)
             seen[used] += (g * g).mean(1, keepdims=True)
             net.vectors[used] -= pace * (g / np.sqrt(seen[used]) + SHRINK * net.vectors[used])
             seen_map += g_map**2
@@ -100,54 +156,83 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
     return net
 
 
-class Words(dict):
-    """What a word adds to the difference of the logits; made on first use."""
-
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self._of = weights
-
-    def __missing__(self, word: bytes) -> float:
-        x = float(self._of[subwords(word)].mean())
-        if len(self) < REMEMBERED:
-            self[word] = x
-        return x
-
-
-def mean_word(get, text: bytes) -> float:
-    """SCALE times the mean over the words of a text, weighted by the root of their counts."""
-    counts = Counter(text.split())
-    if not counts:
-        return 0.0
-    roots = list(map(math.sqrt, counts.values()))
-    return SCALE * sum(map(operator.mul, map(get, counts), roots)) / sum(roots)
-
-
-def score(docs: DataFrame, net: Bag, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and score: one row for each row of docs, over all words of whole texts. Texts without words have the bias alone."""
+def distinct_weights(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word (its hash), weight and count of each distinct word of each row."""
+    points, begin = characters(data, offsets)
+    start, stop, row = words_of(points, begin)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+    name, first, number = distinct_words(points, start, stop)
+    word, bucket = subwords(points, start[first], stop[first])
+    each = np.bincount(word, weights[bucket], len(first)) / np.bincount(word, minlength=len(first))
+    pair, times = np.unique(row * len(first) + number, return_counts=True)
+    row, number = np.divmod(pair, len(first))
+    return row, name[number], each[number], times
+
+
+def mean_words(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each row: the mean weight of its distinct words, by the roots of their counts; 0 without words."""
+    row, _, each, times = distinct_weights(weights, data, offsets)
+    root = np.sqrt(times)
+    total = np.bincount(row, root, len(offsets) - 1)
+    return np.bincount(row, root * each, len(offsets) - 1) / np.where(total > 0, total, 1)
+
+
+def tiles(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Pieces of one text of at most `most` bytes, cut at white space, or between characters where there is none."""
+    at = 0
+    while len(data) - at > most:
+        part = data[at : at + most]
+        spaces = np.flatnonzero((part == 32) | ((part >= 9) & (part <= 13)))
+        end = at + (int(spaces[-1]) + 1 if len(spaces) else most)
+        while not len(spaces) and end > at + 1 and data[end] & 0xC0 == 0x80:
+            end -= 1
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
+def mean_of_long(weights: np.ndarray, data: np.ndarray, most: int) -> float:
+    """mean_words of one long text, of whose pieces only the distinct words are kept."""
+    name, each, times = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+    for part in tiles(data, most):
+        _, n, e, t = distinct_weights(weights, part, np.array([0, len(part)]))
+        name, first, at = np.unique(np.concatenate([name, n]), return_index=True, return_inverse=True)
+        each, times = np.concatenate([each, e])[first], np.bincount(at, np.concatenate([times, t])).astype(np.int64)
+    root = np.sqrt(times)
+    return float((root * each).sum() / root.sum()) if len(root) else 0.0
+
+
+def score(docs: DataFrame, net: Bag, keep: tuple[str, ...] = ("doc_id",), tile: int = TILE) -> DataFrame:
+    """keep and score: one row for each row of docs, over all words of whole texts. Null, empty and blank texts have the bias alone.
+
+    Texts longer than a tile are taken apart piece by piece; of them a run without white space that is longer than a
+    tile counts as several words. Further columns of docs do not matter.
+    """
     source = binary_text(docs, *keep)
     schema = source.drop("_bytes").withColumn("score", F.lit(0.0)).schema
     weights, bias = net.word_weights(), float(net.bias[1] - net.bias[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = Words(weights).__getitem__
         for b in batches:
-            out = []
-            for x in b.column(b.num_columns - 1):
-                z = bias + mean_word(get, x.as_py())
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            mean = [np.zeros(0)]
+            for i, j, data, off in byte_slices(b.column(b.num_columns - 1), tile):
+                mean.append(np.array([mean_of_long(weights, data, tile)]) if j == i + 1 and len(data) > tile else mean_words(weights, data, off))
+            odds = np.clip(bias + SCALE * np.concatenate(mean), -30, 30)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-odds)), pa.float64())], names=[*b.schema.names[:-1], "score"])
 
     return source.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, least: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted for all documents, with a model trained on a bounded sample of the other folds.
+    """doc_id, held_out, score, predicted: one row for each row of docs, with a model trained on a bounded sample of the other folds.
 
-    Only the text is an input. Unlabelled documents and null labels do not train; a null doc_id is in no fold
-    (held_out is null). Without labelled documents of both classes every score is the share of label 1 (0.5 if none).
+    Only the text is an input; extra columns, whatever their names, do not matter. Unlabelled documents and null labels
+    do not train; repeated rows train once and are each scored, alike. A null doc_id is in no fold (held_out is null).
+    Null and empty texts are scored as texts without words; long texts whole. An empty table gives no rows. Without
+    labelled documents of both classes every score is the share of label 1 (0.5 if none).
     """
-    texts, y, w = labelled_sample(docs, labels, "toxic", folds, held, SAMPLE_PER_CLASS)
+    texts, y, w = labelled_sample(docs, labels, "toxic", folds, held, SAMPLE_PER_CLASS, SAMPLE_BYTES, LONGEST_BYTES)
     held_out = F.crc32(F.col("doc_id").cast("string")) % folds == held
     if len(set(y.tolist())) == 2:
         out = score(docs, train(texts, y, w))

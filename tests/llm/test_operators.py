@@ -89,6 +89,106 @@ def test_classifier_odd_rows(spark, odd, none, module):
     assert {r["score"] for r in module.classify(odd, known.limit(0)).collect()} == {0.5}
 
 
+def plain_network(net, text):
+    """The network's logit by loops over filters, chunks and hidden units."""
+    data = list(net.padded(np.frombuffer(text, np.uint8)))
+    blocks = (len(data) - (quality_model.WIDTH - quality_model.STRIDE)) // quality_model.BLOCK
+    hidden = []
+    for c in range(blocks - 1):
+        pooled = []
+        for f in range(quality_model.FILTERS):
+            best = -np.inf
+            for at in range(c * quality_model.BLOCK, (c + 2) * quality_model.BLOCK, quality_model.STRIDE):
+                patch = np.concatenate([net.table[data[at + k]] for k in range(quality_model.WIDTH)])
+                best = max(best, float(patch @ net.filters[:, f]))
+            pooled.append(max(best + float(net.bias[f]), 0))
+        hidden.append([max(sum(p * float(net.u[i, h]) for i, p in enumerate(pooled)) + float(net.c[h]), 0) for h in range(quality_model.HIDDEN)])
+    features = [*np.mean(hidden, 0), *np.max(hidden, 0)]
+    return sum(x * float(v) for x, v in zip(features, net.v, strict=True)) + float(net.d[0])
+
+
+@pytest.mark.parametrize("text", [b"", b"one short text", bytes(range(256)) * 2 + b"tail"])
+def test_network_equals_plain_loops(text):
+    net = quality_model.ConvNet(1)
+    got = net.scores([np.frombuffer(b"another text first", np.uint8), np.frombuffer(text, np.uint8)])[1]
+    assert got == pytest.approx(1 / (1 + np.exp(-plain_network(net, text))), abs=1e-5)
+
+
+def test_network_gradients_are_slopes():
+    net, y, w = quality_model.ConvNet(2), np.array([1.0, 0.0]), np.array([0.7, 1.3])
+    texts = [np.frombuffer(t, np.uint8) for t in (b"some words " * 60, b"#$%& other " * 9)]
+
+    def loss():
+        p = np.clip(net.scores(texts), 1e-9, 1 - 1e-9)
+        return float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+
+    grads = net.gradients(texts, y, w)
+    for name, place in (("v", (3,)), ("d", (0,)), ("u", (5, 2)), ("c", (4,)), ("bias", (7,)), ("filters", (10, 3)), ("table", (ord("o"), 1))):
+        at, step = getattr(net, name), 2e-3
+        at[place] += step
+        up = loss()
+        at[place] -= 2 * step
+        down = loss()
+        at[place] += step
+        assert grads[name][place] == pytest.approx((up - down) / (2 * step), abs=2e-2), name
+
+
+def test_training_reads_whole_texts():
+    # Only the ends of long texts tell the classes apart.
+    texts = [(b"calm words here " * 400) + (b"#$%& " * 60 if i % 2 else b"and an end " * 27) for i in range(40)]
+    y = np.array([i % 2 for i in range(40)], np.float32)
+    net = quality_model.train(texts, y, np.ones(40, np.float32), epochs=25)
+    assert ((net.scores([np.frombuffer(t, np.uint8) for t in texts]) > 0.5) == y).mean() >= 0.9
+    bag = toxicity_model.train(texts, y, np.ones(40, np.float32))
+    z = [toxicity_model.mean_of_long(bag.word_weights(), np.frombuffer(t, np.uint8), 1 << 20) * toxicity_model.SCALE + float(bag.bias[1] - bag.bias[0]) for t in texts]
+    assert ((np.array(z) > 0) == y).all()
+
+
+def plain_bag(net, text):
+    """The difference of the logits by loops over words and their n-grams."""
+    strip = ".,!?;:\"'()[]"
+    counts = Counter("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (w.strip(strip) or w)) for w in SPACE.findall(text))
+    total = part = 0.0
+    for word, n in counts.items():
+        marked = f"<{word}>"
+        grams = [marked[i : i + k] for k in range(3, 7) for i in range(len(marked) - k + 1)] + [marked] * (len(marked) > 6)
+        values = []
+        for g in grams:
+            _, bucket = toxicity_model.subwords(np.array([ord(c) for c in g.strip("<>")], np.uint32), np.zeros(1, np.int64), np.array([len(g.strip("<>"))])) if len(g) > 6 else (None, gram_bucket(g))
+            values.append((net.vectors[int(bucket[-1])] @ (net.map[:, 1] - net.map[:, 0])))
+        part += np.sqrt(n) * np.mean(values)
+        total += np.sqrt(n)
+    return toxicity_model.SCALE * (part / total if total else 0.0) + float(net.bias[1] - net.bias[0])
+
+
+def gram_bucket(gram):
+    from grainmill.llm.common import RollingHash
+
+    points = np.array([ord(c) for c in gram], np.uint32)
+    return (RollingHash(points).spans(np.zeros(1, np.int64), np.array([len(points)])) >> np.uint64(20)).astype(np.int64) % toxicity_model.BUCKETS
+
+
+@pytest.mark.parametrize("tile", [1 << 20, 40])
+def test_bag_equals_plain_loops(spark, tile):
+    net = toxicity_model.Bag(1)
+    net.vectors = np.random.default_rng(1).normal(size=net.vectors.shape).astype(np.float32)
+    texts = ["", "  ", "One word, one Word! (one) two", "ééé naïve 😀 <b> ...", "a b c " * 30 + "réel", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity_model.score(df, net, tile=tile).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(plain_bag(net, t or ""), -30, 30))), abs=1e-4), t
+
+
+def test_bag_shares_are_of_the_mean():
+    doc, bucket, share = toxicity_model.bags([b"aa bb aa", b"aa cc", b"", b"aa bb"])
+    by = {(int(d), int(b)): float(s) for d, b, s in zip(doc, bucket, share, strict=True)}
+    assert {d for d, _ in by} == {0, 1, 3}
+    aa = int(gram_bucket("<aa")[0])
+    root = np.sqrt(2)
+    # Of aa: <aa, aa>, <aa>; the last is no longer than an n-gram, so it is there once.
+    assert by[(0, aa)] == pytest.approx(root / (root + 1) / 3) and by[(1, aa)] == pytest.approx(1 / 6)
+
+
 def test_network_sees_whole_texts():
     net = quality_model.ConvNet(1)
     text = np.frombuffer(b"calm words " * 9000, np.uint8)
