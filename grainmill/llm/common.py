@@ -50,6 +50,12 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def document_key(docs: DataFrame, text: str = "text") -> Column:
+    """`_d`, a long: doc_id, or for a null one a number far below all ids that tells its text apart; such rows come first."""
+    unknown = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(docs[text]), 3)
+    return F.coalesce(docs["doc_id"].cast("long"), unknown).alias("_d")
+
+
 def word_array(text: Column) -> Column:
     """Words between runs of the six white-space characters; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -69,11 +69,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-OP10 = """
+OP10 = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text <> ''),
-g AS (SELECT doc_id, i, l AS a, lead(l, 1) OVER o AS b, lead(l, 2) OVER o AS c FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM g WHERE c IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM f, (SELECT unnest(range(3)) AS k)),
+k AS (SELECT doc_id, i, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS w FROM l),
+g AS (SELECT doc_id, i, l AS a, lead(l, 1) OVER o AS b, lead(l, 2) OVER o AS c, w AS w1, w + lead(w, 1) OVER o AS w2 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, 3 AS n FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM g WHERE c IS NOT NULL) WHERE k > 1
+  UNION ALL SELECT doc_id, i, 2 FROM (SELECT doc_id, i, w2, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS k FROM g WHERE b IS NOT NULL) WHERE k > 1 AND w2 >= 50
+  UNION ALL SELECT doc_id, i, 1 FROM (SELECT doc_id, i, w1, row_number() OVER (PARTITION BY a ORDER BY doc_id, i) AS k FROM g) WHERE k > 1 AND w1 >= 50),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM f, (SELECT unnest(range(3)) AS k) WHERE k < n),
 m AS (SELECT l.doc_id, l.l, l.i, gone.i IS NOT NULL AS x FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i),
 t AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (x)::BIGINT AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT x), '') AS kept FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id

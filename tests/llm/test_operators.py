@@ -403,30 +403,71 @@ def test_bytes_in_tiles(spark, monkeypatch):
     assert covered == set(range(len(data) - 99)) == {p for a, b in zip(whole[3], whole[4], strict=True) for p in range(a, b + 1)}
 
 
-def brute_lines(rows, run):
-    seen, out = set(), {}
-    for d, t in sorted(dict(rows).items(), key=lambda x: -1 if x[0] is None else x[0]):
-        lines, gone = t.split("\n") if t else [], set()
-        for i in range(len(lines) - run + 1):
-            k = tuple(lines[i : i + run])
-            gone |= {i + j for j in range(run)} if k in seen else set()
-            seen.add(k)
-        out[d] = (len(lines), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(lines) if i not in gone).encode()).hexdigest())
+def brute_lines(rows, run, words=50):
+    """Lines of the longest run at each place that begins earlier too, if it has `run` lines or `words` words."""
+    places, out = [], {}
+    docs = {(d, t if d is None else None): t.split("\n") if t else [] for d, t in rows}
+    for key in sorted(docs, key=lambda k: (k[0] is not None, k[0] or 0, k[1] or "")):
+        lines, gone = docs[key], set()
+        for i in range(len(lines)):
+            longest = 0
+            for other, j in places:
+                n = 0
+                while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
+                    n += 1
+                longest = max(longest, n)
+            if longest >= run or (words and sum(len(SPACE.findall(x)) for x in lines[i : i + longest]) >= words):
+                gone |= set(range(i, i + longest))
+            places.append((lines, i))
+        out[key[0] if key[0] is not None else key] = (len(lines), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(lines) if i not in gone).encode()).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("run", [1, 2, 3, 4, 7])
-def test_lines_odd_rows(odd, none, run):
-    out = line_dedup.digest(odd, run).collect()
-    want = brute_lines([(d, t) for d, t, *_ in ODD], run)
-    assert len(out) == len(ODD) and all(tuple(r)[1:] == want[r["doc_id"]] for r in out)
+def long_runs():
+    """Documents that share runs of many lengths, overlapping, within documents too; some lines have 20 or 60 words."""
+    r = np.random.default_rng(9)
+    stock = ["", "x", *[f"line {i} " + "w " * int(r.choice([0, 3, 20, 60])) for i in range(40)]]
+    base = [stock[i] for i in r.integers(0, len(stock), 300)]
+    out = []
+    for d in range(40):
+        parts = []
+        for _ in range(int(r.integers(1, 4))):
+            at, n = int(r.integers(0, 280)), int(r.choice([1, 2, 3, 4, 5, 7, 8, 9, 16, 17, 33]))
+            parts += base[at : at + n] + [f"own {d} {int(r.integers(0, 9))}"] * int(r.integers(0, 2))
+        out.append((d * 3 % 41, "\n".join(parts)))
+    return out
+
+
+@pytest.mark.parametrize(("run", "words"), [(1, 50), (2, 50), (3, 50), (4, None), (7, 25)])
+def test_lines_odd_rows(spark, odd, none, run, words):
+    for rows in ([(d, t) for d, t, *_ in ODD], long_runs()):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = line_dedup.digest(df, run, words).collect()
+        want = brute_lines(rows, run, words)
+        key = lambda r: r["doc_id"] if r["doc_id"] is not None else (None, ODD[0][1])
+        assert len(out) == len(rows) and all(tuple(r)[1:] == want[key(r)] for r in out)
     assert line_dedup.digest(none, run).count() == 0
 
 
+def test_runs_are_maximal(spark):
+    lines = [f"l{i}" for i in range(11)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["a", *lines[2:9], "b", *lines[:3]])), (3, "\n".join([*lines, *lines]))], "doc_id long, text string")
+    assert {r["_d"]: r["_spans"] for r in line_dedup.repeated_runs(df).collect()} == {2: [1, 8, 9, 12], 3: [0, 22]}
+
+
+def test_lines_of_null_ids_are_told_apart(spark):
+    rows = [(None, "a\nb\nc\nd"), (None, "x\na\nb\nc"), (None, "other\ntext"), (5, "a\nb\nc\nd")]
+    got = Counter(r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # One of the two that share a run keeps it, whichever hash is smaller; document 5 comes after both.
+    assert got["other\ntext"] == 1 and got[""] == 1 and got in (Counter(["a\nb\nc\nd", "x", "other\ntext", ""]), Counter(["d", "x\na\nb\nc", "other\ntext", ""]))
+
+
 def test_lines_keep_columns(odd):
     out = line_dedup.drop_repeated_lines(odd)
     assert out.columns == [*odd.columns, "_n_lines", "_n_removed"]
     assert {r["doc_id"]: r["text"] for r in out.collect()}[1] is None
+    again = line_dedup.drop_repeated_lines(odd.withColumns({"_n_lines": F.lit(1), "_spans": F.lit(1), "_text": F.lit("x")}))
+    assert again.columns == [*odd.columns, "_spans", "_text", "_n_lines", "_n_removed"]
 
 
 # --- 8: packing
