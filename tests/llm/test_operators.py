@@ -252,6 +252,23 @@ def test_counts_equal_the_library(odd, none):
     assert token_counts.count_tokens(none, PIECES).count() == 0
 
 
+def test_transducer_equals_the_library_on_its_pieces_and_odd_strings(monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = np.random.default_rng(8)
+    pieces = [model.id_to_piece(i) for i in range(3, model.get_piece_size())]
+    some = [pieces[i] for i in r.integers(0, len(pieces), 4000)]
+    texts = ["".join(some[i : i + int(r.integers(1, 9))]).replace("▁", r.choice([" ", "▁", "  ", ""])) for i in range(0, 4000, 4)]
+    alphabet = list("aabcdeeinorst   \n\t.,é😀▁зя漢") + ["the", "ing", "<s>", "<0x0A>"]
+    texts += ["".join(alphabet[i] for i in r.integers(0, len(alphabet), int(r.integers(1, 60)))) for _ in range(3000)]
+    texts += [" " * n + "x" * k for n in range(20) for k in range(3)]
+    t = token_counts.Transducer(PIECES)
+    monkeypatch.setattr(token_counts, "TRANSITIONS", 5000)
+    assert [t.count(x, int(r.choice([3, 50, 1000]))) for x in texts] == [len(model.encode(x)) for x in texts]
+    assert t._made <= 5000
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 7, 1000])
 def test_chunks_compose(chunk):
     t = token_counts.transducer(PIECES)
