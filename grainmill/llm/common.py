@@ -50,6 +50,15 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Keys of documents without a doc_id are below this.
+KNOWN = -(1 << 63) + (1 << 61)
+
+
+def real_id(key: Column, docs: DataFrame) -> Column:
+    """The doc_id of a document_key, in its own type; null for documents without one."""
+    return F.when(key >= F.lit(KNOWN), key).cast(docs.schema["doc_id"].dataType)
+
+
 def document_key(docs: DataFrame, text: str = "text") -> Column:
     """`_d`, a long: doc_id, or for a null one a number far below all ids that tells its text apart; such rows come first."""
     unknown = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(docs[text]), 3)

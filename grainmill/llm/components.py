@@ -47,13 +47,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Written before it is joined: the join is then a broadcast, or one whose hot nodes Spark splits.
         least = table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         # Larger neighbours of each node go to its smallest neighbour (or itself).
-        large = both.where("b > a").join(small(least, 24), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = table(both.where("b > a").join(small(least, 24), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Smaller neighbours of each node, and the node, go to the smallest.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        low = table(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        hung = large.join(small(low, 24), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         after = table(hung, "edges")
-        drop_table(now)
-        drop_table(least)
+        for t in (now, least, large, low):
+            drop_table(t)
         now = after
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

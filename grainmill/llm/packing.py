@@ -111,9 +111,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each row of docs.
 
-    Null, empty and blank texts are the end id alone. Repeated rows are packed once each. Pieces are dealt by
-    hash into groups of about group_pieces, packed one group a task, longest first; a sequence never mixes groups,
-    so what is left open at a group's end is the price (under one in a hundred sequences). An empty table gives no rows.
+    Null, empty and blank texts are the end id alone. Repeated rows are packed once each. A long text is one row whose
+    ids are held at once. Pieces are dealt out into groups of about group_pieces, packed one group a task, longest
+    first; a sequence never mixes groups, so what is left open at a group's end is the price (under one in a hundred
+    sequences). Only doc_id and text are read, whatever other columns are named. An empty table gives no rows.
     """
     pieces = table(cut_pieces(docs, tokenizer_path, capacity), "pieces")
     groups = max(1, round(pieces.count() / group_pieces))
@@ -124,4 +125,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_p
         bins, offsets = sum_of_squares(rows.column("length").to_numpy(), capacity)
         return rows.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets))
 
-    return pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).groupBy("_group").applyInArrow(one, schema)
+    # Dealt one after the other along the written table: groups are even, whatever repeats in it.
+    return pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups))).groupBy("_group").applyInArrow(one, schema)

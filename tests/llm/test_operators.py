@@ -208,6 +208,24 @@ def test_mixing_odd_rows(odd, none):
     assert {r["size"] for r in out if r["doc_id"] in (1, 2, 3)} == {0}
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
     assert counted(mixing.mix(odd)) == counted(mixing.mix(odd))
+    assert mixing.mix(odd.withColumns({"_copies": F.lit(1), "_copy": F.lit(2), "_own": F.lit(3)})).columns == [*odd.columns, "_copies", "_copy", "_own"]
+
+
+def test_mixing_equals_brute_force(docs):
+    """Documents of a source in order of size, hash cell and doc_id; one copy for each whole number that the running sum crosses."""
+    import hashlib as h
+
+    rows = [(r["doc_id"], r["source"], len(SPACE.findall(r["text"] or ""))) for r in docs.collect()]
+    targets = {r["source"]: (r["source_size"], r["target"]) for r in mixing.plan(docs).collect()}
+    assert {s: t[0] for s, t in targets.items()} == {s: sum(z for _, x, z in rows if x == s) for s in {x for _, x, _ in rows}}
+    want = {}
+    for s, (size, target) in targets.items():
+        at = int(h.md5(f"mix-1:{s or ''}{'n' if s is None else 's'}".encode()).hexdigest()[:8], 16) / 2**32
+        mine = sorted((z, h.md5(str(d).encode()).hexdigest()[:3], d) for d, x, z in rows if x == s)
+        for k, (_, _, d) in enumerate(mine):
+            want[d] = int((k + 1) * (target / size) + at) - int(k * (target / size) + at)
+    assert {r["doc_id"]: r["copies"] for r in mixing.plan(docs).collect()} == want
+    assert Counter(r["doc_id"] for r in mixing.mix(docs).collect()) == Counter({d: n for d, n in want.items() if n})
 
 
 def test_mixing_meets_targets(docs):
@@ -327,6 +345,8 @@ def test_join_odd_rows(odd, none):
     want = brute_components([(d, t) for d, t, *_ in ODD])
     assert len(out) == len(ODD) and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in out)
     assert jaccard_join.join_components(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
+    several = odd.sparkSession.createDataFrame([(None, "one text without an id"), (None, "another text without an id"), (None, "one text without an id"), (4, LONG)], "doc_id long, text string")
+    assert counted(jaccard_join.keep_one(several)) == Counter({(None, "one text without an id"): 1, (None, "another text without an id"): 1, (4, LONG): 1})
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in want.items() if c == d}
 
