@@ -580,6 +580,7 @@ def test_topk_in_blocks(spark, monkeypatch):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet")
     whole = counted(topk_search.top_k(e, every=25))
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk_search, "JOB_BLOCKS", 2)
     monkeypatch.setattr(topk_search, "TASK_VECTORS", 100)
     assert counted(topk_search.top_k(e, every=25)) == whole
 
@@ -588,7 +589,17 @@ def test_pivots_save_work():
     r = np.random.default_rng(0)
     centers = r.normal(size=(20, 16)) * 3000
     points = (centers[r.integers(0, 20, 4000)] + r.normal(size=(4000, 16)) * 100).astype(np.int64)
-    best = [[] for _ in range(5)]
-    done = topk_search.search_block(points[:5], np.arange(5), points, np.arange(4000), topk_search.choose_pivots(points[:2000], 32), 10, best)
-    assert done < 5 * 4000 / 2
+    pivots = topk_search.choose_pivots(points[:2000], 32)
+    far, near = topk_search.distances(points, pivots), topk_search.distances(points[:5], pivots)
+    floors = topk_search.known_floors(points[:5], np.arange(5), points[:2000], np.arange(2000), 10)
+    best, again = [[] for _ in range(5)], [[] for _ in range(5)]
+    done = topk_search.search_block(points[:5], np.arange(5), points, np.arange(4000), far, near, 10, best)
+    less = topk_search.search_block(points[:5], np.arange(5), points, np.arange(4000), far, near, 10, again, floors)
+    assert less <= done < 5 * 4000 / 2 and again == best
     assert best[0] == sorted((-int(points[0] @ p), i) for i, p in enumerate(points) if i)[:10]
+
+
+def test_topk_beyond_a_long(spark):
+    rows = [(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [-3e38, 0.0]), (3, [1e15, 2.0]), (4, [0.0, 5.0])]
+    got = [(r["vec_id"], r["score"]) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (4, 1024 * 5 * 1024), (2, 1 - 2**63)]
