@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import drop_table, small, table
 
+#: So many edges at most (counted first) are connected in one task, by union and find: some 40 MB there.
+ONE_TASK = 1 << 18
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one partition as stars: each node with the least node that the partition connects it to."""
@@ -32,16 +35,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of edges (a, b), the smallest node that it is connected to. Null ends are dropped.
 
-    First each partition turns its edges into stars. Then two star steps alternate until nothing changes: each
-    node's larger neighbours are hung on its smallest neighbour, then its smaller neighbours likewise. Edges never
-    grow in number; rounds are about the logarithm of the longest path. Each round is a table in the shared folder.
+    First each partition, as it lies, turns its edges into stars. If few edges are left, one task connects them. Else two
+    star steps alternate until nothing changes: each node's larger neighbours are hung on its smallest neighbour, then
+    its smaller neighbours likewise. Edges never grow in number; rounds are about the logarithm of the longest path.
+    Each round is a table in the shared folder.
     """
     given = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, mark = table(given.repartition("b").mapInArrow(_forest, "a long, b long").distinct(), "edges"), None
+    now, mark = table(given.mapInArrow(_forest, "a long, b long").distinct(), "edges"), None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break
+        if seen[0] <= ONE_TASK:
+            after = table(now.coalesce(1).mapInArrow(_forest, "a long, b long"), "edges")
+            drop_table(now)
+            now = after
+            break
         mark = tuple(seen)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written before it is joined: the join is then a broadcast, or one whose hot nodes Spark splits.

@@ -374,7 +374,9 @@ def test_all_links_are_counted(spark, docs, odd, none, block, monkeypatch):
     assert jaccard_join.join_links(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("grainmill.llm.components.ONE_TASK", one_task)
     r = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
