@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.taxonomy import CATEGORIES, INTENTS
+from grainmill.sources.scratch import small, table
 
 
 def labels_table(spark: SparkSession, labels: Sequence) -> DataFrame:
@@ -18,36 +19,41 @@ def shuffle_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def train_val(df: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """df with split: val for max(1, int(share * n)) rows that come first in a seeded hash order, else train.
+def _placed(df: DataFrame, key: str, seed: int, *by: str) -> DataFrame:
+    """df with _gm_place, a row's place (from 1) in a seeded hash order, and _gm_n, the rows, within each value of `by`.
 
-    The hash of the n-th row is found by a histogram of hash prefixes and a rank in one prefix, so the table is
-    not sorted in one task.
+    Places come from a histogram of hash prefixes (at most 65,536 for each value) and a rank within one prefix, so that
+    neither the table nor a value of `by` is sorted in one task.
     """
-    keyed = df.withColumn("_h", shuffle_key(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 4))
-    counts = keyed.groupBy("_p").count()
-    before = Window.partitionBy(F.lit(0)).orderBy("_p")
-    starts = counts.select("_p", (F.sum("count").over(before) - F.col("count")).alias("_start"), F.sum("count").over(Window.partitionBy(F.lit(0))).alias("_n"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
-    placed = keyed.withColumn("_rank", rank).join(F.broadcast(starts), "_p")  # at most 65,536 rows
-    want = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return placed.withColumn("split", F.when(F.col("_start") + F.col("_rank") <= want, "val").otherwise("train")).drop("_h", "_p", "_start", "_n", "_rank")
+    keyed = df.select("*", shuffle_key(F.col(key), seed).alias("_gm_h"), *[F.col(c).alias(f"_gm_by{i}") for i, c in enumerate(by)]).withColumn("_gm_p", F.substring("_gm_h", 1, 4))
+    own = [f"_gm_by{i}" for i in range(len(by))]
+    counts = table(keyed.groupBy(*own, "_gm_p").agg(F.count("*").alias("_gm_k")), "histogram")
+    within = Window.partitionBy(*own) if own else Window.partitionBy(F.lit(0))
+    starts = counts.select(*own, "_gm_p", (F.sum("_gm_k").over(within.orderBy("_gm_p")) - F.col("_gm_k")).alias("_gm_start"), F.sum("_gm_k").over(within).alias("_gm_n"))
+    rank = F.row_number().over(Window.partitionBy(*own, "_gm_p").orderBy("_gm_h", key))
+    starts = small(starts.withColumnsRenamed({c: f"{c}_s" for c in [*own, "_gm_p"]}), 64)
+    met = F.col("_gm_p") == F.col("_gm_p_s")
+    for c in own:
+        met = met & F.col(c).eqNullSafe(F.col(f"{c}_s"))
+    return keyed.withColumn("_gm_rank", rank).join(starts, met).select(*df.columns, (F.col("_gm_start") + F.col("_gm_rank")).alias("_gm_place"), "_gm_n")
+
+
+def train_val(df: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """df with split: val for max(1, int(share * n)) rows that come first in a seeded hash order, else train."""
+    want = F.greatest(F.lit(1), F.floor(F.col("_gm_n") * share))
+    return _placed(df, key, seed).withColumn("split", F.when(F.col("_gm_place") <= want, "val").otherwise("train")).drop("_gm_place", "_gm_n")
 
 
 def stratified(df: DataFrame, key: str, label: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """Extension: df with split, each label divided by `shares` in a seeded hash order (bounded by rounding down the running share)."""
-    by = Window.partitionBy(label)
-    place, n = F.row_number().over(by.orderBy(shuffle_key(F.col(key), seed), key)), F.count("*").over(by)
-    df = df.withColumns({"_place": place, "_n": n})
-    split, total = F.lit(None).cast("string"), 0.0
-    edges = []
+    total, edges = 0.0, []
     for name, share in shares.items():
         total += share
         edges.append((name, round(total, 9)))
     split = F.lit(edges[-1][0])
     for name, edge in reversed(edges[:-1]):
-        split = F.when(F.col("_place") <= F.floor(F.col("_n") * edge), name).otherwise(split)
-    return df.withColumn("split", split).drop("_place", "_n")
+        split = F.when(F.col("_gm_place") <= F.floor(F.col("_gm_n") * edge), name).otherwise(split)
+    return _placed(df, key, seed, label).withColumn("split", split).drop("_gm_place", "_gm_n")
 
 
 def class_weights(df: DataFrame, label: str = "intent", labels: Sequence[str] = INTENTS) -> DataFrame:

@@ -43,6 +43,26 @@ def records(df: DataFrame, raw: str = "raw", intent: str = "intent", category: s
     return rows.where(F.length("text") >= least)
 
 
+#: Where the seed parser looks for an array when the text is none: from a bracket before an object to one behind an object.
+SEED_FALLBACK = r"(?s)\[\s*\{.*?\}\s*\]"
+SEED_ITEM = "text: string, language: string, script: string, intent: string, emotions: string, urgency_level: string"
+
+
+def seed_records(df: DataFrame, raw: str = "raw", intent: str = "intent", language: str = "language", least: int = 10) -> DataFrame:
+    """The seed set's variant of records(): text, language, script, intent, emotions, urgency_level of each usable object.
+
+    Texts under `least` characters go; emotions are known names, four at most, given as a list or comma-joined.
+    """
+    keep = [c for c in df.columns if c not in (raw, intent, language, "text", "script", "emotions", "urgency_level")]
+    rows = df.select(*keep, F.col(intent).alias("_gm_intent"), F.col(language).alias("_gm_language"), F.explode(json_array(F.col(raw), SEED_ITEM, SEED_FALLBACK)).alias("_gm_o")).where("_gm_o IS NOT NULL")
+    given = F.regexp_replace(F.coalesce("_gm_o.emotions", F.lit("neutral")), r'[\[\]"]', "")
+    known = F.filter(F.transform(F.split(given, ","), strip), lambda e: e.isin(SEED_EMOTIONS))
+    emotions = F.when(F.size(known) > 0, F.array_join(F.slice(known, 1, 4), ",")).otherwise("neutral")
+    level = F.coalesce(F.expr("try_cast(try_cast(_gm_o.urgency_level AS double) AS int)"), F.lit(1))
+    rows = rows.select(*keep, strip(F.coalesce("_gm_o.text", F.lit(""))).alias("text"), F.coalesce("_gm_o.language", "_gm_language").alias("language"), F.coalesce("_gm_o.script", F.lit("latin_roman")).alias("script"), F.coalesce("_gm_o.intent", "_gm_intent").alias("intent"), emotions.alias("emotions"), F.least(F.lit(5), F.greatest(F.lit(1), level)).alias("urgency_level"))
+    return rows.where(F.length("text") >= least)
+
+
 def emotion_list(value: Column, most: int = 4) -> Column:
     """Known emotions of a comma-joined list, the first `most`, joined again; neutral if none."""
     known = F.filter(F.transform(F.split(F.lower(value), ","), strip), lambda e: e.isin(SEED_EMOTIONS))
@@ -99,26 +119,26 @@ def reply(df: DataFrame, raw: str = "raw", fallback: dict[str, Column] | None =
     Fields that are missing or empty come from `fallback` (columns by field), then from defaults.
     """
     defaults = {"emotion": F.lit("neutral"), "intent": F.lit("unknown"), "stressor": F.lit("none"), "urgency": F.lit(1), "risk": F.lit(1)} | (fallback or {})
-    df = df.withColumn("_t", strip(F.coalesce(F.col(raw), F.lit(""))))
+    df = df.withColumn("_gm_t", strip(F.coalesce(F.col(raw), F.lit(""))))
     start = lambda p, c: F.coalesce(F.regexp_instr(c, F.lit(p)), F.lit(0))
-    df = df.withColumns({"_r": start(r"(?i)---RESPONSE---", F.col("_t")), "_m": start(r"(?i)---METADATA---", F.col("_t"))})
-    exact = (F.col("_r") > 0) & (F.col("_m") > F.col("_r"))
+    df = df.withColumns({"_gm_r": start(r"(?i)---RESPONSE---", F.col("_gm_t")), "_gm_m": start(r"(?i)---METADATA---", F.col("_gm_t"))})
+    exact = (F.col("_gm_r") > 0) & (F.col("_gm_m") > F.col("_gm_r"))
     after = lambda c, at: F.regexp_replace(F.substr(c, at), r"^(?i)---(RESPONSE|METADATA)---\s*", "")
-    df = df.withColumn("_tail", F.when(F.col("_r") > 0, after(F.col("_t"), F.col("_r"))).otherwise(F.col("_t")))
-    df = df.withColumn("_kv", start(rf"(?im)^({FIELD})\s*=\s*(.+)$", strip(F.col("_tail"))))
-    head = F.regexp_replace(F.substr(F.col("_t"), F.lit(1), F.col("_m") - 1), r"(?is)^.*?---RESPONSE---\s*", "")
-    body = F.when(exact, head).when(F.col("_kv") > 0, F.substr(strip(F.col("_tail")), F.lit(1), F.col("_kv") - 1)).otherwise(F.col("_tail"))
-    meta = F.when(exact, after(F.col("_t"), F.col("_m"))).when(F.col("_kv") > 0, F.substr(strip(F.col("_tail")), F.col("_kv"))).otherwise("")
-    df = df.withColumns({"_body": strip(body), "_meta": key_values(strip(meta)), "_how": F.when(exact, "exact").when(F.col("_r") > 0, "partial").otherwise("fallback")})
-    text = lambda f: F.coalesce(F.nullif(F.col("_meta")[f], F.lit("")), defaults[f])
-    number = lambda f: F.least(F.lit(5), F.greatest(F.lit(1), F.coalesce(strip(F.col("_meta")[f]).try_cast("int"), defaults[f].cast("int"))))
-    risk_cap = F.coalesce(F.col("_meta")["risk"].try_cast("int"), defaults["risk"].cast("int"))
-    strategy = F.filter(F.transform(F.split(F.coalesce(F.col("_meta")["strategy"], F.lit("")), ","), strip), lambda s: s != "")
+    df = df.withColumn("_gm_tail", F.when(F.col("_gm_r") > 0, after(F.col("_gm_t"), F.col("_gm_r"))).otherwise(F.col("_gm_t")))
+    df = df.withColumn("_gm_kv", start(rf"(?im)^({FIELD})\s*=\s*(.+)$", strip(F.col("_gm_tail"))))
+    head = F.regexp_replace(F.substr(F.col("_gm_t"), F.lit(1), F.col("_gm_m") - 1), r"(?is)^.*?---RESPONSE---\s*", "")
+    body = F.when(exact, head).when(F.col("_gm_kv") > 0, F.substr(strip(F.col("_gm_tail")), F.lit(1), F.col("_gm_kv") - 1)).otherwise(F.col("_gm_tail"))
+    meta = F.when(exact, after(F.col("_gm_t"), F.col("_gm_m"))).when(F.col("_gm_kv") > 0, F.substr(strip(F.col("_gm_tail")), F.col("_gm_kv"))).otherwise("")
+    df = df.withColumns({"_gm_body": strip(body), "_gm_meta": key_values(strip(meta)), "_gm_how": F.when(exact, "exact").when(F.col("_gm_r") > 0, "partial").otherwise("fallback")})
+    text = lambda f: F.coalesce(F.nullif(F.col("_gm_meta")[f], F.lit("")), defaults[f])
+    number = lambda f: F.least(F.lit(5), F.greatest(F.lit(1), F.coalesce(strip(F.col("_gm_meta")[f]).try_cast("int"), defaults[f].cast("int"))))
+    risk_cap = F.coalesce(F.col("_gm_meta")["risk"].try_cast("int"), defaults["risk"].cast("int"))
+    strategy = F.filter(F.transform(F.split(F.coalesce(F.col("_gm_meta")["strategy"], F.lit("")), ","), strip), lambda s: s != "")
     out = df.withColumns({
-        "response": clean_reply(F.col("_body"), risk_cap), "emotion": text("emotion"), "intent": text("intent"), "stressor": text("stressor"),
-        "urgency": number("urgency"), "risk": number("risk"), "strategy": strategy, "parse_strategy": F.col("_how"),
+        "response": clean_reply(F.col("_gm_body"), risk_cap), "emotion": text("emotion"), "intent": text("intent"), "stressor": text("stressor"),
+        "urgency": number("urgency"), "risk": number("risk"), "strategy": strategy, "parse_strategy": F.col("_gm_how"),
     })
-    return out.drop("_t", "_r", "_m", "_tail", "_kv", "_body", "_meta", "_how")
+    return out.drop("_gm_t", "_gm_r", "_gm_m", "_gm_tail", "_gm_kv", "_gm_body", "_gm_meta", "_gm_how")
 
 
 def stream_text(df: DataFrame, key: str, order: str, line: str = "line") -> DataFrame:

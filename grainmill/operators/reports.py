@@ -9,6 +9,7 @@ from grainmill.functions import patterns as P
 from grainmill.functions.taxonomy import INTENT_TABLE, SEED_INTENTS, SEED_TARGETS, TARGETS
 from grainmill.functions.text import folded, found, seed_fingerprint
 from grainmill.operators.dedup import overlap_window
+from grainmill.sources.scratch import small, table
 
 
 def distribution(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
@@ -66,22 +67,29 @@ def reasons(df: DataFrame, column: str = "rejection_reason") -> DataFrame:
 def assign_ids(df: DataFrame, order: str, existing: DataFrame | None = None, split: str = "train", name: str = "seed") -> DataFrame:
     """df with id (<name>_<split>_<number>) and split; numbers go on from the greatest in existing, in order.
 
-    Numbers are a rank in ranges of order: ranges are counted, and a row's number is the rows before its range and
-    its place in it, so no task ranks the whole table.
+    The table is sorted by sampled ranges and written; a row's number is the rows of the partitions before its own and
+    its place there, so no task ranks the whole table, however the values of order are spread.
     """
     prefix = f"{name}_{split}_"
     start = 0
     if existing is not None:
         tail = F.expr(f"try_cast(substring(id, {len(prefix) + 1}) AS bigint)")
         start = existing.where(F.col("id").startswith(prefix)).agg(F.coalesce(F.max(tail), F.lit(0))).first()[0]
-    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    ranges = max(1, n // 100_000)
-    wide = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    df = df.withColumn("_range", F.floor((F.col(order) - F.lit(low or 0)) / wide))
-    before = df.groupBy("_range").count().select("_range", (F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("count")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    number = F.lit(start) + F.col("_before") + F.col("_place")
-    return df.withColumn("_place", place).join(before, "_range").withColumns({"id": F.concat(F.lit(prefix), F.when(number < 10_000, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))), "split": F.lit(split)}).drop("_range", "_before", "_place")
+    rows = numbered_rows(df.orderBy(order))
+    number = F.lit(start) + F.col("_gm_number")
+    digits = F.when(number < 10_000, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))
+    return rows.withColumns({"id": F.concat(F.lit(prefix), digits), "split": F.lit(split)}).drop("_gm_number")
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """df, written, with _gm_number: 1, 2, 3 ... in the order in which its partitions hold the rows."""
+    held = table(df.withColumn("_gm_row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_gm_row", 33)
+    counts = held.groupBy(part.alias("_gm_part")).agg(F.count("*").alias("_gm_k"), F.min("_gm_row").alias("_gm_first"))
+    # One row for each partition.
+    before = counts.select("_gm_part", "_gm_first", (F.sum("_gm_k").over(Window.partitionBy(F.lit(0)).orderBy("_gm_part")) - F.col("_gm_k")).alias("_gm_before"))
+    joined = held.withColumn("_gm_part", part).join(small(before, 32), "_gm_part")
+    return joined.withColumn("_gm_number", F.col("_gm_before") + F.col("_gm_row") - F.col("_gm_first") + 1).drop("_gm_row", "_gm_part", "_gm_first", "_gm_before")
 
 
 def calls(wanted: DataFrame, n: str = "gap", per_call: int = 10) -> DataFrame:

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.operators.dedup import padded, usable
+from grainmill.sources.scratch import small
+
 STRESSOR = "label: string, description: string, signal_phrases: map<string, array<string>>, linked_emotions: array<string>, guardrails: array<string>, cultural_context_notes: array<string>, escalation_markers: array<string>, co_emotion_patterns: map<string, string>, response_templates: map<string, string>, what_not_to_say: array<string>, reflection_frames: array<string>"
 TONE = "description: string, when_to_use: array<string>, linguistic_markers: struct<prefer: array<string>, avoid: array<string>>"
 IDIOM = "translation: string, meaning: string, linked_stressors: array<string>, risk_amplifier: boolean, escalates_stressors: array<string>"
@@ -53,13 +56,17 @@ def chunks(kb: DataFrame) -> DataFrame:
     return out
 
 
+#: What a row of updates is taken to be wide at most, when their table is counted for a broadcast.
+UPDATE_BYTES = 64 << 10
+
+
 def enrich(kb: DataFrame, fields: DataFrame, keywords: dict[str, list[str]] | None = None, idioms: DataFrame | None = None) -> DataFrame:
     """kb with fields of its own stressors replaced where `fields` (id and any stressor columns) holds a value, keywords appended if absent, idiom risk set.
 
     Only stressors and idioms that are there are touched. One document a row; updates are small tables.
     """
     own = kb.withColumn("_doc", F.monotonically_increasing_id())
-    held = own.select("_doc", F.explode("stressor_taxonomy").alias("id", "v")).join(F.broadcast(fields.withColumnsRenamed({c: f"new_{c}" for c in fields.columns if c != "id"})), "id", "left")
+    held = own.select("_doc", F.explode("stressor_taxonomy").alias("id", "v")).join(small(fields.withColumnsRenamed({c: f"new_{c}" for c in fields.columns if c != "id"}), UPDATE_BYTES), "id", "left")
     names = [f.split(":")[0].strip() for f in _split_fields(STRESSOR)]
     merged = F.struct(*[F.coalesce(F.col(f"new_{n}"), F.col(f"v.{n}")).alias(n) if n in fields.columns else F.col(f"v.{n}").alias(n) for n in names])
     taxonomy = held.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("id", merged.alias("v")))).alias("_taxonomy"))
@@ -69,7 +76,7 @@ def enrich(kb: DataFrame, fields: DataFrame, keywords: dict[str, list[str]] | No
         rest = F.map_filter(F.coalesce("crisis_keywords", F.create_map().cast("map<string,array<string>>")), lambda k, _: k != tier)
         out = out.withColumn("crisis_keywords", F.map_concat(rest, F.create_map(F.lit(tier), F.concat(now, F.array_except(F.array(*[F.lit(w) for w in words]), now)))))
     if idioms is not None:
-        new = F.broadcast(idioms.withColumnsRenamed({c: f"new_{c}" for c in idioms.columns if c != "id"}))
+        new = small(idioms.withColumnsRenamed({c: f"new_{c}" for c in idioms.columns if c != "id"}), UPDATE_BYTES)
         held = out.select("_doc", F.explode("cultural_idioms").alias("id", "v")).join(new, "id", "left")
         names = [f.split(":")[0].strip() for f in _split_fields(IDIOM)]
         merged = F.struct(*[F.coalesce(F.col(f"new_{n}"), F.col(f"v.{n}")).alias(n) if n in idioms.columns else F.col(f"v.{n}").alias(n) for n in names])
@@ -105,41 +112,44 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 3, over: int = 3, key:
     """query, rank, key, score, stressor: the over * k nearest chunks by inner product, then those of the wanted stressor or none, then k.
 
     The filter is behind the over-fetch, as a caller may get fewer than k. wanted: the queries' column with the
-    stressor; null asks for all. Ties go to the smaller key. k = 0 means 3. Each task keeps over * k candidates a
-    query; what is ranked after that is small. An empty index gives no rows.
+    stressor; null and "none" ask for all. Ties go to the smaller key; rows that share a key each take a place. k = 0
+    means 3. Vectors that are null or hold null or non-finite components take no part, nor do queries with such;
+    shorter ones count as if they ended in zeros. Each task keeps over * k candidates a query, with their stressors;
+    what is ranked after that is small. An empty index gives no rows.
     """
     k = k or 3
-    asked = queries.select(F.col(query).alias("q"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    chunks_ = index.select(F.col(key).alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    count, parts = queries.count(), []
+    unit = lambda df: df.where(usable(F.col(vector))).withColumn("v", F.transform(vector, lambda x: x.cast("double")))
+    asked = unit(queries).select(F.col(query).cast("long").alias("q"), (F.col(wanted) if wanted else F.lit(None)).cast("string").alias("w"), "v")
+    chunks_ = unit(index).select(F.col(key).cast("long").alias("c"), F.col(stressor).cast("string").alias("s"), "v")
+    (count, width), parts = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first(), []
+    width = max(width, chunks_.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
     blocks = max(1, -(-count // QUERY_BLOCK))
     for b in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()
-        ids = mine.column("q").to_pylist()
-        matrix = np.array(mine.column("v").to_pylist(), dtype=np.float64)
+        ids, stressors, matrix = mine.column("q").to_pylist(), mine.column("w").to_pylist(), padded(mine.column("v"), width)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            held: list[list[tuple[float, int]]] = [[] for _ in ids]
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, stressors=stressors, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            held: list[list[tuple]] = [[] for _ in ids]
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
-                rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
-                names, scores = np.array(batch.column(0).to_pylist()), matrix @ rows.T
-                for i, s in enumerate(scores):
-                    near = np.flatnonzero(s >= np.partition(s, -min(over * k, len(s)))[-min(over * k, len(s))])
-                    held[i] = sorted([*held[i], *zip((-s[near]).tolist(), names[near].tolist(), strict=True)])[: over * k]
-            flat = [(q, c, -s) for q, rows in zip(ids, held, strict=True) for s, c in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.float64())], names=["q", "c", "score"])
-
-        parts.append(chunks_.mapInArrow(run, "q long, c long, score double"))
+                names, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for i, s in enumerate(matrix @ padded(batch.column(2), width).T):
+                    most = min(over * k, len(s))
+                    near = np.flatnonzero(s >= np.partition(s, -most)[-most])
+                    held[i] = sorted([*held[i], *((-float(s[j]), names[j], kinds[j] is not None, kinds[j]) for j in near.tolist())])[: over * k]
+            flat = [(q, w, c, kind, -s) for q, w, rows in zip(ids, stressors, held, strict=True) for s, c, _, kind in rows]
+            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], t) for n, t in enumerate(types)], names=["q", "w", "c", "stressor_type", "score"])
+
+        parts.append(chunks_.mapInArrow(run, "q long, w string, c long, stressor_type string, score double"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "c", "stressor_type")
     found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= over * k)
-    found = found.join(index.select(F.col(key).alias("c"), F.col(stressor).alias("stressor_type")), "c")
     if wanted:
-        found = found.join(queries.select(F.col(query).alias("q"), F.col(wanted).alias("_wanted")), "q").where(F.col("_wanted").isNull() | F.col("stressor_type").isNull() | (F.col("stressor_type") == F.col("_wanted")))
+        found = found.where(F.col("w").isNull() | (F.col("w") == "none") | F.col("stressor_type").isNull() | (F.col("stressor_type") == F.col("w")))
     found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return found.select(F.col("q").alias(query), "rank", F.col("c").alias(key), "score", "stressor_type")
 

@@ -27,12 +27,12 @@ def emotion_arc(df: DataFrame, session: str = "conv_id", order: str = "turn", em
     """df with arc_length and arc (the last four emotions joined, null below three). Turns that `ended` at once add nothing."""
     felt = F.when(~F.coalesce(F.col(ended), F.lit(False)), F.col(emotion)) if ended else F.col(emotion)
     so_far = _turns(session, order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_felt", felt).withColumn("arc_length", F.count("_felt").over(so_far))
-    if ended is None:  # every turn adds: four rows back are enough
-        recent = F.collect_list("_felt").over(_turns(session, order).rowsBetween(-(ARC - 1), 0))
-    else:
-        recent = F.slice(F.collect_list("_felt").over(so_far), F.greatest(F.lit(1), F.col("arc_length") - ARC + 1).cast("int"), F.lit(ARC))
-    return df.withColumn("arc", F.when(F.col("arc_length") >= 3, F.array_join(recent, " → "))).drop("_felt")
+    df = df.withColumn("_gm_felt", felt).withColumn("arc_length", F.count("_gm_felt").over(so_far))
+    # Four rows back among the turns that add; the others take the last of those.
+    added = Window.partitionBy(session, F.col("_gm_felt").isNull()).orderBy(order).rowsBetween(-(ARC - 1), 0)
+    df = df.withColumn("_gm_arc", F.when(F.col("_gm_felt").isNotNull(), F.collect_list("_gm_felt").over(added)))
+    recent = F.last("_gm_arc", ignorenulls=True).over(so_far)
+    return df.withColumn("arc", F.when(F.col("arc_length") >= 3, F.array_join(recent, " → "))).drop("_gm_felt", "_gm_arc")
 
 
 def last_stressor(df: DataFrame, session: str = "conv_id", order: str = "turn", stressor: str = "stressor_type") -> DataFrame:

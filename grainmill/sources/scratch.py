@@ -1,4 +1,4 @@
-"""Tables between the steps of an iteration, in the folder that all executors share."""
+"""Tables between the steps of an iteration, in the folder that all executors share, and joins by their counted size."""
 
 from __future__ import annotations
 
@@ -6,19 +6,30 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A side of a join is broadcast up to so many bytes; above, the join shuffles.
+BROADCAST_BYTES = 24 << 20
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir (a folder of our own where that is unset, as in tests)."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, as in tests; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         root = f"file://{tempfile.mkdtemp(prefix='grainmill-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/grainmill/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/grainmill/{label}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to a shared path and reads it again."""
+    """Writes df to the shared folder and reads it again: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
@@ -26,7 +37,14 @@ def table(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_table(df: DataFrame) -> None:
+    """Removes a table made by table() that nothing lazy depends on any more."""
     spark, files = df.sparkSession, df.inputFiles()
     if files:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows stay within BROADCAST_BYTES, else df as it is (the join then shuffles)."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df

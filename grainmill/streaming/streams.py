@@ -74,6 +74,21 @@ def to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.table(name)
 
 
+def to_latest(stream: DataFrame, *keys: str) -> DataFrame:
+    """Runs an aggregating stream over what there is, in update mode, and gives the last state of each of its groups.
+
+    Append mode would hold back the groups that the watermark has not passed when the source ends; here they are
+    given as they stand. Each batch of the stream replaces its own folder, so one that is run again counts once.
+    """
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
+    keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/rows/_gm_batch={batch}")
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    found = spark.read.schema(stream.schema.add("_gm_batch", "long")).parquet(f"{path}/rows")
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_gm_batch").alias("_gm_last")).select(*keys, "_gm_last.*").select(*stream.columns)
+
+
 def to_table(stream: DataFrame) -> DataFrame:
     """Runs an append stream over what there is into a table in the shared folder, and reads it."""
     spark = stream.sparkSession
