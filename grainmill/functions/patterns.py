@@ -172,11 +172,11 @@ IDIOMS = {
 CASED_IDIOMS = ("JEE", "NEET")
 
 # Words that mark mixed Hindi and English in the detector; roles and persons.
-MIXED_WORDS = (
-    "hun hai hain tha thi the meri mera mujhe main aur par lekin kyun kya nahi bhi toh abhi bahut ghar mummy papa "
-    "chahta chahti karna karun izzat shaadi rishta yaar bhai didi samajh lagta sunke kitna woh agar sirf unhe sabse "
-    "mast theek badhiya mazey chill "
-).split()
+MIXED_WORDS = [
+    "hun", "hai", "hain", "tha", "thi", "the", "meri", "mera", "mujhe", "main", "aur", "par", "lekin", "kyun", "kya", "nahi", "bhi", "toh", "abhi",
+    "bahut", "ghar", "mummy", "papa", "chahta", "chahti", "karna", "karun", "izzat", "shaadi", "rishta", "yaar", "bhai", "didi", "samajh", "lagta",
+    "sunke", "kitna", "woh", "agar", "sirf", "unhe", "sabse", "mast", "theek", "badhiya", "mazey", "chill",
+]
 ROLES = ["doctor", "engineer", "lawyer", "IAS", "IPS", "teacher", "artist", "MBA", "CA", "professor", "government", "civil servant"]
 PERSONS = ["maa", "papa", "mummy", "dad", "didi", "nani", "dadi", "dada", "nana", "chacha", "chachi", "mausi", "mama"]
 

@@ -96,6 +96,15 @@ BASE_EMOTIONS = {
 TONES = {"share_positive_news": "celebratory", "ask_for_advice": "direct_supportive", "express_identity_conflict": "gentle_reframe", "express_marriage_pressure": "gentle_reframe", "express_financial_stress": "direct_supportive"}
 OTHER_TONE = "indirect_validating"
 
+# What of a knowledge base goes into a risk scorer's prompt.
+RISK_STRESSORS = ["marriage_pressure", "identity_conflict", "intergenerational_conflict"]
+RISK_EMOTIONS = ["helplessness", "identity_confusion"]
+RISK_IDIOMS = ["log_kya_kahenge", "ghar_ki_izzat"]
+
+# Intents of the social mode, and emotions of the emotional one.
+SOCIAL_INTENTS = ["family_conflict", "relationship_issue", "social_stress", "express_family_pressure", "family_career_expectations", "peer_pressure", "friendship_conflict", "romantic_conflict"]
+TENDER_EMOTIONS = ["sad", "anxious", "grief", "fear", "hopeless", "overwhelm", "guilt", "shame"]
+
 # Helplines by key.
 HELPLINES = {
     "tier_5": ("Vandrevala Foundation", "1860-2662-345", "24/7"),

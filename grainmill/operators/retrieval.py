@@ -30,6 +30,7 @@ def _filled(c: Column) -> Column:
     return F.coalesce(F.size(c), F.lit(0)) > 0
 
 
+# The wording of chunks, which searches read.
 def chunks(kb: DataFrame) -> DataFrame:
     """part, id, text, source, stressor_type, chunk_type, guardrail_id: stressors, tones, guardrails, idioms (part 1 to 4). Empty lists give no chunk."""
     none = F.lit(None).cast("string")
@@ -60,8 +61,8 @@ def chunks(kb: DataFrame) -> DataFrame:
 UPDATE_BYTES = 64 << 10
 
 
-def enrich(kb: DataFrame, fields: DataFrame, keywords: dict[str, list[str]] | None = None, idioms: DataFrame | None = None) -> DataFrame:
-    """kb with fields of its own stressors replaced where `fields` (id and any stressor columns) holds a value, keywords appended if absent, idiom risk set.
+def enrich(kb: DataFrame, fields: DataFrame, keywords: dict[str, list[str]] | None = None, idioms: DataFrame | None = None, sections: dict[str, Column] | None = None, meta: dict[str, str] | None = None) -> DataFrame:
+    """kb with fields of its own stressors replaced where `fields` (id and any stressor columns) holds a value, keywords appended if absent, idiom risk set, whole sections set, and entries of _meta set.
 
     Only stressors and idioms that are there are touched. One document a row; updates are small tables.
     """
@@ -82,7 +83,10 @@ def enrich(kb: DataFrame, fields: DataFrame, keywords: dict[str, list[str]] | No
         merged = F.struct(*[F.coalesce(F.col(f"new_{n}"), F.col(f"v.{n}")).alias(n) if n in idioms.columns else F.col(f"v.{n}").alias(n) for n in names])
         both = held.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("id", merged.alias("v")))).alias("_idioms"))
         out = out.join(both, "_doc", "left").withColumn("cultural_idioms", F.coalesce("_idioms", "cultural_idioms")).drop("_idioms")
-    return out.drop("_doc")
+    if meta:
+        kept = F.map_filter(F.coalesce("_meta", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*meta))
+        out = out.withColumn("_meta", F.map_concat(kept, F.create_map(*[F.lit(x) for pair in meta.items() for x in pair])))
+    return out.withColumns(sections or {}).drop("_doc")
 
 
 def _split_fields(ddl: str) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import patterns as P
-from grainmill.functions.taxonomy import HELPLINES
+from grainmill.functions.taxonomy import HELPLINES, RISK_EMOTIONS, RISK_IDIOMS, RISK_STRESSORS
 from grainmill.functions.text import folded, found
 
 #: Tiers in the order in which they are tried.
@@ -93,3 +93,27 @@ def exit_reply(level: Column, name: Column, number: Column, safeguarding: Column
 def risk_phrases(kb: DataFrame, most: int = 12) -> DataFrame:
     """tier, phrases: the first `most` crisis phrases of each tier of a knowledge base."""
     return kb.select(F.explode("crisis_keywords").alias("tier", "phrases")).where(F.col("tier").isin("tier_3", "tier_4", "tier_5")).select("tier", F.slice("phrases", 1, most).alias("phrases"))
+
+
+def risk_prompt(kb: DataFrame, template: str, most: int = 12) -> DataFrame:
+    """kb with risk_prompt: the template of a risk scorer with {phrases}, {stressors}, {high_risk} and {idioms} filled in from the document.
+
+    phrases: the first `most` of each scored tier; stressors: those that call for safeguarding, as `id: label`; high_risk:
+    those linked with an emotion that does; idioms: those that carry shame, with their translation. Empty parts say so.
+    """
+    none = F.array().cast("array<string>")
+    keyword = lambda t: F.coalesce(F.slice(F.col("crisis_keywords")[t], 1, most), none)
+    phrases = F.flatten(F.array(*[F.when(F.size(keyword(t)) > 0, F.concat(F.array(F.lit(f"  {t}:")), F.transform(keyword(t), lambda p: F.concat(F.lit("    - "), p)))).otherwise(none) for t in ("tier_3", "tier_4", "tier_5")]))
+    named = lambda e: F.concat(F.lit("  - "), e["key"], F.lit(": "), F.coalesce(e["value"]["label"], e["key"]))
+    some = lambda keep: F.transform(F.filter(F.map_entries("stressor_taxonomy"), keep), named)
+    idioms = F.transform(F.filter(F.map_entries("cultural_idioms"), lambda e: e["key"].isin(RISK_IDIOMS)), lambda e: F.concat(F.lit("  '"), e["key"], F.lit("' ("), F.coalesce(e["value"]["translation"], F.lit("")), F.lit(")")))
+    parts = {
+        "phrases": (phrases, "  (no crisis phrases)"),
+        "stressors": (some(lambda e: e["key"].isin(RISK_STRESSORS)), "  (none listed)"),
+        "high_risk": (some(lambda e: F.arrays_overlap(F.coalesce(e["value"]["linked_emotions"], none), F.array(*[F.lit(x) for x in RISK_EMOTIONS]))), "  (none listed)"),
+        "idioms": (idioms, "  (none)"),
+    }
+    text = F.lit(template)
+    for name, (lines, empty) in parts.items():
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(F.when(F.size(lines) > 0, F.array_join(F.array_sort(lines) if name != "phrases" else lines, "\n")), F.lit(empty)))
+    return kb.withColumn("risk_prompt", text).select("risk_prompt")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.functions.taxonomy import HELPLINES, SOCIAL_INTENTS, TENDER_EMOTIONS
+from grainmill.sources.scratch import small
+
 HISTORY, SHOWN, SHOWN_CHARS, SCORED_CHARS, ARC = 6, 4, 120, 250, 4
 
 
@@ -65,11 +70,6 @@ def intent_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("intent").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "intent")
 
 
-#: Intents of the social mode, and emotions of the emotional one.
-SOCIAL_INTENTS = ["family_conflict", "relationship_issue", "social_stress", "express_family_pressure", "family_career_expectations", "peer_pressure", "friendship_conflict", "romantic_conflict"]
-TENDER_EMOTIONS = ["sad", "anxious", "grief", "fear", "hopeless", "overwhelm", "guilt", "shame"]
-
-
 def mode(risk: Column, intent: Column, urgency: Column, emotion: Column) -> Column:
     """The response mode: the first that applies."""
     return F.when(risk >= 4, "crisis").when(intent.isin(SOCIAL_INTENTS), "social").when(urgency >= 4, "high_distress").when(emotion.isin(TENDER_EMOTIONS), "emotional").when(intent == "greeting", "greeting").otherwise("normal")
@@ -80,11 +80,45 @@ def _block(title: str, lines: Column) -> Column:
     return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.concat(F.lit(f"\n### {title}\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
 
 
-def prompt(df: DataFrame, instructions: dict[str, str], preamble: str = "") -> DataFrame:
+#: Wording of the blocks that depend on risk and stigma; a deployment passes its own. {name}, {number}, {risk}, {note} and {rule} are filled in.
+WORDING = {
+    "crisis": "\n### Crisis, risk {risk} of 5\nName the pain, say that it is real, ask whether the person is safe, mention {name} ({number}), stay in the conversation.\n",
+    "helpline": "\n### Support\nIf the moment allows, mention {note} as someone who listens; the conversation goes on.\n",
+    "stigma": "\n### Stigma\n{rule}\n",
+    "output": "\n### Output\n---RESPONSE---\n---METADATA---\n",
+}
+
+
+def with_knowledge(df: DataFrame, kb: DataFrame) -> DataFrame:
+    """df with notes, never_say, guardrails, idiom_notes and stigma_rule of its stressor, idioms_detected and stigma_flag, from one knowledge base document.
+
+    What the document lacks gives empty lists. The document is one row, which is sent along.
+    """
+    one = kb.limit(1).select(F.struct("stressor_taxonomy", "guardrail_registry", "cultural_idioms").alias("_gm_kb"))
+    none = F.array().cast("array<string>")
+    of = F.col("_gm_kb.stressor_taxonomy")[F.col("stressor")]
+    idiom = lambda i: F.col("_gm_kb.cultural_idioms")[i]
+    told = lambda i: F.concat(F.lit("'"), i, F.lit("' ("), F.coalesce(idiom(i)["translation"], F.lit("")), F.lit(") — "), F.substring(F.coalesce(idiom(i)["meaning"], F.lit("")), 1, 80))
+    rules = F.filter(F.transform(F.coalesce(of["guardrails"], none), lambda g: F.col("_gm_kb.guardrail_registry")[g]), lambda g: g.isNotNull())
+    return (
+        df.crossJoin(small(one, 1 << 20))
+        .withColumns({
+            "notes": F.coalesce(of["cultural_context_notes"], none), "never_say": F.coalesce(of["what_not_to_say"], none), "guardrails": rules,
+            "idiom_notes": F.transform(F.filter(F.coalesce("idioms_detected", none), lambda i: idiom(i).isNotNull()), told),
+            "stigma_rule": F.when(F.col("stigma_flag"), F.col("_gm_kb.guardrail_registry")[F.lit("stigma_bypass_active")]),
+        })
+        .drop("_gm_kb")
+    )
+
+
+def prompt(df: DataFrame, instructions: dict[str, str], preamble: str = "", wording: dict[str, str] = WORDING) -> DataFrame:
     """df with mode, word_cap and prompt, assembled from optional columns that are empty arrays or null where there is nothing to say.
 
     Reads emotion, intent, stressor, urgency, risk, lang_code, technique, and (if there) notes, never_say, guardrails,
-    idiom_notes, arc, chunks, history (role, text), profile. Limits: 3 notes, 3 phrases never to say, 2 guardrails of
+    idiom_notes, stigma_rule, arc, chunks, history (role, text), profile, helpline_note, helpline_name and
+    helpline_number. From risk 4 on the crisis block names a helpline (a default where none is given); below, a
+    helpline_note has its own. Order of blocks: signals, crisis, culture, guardrails, technique, stigma, idioms, pattern,
+    context, recent turns, profile, mode, length, helpline, output. Limits: 3 notes, 3 phrases never to say, 2 guardrails of
     120 characters, chunks of 200 characters, the last 4 turns of 120. instructions: the text of each mode.
     """
     have = set(df.columns)
@@ -100,11 +134,19 @@ def prompt(df: DataFrame, instructions: dict[str, str], preamble: str = "") -> D
         talk = F.array().cast("array<string>")
     arc = F.when(F.col("arc").isNotNull(), F.array(F.concat(F.lit("Recent arc: "), "arc"))) if "arc" in have else F.lit(None).cast("array<string>")
     signals = F.concat(*[x for f in ("emotion", "intent", "stressor", "urgency", "risk") for x in (F.lit(f"- {f}: "), F.col(f).cast("string"), F.lit("\n"))])
-    by_mode = F.create_map(*[F.lit(x) for pair in instructions.items() for x in pair])[F.col("mode")]
+    own = lambda name, default: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default)) if name in have else F.lit(default)
+    filled = lambda block, **values: reduce(lambda text, v: F.replace(text, F.lit("{" + v[0] + "}"), v[1]), values.items(), F.lit(wording[block]))
+    line = HELPLINES["tier_4"]
+    crisis = F.when(F.col("risk") >= 4, filled("crisis", risk=F.col("risk").cast("string"), name=own("helpline_name", line[0]), number=own("helpline_number", line[1]))).otherwise("")
+    note = own("helpline_note", "")
+    support = F.when((F.col("risk") < 4) & (note != ""), filled("helpline", note=note)).otherwise("")
+    rule = F.coalesce(F.col("stigma_rule"), F.lit("")) if "stigma_rule" in have else F.lit("")
+    stigma = F.when(rule != "", filled("stigma", rule=rule)).otherwise("")
+    by_mode = F.coalesce(*[F.when(F.col("mode") == m, text) for m, text in instructions.items()], F.lit(None).cast("string"))
     parts = [
-        F.lit(preamble), F.lit("\n### Language\n"), F.col("lang_code"), F.lit("\n### Signals\n"), signals, _block("Culture", items("notes", lambda n: F.concat(F.lit("- "), n), 3)),
-        _block("Guardrails", guard), F.lit("\n### Technique\n"), F.col("technique"), F.lit("\n"), _block("Idioms", items("idiom_notes", lambda n: F.concat(F.lit("- "), n), 100)),
+        F.lit(preamble), F.lit("\n### Language\n"), F.col("lang_code"), F.lit("\n### Signals\n"), signals, crisis, _block("Culture", items("notes", lambda n: F.concat(F.lit("- "), n), 3)),
+        _block("Guardrails", guard), F.lit("\n### Technique\n"), F.col("technique"), F.lit("\n"), stigma, _block("Idioms", items("idiom_notes", lambda n: F.concat(F.lit("- "), n), 100)),
         _block("Pattern", arc), _block("Context", shown), _block("Recent turns", talk), _block("Profile", items("profile", lambda p: F.concat(F.lit("  "), p), 3)),
-        F.lit("\n### Mode\n"), F.coalesce(by_mode, F.col("mode")), F.lit("\n### Length\nAt most "), cap.cast("string"), F.lit(" words\n"),
+        F.lit("\n### Mode\n"), F.coalesce(by_mode, F.col("mode")), F.lit("\n### Length\nAt most "), cap.cast("string"), F.lit(" words\n"), support, F.lit(wording["output"]),
     ]
     return df.withColumns({"word_cap": cap, "prompt": F.concat(*parts)})

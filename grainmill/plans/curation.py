@@ -26,11 +26,12 @@ def public(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 
-def curate(raw: DataFrame, order: str, existing: DataFrame | None = None, near: float | None = None, vector: str = "embedding", strict: bool = False) -> Curated:
+def curate(raw: DataFrame, order: str, existing: DataFrame | None = None, near: float | None = None, vector: str = "embedding", strict: bool = False, in_order: bool = False) -> Curated:
     """All steps over one table of records; each step's outcome is a column of it, written at the three splits.
 
     existing: fingerprints (_fingerprint) of what was written before. near: a cosine from which later rows with
-    similar vectors go as well. final holds clean rows and corrected ones, without working columns.
+    similar vectors go as well. final holds clean rows and corrected ones, without working columns; in_order sorts it by
+    range, clean rows first, then by `order`.
     """
     cleaned = table(cleaning.clean(raw), "cleaned")
     accepted = dedup.with_fingerprint(cleaned.where("_drop_reason IS NULL").drop("_drop_reason"))
@@ -45,7 +46,8 @@ def curate(raw: DataFrame, order: str, existing: DataFrame | None = None, near:
     checked = table(labels.validate(marked.where("_dedup_reason IS NULL").drop("_dedup_reason"), strict), "checked")
     good = checked.where("_drop_reason IS NULL")
     stats = _stats(cleaned, marked, checked)
-    return Curated(public(good), cleaned.where("_drop_reason IS NOT NULL"), marked.where("_dedup_reason IS NOT NULL"), good.where(F.size("_corrections") > 0), checked.where("_drop_reason IS NOT NULL"), stats)
+    final = good.orderBy(F.size("_corrections") > 0, order) if in_order else good
+    return Curated(public(final), cleaned.where("_drop_reason IS NOT NULL"), marked.where("_dedup_reason IS NOT NULL"), good.where(F.size("_corrections") > 0), checked.where("_drop_reason IS NOT NULL"), stats)
 
 
 def _stats(cleaned: DataFrame, marked: DataFrame, checked: DataFrame) -> DataFrame:
@@ -59,11 +61,14 @@ def _stats(cleaned: DataFrame, marked: DataFrame, checked: DataFrame) -> DataFra
 
 
 def run(spark, raw_path: str, out_path: str, near: float | None = None, strict: bool = False) -> Curated:
-    """From a folder of JSON lines to out_path: final records are appended, and rows whose fingerprints are there already are left out."""
+    """From a folder of JSON lines to out_path: final records are appended, and rows whose fingerprints are there already are left out.
+
+    "First" is by name of file and line, however the files are split among tasks; what is written is in that order.
+    """
     records, malformed = files.read_jsonl(spark, raw_path)
-    records = table(records.withColumn("_ord", F.monotonically_increasing_id()), "records")
+    records = files.in_order(records)
     before, _ = files.read_jsonl(spark, f"{out_path}/final", glob="*.json")
-    out = curate(records, "_ord", dedup.fingerprints(before), near, strict=strict)
+    out = curate(records, "_ord", dedup.fingerprints(before), near, strict=strict, in_order=True)
     # Plans are lazy: what is read from out_path is settled by the tables that curate() wrote.
     for name, df, append in (("final", out.final, True), ("corrections", out.corrected, True), ("rejected", out.dropped, True), ("clean_rejected", out.clean_rejected, False), ("removed", out.removed, False), ("malformed", malformed, False)):
         files.write_jsonl(df, f"{out_path}/{name}", append)

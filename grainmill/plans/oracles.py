@@ -11,7 +11,6 @@ from grainmill.functions import patterns as P
 from grainmill.functions import taxonomy as X
 from grainmill.operators.affect import ADDED, INTENT_RULES, SIGNALS
 from grainmill.operators.safety import EXIT_REPLIES, SHOWN, TIERS
-from grainmill.operators.sessions import SOCIAL_INTENTS, TENDER_EMOTIONS
 from grainmill.plans.fixtures import OPENERS, PHRASES
 
 WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
@@ -174,10 +173,10 @@ felt AS (SELECT *, emotions_all[1] AS primary_emotion, coalesce(emotions_all[2],
 
 FELT = f"u AS ({TURNS}), {detected('u')}"
 FELT_RISK = f"{FELT}, w AS (SELECT * EXCLUDE (t, g, f, ws) FROM felt), {assessed('w')}"
-INDEX = "i AS (SELECT vec_id AS chunk_id, embedding, CASE WHEN label % 3 <> 0 THEN 's' || (label % 3) END AS st FROM embeddings), a AS (SELECT vec_id AS query_id, embedding AS e, CASE WHEN vec_id % 2 = 0 THEN 's1' END AS wanted FROM embeddings WHERE vec_id < 20)"
+INDEX = "i AS (SELECT vec_id AS chunk_id, embedding, CASE WHEN label % 3 <> 0 THEN 's' || (label % 3) END AS st FROM embeddings), a AS (SELECT vec_id AS query_id, embedding AS e, CASE vec_id % 400 WHEN 0 THEN 's1' WHEN 100 THEN 'none' END AS wanted FROM embeddings WHERE vec_id % 100 = 0)"
 SCORES = f"""{INDEX}, p AS (SELECT query_id, chunk_id, st, wanted, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM a, i),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS near FROM p)"""
-FILTERED = f"{SCORES}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near)::INT AS rank FROM n WHERE near <= 9 AND (wanted IS NULL OR st IS NULL OR st = wanted))"
+FILTERED = f"{SCORES}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near)::INT AS rank FROM n WHERE near <= 9 AND (wanted IS NULL OR wanted = 'none' OR st IS NULL OR st = wanted))"
 COUNTS = f"""p AS ({PREDICTIONS}), l AS (SELECT unnest({array(X.INTENTS)}) AS label, unnest(range(26)) AS idx),
 s AS (SELECT label, idx, (SELECT count(*) FROM p WHERE true_intent = label) AS support, (SELECT count(*) FROM p WHERE pred_intent = label) AS predicted, (SELECT count(*) FROM p WHERE true_intent = label AND pred_intent = label) AS tp FROM l),
 m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS re FROM s),
@@ -186,7 +185,39 @@ GAPS = f"t AS (SELECT unnest({array(list(X.TARGETS))}) AS label, unnest([{', '.j
 SEED_ROWS = f"{FELT}, z AS (SELECT conv_id, turn, text, g, urgency_level AS x, conv_id * 1000 + turn AS row_, intent FROM felt)"
 REASON = f"""CASE WHEN length(text) < 10 THEN 'too_short' WHEN length(text) > 1500 THEN 'too_long' WHEN {has("g", P.SEED_TEMPLATED)} THEN 'templated_text' WHEN {has("g", P.SEED_UNSAFE)} THEN 'unsafe_crisis_content'
   WHEN {has("g", P.SEED_METAPHOR)} AND row_ % 5 + 1 >= 3 THEN 'metaphor_crisis_mismatch' WHEN row_ % 19 = 0 OR NOT list_contains({array(X.SEED_INTENTS)}, intent) THEN 'invalid_intent' ELSE '' END"""
-EPOCHS = "e AS (SELECT event_id AS epoch, round(1 - 1 / (1 + event_id % 12)::DOUBLE, 4) AS score, event_id * 0.1::DOUBLE AS a FROM events WHERE event_id < 40)"
+EPOCHS = "e AS (SELECT user_id AS run, event_id AS epoch, round(1 - 1 / (1 + event_id % 12)::DOUBLE, 4) AS score, event_id * 0.1::DOUBLE AS a FROM events)"
+
+
+NEAR = f"""w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array({strip("lower(coalesce(text, ''))")}, '{WS}+'), lambda x: x <> '')) AS ws FROM documents),
+x AS MATERIALIZED (SELECT doc_id, len(ws) AS n, unnest(ws) AS word FROM w),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.word = b.word AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY ALL HAVING count(*)::DOUBLE / greatest(any_value(a.n), any_value(b.n)) >= 0.85),
+o AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+q AS MATERIALIZED (SELECT o.k, o.doc_id, coalesce(list(p.a ORDER BY p.a) FILTER (p.a IS NOT NULL), []) AS before FROM o LEFT JOIN p ON p.b = o.doc_id GROUP BY ALL)"""
+FIRST_TURNS = f"""{FELT_RISK}, x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS k, CASE WHEN risk_level = 3 THEN 3 ELSE urgency_level END::INT AS u FROM risk),
+y AS (SELECT *, CASE WHEN list_contains({array(X.SOCIAL_INTENTS)}, intent) THEN 'social' WHEN u >= 4 THEN 'high_distress' WHEN list_contains({array(X.TENDER_EMOTIONS)}, primary_emotion) THEN 'emotional' WHEN intent = 'greeting' THEN 'greeting' ELSE 'normal' END AS mode FROM x WHERE k <= 2)"""
+#: Chunks of the test document, written out.
+CHUNKS = [(1,'academic_pressure','Academic pressure: Exams and ranks weigh on the person.','stressor_taxonomy','description'),
+(1,'academic_pressure','Common emotions in academic_pressure: anxiety, fear','emotion_map','emotions'),
+(1,'academic_pressure','Guardrails for academic_pressure: no_comparison','guardrails','guardrails'),
+(1,'academic_pressure','Signal phrases (en) for academic_pressure: my exam; my rank','signal_phrases','signal_phrases'),
+(1,'academic_pressure','Signal phrases (hi-en-mix) for academic_pressure: padhai ka load','signal_phrases','signal_phrases'),
+(1,'financial_stress','financial_stress: Money is short.','stressor_taxonomy','description'),
+(1,'financial_stress','Guardrails for financial_stress: no_advice; no_comparison','guardrails','guardrails'),
+(1,'marriage_pressure','Marriage pressure: Family expects a match.','stressor_taxonomy','description'),
+(1,'marriage_pressure','Common emotions in marriage_pressure: conflict','emotion_map','emotions'),
+(1,'marriage_pressure','Signal phrases (en) for marriage_pressure: they found a match','signal_phrases','signal_phrases'),
+(2,'gentle_reframe','Tone gentle_reframe: Softly offers another view.. When: identity, marriage. Prefer: perhaps. Avoid: must; never.','tone_modes','tone_mode'),
+(3,'no_advice',"Guardrail 'no_advice': Give no financial advice.",'guardrail_registry','guardrail'),
+(3,'no_comparison',"Guardrail 'no_comparison': Do not compare with others.",'guardrail_registry','guardrail'),
+(4,'izzat',"South Asian idiom 'izzat' (honour): Standing of the family. Linked to: marriage_pressure.",'cultural_idioms','idiom')]
+
+#: Greedy choice in order, as a fold: rows that a kept earlier one is near to go.
+GREEDY = """v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.e, y.e) AS s FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_dot_product(x.e, y.e) >= 0.35),
+o AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
+q AS MATERIALIZED (SELECT o.k, o.vec_id, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS before FROM o LEFT JOIN p ON p.b = o.vec_id GROUP BY ALL),
+f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept, NULL::BIGINT AS id, false AS gone
+  UNION ALL SELECT q.k, CASE WHEN list_has_any(f.kept, q.before) THEN f.kept ELSE list_append(f.kept, q.vec_id) END, q.vec_id, list_has_any(f.kept, q.before) FROM f JOIN q ON q.k = f.k + 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -207,15 +238,27 @@ def oracle_sql() -> dict[str, str]:
         "dedup_cross_batch": f"WITH d AS (SELECT doc_id, {fingerprint('text')} AS fp FROM documents), o AS (SELECT fp FROM d WHERE doc_id % 3 = 0 UNION SELECT {fingerprint('text')} FROM benchmark) SELECT doc_id, fp NOT IN (SELECT fp FROM o) AS kept FROM d WHERE doc_id % 3 <> 0",
         "dedup_counters": f"SELECT count(*) AS total, count(*) - count(DISTINCT {fingerprint('text')}) AS exact_removed FROM documents",
         "semantic_pairs": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.e, y.e) AS s FROM v x JOIN v y ON x.vec_id < y.vec_id) SELECT a, b, round(s, 6) AS sim FROM p WHERE s >= 0.35",
+        "semantic_dedup": f"WITH RECURSIVE {GREEDY}, best AS (SELECT p.b, round(max(p.s), 4) AS sim FROM p JOIN f ON f.id = p.a AND NOT f.gone GROUP BY 1) SELECT f.id AS vec_id, CASE WHEN gone THEN 'semantic_duplicate' END AS reason, CASE WHEN gone THEN sim END AS sim FROM f LEFT JOIN best ON best.b = f.id WHERE f.id IS NOT NULL",
+        "near_dup_overlap": f"""WITH RECURSIVE {NEAR}, f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS held, NULL::BIGINT AS id, NULL::BIGINT AS near_of
+            UNION ALL SELECT q.k, CASE WHEN list_has_any(f.held, q.before) THEN f.held ELSE list_append(f.held, q.doc_id)[-200:] END, q.doc_id, list_min(list_intersect(f.held, q.before)) FROM f JOIN q ON q.k = f.k + 1)
+          SELECT id AS "order", near_of FROM f WHERE id IS NOT NULL""",
         "validate_records": f"WITH o AS ({ODD}), {validated('o')} SELECT doc_id, i2 AS intent, CASE WHEN align THEN want ELSE c4 END AS category, u3 AS urgency, l1 AS language FROM v5",
         "validate_corrections": f"WITH o AS ({ODD}), {validated('o')} SELECT doc_id, said AS corrections FROM v5",
+        "validate_missing_fields": "SELECT doc_id, 'filled_default:category' || CASE WHEN doc_id % 3 = 0 THEN '|filled_default:urgency' ELSE '' END AS filled, 'missing_fields:category' || CASE WHEN doc_id % 3 = 0 THEN ',urgency' ELSE '' END AS reason FROM documents",
+        "parse_seed_records": f"SELECT doc_id, md5(text) AS text, CASE WHEN doc_id % 2 = 0 THEN 'seek_validation' ELSE 'unclear' END AS intent, CASE WHEN doc_id % 3 = 0 THEN 'guilt,anger,fear,hope' ELSE 'neutral' END AS emotions, greatest(1, least(5, doc_id % 9))::INT AS urgency_level, 'en' AS language, 'latin_roman' AS script FROM ({RECORDS}) WHERE doc_id % 4 < 2",
+        "session_profile_choice": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'call ' || turn WHEN conv_id % 2 = 0 THEN 'session ' || conv_id ELSE 'default' END AS profile FROM conversations",
+        "io_jsonl": f"SELECT doc_id, md5(text) AS text_md5, intent, urgency, true AS numbered, (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS malformed FROM ({RECORDS})",
+        "io_seed_csv": f"WITH {SEED_ROWS} SELECT row_::VARCHAR AS id, md5(text) AS text_md5, intent, (row_ % 5 + 1)::VARCHAR AS urgency_level, '' AS split FROM z",
+        "io_index": "SELECT vec_id AS chunk_id, 'chunk ' || vec_id AS text, len(embedding)::INT AS width, 0::INT AS missing FROM embeddings",
+        "io_document": "SELECT '3' AS now, 3::INT AS stressors, '2' AS before",
+        "io_turn_log": f"WITH {FIRST_TURNS} SELECT count(*) AS turns, count(*) FILTER (hard_exit) AS crisis_exits, 2.0::DOUBLE AS avg_chunks FROM y",
         "validate_split_counts": f"WITH o AS ({ODD}), {validated('o')} SELECT CASE WHEN text = '' THEN 'dropped' WHEN said <> '' THEN 'corrected' ELSE 'clean' END AS outcome, count(*) AS n FROM v5 GROUP BY 1",
         "pipeline_stats": f"""WITH {CURATED} SELECT (SELECT count(*) FROM cleaned) AS raw_loaded, (SELECT count(*) FROM e) AS after_clean, (SELECT count(*) FROM cleaned WHERE reason IS NOT NULL) AS clean_dropped,
           (SELECT count(*) FROM k) AS after_dedup, (SELECT count(*) FROM m WHERE copy) AS dedup_exact, 0::BIGINT AS dedup_semantic, count(*) FILTER (text <> '') AS after_validate,
           count(*) FILTER (text <> '' AND said <> '') AS validate_corrected, count(*) FILTER (text = '') AS validate_dropped, count(*) FILTER (text <> '') AS final_written FROM v5""",
         "pipeline_final": f"WITH {CURATED} SELECT doc_id, i2 AS intent, CASE WHEN align THEN want ELSE c4 END AS category, u3 AS urgency, l1 AS language FROM v5 WHERE text <> ''",
         "distribution_category": f"SELECT category AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM ({RECORDS}) GROUP BY 1",
-        "distribution_intent_top10": f"SELECT intent AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM ({RECORDS}) WHERE doc_id % 3 <> 1 OR intent <> 'greeting' GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
+        "distribution_intent_top10": f"SELECT intent AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM ({RECORDS}) GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
         "gap_report": f"WITH {GAPS} SELECT label, n, target, gap FROM g WHERE gap > 0",
         "seed_gap_report": f"WITH {FELT}, t1_ AS (SELECT unnest({array(X.SEED_INTENTS)}) AS label, unnest([{', '.join(map(str, X.SEED_TARGETS.values()))}]) AS target), c_ AS (SELECT intent, count(*) AS n FROM felt GROUP BY 1), g_ AS (SELECT label, coalesce(n, 0) AS n, target, target - coalesce(n, 0) AS gap FROM t1_ LEFT JOIN c_ ON intent = label), h AS (SELECT *, CASE WHEN label = 'crisis_signal' THEN least(gap, 50) ELSE gap END AS this_run FROM g_ WHERE gap > 0) SELECT *, least(this_run, 20) AS this_call FROM h",
         "generation_calls": f"WITH {GAPS}, x AS (SELECT label, gap, unnest(range((gap + 9) // 10))::INT AS call FROM g WHERE gap > 0) SELECT label, gap, call, least(10, gap - call * 10) AS ask FROM x",
@@ -241,7 +284,14 @@ def oracle_sql() -> dict[str, str]:
         "retrieve_context": f"WITH {FILTERED} SELECT query_id, string_agg(rank || '. [src' || (chunk_id % 4) || '] chunk ' || chunk_id, chr(10) ORDER BY rank) AS context FROM g WHERE rank <= 3 GROUP BY 1",
         "retrieve_query_text": f"WITH {FELT} SELECT conv_id, turn, md5(stressor_type || ' ' || primary_emotion || ' ' || substring(text, 1, 200)) AS query_md5 FROM felt",
         "vectors_normalised": "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS square FROM embeddings",
-        "kb_enriched": "SELECT 'academic_pressure,financial_stress,marriage_pressure' AS ids, 'new note' AS notes, 'forced to marry,locked in' AS tier_2",
+        "turn_flow": f"""WITH {FIRST_TURNS} SELECT conv_id, k, CASE WHEN hard_exit THEN replace(replace({reply}, '{{name}}', helpline_name), '{{number}}', helpline_number) ELSE 'The mode is ' || mode || ' today' END AS response,
+          CASE WHEN NOT hard_exit THEN primary_emotion WHEN safeguarding THEN 'fear' ELSE 'grief' END AS emotion, CASE WHEN hard_exit THEN 'crisis_signal' ELSE intent END AS intent, CASE WHEN hard_exit THEN 'none' ELSE stressor_type END AS stressor,
+          CASE WHEN hard_exit THEN risk_level ELSE u END AS urgency, risk_level AS risk, CASE WHEN hard_exit THEN CASE risk_level WHEN 5 THEN 'crisis_overlay' WHEN 4 THEN 'urgent_prompt' ELSE 'safeguarding' END WHEN risk_level = 3 THEN 'crisis_calm_conversation' WHEN u = 2 THEN 'gentle_checkin' ELSE 'none' END AS risk_action,
+          CASE WHEN risk_level > 1 THEN 'regex' ELSE 'none' END AS risk_source, hard_exit AS crisis_exit, CASE WHEN hard_exit THEN '' ELSE 'listen|ask' END AS strategies, CASE WHEN hard_exit THEN '' ELSE 'exact' END AS parse_strategy FROM y""",
+        "turn_state": f"""WITH {FIRST_TURNS} SELECT conv_id, count(*) AS turn_count, (2 * count(*))::INT AS n_history, coalesce(string_agg(primary_emotion, '|' ORDER BY k) FILTER (NOT hard_exit), '') AS arc, coalesce(last(stressor_type ORDER BY k) FILTER (NOT hard_exit), '') AS last_stressor FROM y GROUP BY 1""",
+        "risk_prompt": "SELECT conv_id, turn, '  tier_3:' || chr(10) || '    - no point#  - marriage_pressure: Marriage pressure#  (none)' AS risk_prompt FROM conversations WHERE role = 'user'",
+        "kb_chunks": f"SELECT part::INT AS part, id, text, source, CASE WHEN part = 1 THEN id END AS stressor_type, chunk_type, CASE WHEN part = 3 THEN id END AS guardrail_id FROM (VALUES {', '.join(f'({p}, {q(i)}, {q(t)}, {q(s)}, {q(k)})' for p, i, t, s, k in CHUNKS)}) v(part, id, text, source, chunk_type)",
+        "kb_enriched": "SELECT 'academic_pressure,financial_stress,marriage_pressure' AS ids, 'new note' AS notes, 'forced to marry,locked in' AS tier_2, true AS amplifies, 'identity_conflict' AS escalates, 'Standing of the family.' AS meaning, 'by age' AS safeguarding_context, '2' AS version",
         "kb_risk_phrases": "SELECT 'tier_3' AS tier, 'no point' AS phrases",
         "session_turns": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_count FROM conversations",
         "session_history_window": "WITH h AS (SELECT conv_id, turn, list(role || ':' || substring(coalesce(text, ''), 1, 120)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM conversations) SELECT conv_id, turn, coalesce(len(h), 0)::INT AS n_history, md5(coalesce(array_to_string(h, chr(10)), '')) AS history_md5 FROM h",
@@ -251,22 +301,22 @@ def oracle_sql() -> dict[str, str]:
         "session_profile": f"WITH {FELT}, x AS (SELECT conv_id, primary_emotion AS e, min(turn) AS at_ FROM felt WHERE primary_emotion <> 'neutral' GROUP BY ALL) SELECT conv_id, array_to_string(list(e ORDER BY at_), '|') AS stressors FROM x GROUP BY 1",
         "session_summary": f"WITH {FELT_RISK} SELECT conv_id, count(*) AS turns, count(*) FILTER (hard_exit) AS crisis_exits, round(avg(turn % 4), 1) AS avg_chunks FROM risk GROUP BY 1",
         "session_intent_counts": f"WITH {FELT} SELECT intent, count(*) AS n FROM felt GROUP BY 1",
-        "prompt_modes": f"WITH {FELT_RISK} SELECT CASE WHEN risk_level >= 4 THEN 'crisis' WHEN list_contains({array(SOCIAL_INTENTS)}, intent) THEN 'social' WHEN urgency_level >= 4 THEN 'high_distress' WHEN list_contains({array(TENDER_EMOTIONS)}, primary_emotion) THEN 'emotional' WHEN intent = 'greeting' THEN 'greeting' ELSE 'normal' END AS mode, CASE WHEN risk_level >= 4 THEN 150 ELSE 120 END AS word_cap, count(*) AS n FROM risk GROUP BY ALL",
+        "prompt_modes": f"WITH {FELT_RISK} SELECT CASE WHEN risk_level >= 4 THEN 'crisis' WHEN list_contains({array(X.SOCIAL_INTENTS)}, intent) THEN 'social' WHEN urgency_level >= 4 THEN 'high_distress' WHEN list_contains({array(X.TENDER_EMOTIONS)}, primary_emotion) THEN 'emotional' WHEN intent = 'greeting' THEN 'greeting' ELSE 'normal' END AS mode, CASE WHEN risk_level >= 4 THEN 150 ELSE 120 END AS word_cap, count(*) AS n FROM risk GROUP BY ALL",
         "parse_events_props": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
         "parse_records": f"SELECT doc_id, md5({strip("replace(text, ']', ')')")}) AS text_md5, CASE WHEN doc_id % 2 = 0 THEN intent ELSE 'casual_chat' END AS intent, 'neutral' AS category, greatest(1, least(5, doc_id % 9))::INT AS urgency, 'en' AS language FROM ({RECORDS}) WHERE doc_id % 3 < 2 AND length({strip('text')}) >= 5",
         "parse_metadata_kv": f"""WITH x AS (SELECT doc_id, doc_id % 3 < 2 AS meta, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE greatest(1, least(5, doc_id % 6)) END AS risk, 2 + doc_id % 200 AS words, CASE WHEN doc_id % 3 < 2 AND doc_id % 5 <> 0 AND doc_id % 6 >= 4 THEN 150 ELSE 120 END AS cap FROM documents)
           SELECT doc_id, CASE WHEN NOT meta THEN 'neutral' WHEN doc_id % 4 = 0 THEN 'hope' ELSE 'fear' END AS emotion, 'unknown' AS intent, CASE WHEN meta THEN greatest(1, least(5, doc_id % 8)) ELSE 1 END::INT AS urgency,
-          CASE WHEN meta THEN risk ELSE 1 END::INT AS risk, CASE WHEN meta THEN 'a|b|c' ELSE '' END AS strategies, ['exact', 'partial', 'fallback'][(doc_id % 3 + 1)::INT] AS parse_strategy, CASE WHEN words > cap THEN cap ELSE words END::INT AS n_words FROM x""",
+          CASE WHEN meta THEN risk ELSE 1 END::INT AS risk, CASE WHEN meta THEN 'a|b|c' ELSE '' END AS strategies, ['exact', 'partial', 'fallback'][(doc_id % 3 + 1)::INT] AS parse_strategy, CASE WHEN words > cap THEN 'hear this ' || trim(repeat('word ', (cap - 2)::BIGINT)) || '...' ELSE trim('hear this ' || repeat('word ', (words - 2)::BIGINT)) END AS response FROM x""",
         "parse_risk_scores": """WITH x AS (SELECT doc_id, (doc_id % 8)::INT AS l, doc_id % 10 = 0 AS none, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 8 = 1 THEN 'safe' ELSE 'tier_' || doc_id % 8 END ELSE 'tier_2' END AS t FROM documents),
           y AS (SELECT *, NOT none AND l BETWEEN 1 AND 5 AS ok FROM x)
           SELECT doc_id, CASE WHEN ok THEN l ELSE 1 END AS risk_level, CASE WHEN ok THEN t ELSE 'safe' END AS tier, CASE WHEN none THEN 'no_json_in_response' WHEN NOT ok THEN 'invalid_risk_level' ELSE 'because' END AS reason,
           ok AND doc_id % 2 = 0 AS safeguarding, CASE WHEN NOT ok OR t = 'safe' THEN '' WHEN t = 'tier_2' THEN 'tier_2_minor' ELSE t END AS helpline_key FROM y""",
         "parse_emotion_lists": "SELECT doc_id, ['guilt,anger,fear,hope', 'neutral', 'shame'][(doc_id % 3 + 1)::INT] AS emotions, doc_id % 2 = 0 AS mixed FROM documents",
         "parse_token_stream": "WITH e AS (SELECT user_id, event_id, substr(event_type, 1, 1) AS p, event_id % 97 = 0 AND event_id % 13 <> 0 AS done FROM events), d AS (SELECT user_id, min(event_id) FILTER (done) AS stop FROM e GROUP BY 1) SELECT e.user_id, coalesce(string_agg(p, '' ORDER BY event_id) FILTER (event_id % 13 <> 0), '') AS text FROM e JOIN d ON e.user_id = d.user_id WHERE stop IS NULL OR event_id <= stop GROUP BY 1",
-        "class_weights": f"WITH r AS (SELECT intent FROM ({RECORDS}) WHERE intent <> 'greeting'), l AS (SELECT unnest({array(X.INTENTS)}) AS label), c AS (SELECT label, greatest(1, (SELECT count(*) FROM r WHERE intent = label)) AS n FROM l) SELECT label, n, round((SELECT count(*) FROM r) / (26.0 * n), 6)::DOUBLE AS weight FROM c",
+        "class_weights": f"WITH r AS (SELECT intent FROM ({RECORDS})), l AS (SELECT unnest({array(X.INTENTS)}) AS label), c AS (SELECT label, greatest(1, (SELECT count(*) FROM r WHERE intent = label)) AS n FROM l) SELECT label, n, round((SELECT count(*) FROM r) / (26.0 * n), 6)::DOUBLE AS weight FROM c",
         "label_index": f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 25 ELSE list_position({array(X.INTENTS)}, intent) - 1 END::INT AS intent_idx, (list_position({array(X.CATEGORIES)}, category) - 1)::INT AS category_idx FROM ({RECORDS})",
         "ordinal_encode": "SELECT doc_id, array_to_string(list_transform([1, 2, 3, 4], lambda k: (doc_id % 5 + 1 > k)::INT), ',') AS bits, (doc_id % 5 + 1)::INT AS level FROM documents",
-        "best_labels": "WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS l FROM embeddings), m AS (SELECT *, list_max(l) AS top FROM v) SELECT vec_id, (['a','b','c','d','e','f','g','h'])[list_position(l, top)] AS label, round(1 / list_sum(list_transform(l, lambda x: exp(x - top))), 4) AS confidence FROM m",
+        "best_labels": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS l FROM embeddings), m AS (SELECT *, list_max(l) AS top FROM v) SELECT vec_id, 'label_' || (list_position(l, top) - 1) AS label, round(1 / list_sum(list_transform(l, lambda x: exp(x - top))), 4) AS confidence FROM m",
         "accuracy": f"SELECT round(avg((true_intent = pred_intent)::INT), 4) AS accuracy FROM ({PREDICTIONS})",
         "macro_f1": f"WITH {COUNTS} SELECT round(avg(f1), 4) AS macro_f1 FROM f",
         "per_class_f1": f"WITH {COUNTS} SELECT idx::INT AS idx, label, round(pr, 3)::DOUBLE AS precision, round(re, 3)::DOUBLE AS recall, round(f1, 3)::DOUBLE AS f1, support FROM f",
@@ -278,12 +328,17 @@ def oracle_sql() -> dict[str, str]:
         "train_val_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= greatest(1, (count(*) OVER ()) // 10) THEN 'val' ELSE 'train' END AS split FROM documents",
         "stratified_split": "WITH x AS (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT doc_id, CASE WHEN k <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM x",
         "evaluation_sample": "SELECT doc_id, quality FROM labels ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
-        "early_stopping": f"""WITH {EPOCHS}, b AS (SELECT epoch, score, max(score) OVER (ORDER BY epoch) AS best, max(score) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
-          c AS (SELECT *, before IS NULL OR score > before AS improved FROM b), d AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch) AS stale FROM c)
-          SELECT epoch, best AS best_so_far, improved, stale, bool_or(stale >= 3) OVER (ORDER BY epoch) AS stopped FROM d""",
+        "early_stopping": f"""WITH {EPOCHS}, b AS (SELECT run, epoch, score, max(score) OVER o AS best, max(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e WINDOW o AS (PARTITION BY run ORDER BY epoch)),
+          c AS (SELECT *, before IS NULL OR score > before AS improved FROM b), d AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS stale FROM c)
+          SELECT run, epoch, best AS best_so_far, improved, stale, bool_or(stale >= 3) OVER (PARTITION BY run ORDER BY epoch) AS stopped FROM d""",
         "joint_loss": f"WITH {EPOCHS} SELECT epoch, round(score + a * 0.7::DOUBLE + 0.25, 6) AS loss, floor(epoch * 7 * 0.1::DOUBLE)::INT AS warmup FROM e",
         "events_tumbling": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
         "events_session": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, k",
-        "retention_30d": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1",
+        "stream_tumbling": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+        "stream_session_state": f"""WITH u AS (SELECT conv_id, turn, role, text FROM conversations), {detected('u')}, x AS (SELECT conv_id, turn, row_number() OVER w AS turn_count, list(primary_emotion) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l,
+            last_value(stressor_type IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_stressor FROM felt WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+          SELECT conv_id, turn, turn_count, CASE WHEN turn_count >= 3 THEN array_to_string(l, ' → ') END AS arc, last_stressor FROM x""",
+        "stream_curated": f"WITH r AS (SELECT doc_id, text, 'en' AS language, 'casual_chat' AS intent, 'neutral' AS category, 1 AS urgency FROM documents), {CLEANED} SELECT DISTINCT {fingerprint('text')} AS _fingerprint FROM cleaned WHERE reason IS NULL",
+        "retention_30d": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY 1",
         "user_last_event": "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1",
     }

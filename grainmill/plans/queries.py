@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.taxonomy import INTENTS
@@ -12,7 +12,9 @@ from grainmill.functions.text import fingerprint, seed_fingerprint
 from grainmill.operators import affect, cleaning, dedup, labels, metrics, parse, reports, retrieval, safety
 from grainmill.operators import sessions as talk
 from grainmill.plans import curation, fixtures
-from grainmill.sources.scratch import table
+from grainmill.plans import turns as flow
+from grainmill.sources import files, models
+from grainmill.sources.scratch import shared_path, table
 from grainmill.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,10 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(fixtures.records(spark, sf_dir))
 
 
+def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.with_fingerprint(_read(spark, sf_dir, "documents")).select("doc_id", "_fingerprint")
+
+
 def _joined(c) -> Column:
     return F.array_join(c, "|")
 
@@ -46,7 +52,7 @@ def _joined(c) -> Column:
 @query
 def curated_by_language(spark, sf_dir):
     kept, _ = cleaning.split_clean(fixtures.records(spark, sf_dir))
-    marked = dedup.marked_copies(dedup.with_fingerprint(kept), "doc_id")
+    marked = dedup.marked_copies(dedup.with_fingerprint(kept).select("doc_id", "language", "_fingerprint"), "doc_id")
     return marked.groupBy("language", F.coalesce("_dedup_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -92,12 +98,12 @@ def dedup_sha256(spark, sf_dir):
 
 @query
 def dedup_exact(spark, sf_dir):
-    return dedup.exact(dedup.with_fingerprint(_read(spark, sf_dir, "documents")), "doc_id")[0].select("doc_id")
+    return dedup.exact(_fingerprinted(spark, sf_dir), "doc_id")[0].select("doc_id")
 
 
 @query
 def dedup_removed(spark, sf_dir):
-    return dedup.exact(dedup.with_fingerprint(_read(spark, sf_dir, "documents")), "doc_id")[1].select("doc_id", F.col("_dedup_reason").alias("reason"))
+    return dedup.exact(_fingerprinted(spark, sf_dir), "doc_id")[1].select("doc_id", F.col("_dedup_reason").alias("reason"))
 
 
 @query
@@ -110,7 +116,7 @@ def dedup_cross_batch(spark, sf_dir):
 
 @query
 def dedup_counters(spark, sf_dir):
-    marked = dedup.marked_copies(dedup.with_fingerprint(_read(spark, sf_dir, "documents")), "doc_id")
+    marked = dedup.marked_copies(_fingerprinted(spark, sf_dir), "doc_id")
     return marked.agg(F.count("*").alias("total"), F.count("_dedup_reason").alias("exact_removed"))
 
 
@@ -148,6 +154,15 @@ def validate_corrections(spark, sf_dir):
     return _validated(spark, sf_dir).select("doc_id", _joined("_corrections").alias("corrections"))
 
 
+@query
+def validate_missing_fields(spark, sf_dir):
+    """Without a category column, and with urgency missing from some rows: defaults, or a reason in strict mode."""
+    rows, lacks = fixtures.records(spark, sf_dir).drop("category"), {"urgency": F.col("doc_id") % 3 == 0}
+    tolerant, strict = labels.validate(rows, missing=lacks), labels.validate(rows, strict=True, missing=lacks)
+    filled = F.filter("_corrections", lambda c: c.startswith("filled_default"))
+    return tolerant.select("doc_id", _joined(filled).alias("filled")).join(strict.select("doc_id", F.col("_drop_reason").alias("reason")), "doc_id")
+
+
 @query
 def validate_split_counts(spark, sf_dir):
     kind = F.when(F.col("_drop_reason").isNotNull(), "dropped").when(F.size("_corrections") > 0, "corrected").otherwise("clean")
@@ -171,7 +186,7 @@ def distribution_category(spark, sf_dir):
 
 @query
 def distribution_intent_top10(spark, sf_dir):
-    return reports.distribution(fixtures.records(spark, sf_dir).where("doc_id % 3 <> 1 OR intent <> 'greeting'"), "intent", 10)
+    return reports.distribution(fixtures.records(spark, sf_dir), "intent", 10)
 
 
 @query
@@ -290,7 +305,7 @@ def _index(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
     stressor = F.when(F.col("label") % 3 != 0, F.concat(F.lit("s"), (F.col("label") % 3).cast("string")))
     index = e.select(F.col("vec_id").alias("chunk_id"), "embedding", stressor.alias("stressor_type"))
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 2 == 0, "s1").alias("wanted"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 400 == 0, "s1").when(F.col("vec_id") % 400 == 100, "none").alias("wanted"))
     return index, asked
 
 
@@ -331,12 +346,20 @@ def kb_chunks(spark, sf_dir):
     return retrieval.chunks(fixtures.knowledge_base(spark))
 
 
+@query
+def risk_prompt(spark, sf_dir):
+    """The parts of a scorer's prompt that come from the knowledge base, for each document's text."""
+    prompt = safety.risk_prompt(fixtures.knowledge_base(spark), "{phrases}#{stressors}#{idioms}")
+    return _read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn").crossJoin(F.broadcast(prompt)).select("conv_id", "turn", "risk_prompt")
+
+
 @query
 def kb_enriched(spark, sf_dir):
     fields = spark.createDataFrame([("academic_pressure", ["new note"]), ("not_there", ["x"])], "id string, cultural_context_notes array<string>")
-    kb = retrieval.enrich(fixtures.knowledge_base(spark), fields, {"tier_2": ["forced to marry", "locked in"]})
+    risk = spark.createDataFrame([("izzat", True, ["identity_conflict"]), ("not_there", True, ["x"])], "id string, risk_amplifier boolean, escalates_stressors array<string>")
+    kb = retrieval.enrich(fixtures.knowledge_base(spark), fields, {"tier_2": ["forced to marry", "locked in"]}, risk, {"safeguarding_context": F.lit("by age")}, {"version": "2"})
     notes = F.array_join(F.flatten(F.map_values(F.transform_values("stressor_taxonomy", lambda _, v: F.coalesce(v["cultural_context_notes"], F.array().cast("array<string>"))))), ",")
-    return kb.select(F.array_join(F.array_sort(F.map_keys("stressor_taxonomy")), ",").alias("ids"), notes.alias("notes"), F.array_join(F.col("crisis_keywords")["tier_2"], ",").alias("tier_2"))
+    return kb.select(F.array_join(F.array_sort(F.map_keys("stressor_taxonomy")), ",").alias("ids"), notes.alias("notes"), F.array_join(F.col("crisis_keywords")["tier_2"], ",").alias("tier_2"), F.col("cultural_idioms")["izzat"]["risk_amplifier"].alias("amplifies"), F.array_join(F.col("cultural_idioms")["izzat"]["escalates_stressors"], ",").alias("escalates"), F.col("cultural_idioms")["izzat"]["meaning"].alias("meaning"), "safeguarding_context", F.col("_meta")["version"].alias("version"))
 
 
 @query
@@ -377,6 +400,13 @@ def _log(spark, sf_dir):
     return risk.select("conv_id", "intent", safety.hard_exit(F.col("risk_level")).alias("crisis_exit"), (F.col("turn") % 4).cast("int").alias("rag_chunks"))
 
 
+@query
+def session_profile_choice(spark, sf_dir):
+    """The profile that a turn uses: the call's, else the session's, else the default."""
+    call, session = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("call "), F.col("turn"))), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("session "), F.col("conv_id")))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", talk.resolved(call, session, F.lit("default")).alias("profile"))
+
+
 @query
 def session_summary(spark, sf_dir):
     return talk.summary(_log(spark, sf_dir), "conv_id")
@@ -393,6 +423,90 @@ def prompt_modes(spark, sf_dir):
     return talk.prompt(f, {"normal": "Answer plainly."}).groupBy("mode", "word_cap").agg(F.count("*").alias("n"))
 
 
+def _encoder():
+    return models.hashed_words(64)
+
+
+def _speaker():
+    """A stand-in for a model: says which mode the prompt asks for, so that replies depend on it."""
+    return lambda prompts: [f"---RESPONSE---\nThe mode is {p.rsplit('### Mode', 1)[1].split()[0]} today\n---METADATA---\nstrategy=listen, ask" for p in prompts]
+
+
+def _flow(spark, sf_dir, scorer=None):
+    """The first two turns of each conversation, one after the other."""
+    chunks = retrieval.chunks(fixtures.knowledge_base(spark)).withColumn("chunk_id", F.row_number().over(Window.orderBy("part", "id", "chunk_type", "text")).cast("long"))
+    index = table(models.embed(chunks, "text", _encoder), "chunks")
+    said, state, results = fixtures.turns(spark, sf_dir), flow.new_state(spark), []
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    first = said.withColumn("k", place).where("k <= 2")
+    for k in (1, 2):
+        done = flow.answer(first.where(F.col("k") == k), state, fixtures.knowledge_base(spark), index, _encoder, _speaker, {}, scorer=scorer)
+        state = done.state
+        results.append(done.results.withColumn("k", F.lit(k)))
+    return results[0].unionByName(results[1]), state
+
+
+@query
+def io_jsonl(spark, sf_dir):
+    """Records written twice as JSON lines, the second time appended, with lines that do not parse between; read again with their order."""
+    path, r = shared_path(spark, "jsonl"), fixtures.records(spark, sf_dir)
+    files.write_jsonl(r.where("doc_id % 2 = 0"), path)
+    files.write_jsonl(r.where("doc_id % 2 = 1"), path, append=True)
+    r.where("doc_id % 50 = 0").select(F.concat(F.lit("{broken "), "doc_id")).write.mode("append").text(path)
+    schema = "doc_id long, text string, language string, intent string, category string, urgency int"
+    good, bad = files.read_jsonl(spark, path, schema, "part-*")
+    rows = files.in_order(good)
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), "intent", "urgency").crossJoin(F.broadcast(rows.agg((F.countDistinct("_ord") == F.max("_ord") + 1).alias("numbered")).crossJoin(bad.agg(F.count("*").alias("malformed")))))
+
+
+@query
+def io_seed_csv(spark, sf_dir):
+    path, r = shared_path(spark, "csv"), _seed_rows(spark, sf_dir).select(F.col("row").cast("string").alias("id"), "text", "intent", "urgency_level", F.lit(1).alias("extra"))
+    files.append_seed_csv(r.where("urgency_level <= 2"), path)
+    files.append_seed_csv(r.where("urgency_level > 2"), path)
+    return files.read_seed_csv(spark, path).select("id", F.md5("text").alias("text_md5"), "intent", "urgency_level", F.coalesce("split", F.lit("")).alias("split"))
+
+
+@query
+def io_index(spark, sf_dir):
+    path, e = shared_path(spark, "index"), _read(spark, sf_dir, "embeddings")
+    files.write_index(e.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("chunk "), "vec_id").alias("text"), "embedding"), path)
+    files.write_chunks(files.read_index(spark, path), f"{path}-chunks")
+    return files.read_index(spark, path).join(spark.read.schema("chunk_id long, text string").json(f"{path}-chunks"), ["chunk_id", "text"]).select("chunk_id", "text", F.size("embedding").alias("width"), F.lit(files.read_index(spark, f"{path}-none").count()).alias("missing"))
+
+
+@query
+def io_document(spark, sf_dir):
+    """A document replaced twice: the backup holds the one before."""
+    path, kb = shared_path(spark, "document"), fixtures.knowledge_base(spark)
+    for version in ("1", "2", "3"):
+        files.replace_document(retrieval.enrich(kb, spark.createDataFrame([], "id string"), meta={"version": version}), path, f"{path}-backup")
+    now, old = (files.read_document(spark, p, retrieval.KB_SCHEMA) for p in (path, f"{path}-backup"))
+    return now.select(F.col("_meta")["version"].alias("now"), F.size("stressor_taxonomy").alias("stressors")).crossJoin(old.select(F.col("_meta")["version"].alias("before")))
+
+
+@query
+def io_turn_log(spark, sf_dir):
+    path = shared_path(spark, "turns")
+    results, _ = _flow(spark, sf_dir)
+    said = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.lit("said").alias("text"))
+    for k in (1, 2):
+        files.append_turns(flow.log_rows(results.where(F.col("k") == k), said, "2024-01-01T00:00:00"), path)
+    return talk.summary(files.read_jsonl(spark, path, files.TURN_LOG_SCHEMA, "*.json")[0].withColumn("rag_chunks", F.lit(2)))
+
+
+@query
+def turn_flow(spark, sf_dir):
+    results, _ = _flow(spark, sf_dir)
+    return results.select("conv_id", "k", "response", "emotion", "intent", "stressor", "urgency", "risk", "risk_action", "risk_source", "crisis_exit", _joined("strategy").alias("strategies"), "parse_strategy")
+
+
+@query
+def turn_state(spark, sf_dir):
+    _, state = _flow(spark, sf_dir)
+    return state.select("conv_id", "turn_count", F.size("history").alias("n_history"), _joined("emotion_arc").alias("arc"), F.coalesce("last_stressor", F.lit("")).alias("last_stressor"))
+
+
 @query
 def parse_events_props(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
@@ -407,6 +521,15 @@ def parse_records(spark, sf_dir):
     return out.select("doc_id", F.md5("text").alias("text_md5"), "intent", "category", "urgency", "language")
 
 
+@query
+def parse_seed_records(spark, sf_dir):
+    r = fixtures.records(spark, sf_dir)
+    i = F.col("doc_id")
+    item = F.to_json(F.struct(F.md5("text").alias("text"), F.when(i % 2 == 0, F.lit("seek_validation")).alias("intent"), F.when(i % 3 == 0, "guilt,odd, anger,fear,hope,love").otherwise("odd").alias("emotions"), (i % 9).alias("urgency_level")))
+    raw = F.when(i % 4 == 0, F.concat(F.lit("```json\n["), item, F.lit("]\n```"))).when(i % 4 == 1, F.concat(F.lit("note [1]: [ "), item, F.lit(" ] done"))).when(i % 4 == 2, '[{"text": "too short"}]').otherwise("no array")
+    return parse.seed_records(r.select("doc_id", raw.alias("raw"), F.lit("unclear").alias("intent"), F.lit("en").alias("language"))).select("doc_id", "text", "intent", "emotions", "urgency_level", "language", "script")
+
+
 def _raw_reply():
     i = F.col("doc_id")
     meta = F.concat(F.lit("emotion = "), F.when(i % 4 == 0, "calm").otherwise("fear"), F.lit("\nurgency="), (i % 8).cast("string"), F.lit("\nRISK= "), F.when(i % 5 == 0, "high").otherwise((i % 6).cast("string")), F.lit("\nstrategy=a, b ,,c\nemotion="), F.when(i % 4 == 0, "hope").otherwise("fear"))
@@ -417,7 +540,7 @@ def _raw_reply():
 @query
 def parse_metadata_kv(spark, sf_dir):
     out = parse.reply(_read(spark, sf_dir, "documents").select("doc_id", _raw_reply().alias("raw")))
-    return out.select("doc_id", "emotion", "intent", "urgency", "risk", _joined("strategy").alias("strategies"), "parse_strategy", F.size(F.split("response", " ")).alias("n_words"))
+    return out.select("doc_id", "emotion", "intent", "urgency", "risk", _joined("strategy").alias("strategies"), "parse_strategy", "response")
 
 
 @query
@@ -444,7 +567,7 @@ def parse_token_stream(spark, sf_dir):
 
 @query
 def class_weights(spark, sf_dir):
-    w = metrics.class_weights(fixtures.records(spark, sf_dir).where("intent <> 'greeting'"))
+    w = metrics.class_weights(fixtures.records(spark, sf_dir))
     return w.select("label", "n", F.round("weight", 6).alias("weight"))
 
 
@@ -463,8 +586,8 @@ def ordinal_encode(spark, sf_dir):
 
 @query
 def best_labels(spark, sf_dir):
-    e = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("logits"))
-    label, share = metrics.best_label(F.col("logits"), ["a", "b", "c", "d", "e", "f", "g", "h"])
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    label, share = metrics.best_label(F.col("logits"), [f"label_{i}" for i in range(64)])
     return e.select("vec_id", label.alias("label"), share.alias("confidence"))
 
 
@@ -526,13 +649,14 @@ def evaluation_sample(spark, sf_dir):
 
 
 def _epochs(spark, sf_dir):
-    e = _read(spark, sf_dir, "events").where("event_id < 40")
-    return e.select(F.col("event_id").alias("epoch"), F.round(1 - 1 / (1 + F.col("event_id") % 12), 4).alias("score"), (F.col("event_id") * 0.1).alias("a"))
+    """The events as one log of training runs: a run for each user."""
+    e = _read(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), F.round(1 - 1 / (1 + F.col("event_id") % 12), 4).alias("score"), (F.col("event_id") * 0.1).alias("a"))
 
 
 @query
 def early_stopping(spark, sf_dir):
-    return metrics.early_stopping(_epochs(spark, sf_dir)).select("epoch", "best_so_far", "improved", "stale", "stopped")
+    return metrics.early_stopping(_epochs(spark, sf_dir), run="run").select("run", "epoch", "best_so_far", "improved", "stale", "stopped")
 
 
 @query
@@ -553,13 +677,13 @@ def events_session(spark, sf_dir):
 
 @query
 def retention_30d(spark, sf_dir):
-    return streams.retained(_read(spark, sf_dir, "events"), days=10, now="2024-01-25 00:00:00").groupBy("event_type").agg(F.count("*").alias("n"))
+    return streams.retained(_read(spark, sf_dir, "events"), days=30, now="2024-02-10 00:00:00").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query
 def stream_tumbling(spark, sf_dir):
     source = _stream(spark, sf_dir, "events")
-    return streams.to_table(streams.windowed_counts(source.withColumn("ts", F.col("ts").cast("timestamp")))).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+    return streams.to_latest(streams.windowed_counts(source.withColumn("ts", F.col("ts").cast("timestamp"))), "start", "event_type").select(F.unix_timestamp("start").alias("start"), "event_type", "n")
 
 
 @query
@@ -573,7 +697,7 @@ def stream_session_state(spark, sf_dir):
 def stream_curated(spark, sf_dir):
     source = _stream(spark, sf_dir, "documents")
     raw = source.select("doc_id", "text", F.lit("en").alias("language"), F.lit("casual_chat").alias("intent"), F.lit("neutral").alias("category"), F.lit(1).alias("urgency"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
-    return streams.to_table(streams.curated_stream(raw, "ts")).select("doc_id", "_fingerprint")
+    return streams.to_table(streams.curated_stream(raw, "ts")).select("_fingerprint")
 
 
 @query

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainmill.functions.taxonomy import SEED_COLUMNS
+from grainmill.sources.scratch import small, table
 
 META = "struct<model: string, batch_id: string, prompt_hash: string, generated_at: string>"
 RAW_SCHEMA = f"text string, intent string, category string, urgency int, language string, _meta {META}"
@@ -29,18 +30,31 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, schema: str = RAW_SCHEMA, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(records, malformed lines) of a file or folder of JSON lines; blank lines are neither.
 
-    Records carry _file for the order of files. A missing path gives empty tables.
+    Records carry _file and _block (where their split of the file begins), from which in_order() numbers them. A missing
+    path gives empty tables.
     """
     if not exists(spark, path):
-        return empty(spark, schema).withColumn("_file", F.lit("")), empty(spark, "_corrupt string, _file string")
+        return empty(spark, schema).withColumns({"_file": F.lit(""), "_block": F.lit(0).cast("long")}), empty(spark, "_corrupt string, _file string")
     full = T._parse_datatype_string(schema) if not isinstance(schema, T.StructType) else schema
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    lines = spark.read.option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_name").alias("_file")).where(F.trim("value") != "")
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).where(F.trim("value") != "")
     marked = T.StructType([*full.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = lines.select(F.from_json("value", marked, options).alias("r"), "_file").select("r.*", "_file")
+    parsed = lines.select(F.from_json("value", marked, options).alias("r"), "_file", "_block").select("r.*", "_file", "_block")
     return parsed.where("_corrupt IS NULL").drop("_corrupt"), parsed.where("_corrupt IS NOT NULL").select("_corrupt", "_file")
 
 
+def in_order(records: DataFrame, order: str = "_ord") -> DataFrame:
+    """records of read_jsonl(), written, with `order`: 0, 1, 2 ... by name of file, then by line.
+
+    Splits are counted, one small row each; a record's number is the records of the splits before and its place in its own.
+    """
+    held = table(records.withColumn("_gm_row", F.monotonically_increasing_id()), "records")
+    splits = held.groupBy("_file", "_block").agg(F.count("*").alias("_gm_n"), F.min("_gm_row").alias("_gm_first"))
+    before = F.sum("_gm_n").over(Window.partitionBy(F.lit(0)).orderBy("_file", "_block")) - F.col("_gm_n")
+    starts = splits.select("_file", "_block", "_gm_first", before.alias("_gm_before"))
+    return held.join(small(starts, 200), ["_file", "_block"]).withColumn(order, F.col("_gm_before") + F.col("_gm_row") - F.col("_gm_first")).drop("_gm_row", "_gm_first", "_gm_before")
+
+
 def present_keys(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """_file, keys: the fields that each line has, whatever their values, to tell a missing one from a null."""
     return spark.read.option("pathGlobFilter", glob).text(path).where(F.trim("value") != "").select(F.col("_metadata.file_name").alias("_file"), F.json_object_keys("value").alias("keys"))
@@ -79,6 +93,11 @@ def write_index(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
 
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """The chunks without their vectors, as JSON lines, beside the index."""
+    chunks.drop("embedding").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The vector table; a missing one is empty."""
     return spark.read.parquet(path) if exists(spark, path) else empty(spark, CHUNK_SCHEMA)

@@ -14,7 +14,7 @@ Embed = Callable[[list[str]], np.ndarray]
 
 
 def generate(df: DataFrame, prompt: str, make: Callable[[], Generate], output: str = "raw", retries: int = 3) -> DataFrame:
-    """df with the reply to each prompt; make() is called once a task. Empty replies are asked for again, `retries` times in all."""
+    """df with the reply to each prompt; make() is called once a task. Empty replies and calls that fail are tried again, `retries` times in all; a last failure is raised."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{output}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -22,10 +22,16 @@ def generate(df: DataFrame, prompt: str, make: Callable[[], Generate], output: s
         for b in batches:
             prompts = b.column(b.schema.get_field_index(prompt)).to_pylist()
             replies, open_ = [""] * len(prompts), list(range(len(prompts)))
-            for _ in range(retries):
+            for attempt in range(retries):
                 if not open_:
                     break
-                for i, r in zip(open_, model([prompts[i] for i in open_]), strict=True):
+                try:
+                    answers = model([prompts[i] for i in open_])
+                except Exception:
+                    if attempt + 1 == retries:
+                        raise
+                    continue
+                for i, r in zip(open_, answers, strict=True):
                     replies[i] = r or ""
                 open_ = [i for i in open_ if not replies[i].strip()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string())], names=[*b.schema.names, output])
@@ -33,6 +39,14 @@ def generate(df: DataFrame, prompt: str, make: Callable[[], Generate], output: s
     return df.mapInArrow(run, schema)
 
 
+def healthy(make: Callable[[], Generate], prompt: str = "ping") -> bool:
+    """Whether a model can be made and answers one prompt, here on the driver."""
+    try:
+        return len(make()([prompt])) == 1
+    except Exception:
+        return False
+
+
 def embed(df: DataFrame, text: str, make: Callable[[], Embed], output: str = "embedding", batch: int = 64) -> DataFrame:
     """df with unit vectors of its texts, `batch` texts at a time."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{output}` array<float>"

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import LongType, StructField, StructType
 
 from grainmill.operators import cleaning, dedup, labels
 from grainmill.sources.scratch import shared_path
@@ -85,7 +86,7 @@ def to_latest(stream: DataFrame, *keys: str) -> DataFrame:
     keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/rows/_gm_batch={batch}")
     stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
-    found = spark.read.schema(stream.schema.add("_gm_batch", "long")).parquet(f"{path}/rows")
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("_gm_batch", LongType())])).parquet(f"{path}/rows")
     return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_gm_batch").alias("_gm_last")).select(*keys, "_gm_last.*").select(*stream.columns)
 
 

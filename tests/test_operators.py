@@ -278,3 +278,127 @@ def test_models_plug_in(spark):
     df = rows(spark, [("a b",), (None,)], "text string")
     assert {r["raw"] for r in models.generate(df.na.fill(""), "text", _echo).collect()} == {"A B", ""}
     assert all(len(r["embedding"]) == 8 for r in models.embed(df, "text", _words).collect())
+
+
+def test_copies_of_ties_and_missing_order(spark):
+    df = dedup.with_fingerprint(rows(spark, [(1, "aaa bbb"), (1, "aaa bbb"), (None, "aaa bbb"), (None, "ccc"), (None, "ccc"), (7, "alone")], "i int, text string").coalesce(1))
+    kept, gone = dedup.exact(df, "i")
+    assert sorted((r["i"] or 0, r["text"]) for r in kept.collect()) == [(0, "ccc"), (1, "aaa bbb"), (7, "alone")] and gone.count() == 3
+
+
+def test_validate_keeps_the_origin(spark):
+    df = rows(spark, [("I want to die", "greeting", "neutral", 1, "en", ("m", "b"))], "text string, intent string, category string, urgency int, language string, _meta struct<model: string, batch_id: string>")
+    done = labels.validate(df.withColumns({"_level": F.lit(1), "_t": F.lit("x")})).first()
+    assert done["_meta"]["model"] == "m" and done["_level"] == 1 and done["_t"] == "x" and done["category"] == "crisis"
+    kept = parse.reply(safety.assess(affect.detect(cleaning.clean(df.withColumns({"_given": F.lit(2), "_line": F.lit(3), "raw": F.lit("x")})))))
+    assert {"_meta", "_given", "_line"} <= set(kept.columns) and kept.first()["_given"] == 2
+
+
+def test_vectors_of_any_kind(spark):
+    data = [(1, [1.0, 0.0], "a"), (1, [0.9, 0.1], None), (2, [0.5], "b"), (3, None, "a"), (4, [None, 1.0], "a"), (5, [float("nan"), 1.0], "a")]
+    index = rows(spark, data, "chunk_id long, embedding array<float>, stressor_type string")
+    asked = rows(spark, [(7, [1.0, 0.0], "none"), (8, [1.0, 0.0], "b"), (9, None, None)], "query_id long, embedding array<float>, wanted string")
+    got = [(r["query_id"], r["rank"], r["chunk_id"], r["stressor_type"]) for r in retrieval.top_k(index, asked, wanted="wanted").orderBy("query_id", "rank").collect()]
+    assert got == [(7, 1, 1, "a"), (7, 2, 1, None), (7, 3, 2, "b"), (8, 1, 1, None), (8, 2, 2, "b")]
+    vectors = index.select(F.col("chunk_id").alias("vec_id"), "embedding")
+    assert [(r["a"], r["b"]) for r in dedup.similar_pairs(vectors, 0.45).distinct().orderBy("a", "b").collect()] == [(1, 2)]
+    assert dedup.semantic(vectors, 0.45).where("_dedup_reason IS NOT NULL").select("vec_id").distinct().collect()[0][0] == 2
+
+
+def test_minhash_recall(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    sets = {r["doc_id"]: frozenset((r["text"] or "").lower().split()) for r in df.collect()}
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(sets[d], d)
+    distinct = [d for d in first.values() if sets[d]]
+    near = {(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
+    copies = {(first[s], d) for d, s in sets.items() if s and first[s] != d}
+    got = {(r["a"], r["b"]) for r in dedup.minhash(df, "doc_id").collect()}
+    assert got <= near | copies and copies <= got and len(got & near) >= 0.9 * len(near)
+
+
+def test_arc_of_ended_turns(spark):
+    data = [(1, i, e, x) for i, (e, x) in enumerate([("a", False), ("b", True), ("c", False), ("d", False), ("e", True), ("f", None), ("g", False)])]
+    got = [(r["arc_length"], r["arc"]) for r in sessions.emotion_arc(rows(spark, data, "conv_id long, turn long, primary_emotion string, ended boolean"), ended="ended").orderBy("turn").collect()]
+    assert got == [(1, None), (1, None), (2, None), (3, "a → c → d"), (3, "a → c → d"), (4, "a → c → d → f"), (5, "c → d → f → g")]
+
+
+def test_run_goes_by_file_and_line(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    line = lambda text, urgency, name: json.dumps({"text": text, "intent": "anxiety_panic", "category": "emotional", "urgency": urgency, "language": "en", "_meta": {"model": name}})
+    (raw / "b.jsonl").write_text("\n".join([line("I feel worried, really", 3, "b"), line("another one that is long", 9, "b")]))
+    (raw / "a.jsonl").write_text("\n".join([line("first of them all here", 2, "a"), "{broken", line("I feel worried really", 2, "a")]))
+    out = curation.run(spark, str(raw), str(tmp_path / "out"))
+    assert [r["text"] for r in out.final.collect()] == ["first of them all here", "I feel worried really", "another one that is long"]
+    assert [(r["text"], r["_meta"]["model"]) for r in out.removed.collect()] == [("I feel worried, really", "b")] and out.stats.first()["dedup_exact"] == 1
+
+
+def test_ids_go_on_whatever_the_order_column(spark):
+    values = [0, 1, 2, 3, 10**15, 10**15 + 1, 5, 5]
+    got = [r["id"] for r in reports.assign_ids(rows(spark, [(v,) for v in values], "k long"), "k").orderBy("k", "id").collect()]
+    assert got == [f"seed_train_{i:04d}" for i in range(1, 9)]
+
+
+def _failing():
+    calls = []
+
+    def model(prompts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return ["late"] * len(prompts)
+
+    return model
+
+
+def _broken():
+    raise OSError("no model")
+
+
+def test_models_are_tried_again(spark):
+    df = rows(spark, [("a",)], "text string").coalesce(1)
+    assert models.generate(df, "text", _failing).first()["raw"] == "late"
+    with pytest.raises(Exception, match="not yet"):
+        models.generate(df, "text", _failing, retries=2).collect()
+    assert models.healthy(_echo) and not models.healthy(_broken) and not models.healthy(_failing)
+
+
+def _scorer():
+    return lambda prompts: ['{"risk_level": 5, "tier": "tier_5", "safeguarding": false}' if "quiet words" in p else '{"risk_level": 3, "tier": "tier_3"}' for p in prompts]
+
+
+def _reply():
+    return lambda prompts: ["---RESPONSE---\nGo on\n---METADATA---\nurgency=9" if "Vandrevala" not in p else "" for p in prompts]
+
+
+def test_turns_carry_state(spark):
+    from grainmill.plans import turns
+
+    kb = fixtures.knowledge_base(spark)
+    index = models.embed(retrieval.chunks(kb).withColumn("chunk_id", F.monotonically_increasing_id()), "text", _words)
+    say = lambda *t: rows(spark, list(t), "conv_id long, text string")
+    first = turns.answer(say((1, "my exam result worries me"), (2, "I want to die"), (3, None)), turns.new_state(spark), kb, index, _words, _reply, {"normal": "Be plain."})
+    got = {r["conv_id"]: r for r in first.results.collect()}
+    assert (got[1]["response"], got[1]["urgency"], got[1]["rag_chunks"], got[1]["crisis_exit"], got[1]["parse_strategy"]) == ("Go on", 5, 3, False, "exact")
+    assert (got[2]["crisis_exit"], got[2]["risk"], got[2]["risk_action"], got[2]["helpline_name"], got[2]["emotion"]) == (True, 4, "urgent_prompt", "iCall", "grief")
+    second = turns.answer(say((1, "some quiet words"), (3, "hello")), first.state, kb, index, _words, _reply, {}, scorer=_scorer)
+    got = {r["conv_id"]: r for r in second.results.collect()}
+    assert (got[1]["risk_source"], got[1]["risk"], got[1]["helpline_name"], got[1]["crisis_exit"]) == ("llm", 5, "Vandrevala Foundation", True)
+    assert (got[3]["risk"], got[3]["risk_action"], got[3]["risk_source"]) == (3, "crisis_calm_conversation", "llm")
+    state = {r["conv_id"]: r for r in second.state.collect()}
+    assert {c: (r["turn_count"], len(r["history"]), len(r["emotion_arc"])) for c, r in state.items()} == {1: (2, 4, 1), 2: (1, 2, 0), 3: (2, 4, 2)}
+    assert turns.session_of(second.state, 2).count() == 1 and turns.session_of(turns.reset(second.state, say((2, ""))), 2).count() == 0
+
+
+def test_prompt_blocks(spark):
+    kb = retrieval.enrich(fixtures.knowledge_base(spark), spark.createDataFrame([], "id string")).withColumn("guardrail_registry", F.map_concat("guardrail_registry", F.create_map(F.lit("stigma_bypass_active"), F.lit("Speak of stress only."))))
+    data = [(1, "academic_pressure", 4, 3, "", True), (2, "none", 1, 3, "iCall (1)", False)]
+    df = rows(spark, data, "i int, stressor string, risk int, urgency int, helpline_note string, stigma_flag boolean")
+    df = df.withColumns({"emotion": F.lit("fear"), "intent": F.lit("unclear"), "lang_code": F.lit("en"), "technique": F.lit("grounding"), "idioms_detected": F.array(F.lit("izzat"), F.lit("odd"))})
+    got = {r["i"]: r for r in sessions.prompt(sessions.with_knowledge(df, kb), {"crisis": "Stay."}).collect()}
+    one, two = got[1]["prompt"], got[2]["prompt"]
+    order = ["### Signals", "### Crisis, risk 4", "iCall (9152987821)", "### Culture\n- Ranks are public.", '- Never say: "just study harder"', "- Do not compare", "### Technique", "### Stigma\nSpeak of stress only.", "'izzat' (honour) — Standing of the family.", "### Mode\nStay.", "At most 150 words", "---RESPONSE---"]
+    assert [one.index(x) for x in order] == sorted(one.index(x) for x in order) and "### Support" not in one
+    assert "mention iCall (1)" in two and "### Crisis" not in two and "### Stigma" not in two and "### Culture" not in two and got[2]["word_cap"] == 120
