@@ -1,55 +1,21 @@
-"""Shared pieces of the training-data operators: word splitting, shared tables, batches of bytes."""
+"""Shared pieces of the training-data operators: keys, word splitting, batches of bytes, hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.sources.scratch import BROADCAST_BYTES, drop_table, shared_dir, small, table
+
+__all__ = ["BROADCAST_BYTES", "drop_table", "shared_dir", "small", "table"]
+
 #: The six white-space bytes that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: A side of a join is broadcast up to so many bytes; above, the join shuffles.
-BROADCAST_BYTES = 24 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or (where unset, as in tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='grainmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/grainmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Removes a table made by table() that nothing lazy depends on any more."""
-    spark = df.sparkSession
-    jvm, files = spark.sparkContext._jvm, df.inputFiles()
-    if files:
-        folder = jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay within BROADCAST_BYTES, else df as it is (the join then shuffles)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
-
-
 #: Keys of documents without a doc_id are below this.
 KNOWN = -(1 << 63) + (1 << 61)
 

@@ -6,20 +6,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import RollingHash, binary_text, byte_slices, drop_table, mix64, table
+from grainmill.llm.common import RollingHash, binary_text, byte_slices, document_key, drop_table, mix64, table
 
 LENGTH = 100
 #: Length of the first rank; suffixes start where such a string is the least of all in some window of LENGTH bytes.
 FIRST = 32
 TILE = 2 << 20
+#: Windows that a task ranks at a time.
+WINDOWS = 1 << 20
 _PLACE_BITS = np.uint64(22)
 
 
-def _key(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("_d")
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, tile: int = TILE) -> np.ndarray:
+    """Fingerprints of short spans, whose values do not depend on where they stand; a long text is hashed a tile at a time."""
+    if len(data) <= tile:
+        return RollingHash(data).spans(start, end)
+    out = np.zeros(len(start), np.uint64)
+    for at in range(0, len(data), tile):
+        here = np.flatnonzero((start >= at) & (start < at + tile))
+        if len(here):
+            out[here] = RollingHash(data[at : int(end[here].max())]).spans(start[here] - at, end[here] - at)
+    return out
+
+
+def _in_parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of entries with about `most` in all, at least one entry each."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield slice(i, j)
+        i = j
 
 
 def sampled_suffixes(data: np.ndarray, offsets: np.ndarray, length: int, first: int) -> tuple[np.ndarray, ...]:
@@ -97,12 +116,12 @@ def _suffixes(docs: DataFrame, length: int, first: int) -> DataFrame:
                 known, rank = _known(mix64(rank) ^ whole, (doc, packed), rank)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(packed), pa.array(known)], names=["_d", "rank", "whole", "at", "known"])
 
-    return binary_text(docs.select(_key(docs), "text"), "_d").mapInArrow(run, "_d long, rank long, whole long, at long, known boolean")
+    return binary_text(docs.select(document_key(docs), "text"), "_d").mapInArrow(run, "_d long, rank long, whole long, at long, known boolean")
 
 
 def _with_text(docs: DataFrame, lists: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
     """_d, _bytes, keys and the column of lists. Texts are shuffled once and streamed past a hash table of the short lists; never sorted."""
-    return binary_text(docs.select(_key(docs), *keys, "text"), "_d", *keys).join(lists.hint("shuffle_hash"), "_d", how)
+    return binary_text(docs.select(document_key(docs), *keys, "text"), "_d", *keys).join(lists.hint("shuffle_hash"), "_d", how)
 
 
 def _longer(docs: DataFrame, live: DataFrame, length: int, first: int) -> DataFrame:
@@ -118,11 +137,11 @@ def _longer(docs: DataFrame, live: DataFrame, length: int, first: int) -> DataFr
                 at = np.asarray(ats.values)
                 lo, to, wide = at >> 16, (at >> 8) & 255, at & 255
                 place = lo + to
-                rolling = RollingHash(np.frombuffer(x.as_buffer(), np.uint8))
+                data = np.frombuffer(x.as_buffer(), np.uint8)
                 right, left = lo + wide >= place - reach, lo < place - reach
                 out = []
                 for side, mask, s, e in ((0, right, place, place + first + reach), (1, left, place - reach - 1, place + first)):
-                    out.append((rolling.spans(s[mask], e[mask]).view(np.int64), at[mask], np.full(int(mask.sum()), side, np.int32)))
+                    out.append((span_hashes(data, s[mask], e[mask]).view(np.int64), at[mask], np.full(int(mask.sum()), side, np.int32)))
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), d.as_py(), np.int64)), *map(pa.array, cols)], names=["_d", "rank", "at", "side"])
 
@@ -138,24 +157,35 @@ def _windows(docs: DataFrame, live: DataFrame, length: int, first: int) -> DataF
     """_d, at: windows (start << 16) that begin earlier elsewhere, among those of the live suffixes: ranks of the full length."""
     reach = (length - first) // 2
 
+    def ranked(*parts: list[np.ndarray]) -> pa.RecordBatch:
+        doc, rank, start = map(np.concatenate, parts)
+        known, rank = _known(rank, (doc, start), rank)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rank.view(np.int64)), pa.array(start), pa.array(known)], names=["_d", "rank", "start", "known"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs_of, ranks, starts = [], [], []
+            docs_of, ranks, starts, held = [], [], [], 0
             for d, x, ats in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                data = np.frombuffer(x.as_buffer(), np.uint8)
                 packed = np.asarray(ats.values)
                 at, side = packed >> 1, packed & 1
                 lo, hi, place = at >> 16, (at >> 16) + (at & 255), (at >> 16) + ((at >> 8) & 255)
                 lo, hi = np.where(side == 0, np.maximum(lo, place - reach), lo), np.where(side == 1, np.minimum(hi, place - reach - 1), hi)
-                n = hi - lo + 1
-                start = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                docs_of.append(np.full(len(start), d.as_py(), np.int64))
-                ranks.append(RollingHash(np.frombuffer(x.as_buffer(), np.uint8)).spans(start, start + length))
-                starts.append(start)
-            if not ranks:
-                continue
-            doc, rank, start = map(np.concatenate, (docs_of, ranks, starts))
-            known, rank = _known(rank, (doc, start), rank)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rank.view(np.int64)), pa.array(start), pa.array(known)], names=["_d", "rank", "start", "known"])
+                order = np.argsort(lo, kind="stable")
+                lo, n = lo[order], (hi - lo + 1)[order]
+                for part in _in_parts(n, WINDOWS):
+                    k = n[part]
+                    start = np.repeat(lo[part] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+                    base, top = int(start.min()), int(start.max()) + length
+                    docs_of.append(np.full(len(start), d.as_py(), np.int64))
+                    ranks.append(span_hashes(data[base:top], start - base, start - base + length))
+                    starts.append(start)
+                    held += len(start)
+                    if held >= WINDOWS:
+                        yield ranked(docs_of, ranks, starts)
+                        docs_of, ranks, starts, held = [], [], [], 0
+            if held:
+                yield ranked(docs_of, ranks, starts)
 
     lists = table(live.groupBy("_d").agg(F.collect_list(F.shiftleft("at", 1).bitwiseOR(F.col("side").cast("long"))).alias("_at")), "live")
     ranks = _with_text(docs, lists).mapInArrow(run, "_d long, rank long, start long, known boolean")
@@ -164,7 +194,7 @@ def _windows(docs: DataFrame, live: DataFrame, length: int, first: int) -> DataF
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
-    """_d (doc_id, null as the least long) and spans array<bigint> (start, end, start, end ...): bytes to remove, maximal and in order.
+    """_d (document_key) and spans array<bigint> (start, end, start, end ...): bytes to remove, maximal and in order.
 
     Three rounds of ranks at growing lengths, in each of which Spark sorts (rank, place) and drops what is unique:
     `first` bytes at sampled suffixes, twice that to either side, then all `length` bytes of the windows left.
@@ -200,9 +230,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
 def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans, kept (bytes): each row of docs without the bytes that repeat earlier ones.
 
-    Null and empty texts have no bytes; texts under `length` bytes lose none. A null doc_id comes before all others.
-    Rows with one doc_id must hold one text; such repeated rows are one place, so neither removes the other, and each
-    is returned. Long texts are hashed in overlapping tiles. Further columns of docs do not matter.
+    Null and empty texts have no bytes; texts under `length` bytes lose none. Rows without a doc_id come before all others
+    and are told apart by their texts. Rows with one doc_id must hold one text; such repeated rows are one place, so neither removes the other, and each
+    is returned. Long texts are hashed in overlapping tiles. An empty table gives no rows. Further columns of
+    docs do not matter. Only the suffixes that are the least 32-byte string of some window take part, some 3 in 100: all
+    windows that repeat are met at one of them.
     """
     spans = repeated_spans(docs, length, first)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<bigint>, kept binary"

@@ -442,6 +442,29 @@ def test_bytes_in_tiles(spark, monkeypatch):
     assert covered == set(range(len(data) - 99)) == {p for a, b in zip(whole[3], whole[4], strict=True) for p in range(a, b + 1)}
 
 
+def test_spans_and_windows_in_parts():
+    r = np.random.default_rng(6)
+    data = r.integers(0, 4, 5000).astype(np.uint8)
+    start = r.integers(0, 4800, 700)
+    end = start + r.integers(1, 200, 700)
+    assert (suffix_dedup.span_hashes(data, start, end, 256) == suffix_dedup.span_hashes(data, start, end)).all()
+    sizes = r.integers(1, 50, 300)
+    parts = list(suffix_dedup._in_parts(sizes, 60))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(300)) and all(sizes[p].sum() <= 60 or p.stop == p.start + 1 for p in parts)
+
+
+def test_bytes_of_long_texts_and_null_ids(spark):
+    r = np.random.default_rng(5)
+    long = "".join(chr(97 + i) for i in r.integers(0, 26, (2 << 20) + 3000))
+    rows = [(1, long), (2, "x" + long[-1500:]), (3, long[1000:1400] + "é" + long[(2 << 20) - 200 : (2 << 20) + 300])]
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (len(long), 0, 0, sha(long)), 2: (1501, 1500, 1, sha("x")), 3: (902, 900, 2, sha("é"))}
+    part = long[:300]
+    several = spark.createDataFrame([(None, part + "a"), (None, "b" + part), (None, part + "a")], "doc_id long, text string")
+    assert Counter(x["n_removed"] for x in suffix_dedup.digest(several).collect()) in (Counter({0: 2, 300: 1}), Counter({0: 1, 300: 2}))
+
+
 def brute_lines(rows, run, words=50):
     """Lines of the longest run at each place that begins earlier too, if it has `run` lines or `words` words."""
     places, out = [], {}
