@@ -211,19 +211,30 @@ def test_mixing_odd_rows(odd, none):
     assert mixing.mix(odd.withColumns({"_copies": F.lit(1), "_copy": F.lit(2), "_own": F.lit(3)})).columns == [*odd.columns, "_copies", "_copy", "_own"]
 
 
-def test_mixing_equals_brute_force(docs):
-    """Documents of a source in order of size, hash cell and doc_id; one copy for each whole number that the running sum crosses."""
-    import hashlib as h
-
-    rows = [(r["doc_id"], r["source"], len(SPACE.findall(r["text"] or ""))) for r in docs.collect()]
-    targets = {r["source"]: (r["source_size"], r["target"]) for r in mixing.plan(docs).collect()}
-    assert {s: t[0] for s, t in targets.items()} == {s: sum(z for _, x, z in rows if x == s) for s in {x for _, x, _ in rows}}
+def brute_copies(rows):
+    """Copies of documents (doc_id, source, text): targets by resharing round by round; documents of a source in order of size, hash cell and doc_id, one copy for each whole number that the running sum crosses."""
+    h = hashlib
+    rows = [(d, s, len(SPACE.findall(t or ""))) for d, s, t in rows]
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(z for _, x, z in rows if x == s) for s in names}
+    weights, full, total = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, set(), 1.5 * sum(sizes.values())
+    while True:
+        rest = total - sum(2 * sizes[s] for s in full)
+        share = {s: 2.0 * sizes[s] if s in full else rest * weights[s] / sum(weights[x] for x in names if x not in full) for s in names}
+        above = {s for s in names if s not in full and share[s] >= 2 * sizes[s]}
+        if not above:
+            break
+        full |= above
     want = {}
-    for s, (size, target) in targets.items():
-        at = int(h.md5(f"mix-1:{s or ''}{'n' if s is None else 's'}".encode()).hexdigest()[:8], 16) / 2**32
-        mine = sorted((z, h.md5(str(d).encode()).hexdigest()[:3], d) for d, x, z in rows if x == s)
-        for k, (_, _, d) in enumerate(mine):
-            want[d] = int((k + 1) * (target / size) + at) - int(k * (target / size) + at)
+    for s in names:
+        at, each = int(h.md5(f"mix-1:{s or ''}{'n' if s is None else 's'}".encode()).hexdigest()[:8], 16) / 2**32, share[s] / sizes[s] if sizes[s] else 0.0
+        for k, (_, _, d) in enumerate(sorted((z, h.md5(str(d).encode()).hexdigest()[:3], d) for d, x, z in rows if x == s)):
+            want[d] = int((k + 1) * each + at) - int(k * each + at)
+    return want
+
+
+def test_mixing_equals_brute_force(docs):
+    want = brute_copies([(r["doc_id"], r["source"], r["text"]) for r in docs.collect()])
     assert {r["doc_id"]: r["copies"] for r in mixing.plan(docs).collect()} == want
     assert Counter(r["doc_id"] for r in mixing.mix(docs).collect()) == Counter({d: n for d, n in want.items() if n})
 
@@ -465,7 +476,7 @@ def test_bytes_of_long_texts_and_null_ids(spark):
     assert Counter(x["n_removed"] for x in suffix_dedup.digest(several).collect()) in (Counter({0: 2, 300: 1}), Counter({0: 1, 300: 2}))
 
 
-def brute_lines(rows, run, words=50):
+def brute_lines(rows, run, words=50, texts=None):
     """Lines of the longest run at each place that begins earlier too, if it has `run` lines or `words` words."""
     places, out = [], {}
     docs = {(d, t if d is None else None): t.split("\n") if t else [] for d, t in rows}
@@ -481,6 +492,8 @@ def brute_lines(rows, run, words=50):
             if longest >= run or (words and sum(len(SPACE.findall(x)) for x in lines[i : i + longest]) >= words):
                 gone |= set(range(i, i + longest))
             places.append((lines, i))
+        if texts is not None:
+            texts[key[0]] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         out[key[0] if key[0] is not None else key] = (len(lines), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(lines) if i not in gone).encode()).hexdigest())
     return out
 
