@@ -18,6 +18,8 @@ BUCKETS, EMBED, SHORTEST, LONGEST = 1 << 18, 8, 3, 6
 SAMPLE_PER_CLASS, SAMPLE_BYTES, LONGEST_BYTES = 2500, 24 << 20, 1 << 20
 #: Bytes that a task takes apart at a time.
 TILE = 2 << 20
+#: The same in training.
+TRAIN_PART = 1 << 18
 EPOCHS, BATCH = 10, 32
 #: What a missed toxic document costs in training, in wrongly flagged ones.
 MISS_COST = 3.0
@@ -92,36 +94,39 @@ class Bag:
         return (self.vectors @ (self.map[:, 1] - self.map[:, 0])).astype(np.float64)
 
 
-def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text, the buckets of its whole bag with their shares in its mean: document, bucket, share, in order of document.
-
-    Only buckets of at least LEAST_DOCS texts are kept; the others keep their place in the mean, with nothing to add.
-    """
-    seen, parts = np.zeros(BUCKETS, np.int32), []
-    column, done = pa.array(texts, pa.large_binary()), 0
-    for i, j, data, off in byte_slices(column):
+def _bag_parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document, bucket and share in the document's mean, of the whole bags of some texts at a time."""
+    for i, j, data, off in byte_slices(pa.array(texts, pa.large_binary()), TRAIN_PART):
         points, begin = characters(data, off)
         start, stop, row = words_of(points, begin)
+        if not len(start):
+            continue
         _, first, number = distinct_words(points, start, stop)
         word, bucket = subwords(points, start[first], stop[first])
-        order = np.argsort(word, kind="stable")
-        bucket, grams = bucket[order], np.bincount(word, minlength=len(first))
+        bucket, grams = bucket[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(first))
         place = np.concatenate([[0], np.cumsum(grams)])
-        pair, times = np.unique(row * max(len(first), 1) + number, return_counts=True)
-        doc, of = np.divmod(pair, max(len(first), 1))
+        pair, times = np.unique(row * len(first) + number, return_counts=True)
+        doc, of = np.divmod(pair, len(first))
         root = np.sqrt(times)
-        share = root / np.bincount(doc, root, j - i)[doc] / grams[of]
-        each = grams[of]
+        share, each = root / np.bincount(doc, root, j - i)[doc] / grams[of], grams[of]
         flat = np.repeat(place[of] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
         key, at = np.unique(np.repeat(doc, each) * BUCKETS + bucket[flat], return_inverse=True)
-        value = np.bincount(at, np.repeat(share, each), len(key)).astype(np.float32)
-        np.add.at(seen, key % BUCKETS, 1)
-        parts.append(((key // BUCKETS + i).astype(np.int32), (key % BUCKETS).astype(np.int32), value))
-        done = j
-    if not done:
+        yield (key // BUCKETS + i).astype(np.int32), (key % BUCKETS).astype(np.int32), np.bincount(at, np.repeat(share, each), len(key)).astype(np.float32)
+
+
+def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text, the buckets of its whole bag with their shares in its mean: document, bucket, share, in order of document.
+
+    Only buckets of at least LEAST_DOCS texts are kept (counted in a pass of its own, so that the others are never
+    held); the others keep their place in the mean, with nothing to add.
+    """
+    seen = np.zeros(BUCKETS, np.int32)
+    for _, bucket, _ in _bag_parts(texts):
+        seen += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+    kept = [(d[k], b[k], v[k]) for d, b, v in _bag_parts(texts) for k in [seen[b] >= LEAST_DOCS]]
+    if not kept:
         return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    doc, bucket, value = (np.concatenate(c) for c in zip(*[(d[k], b[k], v[k]) for d, b, v in parts for k in [seen[b] >= LEAST_DOCS]], strict=True))
-    return doc, bucket, value
+    return tuple(np.concatenate(c) for c in zip(*kept, strict=True))
 
 
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 3, rate: float = 0.1) -> Bag:
