@@ -83,6 +83,83 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 """
 
 
+#: crc32 of a text of ASCII characters, as an expression; the table _crc, made from its rule, is joined to where it is used.
+CRC = """_crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc(text: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, _crc.t[(xor(c, b) & 255) + 1])))"
+
+
+def _merkle(name: str, levels: int) -> str:
+    """Levels <name>0 (g, i, n, h), <name>1 ... of a Merkle tree, runs of 16 as <name>k0 (g, p, kids) ..., and last nodes as <name>top."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}k{k} AS MATERIALIZED (SELECT g, i // 16 AS p, (any_value(n) + 15) // 16 AS n, list(h ORDER BY i) AS kids FROM {name}{k} WHERE n > 1 GROUP BY g, i // 16)")
+        out.append(f"{name}{k + 1} AS (SELECT g, p AS i, n, sha256(array_to_string(kids, '')) AS h FROM {name}k{k})")
+    return ", ".join(out) + f", {name}top AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")"
+
+
+def _folds(source: str, name: str, levels: int, start: int, group: str, place: str) -> tuple[str, int]:
+    """Tables f<start + 1> ... that add a level's siblings to `proof` and fold `h` with them."""
+    out = []
+    for k in range(levels):
+        at = f"(x.{place} // {16**k} % 16)"
+        out.append(f"""f{start + 1} AS (SELECT x.* EXCLUDE (proof, h), x.proof || coalesce(array_to_string(t.kids[1:{at}], '') || array_to_string(t.kids[{at} + 2:], ''), '') AS proof,
+          CASE WHEN t.kids IS NULL THEN x.h ELSE sha256(array_to_string(t.kids[1:{at}], '') || x.h || array_to_string(t.kids[{at} + 2:], '')) END AS h
+        FROM {source} x LEFT JOIN {name}k{k} t ON t.g = {group} AND t.p = x.{place} // {16 ** (k + 1)})""")
+        start += 1
+        source = f"f{start}"
+    return ", ".join(out), start
+
+
+def _op12() -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower, last = _folds("f0", "s", 6, 0, "x.g", "i")
+    upper, end = _folds(f"f{last}", "r", 3, last, "''", "gi")
+    return f"""
+WITH {CRC},
+d AS (SELECT *, CASE WHEN {crc("doc_id::VARCHAR")} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown FROM documents, _crc),
+a AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS g, {leaf("text")} AS leaf, {leaf("shown")} AS other FROM d),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM a),
+s0 AS (SELECT g, i, n, leaf AS h FROM b), {_merkle("s", 6)},
+r0 AS MATERIALIZED (SELECT '' AS g, g AS of_, row_number() OVER (ORDER BY g::BLOB) - 1 AS i, count(*) OVER () AS n, h FROM stop), {_merkle("r", 3)},
+f0 AS (SELECT b.doc_id, b.g, b.i, b.leaf, r0.i AS gi, r0.h AS subroot, '' AS proof, b.other AS h FROM b JOIN r0 ON r0.of_ = b.g), {lower}, {upper}
+SELECT doc_id, leaf, subroot, (SELECT h FROM rtop) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM rtop) AS verified FROM f{end}
+"""
+
+
+def _op13() -> str:
+    from grainmill.llm import url_filters as u
+    from grainmill.llm.queries import URL_RULES
+
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ", ".join(f"({q(r.verdict)}, {q(r.host)}, {q(r.path)})" for r in URL_RULES)
+    lower = lambda c: f"translate({c}, '{u.UPPER}', '{u.LOWER}')"
+    host, path = lambda c: f"coalesce({lower(f'regexp_extract({c}, {q(u.HOST)}, 1)')}, '')", lambda c: f"coalesce(regexp_extract({c}, {q(u.PATH)}, 1), '')"
+    key = lambda c: f"CASE WHEN contains({c}, '://') THEN {lower(f'regexp_extract({c}, {q('(?s)^(.*?)://')}, 1)')} || '://' || {host(c)} || CASE WHEN {path(c)} = '' THEN '/' ELSE {path(c)} END || regexp_extract({c}, {q('(?s)^[^?#]*([?][^#]*)')}, 1) END"
+    best = lambda t: f"(SELECT max_by({{'rule': r.host || r.path, 'verdict': r.verdict}}, length(r.host || r.path)) FROM r WHERE ({t}.host = r.host OR ends_with({t}.host, '.' || r.host)) AND starts_with({t}.path, r.path))"
+    tags = lambda tag, kind, value: f"list_transform(list_filter(regexp_extract_all(h, {q(tag)}), lambda t: regexp_matches(t, {q(kind)})), lambda t: regexp_extract(t, {q(value)}, 1))"
+    site = f"regexp_extract(url, {q('(?s)^(.*?://[^/?#]*)')}, 1)"
+    folder = f"coalesce(nullif(regexp_extract({path('url')}, '(?s)^(.*/)', 1), ''), '/')"
+    whole = f"""CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN starts_with(l, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || l WHEN starts_with(l, '/') THEN {site} || l
+      WHEN starts_with(l, '?') THEN {site} || {path('url')} || l WHEN starts_with(l, '#') THEN url ELSE {site} || {folder} || l END"""
+    return f"""
+WITH RECURSIVE r AS (SELECT * FROM (VALUES {rules}) v(verdict, host, path)),
+p AS (SELECT page_id, url, {host('url')} AS host, {path('url')} AS path, {key('url')} AS k FROM pages),
+t AS (SELECT url, regexp_replace(html, {q(u.UNREAD)}, ' ', 'g') AS h FROM pages WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|refresh')),
+l AS (SELECT url, replace(unnest(list_concat({tags(u.LINK, u.CANONICAL, u.HREF)}, {tags(u.META, u.REFRESH, u.CONTENT)})), '&amp;', '&') AS l FROM t),
+w AS (SELECT {key('url')} AS a, w FROM (SELECT url, {whole} AS w FROM l WHERE l <> '')),
+e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT a, {key('w')} AS b FROM w) WHERE a <> b),
+n AS (SELECT k, {host('k')} AS host, {path('k')} AS path FROM (SELECT a AS k FROM e UNION SELECT b FROM e)),
+m AS MATERIALIZED (SELECT k, {best('n')} AS best FROM n),
+x AS (SELECT k FROM m WHERE best.verdict = 'block' UNION SELECT CASE WHEN e.a = x.k THEN e.b ELSE e.a END FROM x JOIN e ON e.a = x.k OR e.b = x.k),
+y AS (SELECT *, {best('p')} AS best FROM p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN k IN (SELECT k FROM x) THEN 'block' ELSE 'allow' END) AS verdict, best IS NULL AND coalesce(k IN (SELECT k FROM x), false) AS alias FROM y
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from grainmill.llm.quality_rules import STOP_WORDS
 
@@ -92,4 +169,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": OP6,
         "op9_topk_search": OP9,
         "op10_line_dedup": OP10,
+        "op12_manifest": _op12(),
+        "op13_url_filters": _op13(),
     }

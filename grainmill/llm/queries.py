@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grainmill.llm import jaccard_join, line_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, topk_search, toxicity_model
+from grainmill.llm import jaccard_join, line_dedup, manifest, mixing, packing, periodic_runs, quality_model, quality_rules, suffix_dedup, token_counts, topk_search, toxicity_model, url_filters
+
+
+#: The rules of op13_url_filters.
+URL_RULES = [
+    url_filters.Rule("allow", "com", "/"),
+    url_filters.Rule("block", "example.com", "/en/"),
+    url_filters.Rule("allow", "www.example.com", "/en/"),
+    url_filters.Rule("block", "net", "/es/"),
+    url_filters.Rule("block", "net", "/fr/"),
+]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +73,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return periodic_runs.digest(docs.withColumn("text", periodic_runs.planted(F.col("doc_id"), F.col("text"))))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(documents(spark, sf_dir))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filters.rule_table(spark, URL_RULES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_model": op1_quality_model,
@@ -75,4 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_topk_search": op9_topk_search,
         "op10_line_dedup": op10_line_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_manifest": op12_manifest,
+        "op13_url_filters": op13_url_filters,
     }
