@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +22,12 @@ def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
 def marked_copies(df: DataFrame, order: str, key: str = "_fingerprint") -> DataFrame:
     """df with _dedup_reason: exact_duplicate for all but the first of a key by `order`.
 
-    Rows that tie on `order` stand as they are read; those without it come last. df is computed and written once, with a
-    number for each row. The first rows of repeated keys come from a narrow aggregate that combines before the shuffle
+    Rows that tie on `order` stand as they are read; those without it come last. A _dedup_reason that df
+    has already is replaced. df is computed and written once, with a number for each row. The first rows of repeated keys come from a narrow aggregate that combines before the shuffle
     and is written, so that the join with the rows' keys is a broadcast, or one whose hot keys Spark splits; whole rows
     meet only the numbers of later copies, which are unique. A null key is no copy of another.
     """
-    held = table(df.withColumn("_gm_row", F.monotonically_increasing_id()), "rows")
+    held = table(df.drop("_dedup_reason").withColumn("_gm_row", F.monotonically_increasing_id()), "rows")
     narrow = held.select(F.col(key).alias("_gm_key"), F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("o"), F.col("_gm_row").alias("r")).alias("_gm_at"))
     first = table(narrow.groupBy("_gm_key").agg(F.count("*").alias("_gm_n"), F.min("_gm_at").alias("_gm_first")).where("_gm_n > 1").drop("_gm_n"), "first")
     later = table(narrow.join(small(first, 80), "_gm_key").where("_gm_at > _gm_first").select("_gm_at.r").withColumnRenamed("r", "_gm_row"), "later")
@@ -74,38 +76,175 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Rows of one block of vectors; a task compares two blocks as matrices.
+#: Vectors of one cell, about; a task holds so many and lets others stream past.
 BLOCK = 1024
+#: Cells at most, and bytes of their pivots: these are sent to all tasks.
+CELLS, PIVOT_BYTES = 1024, 16 << 20
+#: Slack of distances, for their rounding.
+SLACK = 1e-9
 
 
-def similar_pairs(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, sim) with a < b for all pairs of unit vectors whose inner product is at least `least`.
+class Cells:
+    """A metric partition: a vector lies in the cell of its nearest pivot, cells lie in rings around their pivots.
+
+    For inner products of at least `least`, |x - y|^2 = |x|^2 + |y|^2 - 2 xy is at most reach(x)^2 = |x|^2 + top^2 - 2 least,
+    with top the longest vector's norm. So y can lie in a cell only if x is no farther than reach(x) from its half-space
+    (between the two pivots) and from its ring.
+    """
+
+    def __init__(self, pivots: np.ndarray, top: float, least: float):
+        self.pivots, self.top, self.least = pivots, top, least
+        self.apart = np.sqrt(np.maximum(self._squares(pivots), 0))
+
+    def _squares(self, v: np.ndarray) -> np.ndarray:
+        return (v * v).sum(1)[:, None] + (self.pivots * self.pivots).sum(1)[None] - 2 * v @ self.pivots.T
+
+    def home(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector and its distance from the pivot."""
+        d = self._squares(v)
+        at = d.argmin(1)
+        return at, np.sqrt(np.maximum(d[np.arange(len(v)), at], 0))
+
+    def reached(self, v: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells beyond a vector's own (by number) that its partners may lie in; inner, outer: the rings."""
+        squares = self._squares(v)
+        home = squares.argmin(1)
+        d = np.sqrt(np.maximum(squares, 0))
+        reach = np.sqrt(np.maximum((v * v).sum(1) + self.top**2 - 2 * self.least, 0))[:, None] + 1e-6
+        near = (d >= inner[None] - reach) & (d <= outer[None] + reach)
+        near &= squares - squares[np.arange(len(v)), home][:, None] <= 2 * self.apart[home] * reach + SLACK
+        near &= np.arange(len(self.pivots))[None] > home[:, None]
+        return np.nonzero(near)
+
+
+def vector_classes(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(classes, members): equal vectors are one class, a (its smallest key) and v; members has b and a of all others.
+
+    Vectors that are null or hold null or non-finite components, and null keys, take no part. Vectors too short to be
+    similar to themselves are classes of their own. Copies are counted before they are moved: the hot ones meet in an
+    aggregate that combines within each task.
+    """
+    held = df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("k"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+    held = table(held.withColumn("own", F.when(dot(F.col("v"), F.col("v")) < least, F.col("k"))), "vectors")
+    classes = table(held.groupBy("v", "own").agg(F.min("k").alias("a"), F.count("*").alias("n")), "classes")
+    several = table(classes.where("n > 1").select("v", "a"), "several")
+    width = held.select(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    members = held.where("own IS NULL").join(small(several, 8 * width + 16), "v").where("k > a").select(F.col("k").alias("b"), "a").distinct()
+    return classes.select("a", "v"), table(members, "members")
+
+
+def _partition(drawn: np.ndarray, top: float, least: float, n: int, cells: int | None, fewest: int, most: int) -> Cells:
+    """Cells around the first of the drawn vectors: as many as asked for, else as many (fewest to most) as seem to cost least.
+
+    The others of the drawn vectors, looked at with rings around all, tell how often a vector would be copied; a row
+    that is moved counts as much as some comparisons. This decides only what a job costs.
+    """
+    best = None
+    for k in [cells] if cells else sorted({fewest, *(c for c in (16, 64, 256, 1024) if fewest < c < most), most} if n else {0}):
+        partition = Cells(drawn[:k], top, least)
+        if cells or not len(drawn):
+            return partition
+        at, far = partition.home(drawn)
+        inner, outer = np.full(k, np.inf), np.full(k, -np.inf)
+        np.minimum.at(inner, at, far)
+        np.maximum.at(outer, at, far)
+        rest = drawn[most:] if len(drawn) > most else drawn
+        cost = (1 + len(partition.reached(rest, inner, outer)[0]) / len(rest)) * (64 + min(BLOCK, n / k))
+        if best is None or cost <= best[0]:
+            best = (cost, partition)
+    return best[1]
+
+
+def class_pairs(classes: DataFrame, least: float, cells: int | None = None, moved: list | None = None) -> DataFrame:
+    """(a, b, sim) with a < b for all pairs of classes (a, v) whose inner product is at least `least`, by cells of a metric partition.
+
+    A shorter vector counts as if it ended in zeros. Pivots are a bounded sample, in a hashed order. Each vector stays in its
+    own cell and is copied to those of greater number that its partners may lie in: at high thresholds to few of clustered
+    vectors; of vectors spread evenly over many dimensions to many, as no bound tells their cells apart. A cell of more
+    than BLOCK vectors is dealt out in parts; a task holds one part and lets the other vectors stream past it. cells: their
+    number, if not by the rows. moved: a list that gets the number of vectors so dealt.
+    """
+    n, width, top = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(dot(F.col("v"), F.col("v"))), F.lit(0.0))).first()
+    width = max(1, width)
+    most = max(1, min(CELLS, PIVOT_BYTES // (8 * width), n))
+    sample = classes.select("v", F.xxhash64("a").alias("h"), "a").orderBy("h", "a").limit(2 * most).collect()  # bounded by CELLS and PIVOT_BYTES
+    drawn = np.zeros((len(sample), width))
+    for row, r in zip(drawn, sample, strict=True):
+        row[: len(r["v"])] = r["v"]
+    partition = _partition(drawn, float(np.sqrt(top)), least, n, min(cells, most) if cells else None, min(most, max(1, -(-n // BLOCK))), most)
+    k = len(partition.pivots)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at, far = partition.home(padded(b.column("v"), width))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("v"), pa.array(at, pa.int32()), pa.array(far)], names=["a", "v", "cell", "far"])
+
+    homes = table(classes.mapInArrow(settle, "a long, v array<double>, cell int, far double"), "cells")
+    inner, outer, parts = np.full(k, np.inf), np.full(k, -np.inf), np.ones(k, np.int64)
+    for r in homes.groupBy("cell").agg(F.min("far").alias("i"), F.max("far").alias("o"), F.count("*").alias("n")).collect():  # one row for each of at most CELLS cells
+        inner[r["cell"]], outer[r["cell"]], parts[r["cell"]] = r["i"] - SLACK, r["o"] + SLACK, -(-r["n"] // BLOCK)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector to its part (held) and the later parts of its cell, and to all parts of the cells that it reaches."""
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                piece = b.slice(at, BLOCK)
+                key, home = piece.column("a").to_numpy(), piece.column("cell").to_numpy().astype(np.int64)
+                part = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts[home]
+                row, cell = partition.reached(padded(piece.column("v"), width), inner, outer)
+                times = parts[cell]
+                later = parts[home] - part - 1
+                rows = np.concatenate([np.arange(len(key)), np.repeat(np.arange(len(key)), later), np.repeat(row, times)])
+                to = np.concatenate([home, np.repeat(home, later), np.repeat(cell, times)])
+                count = lambda n: np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                parts_of = np.concatenate([part, np.repeat(part + 1, later) + count(later), count(times)])
+                visit = np.arange(len(rows)) >= len(key)
+                for i in range(0, len(rows), 4 * BLOCK):
+                    s = slice(i, i + 4 * BLOCK)
+                    yield pa.RecordBatch.from_arrays([piece.column("a").take(pa.array(rows[s])), piece.column("v").take(pa.array(rows[s])), pa.array(to[s], pa.int32()), pa.array(parts_of[s]), pa.array(visit[s])], names=["a", "v", "cell", "part", "visit"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by cell and part, those that the part holds first; each batch is compared with what is held."""
+        here, keys, held = None, np.zeros(0, np.int64), np.zeros((0, width))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, v, visit = b.column("a").to_numpy(), padded(b.column("v"), width), b.column("visit").to_numpy(zero_copy_only=False)
+            group = b.column("cell").to_numpy().astype(np.int64) << 32 | b.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1), len(group)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if group[lo] != here:
+                    here, keys, held = group[lo], np.zeros(0, np.int64), np.zeros((0, width))
+                own = lo + int((~visit[lo:hi]).sum())
+                first = len(keys)
+                keys, held = np.concatenate([keys, k[lo:own]]), np.concatenate([held, v[lo:own]])
+                for at in range(lo, hi, BLOCK):
+                    to = min(at + BLOCK, hi)
+                    sim = v[at:to] @ held.T
+                    r, c = np.nonzero(sim >= least - 1e-12)
+                    # Of two held vectors the later one meets the earlier.
+                    good = (at + r >= own) | (c < first + at + r - lo)
+                    r, c = r[good], c[good]
+                    x, y = k[at + r], keys[c]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim[r, c])], names=["a", "b", "sim"])
+
+    dealt = homes.select("a", "v", "cell").mapInArrow(deal, "a long, v array<double>, cell int, part long, visit boolean")
+    if moved is not None:
+        moved.append(dealt.count())
+    sorted_rows = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "visit")
+    return sorted_rows.mapInArrow(compare, "a long, b long, sim double").where((F.col("sim") >= least) & (F.col("a") < F.col("b")))
+
 
-    Vectors that are null or hold null or non-finite components, and null keys, have no pairs; a shorter vector counts
-    as if it ended in zeros. Rows of one key are not paired with each other.
+def similar_pairs(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, sim) with a < b: pairs of vectors whose inner product is at least `least`, equal vectors standing as one.
 
-    Vectors are packed into blocks of BLOCK rows, block pairs are dealt to tasks, and each task multiplies two
-    matrices in double. All pairs of blocks are looked at (the measure has no exact index); of pairs of rows only
-    those found are written.
+    Of each class of equal vectors the smallest key has all its pairs with other classes, and one with each other
+    member of its own; those have no pairs beside that one. Vectors that take no part: see vector_classes().
     """
-    df = df.where(F.col(key).isNotNull() & usable(F.col(vector)))
-    n, width = df.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK))
-    held = df.select(F.col(key).cast("long").alias("k"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("at"))
-    dealt = held.select("k", "v", "at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("k", "v", "at", F.least("at", "o").alias("lo"), F.greatest("at", "o").alias("hi"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        at, k = group.column("at").to_numpy(), group.column("k").to_numpy()
-        v = padded(group.column("v"), width)
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        i, j = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
-        sim = v[i] @ v[j].T
-        r, c = np.nonzero(sim >= least - 1e-12)
-        x, y, s = k[i[r]], k[j[c]], sim[r, c]
-        good = (x < y) if lo == hi else x != y
-        return pa.table({"a": np.minimum(x, y)[good], "b": np.maximum(x, y)[good], "sim": s[good]})
-
-    return dealt.groupBy("lo", "hi").applyInArrow(compare, "a long, b long, sim double").where(F.col("sim") >= least)
+    classes, members = vector_classes(df, least, key, vector)
+    own = members.join(classes, "a").select("a", "b", dot(F.col("v"), F.col("v")).alias("sim"))
+    return class_pairs(classes, least).unionByName(own)
 
 
 def semantic(df: DataFrame, least: float = 0.92, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -113,10 +252,11 @@ def semantic(df: DataFrame, least: float = 0.92, key: str = "vec_id", vector: st
 
     The kept rows are the first independent set in order of key. Each round decides the rows that have a kept
     earlier neighbour (out), or only removed ones (kept); rounds end when all are decided. Each round is a written
-    table, and only rows that have neighbours take part. Keys are the order and must be unique: rows that share one
-    are decided together.
+    table, and only classes of equal vectors that have neighbours take part; all but the first of a class go in any case.
+    Keys are the order and must be unique: rows that share one are decided together.
     """
-    pairs = table(similar_pairs(df, least, key, vector), "pairs")
+    classes, members = vector_classes(df, least, key, vector)
+    pairs = table(class_pairs(classes, least), "pairs")
     state = table(pairs.select(F.col("b").alias("k")).union(pairs.select("a")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "state")
     while True:
         earlier = pairs.join(state.select(F.col("k").alias("a"), F.col("kept").alias("ka")), "a").groupBy("b").agg(F.max(F.coalesce("ka", F.lit(False))).alias("some"), F.max(F.col("ka").isNull()).alias("open"))
@@ -127,44 +267,150 @@ def semantic(df: DataFrame, least: float = 0.92, key: str = "vec_id", vector: st
         state = after
         if state.where("kept IS NULL").isEmpty():
             break
-    kept = state.where("kept").select(F.col("k").alias("a"))
-    best = pairs.join(kept, "a").groupBy("b").agg(F.round(F.max("sim"), 4).alias("_sim_score"))
-    out = state.where("NOT kept").join(best.withColumnRenamed("b", "k"), "k").select("k", F.lit("semantic_duplicate").alias("_dedup_reason"), "_sim_score")
-    return df.join(out, df[key] == out["k"], "left").drop("k")
+    gone = table(state.where("NOT kept").select("k"), "gone")
+    kept = state.where("kept").select(F.col("k").alias("near"))
+    both = pairs.select("a", "b", "sim").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    # Kept classes near each removed one; a later copy may have more of them before it than the first of its class.
+    near = table(both.join(small(kept, 16), both["b"] == kept["near"]).join(small(gone, 16), F.col("a") == F.col("k")).select("a", "near", "sim"), "near")
+    self_sim = classes.join(small(members.select("a").distinct(), 16), "a").select("a", dot(F.col("v"), F.col("v")).alias("sim"))
+    of_first = near.where("near < a").select(F.col("a").alias("k"), "sim")
+    of_copies = members.join(near, "a").where("near < b").select(F.col("b").alias("k"), "sim")
+    of_kept = members.join(small(gone.withColumnRenamed("k", "a"), 16), "a", "left_anti").join(self_sim, "a").select(F.col("b").alias("k"), "sim")
+    best = of_first.unionByName(of_copies).unionByName(of_kept).groupBy("k").agg(F.round(F.max("sim"), 4).alias("_sim_score"))
+    out = best.select("k", F.lit("semantic_duplicate").alias("_dedup_reason"), "_sim_score")
+    rest = df.select(*[c for c in df.columns if c not in ("_dedup_reason", "_sim_score")])
+    return rest.join(out, rest[key] == out["k"], "left").drop(out["k"])
 
 
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))
 
 
-def overlap_window(df: DataFrame, order: str, text: str = "text", least: float = 0.85, window: int = 200, group: str | None = None) -> DataFrame:
-    """order, near_of (order of the accepted row it is near to, or null): an ordered fold over the last `window` accepted rows.
+#: Rows of one range of the fold, about.
+RANGE = 4096
+_FOLD = "block int, kind int, o long, near_of long, copy boolean, g string, w array<string>, f string"
+
 
-    The fold depends on what was accepted before and so is sequential by definition: `group` names the column in
-    which folds are apart (a batch, a shard); without it the table is one fold, streamed through one task, which
-    holds only the window.
+def _fold(least: float, window: int):
+    """Folds rows (block, kind, o, g, w, f, known), sorted by block and kind, into rows of _FOLD.
+
+    Kind 0 are the accepted rows that a range finds before it, kind 1 its own. What comes out: kind 1, each own row's result;
+    kind 2, the accepted rows that the next range finds; kind 3, marks of the window found (o) and left (near_of), from the
+    numbers of their rows.
     """
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, set[str]]] = []
-        at = None
+    def mark(g: str | None, held: list) -> int:
+        return int.from_bytes(hashlib.blake2b(repr((g, [h[0] for h in held]) if held else None).encode(), digest_size=8).digest(), "big", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, group, found, held, seen, out = None, None, None, deque(maxlen=window), set(), []
+
+        def left():
+            yield from ((block, 2, o, None, None, group, list(w), None) for o, w in held)
+            yield (block, 3, found, mark(group, held), None, None, None, None)
+
+        def flushed(rows):
+            return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=shape)
+
+        names = [f.split(" ")[0] for f in _FOLD.split(", ")]
+        shape = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("o", pa.int64()), ("near_of", pa.int64()), ("copy", pa.bool_()), ("g", pa.string()), ("w", pa.list_(pa.string())), ("f", pa.string())])
         for b in batches:
-            orders, near = b.column(1).to_pylist(), []
-            for g, o, words in zip(b.column(0).to_pylist(), orders, b.column(2).to_pylist(), strict=True):
-                if g != at:
-                    at, held = g, []
+            for at, kind, o, g, words, f, known in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
+                if at != block:
+                    if block is not None:
+                        if found is None:
+                            found = mark(group, held)
+                        out.extend(left())
+                    block, group, found, held, seen = at, g, None, deque(maxlen=window), set()
                 mine = set(words or ())
-                n = len(mine)
-                # Sets whose sizes are too far apart cannot reach the share: they are not intersected.
-                found = next((k for k, w in held if n and w and (n / len(w) if n < len(w) else len(w) / n) >= least and len(mine & w) / max(n, len(w)) >= least), None)
-                near.append(found)
+                if kind == 0:
+                    group = g
+                    held.append((o, mine))
+                    continue
                 if found is None:
-                    held = [*held[-(window - 1) :], (o, mine)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(near, pa.int64())], names=["order", "near_of"])
-
-    rows = df.select((F.col(group) if group else F.lit(0)).cast("string").alias("g"), F.col(order).cast("long").alias("o"), F.array_distinct(word_list(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("w"))
-    rows = rows.repartition("g").sortWithinPartitions("g", "o") if group else rows.repartition(1).sortWithinPartitions("o")
-    return rows.mapInArrow(fold, "order long, near_of long")
+                    found = mark(group, held)
+                if g != group:
+                    group = g
+                    held.clear()
+                copy = f is not None and (known or f in seen)
+                near, n = None, len(mine)
+                if n and not copy:
+                    # Sets whose sizes are too far apart cannot reach the share: they are not intersected.
+                    near = next((k for k, w in held if w and (n / len(w) if n < len(w) else len(w) / n) >= least and len(mine & w) / max(n, len(w)) >= least), None)
+                if near is None and not copy:
+                    held.append((o, mine))
+                    if f is not None:
+                        seen.add(f)
+                out.append((block, 1, o, near, copy, None, None, f))
+                if len(out) >= 4096:
+                    yield flushed(out)
+                    out = []
+        if block is not None:
+            out.extend(left())
+        yield flushed(out)
+
+    return run
+
+
+def overlap_window(df: DataFrame, order: str, text: str = "text", least: float = 0.85, window: int = 200, group: str | None = None, copy_of: str | None = None, block: int = RANGE) -> DataFrame:
+    """order, near_of (order of the accepted row it is near to, or null), copy: an ordered fold over the last `window` accepted rows.
+
+    A row is near to another if their sets of words share `least` of the larger one; a row that is near to none in the
+    window is accepted. copy_of: a column in which accepted rows are told apart: a row whose value an accepted row of any
+    distance before it has is a copy, is compared with nothing and not accepted. group: a column in which folds are apart.
+    Numbers of `order` are unique; texts without words are accepted.
+
+    The rows are sorted into ranges, which are folded side by side, at first as if nothing stood before them. A range
+    whose window is not the one that the range before it leaves, or in which another row is a copy than was taken, is folded
+    anew, until there is none: the first range is right from the start, and each round at least the next one, so the
+    result is that of the fold in sequence. Where two folds have accepted the same rows for a window, they go on alike, so few
+    ranges need more than two rounds. Each round writes its results; a task holds a window.
+    """
+    key = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    rows = df.select(key.alias("g"), F.col(order).cast("long").alias("o"), F.array_distinct(word_list(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("w"), (F.col(copy_of) if copy_of else F.lit(None)).cast("string").alias("f"))
+    blocks = max(1, -(-df.count() // block))
+    rows = table(rows.repartitionByRange(blocks, "g", "o").withColumn("block", F.spark_partition_id()), "ranges")
+    repeated = None
+    if copy_of:
+        repeated = table(rows.where("f IS NOT NULL").groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", F.lit(True).alias("again")), "repeated")
+        marked = table(rows.join(small(repeated, 64), "f", "left").withColumn("f", F.when(F.col("again"), F.col("f"))).drop("again"), "ranges")
+        drop_table(rows)
+        drop_table(repeated)
+        rows = marked
+    last = rows.select("block").distinct().withColumn("before", F.lag("block").over(Window.partitionBy(F.lit(0)).orderBy("block")))  # one row for each range
+    last = table(last, "range-order")
+    fold = _fold(least, window)
+    nothing = F.lit(None).cast("boolean")
+
+    def folded(of: DataFrame, windows: DataFrame | None) -> DataFrame:
+        own = of.select("block", F.lit(1).alias("kind"), "o", "g", "w", "f", "known")
+        if windows is not None:
+            own = own.unionByName(windows.select("block", F.lit(0).alias("kind"), "o", "g", "w", F.lit(None).cast("string").alias("f"), nothing.alias("known")))
+        return own.repartition(blocks, "block").sortWithinPartitions("block", "kind", "o").mapInArrow(fold, _FOLD)
+
+    state, known = table(folded(rows.withColumn("known", nothing), None), "folds"), None
+    while True:
+        marks = state.where("kind = 3").select("block", F.col("o").alias("found"), F.col("near_of").alias("left"))
+        before = marks.select(F.col("block").alias("before"), F.col("left").alias("there"))
+        redo = last.join(marks, "block").join(before, "before").where("found != there").select("block", "before")
+        if copy_of:
+            # From which range on a value is taken; ranges behind the old or the new one, that hold it, change.
+            taken = table(state.where("kind = 1 AND f IS NOT NULL AND NOT copy AND near_of IS NULL").groupBy("f").agg(F.min("block").alias("at")), "taken")
+            moved = taken.withColumn("was", F.lit(None).cast("int")) if known is None else taken.join(known.withColumnRenamed("at", "was"), "f", "full")
+            moved = table(moved.where("NOT (at <=> was)").withColumns({"lo": F.least("at", "was"), "hi": F.when(F.col("at").isNotNull() & F.col("was").isNotNull(), F.greatest("at", "was"))}), "moved")
+            again = rows.where("f IS NOT NULL").select("f", "block").distinct().join(small(moved, 80), "f").where("block > lo AND (hi IS NULL OR block <= hi)").select("block").distinct()
+            redo = redo.unionByName(again.join(last, "block").select("block", "before")).distinct()
+            known = taken
+        redo = table(redo, "redo")
+        if redo.isEmpty():
+            break
+        of = rows.join(small(redo.select("block"), 8), "block")
+        of = of.join(small(known, 80), "f", "left").withColumn("known", F.coalesce(F.col("at") < F.col("block"), F.lit(False))).drop("at") if copy_of else of.withColumn("known", nothing)
+        windows = state.where("kind = 2").select(F.col("block").alias("before"), "o", "g", "w").join(small(redo, 16), "before")
+        done = table(folded(of, windows).unionByName(state.join(small(redo.select("block"), 8), "block", "left_anti")), "folds")
+        drop_table(state)
+        state = done
+    return state.where("kind = 1").select(F.col("o").alias("order"), "near_of", "copy")
 
 
 #: Distinct sets of one part of a band.

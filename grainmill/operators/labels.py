@@ -30,15 +30,16 @@ def validate(df: DataFrame, strict: bool = False, missing: dict[str, Column] | N
     """df with text, intent, category, urgency, language corrected, and _corrections, _drop_reason (null: kept).
 
     Rules run in order, each on what the one before left. missing tells, by field, which rows lack it (a whole
-    column that df lacks is missing everywhere); a null that is there is a value: no text, label or number.
+    column that df lacks is missing everywhere) and gets the default; a null that is there is a value: no text, label or
+    number. A missing language is en, without a word.
     Corrections are listed in the order in which they were made, missing fields by name.
     """
     lacking = {f: (missing or {}).get(f, F.lit(f not in df.columns)) for f in sorted(REQUIRED)}
-    for f, value in REQUIRED.items():
+    for f, value in (REQUIRED | {"language": "en"}).items():
         if f not in df.columns:
             df = df.withColumn(f, F.lit(value))
-    if "language" not in df.columns:
-        df = df.withColumn("language", F.lit("en"))
+        elif missing and f in missing:
+            df = df.withColumn(f, F.when(missing[f], F.lit(value).cast(df.schema[f].dataType)).otherwise(F.col(f)))
     filled = messages(*[F.when(c, F.lit(f"filled_default:{f}")) for f, c in lacking.items()])
     absent = F.array_join(messages(*[F.when(c, F.lit(f)) for f, c in lacking.items()]), ",")
     df = df.withColumns({"_gm_absent": absent, "_gm_said": filled, "_gm_text": strip(F.coalesce(F.col("text").cast("string"), F.lit("")))})

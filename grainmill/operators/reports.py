@@ -46,18 +46,19 @@ def quality_reason(text: Column, urgency: Column, intent: Column, low: Column |
 def quality_check(df: DataFrame, order: str, text: str = "text", urgency: str = "urgency_level", intent: str = "intent", group: str | None = None) -> DataFrame:
     """df with rejection_reason (null: accepted): reasons of the row, then copies of accepted rows, then rows near to one of the last 200 accepted.
 
-    A near row is not accepted and so cannot make a later copy of itself a duplicate; that copy is near as well.
+    Only accepted rows make later ones copies: a copy of a row that was rejected as near is judged anew, and accepted if
+    what that was near to has left the window. With `group`, folds and copies are those of each group. Values of `order`
+    are unique.
     """
     df = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", folded(F.col("_t")))
-    df = df.withColumns({"_own": quality_reason(F.col("_t"), F.coalesce(F.col(urgency), F.lit(1)), F.col(intent), F.col("_low")), "_fp": seed_fingerprint(F.col("_t"))})
-    good = df.where("_own IS NULL")
-    # Copies have equal fingerprints but may differ in case and punctuation, so the fold sees each fingerprint once.
-    first = good.groupBy("_fp").agg(F.min(order).alias("_first"))
-    fold = overlap_window(good.join(first, (good["_fp"] == first["_fp"]) & (good[order] == first["_first"])).select(order, "_t", *([group] if group else [])), order, "_t", group=group)
-    near = fold.where("near_of IS NOT NULL").select(F.col("order").alias("_near"))
-    out = df.join(first, "_fp", "left").join(near, F.col("_first") == F.col("_near"), "left")
-    reason = F.when(F.col("_own").isNotNull(), F.col("_own")).when(F.col("_near").isNotNull(), "near_duplicate").when(F.col(order) > F.col("_first"), "exact_duplicate")
-    return out.withColumn("rejection_reason", reason).drop("_t", "_low", "_own", "_fp", "_first", "_near")
+    own = quality_reason(F.col("_t"), F.coalesce(F.col(urgency), F.lit(1)), F.col(intent), F.col("_low"))
+    fp = seed_fingerprint(F.col("_t"))
+    df = table(df.withColumns({"_own": own, "_fp": F.concat_ws(":", fp, F.coalesce(F.col(group).cast("string"), F.lit(""))) if group else fp}).drop("_low"), "checked")
+    good = df.where("_own IS NULL").select(F.col(order).alias("_at"), "_t", "_fp", *([F.col(group).alias("_group")] if group else []))
+    fold = overlap_window(good, "_at", "_t", group="_group" if group else None, copy_of="_fp")
+    judged = fold.select(F.col("order").alias("_at"), F.when(F.col("copy"), "exact_duplicate").when(F.col("near_of").isNotNull(), "near_duplicate").alias("_folded")).where("_folded IS NOT NULL")
+    out = df.join(small(judged, 32), df[order] == judged["_at"], "left").withColumn("rejection_reason", F.coalesce("_own", "_folded"))
+    return out.drop("_t", "_own", "_fp", "_at", "_folded")
 
 
 def reasons(df: DataFrame, column: str = "rejection_reason") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.operators import cleaning, dedup, labels
-from grainmill.sources import files
+from grainmill.sources import files, fingerprints, runs
 from grainmill.sources.scratch import table
 
 
@@ -19,6 +20,7 @@ class Curated(NamedTuple):
     corrected: DataFrame
     dropped: DataFrame
     stats: DataFrame
+    written: DataFrame
 
 
 def public(df: DataFrame) -> DataFrame:
@@ -26,28 +28,29 @@ def public(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 
-def curate(raw: DataFrame, order: str, existing: DataFrame | None = None, near: float | None = None, vector: str = "embedding", strict: bool = False, in_order: bool = False) -> Curated:
+def curate(raw: DataFrame, order: str, existing: DataFrame | Callable[[DataFrame], DataFrame] | None = None, near: float | None = None, vector: str = "embedding", strict: bool = False, in_order: bool = False, *, missing: dict[str, Column] | None = None, keep: Callable[[DataFrame, str], DataFrame] = table) -> Curated:
     """All steps over one table of records; each step's outcome is a column of it, written at the three splits.
 
-    existing: fingerprints (_fingerprint) of what was written before. near: a cosine from which later rows with
-    similar vectors go as well. final holds clean rows and corrected ones, without working columns; in_order sorts it by
-    range, clean rows first, then by `order`.
+    existing: fingerprints (_fingerprint) of what was written before, or a function that finds those of a batch. near: a
+    cosine from which later rows with similar vectors go as well. missing: as for labels.validate. keep: how the tables
+    between the steps are written (df, name). final holds clean rows and corrected ones, without working columns; in_order
+    sorts it by range, clean rows first, then by `order`.
     """
-    cleaned = table(cleaning.clean(raw), "cleaned")
+    cleaned = keep(cleaning.clean(raw), "cleaned")
     accepted = dedup.with_fingerprint(cleaned.where("_drop_reason IS NULL").drop("_drop_reason"))
     marked = dedup.marked_copies(accepted, order)
     if existing is not None:
-        known = existing.select("_fingerprint").distinct().withColumn("_known", F.lit(True))
-        marked = marked.join(known, "_fingerprint", "left").withColumn("_dedup_reason", F.when(F.col("_known"), "exact_duplicate").otherwise(F.col("_dedup_reason"))).drop("_known")
+        known = existing(marked.select("_fingerprint")) if callable(existing) else existing.select("_fingerprint").distinct()
+        marked = marked.join(known.withColumn("_known", F.lit(True)), "_fingerprint", "left").withColumn("_dedup_reason", F.when(F.col("_known"), "exact_duplicate").otherwise(F.col("_dedup_reason"))).drop("_known")
     if near is not None:
         kept = marked.where("_dedup_reason IS NULL").drop("_dedup_reason")
         marked = marked.where("_dedup_reason IS NOT NULL").withColumn("_sim_score", F.lit(None).cast("double")).unionByName(dedup.semantic(kept, near, order, vector))
-    marked = table(marked, "marked")
-    checked = table(labels.validate(marked.where("_dedup_reason IS NULL").drop("_dedup_reason"), strict), "checked")
+    marked = keep(marked, "marked")
+    checked = keep(labels.validate(marked.where("_dedup_reason IS NULL").drop("_dedup_reason"), strict, missing), "checked")
     good = checked.where("_drop_reason IS NULL")
     stats = _stats(cleaned, marked, checked)
     final = good.orderBy(F.size("_corrections") > 0, order) if in_order else good
-    return Curated(public(final), cleaned.where("_drop_reason IS NOT NULL"), marked.where("_dedup_reason IS NOT NULL"), good.where(F.size("_corrections") > 0), checked.where("_drop_reason IS NOT NULL"), stats)
+    return Curated(public(final), cleaned.where("_drop_reason IS NOT NULL"), marked.where("_dedup_reason IS NOT NULL"), good.where(F.size("_corrections") > 0), checked.where("_drop_reason IS NOT NULL"), stats, good.select("_fingerprint"))
 
 
 def _stats(cleaned: DataFrame, marked: DataFrame, checked: DataFrame) -> DataFrame:
@@ -61,15 +64,23 @@ def _stats(cleaned: DataFrame, marked: DataFrame, checked: DataFrame) -> DataFra
 
 
 def run(spark, raw_path: str, out_path: str, near: float | None = None, strict: bool = False) -> Curated:
-    """From a folder of JSON lines to out_path: final records are appended, and rows whose fingerprints are there already are left out.
+    """From a folder of JSON lines to out_path: final records are added, and rows whose fingerprints are there already are left out.
 
-    "First" is by name of file and line, however the files are split among tasks; what is written is in that order.
+    "First" is by name of file and line, however the files are split among tasks; what is written is in that order. A
+    required field that a line does not have is missing, one that is null is a null (labels.validate). Fingerprints of what
+    was written are kept in a store below out_path, so no earlier text is read again. All outputs of a run appear at its
+    commit, once (sources.runs): a run that failed is taken up where it stood, by calling it again.
     """
-    records, malformed = files.read_jsonl(spark, raw_path)
-    records = files.in_order(records)
-    before, _ = files.read_jsonl(spark, f"{out_path}/final", glob="*.json")
-    out = curate(records, "_ord", dedup.fingerprints(before), near, strict=strict, in_order=True)
-    # Plans are lazy: what is read from out_path is settled by the tables that curate() wrote.
-    for name, df, append in (("final", out.final, True), ("corrections", out.corrected, True), ("rejected", out.dropped, True), ("clean_rejected", out.clean_rejected, False), ("removed", out.removed, False), ("malformed", malformed, False)):
-        files.write_jsonl(df, f"{out_path}/{name}", append)
+    this = runs.Run(spark, out_path, f"{runs.signature(spark, raw_path, '*.jsonl')} {near} {strict}")
+    records, malformed = files.read_jsonl(spark, raw_path, variants=True)
+    records = files.in_order(records, keep=this.stage)
+    missing = {f: files.lacks(f) for f in (*labels.REQUIRED, "language")}
+    known = lambda batch: fingerprints.known(spark, f"{this.root}/_store", batch)
+    out = curate(records, "_ord", known, near, strict=strict, in_order=True, missing=missing, keep=this.stage)
+    made = [("final", out.final, True), ("corrections", out.corrected, True), ("rejected", out.dropped, True), ("clean_rejected", out.clean_rejected, False), ("removed", out.removed, False), ("malformed", malformed, False)]
+    for name, df, append in made:
+        this.output(df.drop(files.WHOLE), name, append)
+    this.output(fingerprints.rows(out.written), "_store/fingerprints", kind="parquet", by=("bucket",))
+    this.output(fingerprints.filter_rows(out.written), "_store/filter", kind="parquet")
+    this.commit()
     return out

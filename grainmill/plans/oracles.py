@@ -193,8 +193,30 @@ x AS MATERIALIZED (SELECT doc_id, len(ws) AS n, unnest(ws) AS word FROM w),
 p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.word = b.word AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY ALL HAVING count(*)::DOUBLE / greatest(any_value(a.n), any_value(b.n)) >= 0.85),
 o AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
 q AS MATERIALIZED (SELECT o.k, o.doc_id, coalesce(list(p.a ORDER BY p.a) FILTER (p.a IS NOT NULL), []) AS before FROM o LEFT JOIN p ON p.b = o.doc_id GROUP BY ALL)"""
-FIRST_TURNS = f"""{FELT_RISK}, x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS k, CASE WHEN risk_level = 3 THEN 3 ELSE urgency_level END::INT AS u FROM risk),
-y AS (SELECT *, CASE WHEN list_contains({array(X.SOCIAL_INTENTS)}, intent) THEN 'social' WHEN u >= 4 THEN 'high_distress' WHEN list_contains({array(X.TENDER_EMOTIONS)}, primary_emotion) THEN 'emotional' WHEN intent = 'greeting' THEN 'greeting' ELSE 'normal' END AS mode FROM x WHERE k <= 2)"""
+MODE = f"CASE WHEN risk_level >= 4 THEN 'crisis' WHEN list_contains({array(X.SOCIAL_INTENTS)}, intent) THEN 'social' WHEN u >= 4 THEN 'high_distress' WHEN list_contains({array(X.TENDER_EMOTIONS)}, primary_emotion) THEN 'emotional' WHEN intent = 'greeting' THEN 'greeting' ELSE 'normal' END"
+
+
+def letters(c: str) -> str:
+    """A unit vector of how often each letter occurs."""
+    return f"(list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda l: (length({c}) - length(replace(lower({c}), l, '')))::DOUBLE))"
+
+
+def said() -> str:
+    """Common table expressions of all turns of the persons; the last is named turns_, with all that a turn gives."""
+    reply = "CASE WHEN safeguarding AND helpline_name = 'CHILDLINE' THEN {minor} WHEN safeguarding THEN {safeguarding} WHEN risk_level = 5 THEN {immediate} ELSE {direct} END".format(**{k: q(v) for k, v in EXIT_REPLIES.items()})
+    chunks = ", ".join(f"({i + 1}, {q(t)}, {f'{q(s)}' if p == 1 else 'NULL'})" for i, (p, s, t, _, _) in enumerate(sorted(CHUNKS, key=lambda c: (c[0], c[1], c[4], c[2]))))
+    cosine = "list_dot_product(v, e) / sqrt(list_dot_product(v, v) * list_dot_product(e, e))"
+    return f"""{FELT_RISK}, x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS k, CASE WHEN risk_level = 3 THEN 3 ELSE urgency_level END::INT AS u,
+      coalesce(nullif(regexp_split_to_array({strip("text")}, '{WS}+')[1], ''), 'nothing') AS word FROM risk WHERE role = 'user'),
+    i_ AS MATERIALIZED (SELECT chunk_id, st, {letters("text")} AS e FROM (VALUES {chunks}) v(chunk_id, text, st)),
+    a_ AS MATERIALIZED (SELECT conv_id, k, stressor_type AS wanted, {letters("lower(q)")} AS v FROM (SELECT conv_id, k, stressor_type, stressor_type || ' ' || primary_emotion || ' ' || substring(text, 1, 200) AS q FROM x WHERE NOT hard_exit)),
+    n_ AS (SELECT conv_id, k, wanted, st, row_number() OVER (PARTITION BY conv_id, k ORDER BY {cosine} DESC, chunk_id) AS near FROM a_, i_),
+    c_ AS (SELECT conv_id, k, least(3, count(*) FILTER (wanted = 'none' OR st IS NULL OR st = wanted))::INT AS rag_chunks FROM n_ WHERE near <= 9 GROUP BY ALL),
+    y AS (SELECT x.*, {MODE} AS mode, first_value(word) OVER (PARTITION BY conv_id ORDER BY k ROWS 3 PRECEDING) AS oldest, least(6, 2 * (k - 1)) + 1 AS given FROM x),
+    turns_ AS (SELECT y.*, CASE WHEN hard_exit THEN replace(replace({reply}, '{{name}}', helpline_name), '{{number}}', helpline_number) ELSE 'The mode is ' || mode || ' today, ' || word || ' after ' || oldest || ' in ' || given END AS response,
+      CASE WHEN NOT hard_exit THEN primary_emotion WHEN safeguarding THEN 'fear' ELSE 'grief' END AS emotion, coalesce(rag_chunks, 0)::INT AS rag_chunks FROM y LEFT JOIN c_ USING (conv_id, k))"""
+
+
 #: Chunks of the test document, written out.
 CHUNKS = [(1,'academic_pressure','Academic pressure: Exams and ranks weigh on the person.','stressor_taxonomy','description'),
 (1,'academic_pressure','Common emotions in academic_pressure: anxiety, fear','emotion_map','emotions'),
@@ -211,6 +233,16 @@ CHUNKS = [(1,'academic_pressure','Academic pressure: Exams and ranks weigh on th
 (3,'no_comparison',"Guardrail 'no_comparison': Do not compare with others.",'guardrail_registry','guardrail'),
 (4,'izzat',"South Asian idiom 'izzat' (honour): Standing of the family. Linked to: marriage_pressure.",'cultural_idioms','idiom')]
 
+#: Conversations with their signals, at twice their turns.
+TALK = f"u AS (SELECT conv_id, turn, role, text FROM conversations), {detected('u')}, v AS (SELECT conv_id, turn * 2 AS turn, role, text, primary_emotion, stressor_type FROM felt)"
+
+
+def state_of(together: str) -> str:
+    """A table x: the state behind each row of v, where rows of a conversation are one session if they agree on `together`."""
+    return f"""x AS (SELECT *, row_number() OVER w AS turn_count, list(primary_emotion) OVER (PARTITION BY conv_id, ({together}) ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l,
+      last_value(stressor_type IGNORE NULLS) OVER (PARTITION BY conv_id, ({together}) ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_stressor FROM v WINDOW w AS (PARTITION BY conv_id, ({together}) ORDER BY turn))"""
+
+
 #: Greedy choice in order, as a fold: rows that a kept earlier one is near to go.
 GREEDY = """v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.e, y.e) AS s FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_dot_product(x.e, y.e) >= 0.35),
@@ -237,7 +269,8 @@ def oracle_sql() -> dict[str, str]:
         "dedup_removed": f"SELECT doc_id, 'exact_duplicate' AS reason FROM documents QUALIFY doc_id > min(doc_id) OVER (PARTITION BY {fingerprint('text')})",
         "dedup_cross_batch": f"WITH d AS (SELECT doc_id, {fingerprint('text')} AS fp FROM documents), o AS (SELECT fp FROM d WHERE doc_id % 3 = 0 UNION SELECT {fingerprint('text')} FROM benchmark) SELECT doc_id, fp NOT IN (SELECT fp FROM o) AS kept FROM d WHERE doc_id % 3 <> 0",
         "dedup_counters": f"SELECT count(*) AS total, count(*) - count(DISTINCT {fingerprint('text')}) AS exact_removed FROM documents",
-        "semantic_pairs": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.e, y.e) AS s FROM v x JOIN v y ON x.vec_id < y.vec_id) SELECT a, b, round(s, 6) AS sim FROM p WHERE s >= 0.35",
+        "semantic_pairs": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, min(vec_id) OVER (PARTITION BY embedding) AS first FROM embeddings),
+          p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.e, y.e) AS s FROM v x JOIN v y ON x.vec_id < y.vec_id AND x.first = x.vec_id AND y.first IN (x.vec_id, y.vec_id)) SELECT a, b, round(s, 6) AS sim FROM p WHERE s >= 0.35""",
         "semantic_dedup": f"WITH RECURSIVE {GREEDY}, best AS (SELECT p.b, round(max(p.s), 4) AS sim FROM p JOIN f ON f.id = p.a AND NOT f.gone GROUP BY 1) SELECT f.id AS vec_id, CASE WHEN gone THEN 'semantic_duplicate' END AS reason, CASE WHEN gone THEN sim END AS sim FROM f LEFT JOIN best ON best.b = f.id WHERE f.id IS NOT NULL",
         "near_dup_overlap": f"""WITH RECURSIVE {NEAR}, f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS held, NULL::BIGINT AS id, NULL::BIGINT AS near_of
             UNION ALL SELECT q.k, CASE WHEN list_has_any(f.held, q.before) THEN f.held ELSE list_append(f.held, q.doc_id)[-200:] END, q.doc_id, list_min(list_intersect(f.held, q.before)) FROM f JOIN q ON q.k = f.k + 1)
@@ -251,7 +284,8 @@ def oracle_sql() -> dict[str, str]:
         "io_seed_csv": f"WITH {SEED_ROWS} SELECT row_::VARCHAR AS id, md5(text) AS text_md5, intent, (row_ % 5 + 1)::VARCHAR AS urgency_level, '' AS split FROM z",
         "io_index": "SELECT vec_id AS chunk_id, 'chunk ' || vec_id AS text, len(embedding)::INT AS width, 0::INT AS missing FROM embeddings",
         "io_document": "SELECT '3' AS now, 3::INT AS stressors, '2' AS before",
-        "io_turn_log": f"WITH {FIRST_TURNS} SELECT count(*) AS turns, count(*) FILTER (hard_exit) AS crisis_exits, 2.0::DOUBLE AS avg_chunks FROM y",
+        "io_turn_log": f"""WITH {said()} SELECT conv_id::VARCHAR AS session_id, count(*) AS turns, count(*) FILTER (hard_exit) AS crisis_exits, round(avg(rag_chunks), 1) AS avg_chunks,
+          md5(string_agg(concat_ws('|', '2024-01-01T00:00:' || lpad(k::VARCHAR, 2, '0'), text, response, emotion, rag_chunks), chr(10) ORDER BY k)) AS log_md5 FROM turns_ GROUP BY 1""",
         "validate_split_counts": f"WITH o AS ({ODD}), {validated('o')} SELECT CASE WHEN text = '' THEN 'dropped' WHEN said <> '' THEN 'corrected' ELSE 'clean' END AS outcome, count(*) AS n FROM v5 GROUP BY 1",
         "pipeline_stats": f"""WITH {CURATED} SELECT (SELECT count(*) FROM cleaned) AS raw_loaded, (SELECT count(*) FROM e) AS after_clean, (SELECT count(*) FROM cleaned WHERE reason IS NOT NULL) AS clean_dropped,
           (SELECT count(*) FROM k) AS after_dedup, (SELECT count(*) FROM m WHERE copy) AS dedup_exact, 0::BIGINT AS dedup_semantic, count(*) FILTER (text <> '') AS after_validate,
@@ -266,6 +300,16 @@ def oracle_sql() -> dict[str, str]:
           d AS (SELECT * FROM (VALUES {', '.join(f"({q(a)}, {q(b)}, {c}, {d}, {q(e)})" for a, b, c, d, e, _ in X.INTENT_TABLE)}) t(label, category, low, high, language)),
           y AS (SELECT label, call, least(10, gap - call * 10) || '|' || label || '|' || category || '|' || low || '|' || high || '|' || language || '|' || CASE WHEN category = 'crisis' THEN 'no methods' ELSE '' END AS prompt FROM x JOIN d USING (label)) SELECT *, substr(md5(prompt), 1, 8) AS prompt_hash FROM y""",
         "quality_check_reasons": f"WITH {SEED_ROWS} SELECT conv_id, turn, {REASON} AS reason FROM z",
+        "quality_check_all": f"""WITH RECURSIVE {SEED_ROWS}, j AS MATERIALIZED (SELECT row_, text, {REASON.replace("row_ % 19 = 0 OR ", "")} AS own FROM z),
+          y AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_) AS k, {seed_fingerprint("text")} AS fp, list_distinct(list_filter(regexp_split_to_array({strip("lower(text)")}, '{WS}+'), lambda x: x <> '')) AS ws FROM j WHERE own = ''),
+          x AS MATERIALIZED (SELECT k, len(ws) AS n, unnest(ws) AS word FROM y),
+          p AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.word = b.word AND a.k < b.k AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY ALL HAVING count(*)::DOUBLE / greatest(any_value(a.n), any_value(b.n)) >= 0.85),
+          q AS MATERIALIZED (SELECT y.k, y.fp, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS before FROM y LEFT JOIN p ON p.b = y.k GROUP BY ALL),
+          f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS held, []::VARCHAR[] AS seen, NULL::VARCHAR AS r
+            UNION ALL SELECT q.k, CASE WHEN list_contains(f.seen, q.fp) OR list_has_any(f.held, q.before) THEN f.held ELSE list_append(f.held, q.k)[-200:] END,
+              CASE WHEN list_contains(f.seen, q.fp) OR list_has_any(f.held, q.before) THEN f.seen ELSE list_append(f.seen, q.fp) END,
+              CASE WHEN list_contains(f.seen, q.fp) THEN 'exact_duplicate' WHEN list_has_any(f.held, q.before) THEN 'near_duplicate' END FROM f JOIN q ON q.k = f.k + 1)
+          SELECT r AS rejection_reason, count(*) AS n FROM (SELECT r FROM f UNION ALL SELECT own FROM j WHERE own <> '') WHERE r IS NOT NULL GROUP BY 1""",
         "assign_ids": "SELECT doc_id, 'seed_train_' || CASE WHEN k < 10000 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCHAR END AS id FROM (SELECT doc_id, 41 + row_number() OVER (ORDER BY doc_id) AS k FROM documents)",
         "safety_risk": f"WITH r AS ({RECORDS}), {assessed('r')} SELECT doc_id, is_crisis, risk_level, tier, helpline_name, helpline_number, safeguarding, hard_exit FROM risk",
         "safety_matched_pattern": f"WITH r AS ({RECORDS}), {assessed('r')} SELECT doc_id, matched_pattern FROM risk",
@@ -284,11 +328,29 @@ def oracle_sql() -> dict[str, str]:
         "retrieve_context": f"WITH {FILTERED} SELECT query_id, string_agg(rank || '. [src' || (chunk_id % 4) || '] chunk ' || chunk_id, chr(10) ORDER BY rank) AS context FROM g WHERE rank <= 3 GROUP BY 1",
         "retrieve_query_text": f"WITH {FELT} SELECT conv_id, turn, md5(stressor_type || ' ' || primary_emotion || ' ' || substring(text, 1, 200)) AS query_md5 FROM felt",
         "vectors_normalised": "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS square FROM embeddings",
-        "turn_flow": f"""WITH {FIRST_TURNS} SELECT conv_id, k, CASE WHEN hard_exit THEN replace(replace({reply}, '{{name}}', helpline_name), '{{number}}', helpline_number) ELSE 'The mode is ' || mode || ' today' END AS response,
-          CASE WHEN NOT hard_exit THEN primary_emotion WHEN safeguarding THEN 'fear' ELSE 'grief' END AS emotion, CASE WHEN hard_exit THEN 'crisis_signal' ELSE intent END AS intent, CASE WHEN hard_exit THEN 'none' ELSE stressor_type END AS stressor,
+        "turn_flow": f"""WITH {said()} SELECT conv_id, k, response, emotion, CASE WHEN hard_exit THEN 'crisis_signal' ELSE intent END AS intent, CASE WHEN hard_exit THEN 'none' ELSE stressor_type END AS stressor,
           CASE WHEN hard_exit THEN risk_level ELSE u END AS urgency, risk_level AS risk, CASE WHEN hard_exit THEN CASE risk_level WHEN 5 THEN 'crisis_overlay' WHEN 4 THEN 'urgent_prompt' ELSE 'safeguarding' END WHEN risk_level = 3 THEN 'crisis_calm_conversation' WHEN u = 2 THEN 'gentle_checkin' ELSE 'none' END AS risk_action,
-          CASE WHEN risk_level > 1 THEN 'regex' ELSE 'none' END AS risk_source, hard_exit AS crisis_exit, CASE WHEN hard_exit THEN '' ELSE 'listen|ask' END AS strategies, CASE WHEN hard_exit THEN '' ELSE 'exact' END AS parse_strategy FROM y""",
-        "turn_state": f"""WITH {FIRST_TURNS} SELECT conv_id, count(*) AS turn_count, (2 * count(*))::INT AS n_history, coalesce(string_agg(primary_emotion, '|' ORDER BY k) FILTER (NOT hard_exit), '') AS arc, coalesce(last(stressor_type ORDER BY k) FILTER (NOT hard_exit), '') AS last_stressor FROM y GROUP BY 1""",
+          CASE WHEN risk_level > 1 THEN 'regex' ELSE 'none' END AS risk_source, hard_exit AS crisis_exit, CASE WHEN hard_exit THEN '' ELSE 'listen|ask' END AS strategies, CASE WHEN hard_exit THEN '' ELSE 'exact' END AS parse_strategy, rag_chunks FROM turns_""",
+        "turn_state": f"""WITH {said()}, z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS back FROM turns_)
+          SELECT conv_id, count(*) AS turn_count, (2 * least(3, count(*)))::INT AS n_history, md5(string_agg('user:' || text || chr(10) || 'assistant:' || response, chr(10) ORDER BY k) FILTER (back <= 3)) AS history_md5,
+            coalesce(array_to_string((list(primary_emotion ORDER BY k) FILTER (NOT hard_exit))[-4:], '|'), '') AS arc, count(*) FILTER (NOT hard_exit) AS arc_length, coalesce(last(stressor_type ORDER BY k) FILTER (NOT hard_exit), '') AS last_stressor FROM z GROUP BY 1""",
+        "prompt_texts": f"""WITH {FELT_RISK}, h AS (SELECT *, urgency_level AS u, list(primary_emotion) OVER w AS felt_, list((CASE WHEN role = 'user' THEN '  User: ' ELSE '  Assistant: ' END) || substring(text, 1, 120)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS talk FROM risk WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+          m AS (SELECT *, {MODE} AS mode FROM h)
+          SELECT conv_id, turn, CASE WHEN risk_level >= 4 THEN 150 ELSE 120 END AS word_cap, md5('Preamble.' || chr(10) || '### Language' || chr(10) || lang_code || chr(10) || '### Signals' || chr(10)
+            || '- emotion: ' || primary_emotion || chr(10) || '- intent: ' || intent || chr(10) || '- stressor: ' || stressor_type || chr(10) || '- urgency: ' || urgency_level || chr(10) || '- risk: ' || risk_level || chr(10)
+            || CASE WHEN risk_level >= 4 THEN chr(10) || '### Crisis, risk ' || risk_level || ' of 5' || chr(10) || 'Name the pain, say that it is real, ask whether the person is safe, mention ' || helpline_name || ' (' || helpline_number || '), stay in the conversation.' || chr(10) ELSE '' END
+            || CASE WHEN stressor_type = 'academic_pressure' THEN chr(10) || '### Culture' || chr(10) || '- Ranks are public.' || chr(10) ELSE '' END
+            || CASE stressor_type WHEN 'academic_pressure' THEN chr(10) || '### Guardrails' || chr(10) || '- Never say: "just study harder"' || chr(10) || '- Do not compare with others.' || chr(10)
+                 WHEN 'financial_stress' THEN chr(10) || '### Guardrails' || chr(10) || '- Give no financial advice.' || chr(10) || '- Do not compare with others.' || chr(10) ELSE '' END
+            || chr(10) || '### Technique' || chr(10) || cbt_technique || chr(10)
+            || CASE WHEN list_contains(string_split(idioms, '|'), 'izzat') THEN chr(10) || '### Idioms' || chr(10) || '- ''izzat'' (honour) — Standing of the family.' || chr(10) ELSE '' END
+            || CASE WHEN len(felt_) >= 3 THEN chr(10) || '### Pattern' || chr(10) || 'Recent arc: ' || array_to_string(felt_[-4:], ' → ') || chr(10) ELSE '' END
+            || chr(10) || '### Context' || chr(10) || '  1. ' || substring(text, 1, 200) || chr(10)
+            || CASE WHEN len(talk) > 0 THEN chr(10) || '### Recent turns' || chr(10) || array_to_string(talk, chr(10)) || chr(10) ELSE '' END
+            || CASE WHEN conv_id % 2 = 0 THEN chr(10) || '### Profile' || chr(10) || '  session ' || conv_id || chr(10) ELSE '' END
+            || chr(10) || '### Mode' || chr(10) || CASE mode WHEN 'normal' THEN 'Answer plainly.' ELSE mode END || chr(10) || '### Length' || chr(10) || 'At most ' || CASE WHEN risk_level >= 4 THEN 150 ELSE 120 END || ' words' || chr(10)
+            || CASE WHEN risk_level = 3 THEN chr(10) || '### Support' || chr(10) || 'If the moment allows, mention ' || helpline_name || ' ' || helpline_number || ' as someone who listens; the conversation goes on.' || chr(10) ELSE '' END
+            || chr(10) || '### Output' || chr(10) || '---RESPONSE---' || chr(10) || '---METADATA---' || chr(10)) AS prompt_md5 FROM m""",
         "risk_prompt": "SELECT conv_id, turn, '  tier_3:' || chr(10) || '    - no point#  - marriage_pressure: Marriage pressure#  (none)' AS risk_prompt FROM conversations WHERE role = 'user'",
         "kb_chunks": f"SELECT part::INT AS part, id, text, source, CASE WHEN part = 1 THEN id END AS stressor_type, chunk_type, CASE WHEN part = 3 THEN id END AS guardrail_id FROM (VALUES {', '.join(f'({p}, {q(i)}, {q(t)}, {q(s)}, {q(k)})' for p, i, t, s, k in CHUNKS)}) v(part, id, text, source, chunk_type)",
         "kb_enriched": "SELECT 'academic_pressure,financial_stress,marriage_pressure' AS ids, 'new note' AS notes, 'forced to marry,locked in' AS tier_2, true AS amplifies, 'identity_conflict' AS escalates, 'Standing of the family.' AS meaning, 'by age' AS safeguarding_context, '2' AS version",
@@ -338,6 +400,10 @@ def oracle_sql() -> dict[str, str]:
         "stream_session_state": f"""WITH u AS (SELECT conv_id, turn, role, text FROM conversations), {detected('u')}, x AS (SELECT conv_id, turn, row_number() OVER w AS turn_count, list(primary_emotion) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l,
             last_value(stressor_type IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_stressor FROM felt WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
           SELECT conv_id, turn, turn_count, CASE WHEN turn_count >= 3 THEN array_to_string(l, ' → ') END AS arc, last_stressor FROM x""",
+        "stream_turns": f"""WITH {TALK}, {state_of("true")} SELECT conv_id, turn, turn_count, turn_count AS arc_length, CASE WHEN turn_count >= 3 THEN array_to_string(l, ' → ') END AS arc, last_stressor FROM x""",
+        "session_reset": f"""WITH {TALK}, {state_of("conv_id % 3 <> 0 OR turn < 3")} SELECT conv_id, turn, turn_count, turn_count AS arc_length, CASE WHEN turn_count >= 3 THEN array_to_string(l, ' → ') END AS arc, last_stressor FROM x""",
+        "session_get": f"""WITH {TALK}, {state_of("true")}, z AS (SELECT conv_id, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (back <= 6)) AS history_md5, least(6, count(*))::INT AS n_history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM x) GROUP BY 1)
+          SELECT conv_id, turn_count, n_history, history_md5, array_to_string(l, '|') AS arc, turn_count AS arc_length, last_stressor FROM x JOIN z USING (conv_id) QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)""",
         "stream_curated": f"WITH r AS (SELECT doc_id, text, 'en' AS language, 'casual_chat' AS intent, 'neutral' AS category, 1 AS urgency FROM documents), {CLEANED} SELECT DISTINCT {fingerprint('text')} AS _fingerprint FROM cleaned WHERE reason IS NULL",
         "retention_30d": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY 1",
         "user_last_event": "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1",

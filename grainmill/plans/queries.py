@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from grainmill.operators import sessions as talk
 from grainmill.plans import curation, fixtures
 from grainmill.plans import turns as flow
 from grainmill.sources import files, models
-from grainmill.sources.scratch import shared_path, table
-from grainmill.streaming import streams
+from grainmill.sources.scratch import drop_table, shared_path, table
+from grainmill.streaming import conversations, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -132,7 +133,7 @@ def semantic_dedup(spark, sf_dir):
 
 @query
 def near_dup_overlap(spark, sf_dir):
-    return dedup.overlap_window(_read(spark, sf_dir, "documents"), "doc_id")
+    return dedup.overlap_window(_read(spark, sf_dir, "documents"), "doc_id").select("order", "near_of")
 
 
 @query
@@ -423,27 +424,51 @@ def prompt_modes(spark, sf_dir):
     return talk.prompt(f, {"normal": "Answer plainly."}).groupBy("mode", "word_cap").agg(F.count("*").alias("n"))
 
 
+@query
+def prompt_texts(spark, sf_dir):
+    """The whole prompt of every turn, with all of its blocks, from the turn's signals, its session and the knowledge base."""
+    f = talk.history(talk.emotion_arc(safety.assess(_felt(spark, sf_dir))))
+    f = f.select(
+        "conv_id", "turn", "intent", F.col("stressor_type").alias("stressor"), F.col("urgency_level").alias("urgency"), F.col("risk_level").alias("risk"), F.col("primary_emotion").alias("emotion"), "lang_code",
+        F.col("cbt_technique").alias("technique"), "idioms_detected", "stigma_flag", "arc", "history", F.array("text").alias("chunks"), "helpline_name", "helpline_number",
+        F.when(F.col("risk_level") == 3, F.concat_ws(" ", "helpline_name", "helpline_number")).alias("helpline_note"), F.when(F.col("conv_id") % 2 == 0, F.array(F.concat(F.lit("session "), "conv_id"))).alias("profile"),
+    )
+    out = talk.prompt(talk.with_knowledge(f, fixtures.knowledge_base(spark)), {"normal": "Answer plainly."}, "Preamble.")
+    return out.select("conv_id", "turn", "word_cap", F.md5("prompt").alias("prompt_md5"))
+
+
 def _encoder():
-    return models.hashed_words(64)
+    return models.letters()
 
 
 def _speaker():
-    """A stand-in for a model: says which mode the prompt asks for, so that replies depend on it."""
-    return lambda prompts: [f"---RESPONSE---\nThe mode is {p.rsplit('### Mode', 1)[1].split()[0]} today\n---METADATA---\nstrategy=listen, ask" for p in prompts]
+    """A stand-in for a model: says which mode the prompt asks for, the message's first word, that of the oldest message given and their number, so that replies depend on all of them."""
+
+    def reply(c: models.Conversation) -> str:
+        first = lambda text: (text.split() or ["nothing"])[0]
+        mode = c.system.rsplit("### Mode", 1)[1].split()[0]
+        return f"---RESPONSE---\nThe mode is {mode} today, {first(c.messages[-1][1])} after {first(c.messages[0][1])} in {len(c.messages)}\n---METADATA---\nstrategy=listen, ask"
+
+    return lambda asked: [reply(c) for c in asked]
+
+
+def _said(spark, sf_dir):
+    """What the persons of the conversations say: conv_id, k (1, 2, 3 ...), text."""
+    return fixtures.turns(spark, sf_dir).where("role = 'user'").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("k"), "text")
 
 
 def _flow(spark, sf_dir, scorer=None):
-    """The first two turns of each conversation, one after the other."""
+    """All turns of the persons, one after the other, all conversations side by side: results of each turn, and the last state."""
     chunks = retrieval.chunks(fixtures.knowledge_base(spark)).withColumn("chunk_id", F.row_number().over(Window.orderBy("part", "id", "chunk_type", "text")).cast("long"))
     index = table(models.embed(chunks, "text", _encoder), "chunks")
-    said, state, results = fixtures.turns(spark, sf_dir), flow.new_state(spark), []
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    first = said.withColumn("k", place).where("k <= 2")
-    for k in (1, 2):
-        done = flow.answer(first.where(F.col("k") == k), state, fixtures.knowledge_base(spark), index, _encoder, _speaker, {}, scorer=scorer)
+    said, state, results = table(_said(spark, sf_dir), "said"), flow.new_state(spark), []
+    for k in range(1, (said.agg(F.max("k")).first()[0] or 0) + 1):
+        done = flow.answer(said.where(F.col("k") == k), state, fixtures.knowledge_base(spark), index, _encoder, _speaker, {}, scorer=scorer)
+        if k > 1:
+            drop_table(state)
         state = done.state
         results.append(done.results.withColumn("k", F.lit(k)))
-    return results[0].unionByName(results[1]), state
+    return reduce(DataFrame.unionByName, results), state, said
 
 
 @query
@@ -487,24 +512,26 @@ def io_document(spark, sf_dir):
 
 @query
 def io_turn_log(spark, sf_dir):
+    """The log of all turns, appended turn by turn and read again."""
     path = shared_path(spark, "turns")
-    results, _ = _flow(spark, sf_dir)
-    said = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.lit("said").alias("text"))
-    for k in (1, 2):
-        files.append_turns(flow.log_rows(results.where(F.col("k") == k), said, "2024-01-01T00:00:00"), path)
-    return talk.summary(files.read_jsonl(spark, path, files.TURN_LOG_SCHEMA, "*.json")[0].withColumn("rag_chunks", F.lit(2)))
+    results, _, said = _flow(spark, sf_dir)
+    for k in [r[0] for r in said.select("k").distinct().orderBy("k").collect()]:  # one row for each turn of the longest conversation
+        files.append_turns(flow.log_rows(results.where(F.col("k") == k), said.where(F.col("k") == k), f"2024-01-01T00:00:{k:02d}"), path, k)
+    log = files.read_turns(spark, path)
+    return talk.summary(log, "session_id").join(log.groupBy("session_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "timestamp", "user", "response", "emotion", "rag_chunks"))), "\n")).alias("log_md5")), "session_id")
 
 
 @query
 def turn_flow(spark, sf_dir):
-    results, _ = _flow(spark, sf_dir)
-    return results.select("conv_id", "k", "response", "emotion", "intent", "stressor", "urgency", "risk", "risk_action", "risk_source", "crisis_exit", _joined("strategy").alias("strategies"), "parse_strategy")
+    results, _, _ = _flow(spark, sf_dir)
+    return results.select("conv_id", "k", "response", "emotion", "intent", "stressor", "urgency", "risk", "risk_action", "risk_source", "crisis_exit", _joined("strategy").alias("strategies"), "parse_strategy", "rag_chunks")
 
 
 @query
 def turn_state(spark, sf_dir):
-    _, state = _flow(spark, sf_dir)
-    return state.select("conv_id", "turn_count", F.size("history").alias("n_history"), _joined("emotion_arc").alias("arc"), F.coalesce("last_stressor", F.lit("")).alias("last_stressor"))
+    _, state, _ = _flow(spark, sf_dir)
+    said = F.md5(F.array_join(F.transform("history", lambda m: F.concat_ws(":", m["role"], m["text"])), "\n"))
+    return state.select("conv_id", "turn_count", F.size("history").alias("n_history"), said.alias("history_md5"), _joined("emotion_arc").alias("arc"), "arc_length", F.coalesce("last_stressor", F.lit("")).alias("last_stressor"))
 
 
 @query
@@ -693,6 +720,34 @@ def stream_session_state(spark, sf_dir):
     return streams.to_table(streams.session_state(felt))
 
 
+def _talk_stream(spark, sf_dir):
+    """Conversations as a stream with signals, and a reset behind the second row of every third; a row's place is twice its turn."""
+    felt = affect.detect(_stream(spark, sf_dir, "conversations")).select("conv_id", (F.col("turn") * 2).alias("turn"), "role", "text", "primary_emotion", "stressor_type")
+    ends = _stream(spark, sf_dir, "conversations").where("turn = 1 AND conv_id % 3 = 0").select("conv_id", F.lit(3).cast(felt.schema["turn"].dataType).alias("turn"), F.lit(conversations.RESET).alias("role"), F.lit("").alias("text"), F.lit("").alias("primary_emotion"), F.lit("").alias("stressor_type"))
+    return felt, ends
+
+
+@query
+def stream_turns(spark, sf_dir):
+    """The state behind every row of the conversations, kept by session in a state store."""
+    return conversations.run(_talk_stream(spark, sf_dir)[0])[0]
+
+
+@query
+def session_get(spark, sf_dir):
+    """The sessions as they stand in the state store when the stream has ended."""
+    state = conversations.session_get(spark, conversations.run(_talk_stream(spark, sf_dir)[0])[1])
+    said = F.md5(F.array_join(F.transform("history", lambda m: F.concat_ws(":", m["role"], m["text"])), "\n"))
+    return state.select("conv_id", "turn_count", F.size("history").alias("n_history"), said.alias("history_md5"), _joined("emotion_arc").alias("arc"), "arc_length", "last_stressor")
+
+
+@query
+def session_reset(spark, sf_dir):
+    """The same stream with reset rows in it: what follows begins anew."""
+    felt, ends = _talk_stream(spark, sf_dir)
+    return conversations.run(felt.unionByName(ends))[0]
+
+
 @query
 def stream_curated(spark, sf_dir):
     source = _stream(spark, sf_dir, "documents")

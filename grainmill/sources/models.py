@@ -4,29 +4,40 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+
+
+class Conversation(NamedTuple):
+    """A system prompt and messages (role, text), oldest first."""
+
+    system: str
+    messages: list[tuple[str, str]]
+
+
 Generate = Callable[[list[str]], list[str]]
+Converse = Callable[[list[Conversation]], list[str]]
 Embed = Callable[[list[str]], np.ndarray]
 
 
-def generate(df: DataFrame, prompt: str, make: Callable[[], Generate], output: str = "raw", retries: int = 3) -> DataFrame:
-    """df with the reply to each prompt; make() is called once a task. Empty replies and calls that fail are tried again, `retries` times in all; a last failure is raised."""
+def _replies(df: DataFrame, columns: list[str], ask: Callable[[tuple], object], make: Callable[[], Callable[[list], list[str]]], output: str, retries: int) -> DataFrame:
+    """df with the reply to what ask() makes of each row's columns. Empty replies and calls that fail are tried again."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{output}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for b in batches:
-            prompts = b.column(b.schema.get_field_index(prompt)).to_pylist()
-            replies, open_ = [""] * len(prompts), list(range(len(prompts)))
+            asked = [ask(row) for row in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in columns], strict=True)]
+            replies, open_ = [""] * len(asked), list(range(len(asked)))
             for attempt in range(retries):
                 if not open_:
                     break
                 try:
-                    answers = model([prompts[i] for i in open_])
+                    answers = model([asked[i] for i in open_])
                 except Exception:
                     if attempt + 1 == retries:
                         raise
@@ -39,6 +50,16 @@ def generate(df: DataFrame, prompt: str, make: Callable[[], Generate], output: s
     return df.mapInArrow(run, schema)
 
 
+def generate(df: DataFrame, prompt: str, make: Callable[[], Generate], output: str = "raw", retries: int = 3) -> DataFrame:
+    """df with the reply to each prompt; make() is called once a task. Empty replies and calls that fail are tried again, `retries` times in all; a last failure is raised."""
+    return _replies(df, [prompt], lambda row: row[0], make, output, retries)
+
+
+def converse(df: DataFrame, system: str, messages: str, make: Callable[[], Converse], output: str = "raw", retries: int = 3) -> DataFrame:
+    """The same for a model that takes a system prompt and messages (an array of role and text), the last of which it is to answer."""
+    return _replies(df, [system, messages], lambda row: Conversation(row[0] or "", [(m["role"], m["text"]) for m in row[1] or []]), make, output, retries)
+
+
 def healthy(make: Callable[[], Generate], prompt: str = "ping") -> bool:
     """Whether a model can be made and answers one prompt, here on the driver."""
     try:
@@ -74,3 +95,8 @@ def hashed_words(size: int = 64) -> Embed:
         return v
 
     return lambda texts: np.stack([one(t) for t in texts]) if texts else np.zeros((0, size), np.float32)
+
+
+def letters(size: int = 26) -> Embed:
+    """A plainer stand-in: how often each of the first `size` letters occurs, which SQL can count as well."""
+    return lambda texts: np.array([[t.lower().count(chr(97 + i)) for i in range(size)] for t in texts], np.float32).reshape(len(texts), size)

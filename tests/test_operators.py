@@ -370,7 +370,7 @@ def _scorer():
 
 
 def _reply():
-    return lambda prompts: ["---RESPONSE---\nGo on\n---METADATA---\nurgency=9" if "Vandrevala" not in p else "" for p in prompts]
+    return lambda asked: ["---RESPONSE---\nGo on\n---METADATA---\nurgency=9" if "Vandrevala" not in c.system else "" for c in asked]
 
 
 def test_turns_carry_state(spark):
