@@ -7,6 +7,7 @@ import sys
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -142,6 +143,79 @@ def found(low: Column, pattern: str) -> Column:
     return F.coalesce(may_match(low, pattern) & low.rlike(quick(pattern.lower())), F.lit(False))
 
 
+class WordRule(NamedTuple):
+    r"""How a pattern of the shape \b(a|b\s+c|...)\b is decided from the words of a text.
+
+    single: words that match by themselves; keys: for each choice of several words, one that any match holds; rest:
+    choices that are no plain words, as patterns.
+    """
+
+    single: tuple[str, ...]
+    keys: tuple[str, ...]
+    rest: tuple[str, ...]
+
+
+@lru_cache(None)
+def word_rule(pattern: str) -> WordRule | None:
+    """The rule of a pattern of that shape; None for others."""
+    if not (pattern.startswith(r"\b(") and pattern.endswith(r")\b")):
+        return None
+    inner, depth, choices, at = pattern[3:-3], 0, [], 0
+    for i, c in enumerate(inner):
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return None
+        if c == "|" and not depth:
+            choices.append(inner[at:i])
+            at = i + 1
+    single, keys, rest = [], [], []
+    for choice in [*choices, inner[at:]]:
+        words = re.split(r"\\s\+| ", choice.lower())
+        if not all(re.fullmatch("[a-z0-9_]+", w) for w in words):
+            rest.append(rf"\b(?:{choice})\b")
+        elif len(words) == 1:
+            single.append(words[0])
+        else:
+            keys.append(max(words, key=len))
+    return WordRule(tuple(dict.fromkeys(single)), tuple(dict.fromkeys(keys)), tuple(rest))
+
+
+def word_hits(low: Column, patterns: Sequence[str]) -> Column:
+    """The distinct words of folded(text) that the rules of the patterns ask for: one pass over the text for all of them."""
+    asked = dict.fromkeys(w for p in patterns if (rule := word_rule(p)) for w in (*rule.single, *rule.keys))
+    return F.array_intersect(F.split(low, r"(?U)\W+"), F.array(*[F.lit(w) for w in asked]))
+
+
+def _any_word(hits: Column, words: Sequence[str]) -> Column:
+    return F.arrays_overlap(hits, F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
+
+
+def found_words(low: Column, hits: Column, pattern: str) -> Column:
+    """As found(low, pattern), with hits = word_hits(low, ...) over this pattern too, best in a column of its own.
+
+    A pattern of single words is decided by the hits; its longer choices are looked for only where a word of theirs is there.
+    """
+    rule = word_rule(pattern)
+    if rule is None:
+        return found(low, pattern)
+    maybe = _any_word(hits, rule.keys)
+    for choice in rule.rest:
+        maybe = maybe | may_match(low, choice)
+    longer = (maybe & low.rlike(quick(pattern.lower()))) if rule.keys or rule.rest else F.lit(False)
+    return F.coalesce(_any_word(hits, rule.single) | longer, F.lit(False))
+
+
+def count_words(low: Column, hits: Column, pattern: str) -> Column:
+    """As hits_folded(low, pattern): how often the pattern is found; texts without a word of it are not searched."""
+    rule = word_rule(pattern)
+    if rule is None:
+        return hits_folded(low, pattern)
+    maybe = _any_word(hits, (*rule.single, *rule.keys))
+    for choice in rule.rest:
+        maybe = maybe | may_match(low, choice)
+    return F.when(maybe, F.coalesce(F.regexp_count(low, F.lit(quick(pattern.lower()))), F.lit(0))).otherwise(0)
+
+
 def any_of(patterns: Sequence[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import patterns as P
 from grainmill.functions import taxonomy as X
-from grainmill.functions.text import folded, found, hits_folded, may_match, messages, quick, strip, word_list
+from grainmill.functions.text import count_words, folded, found, found_words, may_match, messages, quick, strip, word_hits, word_list
 
 
 def language_of(text: Column, lowered: Column) -> Column:
@@ -15,8 +15,8 @@ def language_of(text: Column, lowered: Column) -> Column:
     return F.when(text.rlike("[\\x{0900}-\\x{097F}]"), "hi").when(text.rlike("[\\x{0980}-\\x{09FF}]"), "bn").when(mixed, "hi-en-mix").otherwise("en")
 
 
-def sentiment(low: Column) -> Column:
-    score = (hits_folded(low, P.POSITIVE_WORDS) - hits_folded(low, P.NEGATIVE_WORDS)) * F.lit(0.2)
+def sentiment(low: Column, hits: Column) -> Column:
+    score = (count_words(low, hits, P.POSITIVE_WORDS) - count_words(low, hits, P.NEGATIVE_WORDS)) * F.lit(0.2)
     return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), 2)
 
 
@@ -63,13 +63,16 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
     """df with intent, primary_emotion, secondary_emotion, emotions_all, urgency_level, stressor_type, tone_mode, lang_code,
     sentiment_score, idioms_detected, stigma_flag, cbt_technique, entities_persons, entities_roles.
 
-    Pattern matches are made once, in a projection of their own; the cascades read only their booleans. Null text
-    counts as empty.
+    The words that the patterns ask for are looked up in one pass over the text (text.word_hits); matches are made once,
+    in a projection of their own; the cascades read only their booleans. Null text counts as empty.
     """
     df = df.withColumns({"_gm_raw": F.coalesce(F.col(text), F.lit(""))}).withColumns({"_gm_t": strip(F.lower("_gm_raw")), "_gm_low": strip(folded(F.col("_gm_raw")))})
-    t, low = F.col("_gm_t"), F.col("_gm_low")
-    opener = found(low, P.GREETING_OPENER) & (F.size(word_list(t)) <= 6)
-    df = df.withColumns({f"_gm_{k}": found(low, p) for k, p in SIGNALS.items()} | {"_gm_greeting": opener | found(low, P.GREETING_EXACT) | found(low, P.GREETING_CHECK_IN)})
+    t, low, hits = F.col("_gm_t"), F.col("_gm_low"), F.col("_gm_hits")
+    df = df.withColumn("_gm_hits", word_hits(low, [*SIGNALS.values(), P.STIGMA, P.POSITIVE_WORDS, P.NEGATIVE_WORDS]))
+    # Greetings are anchored to the beginning: no search for their literals is cheaper than the match itself.
+    begins = lambda p: F.coalesce(low.rlike(quick(p.lower())), F.lit(False))
+    greeting = (begins(P.GREETING_OPENER) & (F.size(word_list(t)) <= 6)) | begins(P.GREETING_EXACT) | begins(P.GREETING_CHECK_IN)
+    df = df.withColumns({f"_gm_{k}": found_words(low, hits, p) for k, p in SIGNALS.items()} | {"_gm_greeting": greeting})
     intent, stressor = F.lit("vent_frustration"), F.lit("none")
     for signals, i, s in reversed(INTENT_RULES):
         met = F.col(f"_gm_{signals[0]}")
@@ -85,6 +88,6 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({
         "intent": F.col("_gm_intent"), "primary_emotion": F.get("_gm_emotions", F.lit(0)), "secondary_emotion": F.get("_gm_emotions", F.lit(1)), "emotions_all": F.col("_gm_emotions"),
         "urgency_level": F.col("_gm_urgency"), "stressor_type": F.col("_gm_stressor"), "tone_mode": F.when(F.col("_gm_urgency") >= 3, "crisis_calm").otherwise(tone),
-        "lang_code": language_of(F.col("_gm_raw"), t), "sentiment_score": sentiment(low), "idioms_detected": idioms(F.col("_gm_raw"), low), "stigma_flag": found(low, P.STIGMA),
+        "lang_code": language_of(F.col("_gm_raw"), t), "sentiment_score": sentiment(low, hits), "idioms_detected": idioms(F.col("_gm_raw"), low), "stigma_flag": found_words(low, hits, P.STIGMA),
         "cbt_technique": technique(F.col("_gm_intent"), F.get("_gm_emotions", F.lit(0))), "entities_persons": named(t, P.PERSONS), "entities_roles": named(t, P.ROLES),
-    }).drop("_gm_raw", "_gm_t", "_gm_low", "_gm_greeting", "_gm_intent", "_gm_stressor", "_gm_urgency", "_gm_emotions", *[f"_gm_{k}" for k in SIGNALS])
+    }).drop("_gm_raw", "_gm_t", "_gm_low", "_gm_hits", "_gm_greeting", "_gm_intent", "_gm_stressor", "_gm_urgency", "_gm_emotions", *[f"_gm_{k}" for k in SIGNALS])

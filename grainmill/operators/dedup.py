@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import fingerprint, word_list
-from grainmill.sources.scratch import drop_table, small, table
+from grainmill.sources.scratch import drop_table, numbered_rows, small, table
 
 
 def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
@@ -360,7 +360,7 @@ def overlap_window(df: DataFrame, order: str, text: str = "text", least: float =
     distance before it has is a copy, is compared with nothing and not accepted. group: a column in which folds are apart.
     Numbers of `order` are unique; texts without words are accepted.
 
-    The rows are sorted into ranges, which are folded side by side, at first as if nothing stood before them. A range
+    The rows are sorted and numbered, and each `block` of them is a range; ranges are folded side by side, at first as if nothing stood before them. A range
     whose window is not the one that the range before it leaves, or in which another row is a copy than was taken, is folded
     anew, until there is none: the first range is right from the start, and each round at least the next one, so the
     result is that of the fold in sequence. Where two folds have accepted the same rows for a window, they go on alike, so few
@@ -368,8 +368,9 @@ def overlap_window(df: DataFrame, order: str, text: str = "text", least: float =
     """
     key = F.col(group).cast("string") if group else F.lit(None).cast("string")
     rows = df.select(key.alias("g"), F.col(order).cast("long").alias("o"), F.array_distinct(word_list(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("w"), (F.col(copy_of) if copy_of else F.lit(None)).cast("string").alias("f"))
-    blocks = max(1, -(-df.count() // block))
-    rows = table(rows.repartitionByRange(blocks, "g", "o").withColumn("block", F.spark_partition_id()), "ranges")
+    rows = numbered_rows(rows.orderBy("g", "o")).withColumn("block", F.expr(f"int((_gm_number - 1) DIV {block})")).drop("_gm_number")
+    rows = table(rows, "ranges")
+    blocks = (rows.agg(F.max("block")).first()[0] or 0) + 1
     repeated = None
     if copy_of:
         repeated = table(rows.where("f IS NOT NULL").groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", F.lit(True).alias("again")), "repeated")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from grainmill.functions import patterns as P
 from grainmill.functions.taxonomy import INTENT_TABLE, SEED_INTENTS, SEED_TARGETS, TARGETS
 from grainmill.functions.text import folded, found, seed_fingerprint
 from grainmill.operators.dedup import overlap_window
-from grainmill.sources.scratch import small, table
+from grainmill.sources.scratch import numbered_rows, small, table
 
 
 def distribution(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
@@ -19,6 +21,17 @@ def distribution(df: DataFrame, column: str, most: int | None = None) -> DataFra
     return out.limit(most) if most else out
 
 
+def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, value, n, percent of several columns at once: one scan, one shuffle of counts, most frequent first within each column."""
+    values = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in columns])
+    sets = values.groupingSets([[c] for c in columns], *columns).agg(F.grouping_id().alias("_set"), F.count("*").alias("n"))
+    # The bit of the only column that a set does not leave out is 0.
+    bits = {c: (1 << len(columns)) - 1 - (1 << (len(columns) - 1 - i)) for i, c in enumerate(columns)}
+    name = F.coalesce(*[F.when(F.col("_set") == b, F.lit(c)) for c, b in bits.items()])
+    out = sets.select(name.alias("column"), F.coalesce(*columns).alias("value"), "n")
+    return out.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("column")), 1)).orderBy("column", F.desc("n"), "value")
+
+
 def gaps(df: DataFrame, column: str = "intent", targets: dict[str, int] = TARGETS) -> DataFrame:
     """label, n, target, gap of the labels below their target, widest first."""
     want = df.sparkSession.createDataFrame(list(targets.items()), "label string, target int")
@@ -82,17 +95,6 @@ def assign_ids(df: DataFrame, order: str, existing: DataFrame | None = None, spl
     return rows.withColumns({"id": F.concat(F.lit(prefix), digits), "split": F.lit(split)}).drop("_gm_number")
 
 
-def numbered_rows(df: DataFrame) -> DataFrame:
-    """df, written, with _gm_number: 1, 2, 3 ... in the order in which its partitions hold the rows."""
-    held = table(df.withColumn("_gm_row", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_gm_row", 33)
-    counts = held.groupBy(part.alias("_gm_part")).agg(F.count("*").alias("_gm_k"), F.min("_gm_row").alias("_gm_first"))
-    # One row for each partition.
-    before = counts.select("_gm_part", "_gm_first", (F.sum("_gm_k").over(Window.partitionBy(F.lit(0)).orderBy("_gm_part")) - F.col("_gm_k")).alias("_gm_before"))
-    joined = held.withColumn("_gm_part", part).join(small(before, 32), "_gm_part")
-    return joined.withColumn("_gm_number", F.col("_gm_before") + F.col("_gm_row") - F.col("_gm_first") + 1).drop("_gm_row", "_gm_part", "_gm_first", "_gm_before")
-
-
 def calls(wanted: DataFrame, n: str = "gap", per_call: int = 10) -> DataFrame:
     """One row for each call of up to per_call records: call (from 0), ask."""
     k = F.ceil(F.col(n) / per_call).cast("int")

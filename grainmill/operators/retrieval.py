@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.operators.dedup import padded, usable
-from grainmill.sources.scratch import small
+from grainmill.sources.scratch import small, table
 
 STRESSOR = "label: string, description: string, signal_phrases: map<string, array<string>>, linked_emotions: array<string>, guardrails: array<string>, cultural_context_notes: array<string>, escalation_markers: array<string>, co_emotion_patterns: map<string, string>, response_templates: map<string, string>, what_not_to_say: array<string>, reflection_frames: array<string>"
 TONE = "description: string, when_to_use: array<string>, linguistic_markers: struct<prefer: array<string>, avoid: array<string>>"
@@ -66,7 +66,7 @@ def enrich(kb: DataFrame, fields: DataFrame, keywords: dict[str, list[str]] | No
 
     Only stressors and idioms that are there are touched. One document a row; updates are small tables.
     """
-    own = kb.withColumn("_doc", F.monotonically_increasing_id())
+    own = table(kb.withColumn("_doc", F.monotonically_increasing_id()), "documents")
     held = own.select("_doc", F.explode("stressor_taxonomy").alias("id", "v")).join(small(fields.withColumnsRenamed({c: f"new_{c}" for c in fields.columns if c != "id"}), UPDATE_BYTES), "id", "left")
     names = [f.split(":")[0].strip() for f in _split_fields(STRESSOR)]
     merged = F.struct(*[F.coalesce(F.col(f"new_{n}"), F.col(f"v.{n}")).alias(n) if n in fields.columns else F.col(f"v.{n}").alias(n) for n in names])
@@ -108,8 +108,36 @@ def query_text(stressor: Column, emotion: Column, text: Column) -> Column:
     return F.concat_ws(" ", stressor, emotion, F.substring(text, 1, 200))
 
 
-#: Queries that are sent to all tasks in one pass; more queries take more passes.
-QUERY_BLOCK = 2048
+#: Queries that are sent along to all tasks, at most, or that a task holds; rows of the index that a task lets stream past such a block.
+QUERY_BLOCK, INDEX_PART = 2048, 1 << 17
+FOUND = "q long, w string, c long, stressor_type string, score double"
+
+
+class _Nearest:
+    """The `most` nearest of what streams past a block of queries (ids, wanted stressors, matrix)."""
+
+    def __init__(self, ids: list, wanted: list, matrix: np.ndarray, most: int):
+        self.ids, self.wanted, self.matrix, self.most = ids, wanted, matrix, most
+        self.held: list[list[tuple]] = [[] for _ in ids]
+        self.least = np.full(len(ids), -np.inf)
+        self.lengths = np.sqrt((matrix * matrix).sum(1)) if len(ids) else np.zeros(0)
+
+    def see(self, names: list, kinds: list, vectors: np.ndarray) -> None:
+        """Vectors too short to reach what a query holds already are not multiplied."""
+        longest = float(np.sqrt((vectors * vectors).sum(1).max())) if len(vectors) else 0.0
+        open_ = np.flatnonzero(self.lengths * longest * (1 + 1e-9) + 1e-9 >= self.least)
+        if not len(vectors) or not len(open_):
+            return
+        for i, s in zip(open_.tolist(), self.matrix[open_] @ vectors.T, strict=True):
+            near = np.flatnonzero(s >= max(np.partition(s, -min(self.most, len(s)))[-min(self.most, len(s))], self.least[i]))
+            self.held[i] = sorted([*self.held[i], *((-float(s[j]), names[j], kinds[j] is not None, kinds[j]) for j in near.tolist())])[: self.most]
+            if len(self.held[i]) == self.most:
+                self.least[i] = -self.held[i][-1][0]
+
+    def rows(self) -> pa.RecordBatch:
+        flat = [(q, w, c, kind, -s) for q, w, rows in zip(self.ids, self.wanted, self.held, strict=True) for s, c, _, kind in rows]
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], t) for n, t in enumerate(types)], names=["q", "w", "c", "stressor_type", "score"])
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 3, over: int = 3, key: str = "chunk_id", query: str = "query_id", vector: str = "embedding", stressor: str = "stressor_type", wanted: str | None = None) -> DataFrame:
@@ -118,40 +146,70 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 3, over: int = 3, key:
     The filter is behind the over-fetch, as a caller may get fewer than k. wanted: the queries' column with the
     stressor; null and "none" ask for all. Ties go to the smaller key; rows that share a key each take a place. k = 0
     means 3. Vectors that are null or hold null or non-finite components take no part, nor do queries with such;
-    shorter ones count as if they ended in zeros. Each task keeps over * k candidates a query, with their stressors;
-    what is ranked after that is small. An empty index gives no rows.
+    shorter ones count as if they ended in zeros. An empty index gives no rows.
+
+    The form goes by counted sizes. Up to QUERY_BLOCK queries are sent along, and the index is read where it lies. More
+    queries are dealt into blocks and the index into parts of INDEX_PART rows, and each block meets each part in a shuffle:
+    a task holds one block and lets a part stream past it, longest vectors first, so that it stops multiplying where the rest
+    is too short. In both forms the index is read once, and over * k candidates a query and task are ranked behind.
     """
     k = k or 3
     unit = lambda df: df.where(usable(F.col(vector))).withColumn("v", F.transform(vector, lambda x: x.cast("double")))
     asked = unit(queries).select(F.col(query).cast("long").alias("q"), (F.col(wanted) if wanted else F.lit(None)).cast("string").alias("w"), "v")
     chunks_ = unit(index).select(F.col(key).cast("long").alias("c"), F.col(stressor).cast("string").alias("s"), "v")
-    (count, width), parts = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first(), []
-    width = max(width, chunks_.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()
+    count, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    rows, wide = chunks_.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    width, most = max(width, wide), over * k
+    if count <= QUERY_BLOCK:
+        mine = asked.toArrow()  # QUERY_BLOCK at most
         ids, stressors, matrix = mine.column("q").to_pylist(), mine.column("w").to_pylist(), padded(mine.column("v"), width)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, stressors=stressors, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            held: list[list[tuple]] = [[] for _ in ids]
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
+        def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = _Nearest(ids, stressors, matrix, most)
+            for b in batches:
+                if b.num_rows:
+                    near.see(b.column(0).to_pylist(), b.column(1).to_pylist(), padded(b.column(2), width))
+            yield near.rows()
+
+        found = chunks_.mapInArrow(beside, FOUND)
+    else:
+        blocks, parts = -(-count // QUERY_BLOCK), max(1, -(-rows // INDEX_PART))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+        held = asked.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"), F.lit(0.0).alias("at"), F.lit(False).alias("past"), F.col("q").alias("id"), F.col("w").alias("kind"), "v")
+        past = chunks_.select(every(blocks).alias("block"), F.pmod(F.xxhash64("c", "v"), F.lit(parts)).cast("int").alias("part"), (-length).alias("at"), F.lit(True).alias("past"), F.col("c").alias("id"), F.col("s").alias("kind"), "v")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, waiting, near = None, [], None
+
+            def ready():
+                ids, kinds, vectors = zip(*waiting, strict=True) if waiting else ((), (), ())
+                return _Nearest([x for i in ids for x in i], [x for i in kinds for x in i], np.concatenate(vectors) if vectors else np.zeros((0, width)), most)
+
+            for b in batches:
+                if not b.num_rows:
                     continue
-                names, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for i, s in enumerate(matrix @ padded(batch.column(2), width).T):
-                    most = min(over * k, len(s))
-                    near = np.flatnonzero(s >= np.partition(s, -most)[-most])
-                    held[i] = sorted([*held[i], *((-float(s[j]), names[j], kinds[j] is not None, kinds[j]) for j in near.tolist())])[: over * k]
-            flat = [(q, w, c, kind, -s) for q, w, rows in zip(ids, stressors, held, strict=True) for s, c, _, kind in rows]
-            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], t) for n, t in enumerate(types)], names=["q", "w", "c", "stressor_type", "score"])
-
-        parts.append(chunks_.mapInArrow(run, "q long, w string, c long, stressor_type string, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                group = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+                edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1), len(group)]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    if group[lo] != here:
+                        if near is not None:
+                            yield near.rows()
+                        here, waiting, near = group[lo], [], None
+                    own = lo + int((~b.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False)).sum())
+                    take = lambda a, z: (b.column(4).slice(a, z - a).to_pylist(), b.column(5).slice(a, z - a).to_pylist(), padded(b.column(6).slice(a, z - a), width))  # noqa: B023, E731
+                    if own > lo:
+                        waiting.append(take(lo, own))
+                    if hi > own:
+                        near = near or ready()
+                        for at in range(own, hi, 4096):
+                            near.see(*take(at, min(at + 4096, hi)))
+            if near is not None:
+                yield near.rows()
+
+        found = held.unionByName(past).repartition("block", "part").sortWithinPartitions("block", "part", "past", "at").mapInArrow(meet, FOUND)
     by = Window.partitionBy("q").orderBy(F.desc("score"), "c", "stressor_type")
-    found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= over * k)
+    found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
     if wanted:
         found = found.where(F.col("w").isNull() | (F.col("w") == "none") | F.col("stressor_type").isNull() | (F.col("stressor_type") == F.col("w")))
     found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

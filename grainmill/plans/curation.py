@@ -63,7 +63,7 @@ def _stats(cleaned: DataFrame, marked: DataFrame, checked: DataFrame) -> DataFra
     return a.crossJoin(b).crossJoin(c)
 
 
-def run(spark, raw_path: str, out_path: str, near: float | None = None, strict: bool = False) -> Curated:
+def run(spark, raw_path: str, out_path: str, near: float | None = None, strict: bool = False, glob: str = "*.jsonl") -> Curated:
     """From a folder of JSON lines to out_path: final records are added, and rows whose fingerprints are there already are left out.
 
     "First" is by name of file and line, however the files are split among tasks; what is written is in that order. A
@@ -71,8 +71,8 @@ def run(spark, raw_path: str, out_path: str, near: float | None = None, strict:
     was written are kept in a store below out_path, so no earlier text is read again. All outputs of a run appear at its
     commit, once (sources.runs): a run that failed is taken up where it stood, by calling it again.
     """
-    this = runs.Run(spark, out_path, f"{runs.signature(spark, raw_path, '*.jsonl')} {near} {strict}")
-    records, malformed = files.read_jsonl(spark, raw_path, variants=True)
+    this = runs.Run(spark, out_path, f"{runs.signature(spark, raw_path, glob)} {near} {strict}")
+    records, malformed = files.read_jsonl(spark, raw_path, glob=glob, variants=True)
     records = files.in_order(records, keep=this.stage)
     missing = {f: files.lacks(f) for f in (*labels.REQUIRED, "language")}
     known = lambda batch: fingerprints.known(spark, f"{this.root}/_store", batch)

@@ -7,8 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.functions.taxonomy import CATEGORIES, INTENTS
-from grainmill.operators.retrieval import KB_SCHEMA
+from grainmill.functions.taxonomy import CATEGORIES, INTENTS, RISK_EMOTIONS, RISK_IDIOMS, RISK_STRESSORS
+from grainmill.operators.retrieval import KB_SCHEMA, STRESSOR
 
 #: Classification examples, appended to documents by doc_id.
 PHRASES = [
@@ -39,6 +39,35 @@ def knowledge_base(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.from_json(F.lit(json.dumps(KB)), f"struct<{', '.join(_colon(KB_SCHEMA))}>").alias("kb")).select("kb.*")
 
 
+def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A knowledge base document for each of the documents, made from its words: two stressors, a tone, a rule, an idiom, crisis keywords."""
+    d, i = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    text, lang, source = (F.coalesce(c, F.lit("")) for c in ("text", "lang", "source"))
+    words = F.split(text, " ")
+    null, none = lambda kind: F.lit(None).cast(kind), F.array().cast("array<string>")
+    own = {name: kind for name, kind in (f.split(": ", 1) for f in _fields(STRESSOR))}
+    stressor = lambda **given: F.struct(*[given.get(n, null(t)).alias(n) for n, t in own.items()])
+    first = stressor(
+        label=F.when(i % 3 != 0, source), description=F.substring(text, 1, 60), signal_phrases=F.map_from_arrays(F.array(lang, F.lit("xx")), F.array(F.slice(words, 1, 14), none)),
+        linked_emotions=F.when(i % 2 == 0, F.array(pick(RISK_EMOTIONS, i), F.lit("calm"))), guardrails=F.when(i % 5 == 0, F.array(F.concat(F.lit("g"), i), F.lit("g0"))).otherwise(none),
+    )
+    named = lambda letter: F.concat(F.lit(letter), i.cast("string"))
+    idiom = F.struct(lang.alias("translation"), source.alias("meaning"), F.array(named("s")).alias("linked_stressors"), null("boolean").alias("risk_amplifier"), null("array<string>").alias("escalates_stressors"))
+    tone = F.struct(source.alias("description"), F.array(lang).alias("when_to_use"), F.struct(F.slice(words, 1, 2).alias("prefer"), none.alias("avoid")).alias("linguistic_markers"))
+    return d.select(
+        F.create_map(named("s"), first, pick(RISK_STRESSORS, i), stressor(label=named("r"))).alias("stressor_taxonomy"), F.create_map(named("t"), tone).alias("tone_modes"),
+        F.create_map(named("g"), F.substring(text, 1, 30)).alias("guardrail_registry"), F.create_map(pick([*RISK_IDIOMS, "other"], i), idiom).alias("cultural_idioms"),
+        F.create_map(F.lit("tier_3"), F.slice(words, 1, 14), F.lit("tier_2"), F.array(F.lit("a")), F.lit("tier_4"), F.when(i % 2 == 0, F.array(source)).otherwise(none)).alias("crisis_keywords"),
+        F.create_map(F.lit("version"), F.lit("1"), F.lit("doc"), i.cast("string")).alias("_meta"),
+    )
+
+
+def _fields(ddl: str) -> list[str]:
+    from grainmill.operators.retrieval import _split_fields
+
+    return [f.strip() for f in _split_fields(ddl)]
+
+
 def _colon(ddl: str) -> list[str]:
     from grainmill.operators.retrieval import _split_fields
 
@@ -70,4 +99,4 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, true and predicted intents and urgencies."""
     d, i = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
     off = F.when(i % 5 == 0, i % 3).otherwise(0)
-    return d.select("doc_id", F.substring("text", 1, 40).alias("text"), pick(INTENTS, i).alias("true_intent"), pick(INTENTS, i + off).alias("pred_intent"), (i % 5 + 1).cast("int").alias("true_urgency"), ((i * 7 + off) % 5 + 1).cast("int").alias("pred_urgency"))
+    return d.select("doc_id", "text", pick(INTENTS, i).alias("true_intent"), pick(INTENTS, i + off).alias("pred_intent"), (i % 5 + 1).cast("int").alias("true_urgency"), ((i * 7 + off) % 5 + 1).cast("int").alias("pred_urgency"))

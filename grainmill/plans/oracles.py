@@ -47,7 +47,7 @@ def pick(values: Sequence[str], at: str) -> str:
 RECORDS = f"""SELECT doc_id, text || ' ' || {pick(PHRASES, "doc_id")} AS text, CASE WHEN lang = 'en' THEN 'en' ELSE 'hi-en-mix' END AS language,
   {pick(X.INTENTS, "doc_id")} AS intent, {pick(X.CATEGORIES, "doc_id // 26")} AS category, (doc_id % 7)::INT AS urgency FROM documents"""
 TURNS = f"""SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 2 = 0 THEN {pick(OPENERS, "(conv_id + turn) // 2")} ELSE text || ' ' || {pick(PHRASES, "conv_id + turn")} END AS text FROM conversations"""
-PREDICTIONS = f"""SELECT doc_id, substring(text, 1, 40) AS text, {pick(X.INTENTS, "doc_id")} AS true_intent,
+PREDICTIONS = f"""SELECT doc_id, text, {pick(X.INTENTS, "doc_id")} AS true_intent,
   {pick(X.INTENTS, "doc_id + CASE WHEN doc_id % 5 = 0 THEN doc_id % 3 ELSE 0 END")} AS pred_intent, (doc_id % 5 + 1)::INT AS true_urgency,
   ((doc_id * 7 + CASE WHEN doc_id % 5 = 0 THEN doc_id % 3 ELSE 0 END) % 5 + 1)::INT AS pred_urgency FROM documents"""
 
@@ -217,6 +217,9 @@ def said() -> str:
       CASE WHEN NOT hard_exit THEN primary_emotion WHEN safeguarding THEN 'fear' ELSE 'grief' END AS emotion, coalesce(rag_chunks, 0)::INT AS rag_chunks FROM y LEFT JOIN c_ USING (conv_id, k))"""
 
 
+#: What the knowledge base documents are made from.
+KNOWLEDGE = f"""k AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, string_split(coalesce(text, ''), ' ') AS words, CASE WHEN doc_id % 3 <> 0 THEN coalesce(source, '') ELSE 's' || doc_id END AS label,
+  {pick(X.RISK_STRESSORS, "doc_id")} AS risk, {pick(X.RISK_EMOTIONS, "doc_id")} AS emotion, {pick([*X.RISK_IDIOMS, "other"], "doc_id")} AS idiom FROM documents)"""
 #: Chunks of the test document, written out.
 CHUNKS = [(1,'academic_pressure','Academic pressure: Exams and ranks weigh on the person.','stressor_taxonomy','description'),
 (1,'academic_pressure','Common emotions in academic_pressure: anxiety, fear','emotion_map','emotions'),
@@ -255,7 +258,7 @@ f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept, NULL::BIGINT AS id, false AS
 def oracle_sql() -> dict[str, str]:
     reply = "CASE WHEN safeguarding AND helpline_name = 'CHILDLINE' THEN {minor} WHEN safeguarding THEN {safeguarding} WHEN risk_level = 5 THEN {immediate} ELSE {direct} END".format(**{k: q(v) for k, v in EXIT_REPLIES.items()})
     score_line = f"CASE WHEN doc_id % 3 = 0 THEN (CASE WHEN {has('f', P.SCORE_MINOR)} THEN 'CHILDLINE' ELSE 'iCall' END) ELSE 'iCall' END"
-    return {
+    every = {
         "curated_by_language": f"WITH {CURATED} SELECT language, CASE WHEN copy THEN 'exact_duplicate' ELSE 'kept' END AS outcome, count(*) AS n FROM m GROUP BY ALL",
         "clean_documents": f"WITH r AS ({RECORDS}), {CLEANED} SELECT doc_id, text, language, coalesce(reason, '') AS drop_reason, language <> given AS language_corrected FROM cleaned",
         "clean_drop_reasons": f"WITH r AS ({RECORDS}), {CLEANED} SELECT coalesce(reason, '') AS drop_reason, count(*) AS n FROM cleaned GROUP BY 1",
@@ -283,7 +286,16 @@ def oracle_sql() -> dict[str, str]:
         "io_jsonl": f"SELECT doc_id, md5(text) AS text_md5, intent, urgency, true AS numbered, (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS malformed FROM ({RECORDS})",
         "io_seed_csv": f"WITH {SEED_ROWS} SELECT row_::VARCHAR AS id, md5(text) AS text_md5, intent, (row_ % 5 + 1)::VARCHAR AS urgency_level, '' AS split FROM z",
         "io_index": "SELECT vec_id AS chunk_id, 'chunk ' || vec_id AS text, len(embedding)::INT AS width, 0::INT AS missing FROM embeddings",
-        "io_document": "SELECT '3' AS now, 3::INT AS stressors, '2' AS before",
+        "io_document": "SELECT doc_id, '2' AS before, CASE WHEN doc_id % 3 <> 0 THEN '3' END AS now, CASE WHEN doc_id % 3 <> 0 THEN true END AS same FROM documents",
+        "io_json_fields": f"""WITH r AS ({RECORDS}), o AS (SELECT doc_id, doc_id % 5 = 0 AS li, doc_id % 5 = 1 AS ni, doc_id % 7 = 0 AS lc, doc_id % 11 AS u, CASE WHEN doc_id % 5 = 0 THEN 'casual_chat' WHEN doc_id % 5 = 1 THEN 'None' ELSE intent END AS intent,
+            CASE doc_id % 7 WHEN 0 THEN 'neutral' WHEN 1 THEN '7' ELSE category END AS category, CASE doc_id % 11 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE urgency END::INT AS urgency, 'en' AS language, md5(text) AS text FROM r WHERE doc_id % 13 > 1), {validated('o')}
+          SELECT doc_id, li AS lacks_intent, ni AS null_intent, CASE u WHEN 0 THEN '-' WHEN 1 THEN 'ARRAY<BIGINT>' WHEN 2 THEN 'STRING' WHEN 3 THEN 'VOID' ELSE 'BIGINT' END AS kind, i2 AS intent, CASE WHEN align THEN want ELSE c4 END AS category, u3 AS urgency,
+            array_to_string((list_concat(CASE WHEN lc THEN ['filled_default:category'] ELSE [] END, CASE WHEN li THEN ['filled_default:intent'] ELSE [] END, CASE WHEN u = 0 THEN ['filled_default:urgency'] ELSE [] END, CASE WHEN u IN (1, 3) THEN ['urgency_coerced_to_int'] ELSE [] END, CASE WHEN said = '' THEN [] ELSE string_split(said, '|') END))[1:3], '|') AS corrections,
+            CASE WHEN lc OR li OR u = 0 THEN 'missing_fields:' || concat_ws(',', CASE WHEN lc THEN 'category' END, CASE WHEN li THEN 'intent' END, CASE WHEN u = 0 THEN 'urgency' END) ELSE '' END AS reason,
+            (SELECT count(*) FROM documents WHERE doc_id % 13 < 2) AS malformed FROM v5 JOIN (SELECT doc_id, li, ni, lc, u FROM o) USING (doc_id)""",
+        "curate_two_batches": f"""WITH r AS (SELECT * FROM ({RECORDS}) WHERE doc_id % 4 > 0), {CLEANED}, e AS (SELECT DISTINCT {fingerprint("text")} AS fp FROM cleaned WHERE reason IS NULL) SELECT fp, 1::BIGINT AS n FROM e""",
+        "distribution_all": f"""WITH r AS ({RECORDS}), c AS (SELECT 'category' AS "column", category AS value FROM r UNION ALL SELECT 'intent', intent FROM r UNION ALL SELECT 'language', language FROM r)
+          SELECT *, round(100 * n / sum(n) OVER (PARTITION BY "column"), 1) AS percent FROM (SELECT "column", value, count(*) AS n FROM c GROUP BY ALL)""",
         "io_turn_log": f"""WITH {said()} SELECT conv_id::VARCHAR AS session_id, count(*) AS turns, count(*) FILTER (hard_exit) AS crisis_exits, round(avg(rag_chunks), 1) AS avg_chunks,
           md5(string_agg(concat_ws('|', '2024-01-01T00:00:' || lpad(k::VARCHAR, 2, '0'), text, response, emotion, rag_chunks), chr(10) ORDER BY k)) AS log_md5 FROM turns_ GROUP BY 1""",
         "validate_split_counts": f"WITH o AS ({ODD}), {validated('o')} SELECT CASE WHEN text = '' THEN 'dropped' WHEN said <> '' THEN 'corrected' ELSE 'clean' END AS outcome, count(*) AS n FROM v5 GROUP BY 1",
@@ -351,10 +363,21 @@ def oracle_sql() -> dict[str, str]:
             || chr(10) || '### Mode' || chr(10) || CASE mode WHEN 'normal' THEN 'Answer plainly.' ELSE mode END || chr(10) || '### Length' || chr(10) || 'At most ' || CASE WHEN risk_level >= 4 THEN 150 ELSE 120 END || ' words' || chr(10)
             || CASE WHEN risk_level = 3 THEN chr(10) || '### Support' || chr(10) || 'If the moment allows, mention ' || helpline_name || ' ' || helpline_number || ' as someone who listens; the conversation goes on.' || chr(10) ELSE '' END
             || chr(10) || '### Output' || chr(10) || '---RESPONSE---' || chr(10) || '---METADATA---' || chr(10)) AS prompt_md5 FROM m""",
-        "risk_prompt": "SELECT conv_id, turn, '  tier_3:' || chr(10) || '    - no point#  - marriage_pressure: Marriage pressure#  (none)' AS risk_prompt FROM conversations WHERE role = 'user'",
-        "kb_chunks": f"SELECT part::INT AS part, id, text, source, CASE WHEN part = 1 THEN id END AS stressor_type, chunk_type, CASE WHEN part = 3 THEN id END AS guardrail_id FROM (VALUES {', '.join(f'({p}, {q(i)}, {q(t)}, {q(s)}, {q(k)})' for p, i, t, s, k in CHUNKS)}) v(part, id, text, source, chunk_type)",
-        "kb_enriched": "SELECT 'academic_pressure,financial_stress,marriage_pressure' AS ids, 'new note' AS notes, 'forced to marry,locked in' AS tier_2, true AS amplifies, 'identity_conflict' AS escalates, 'Standing of the family.' AS meaning, 'by age' AS safeguarding_context, '2' AS version",
-        "kb_risk_phrases": "SELECT 'tier_3' AS tier, 'no point' AS phrases",
+        "risk_prompt": f"""WITH {KNOWLEDGE} SELECT '  tier_3:' || chr(10) || array_to_string(list_transform(words[1:12], lambda w: '    - ' || w), chr(10)) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '  tier_4:' || chr(10) || '    - ' || source ELSE '' END
+          || '#  - ' || risk || ': r' || doc_id || '#' || CASE WHEN doc_id % 2 = 0 THEN '  - s' || doc_id || ': ' || label ELSE '  (none listed)' END || '#' || CASE WHEN idiom <> 'other' THEN '  ' || chr(39) || idiom || chr(39) || ' (' || lang || ')' ELSE '  (none)' END AS risk_prompt FROM k""",
+        "kb_chunks": f"""WITH {KNOWLEDGE}, c AS (
+          SELECT 1 AS part, 's' || doc_id AS id, label || ': ' || substring(text, 1, 60) AS text, 'stressor_taxonomy' AS source, 'description' AS chunk_type FROM k
+          UNION ALL SELECT 1, risk, 'r' || doc_id || ': ', 'stressor_taxonomy', 'description' FROM k
+          UNION ALL SELECT 1, 's' || doc_id, 'Signal phrases (' || lang || ') for s' || doc_id || ': ' || array_to_string(words[1:12], '; '), 'signal_phrases', 'signal_phrases' FROM k
+          UNION ALL SELECT 1, 's' || doc_id, 'Common emotions in s' || doc_id || ': ' || emotion || ', calm', 'emotion_map', 'emotions' FROM k WHERE doc_id % 2 = 0
+          UNION ALL SELECT 1, 's' || doc_id, 'Guardrails for s' || doc_id || ': g' || doc_id || '; g0', 'guardrails', 'guardrails' FROM k WHERE doc_id % 5 = 0
+          UNION ALL SELECT 2, 't' || doc_id, 'Tone t' || doc_id || ': ' || source || '. When: ' || lang || '. Prefer: ' || array_to_string(words[1:2], '; ') || '. Avoid: .', 'tone_modes', 'tone_mode' FROM k
+          UNION ALL SELECT 3, 'g' || doc_id, 'Guardrail ' || chr(39) || 'g' || doc_id || chr(39) || ': ' || substring(text, 1, 30), 'guardrail_registry', 'guardrail' FROM k
+          UNION ALL SELECT 4, idiom, 'South Asian idiom ' || chr(39) || idiom || chr(39) || ' (' || lang || '): ' || source || ' Linked to: s' || doc_id || '.', 'cultural_idioms', 'idiom' FROM k)
+          SELECT part::INT AS part, id, text, source, CASE WHEN part = 1 THEN id END AS stressor_type, chunk_type, CASE WHEN part = 3 THEN id END AS guardrail_id FROM c""",
+        "kb_enriched": f"""WITH {KNOWLEDGE} SELECT doc_id::VARCHAR AS doc, array_to_string(list_sort(['s' || doc_id, risk]), ',') AS ids, CASE WHEN doc_id % 4 = 0 THEN 'new ' || doc_id ELSE '' END AS notes, 'a,locked in' AS tier_2, len(words[1:14])::INT AS tier_3,
+          CASE WHEN idiom = 'ghar_ki_izzat' THEN true END AS amplifies, CASE WHEN idiom = 'ghar_ki_izzat' THEN 'identity_conflict' END AS escalates, CASE WHEN idiom = 'ghar_ki_izzat' THEN source END AS meaning, 'by age' AS safeguarding_context, '2' AS version FROM k""",
+        "kb_risk_phrases": f"WITH {KNOWLEDGE} SELECT 'tier_3' AS tier, array_to_string(words[1:12], ',') AS phrases FROM k UNION ALL SELECT 'tier_4', CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END FROM k",
         "session_turns": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_count FROM conversations",
         "session_history_window": "WITH h AS (SELECT conv_id, turn, list(role || ':' || substring(coalesce(text, ''), 1, 120)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM conversations) SELECT conv_id, turn, coalesce(len(h), 0)::INT AS n_history, md5(coalesce(array_to_string(h, chr(10)), '')) AS history_md5 FROM h",
         "session_emotion_arc": f"""WITH {FELT_RISK}, x AS (SELECT conv_id, turn, coalesce(list(primary_emotion) FILTER (NOT hard_exit) OVER (PARTITION BY conv_id ORDER BY turn), []) AS l FROM risk)
@@ -408,3 +431,10 @@ def oracle_sql() -> dict[str, str]:
         "retention_30d": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY 1",
         "user_last_event": "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1",
     }
+    words = f"list_filter(regexp_split_to_array({strip("text")}, '{WS}+'), lambda w: w <> '')"
+    every |= {
+        "stream_tokens": every["parse_token_stream"], "sql_records": every["parse_records"],
+        "sql_fingerprints": f"""WITH w AS (SELECT *, {words} AS ws, {words.replace("text", "lower(text)")} AS lw FROM documents)
+          SELECT doc_id, {fingerprint("text")} AS fp, {seed_fingerprint("text")} AS seed_fp, len(ws)::INT AS n_words, round(len(list_intersect(list_distinct(lw), ['the', 'of', 'and', 'der', 'la']))::DOUBLE / greatest(len(list_distinct(lw)), 5), 6) AS overlap FROM w""",
+    }
+    return every

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grainmill.functions import sql
 from grainmill.functions.taxonomy import INTENTS
 from grainmill.functions.text import fingerprint, seed_fingerprint
 from grainmill.operators import affect, cleaning, dedup, labels, metrics, parse, reports, retrieval, safety
@@ -16,7 +17,7 @@ from grainmill.plans import curation, fixtures
 from grainmill.plans import turns as flow
 from grainmill.sources import files, models
 from grainmill.sources.scratch import drop_table, shared_path, table
-from grainmill.streaming import conversations, streams
+from grainmill.streaming import conversations, streams, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -190,6 +191,11 @@ def distribution_intent_top10(spark, sf_dir):
     return reports.distribution(fixtures.records(spark, sf_dir), "intent", 10)
 
 
+@query
+def distribution_all(spark, sf_dir):
+    return reports.distributions(fixtures.records(spark, sf_dir), ["category", "intent", "language"])
+
+
 @query
 def gap_report(spark, sf_dir):
     return reports.gaps(fixtures.records(spark, sf_dir))
@@ -344,28 +350,33 @@ def vectors_normalised(spark, sf_dir):
 
 @query
 def kb_chunks(spark, sf_dir):
-    return retrieval.chunks(fixtures.knowledge_base(spark))
+    return retrieval.chunks(fixtures.knowledge(spark, sf_dir))
 
 
 @query
 def risk_prompt(spark, sf_dir):
-    """The parts of a scorer's prompt that come from the knowledge base, for each document's text."""
-    prompt = safety.risk_prompt(fixtures.knowledge_base(spark), "{phrases}#{stressors}#{idioms}")
-    return _read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn").crossJoin(F.broadcast(prompt)).select("conv_id", "turn", "risk_prompt")
+    """A scorer's prompt from each knowledge base document."""
+    return safety.risk_prompt(fixtures.knowledge(spark, sf_dir), "{phrases}#{stressors}#{high_risk}#{idioms}")
 
 
 @query
 def kb_enriched(spark, sf_dir):
-    fields = spark.createDataFrame([("academic_pressure", ["new note"]), ("not_there", ["x"])], "id string, cultural_context_notes array<string>")
-    risk = spark.createDataFrame([("izzat", True, ["identity_conflict"]), ("not_there", True, ["x"])], "id string, risk_amplifier boolean, escalates_stressors array<string>")
-    kb = retrieval.enrich(fixtures.knowledge_base(spark), fields, {"tier_2": ["forced to marry", "locked in"]}, risk, {"safeguarding_context": F.lit("by age")}, {"version": "2"})
+    """Every document with notes for some stressors (and for some that are not there), keywords, idiom risk, a section and a version."""
+    i = F.col("doc_id")
+    fields = _read(spark, sf_dir, "documents").where("doc_id % 4 < 2").select(F.concat(F.when(i % 4 == 0, "s").otherwise("absent"), i.cast("string")).alias("id"), F.array(F.concat(F.lit("new "), i.cast("string"))).alias("cultural_context_notes"))
+    risk = spark.createDataFrame([("ghar_ki_izzat", True, ["identity_conflict"]), ("not_there", True, ["x"])], "id string, risk_amplifier boolean, escalates_stressors array<string>")
+    kb = retrieval.enrich(fixtures.knowledge(spark, sf_dir), fields, {"tier_2": ["a", "locked in"]}, risk, {"safeguarding_context": F.lit("by age")}, {"version": "2"})
     notes = F.array_join(F.flatten(F.map_values(F.transform_values("stressor_taxonomy", lambda _, v: F.coalesce(v["cultural_context_notes"], F.array().cast("array<string>"))))), ",")
-    return kb.select(F.array_join(F.array_sort(F.map_keys("stressor_taxonomy")), ",").alias("ids"), notes.alias("notes"), F.array_join(F.col("crisis_keywords")["tier_2"], ",").alias("tier_2"), F.col("cultural_idioms")["izzat"]["risk_amplifier"].alias("amplifies"), F.array_join(F.col("cultural_idioms")["izzat"]["escalates_stressors"], ",").alias("escalates"), F.col("cultural_idioms")["izzat"]["meaning"].alias("meaning"), "safeguarding_context", F.col("_meta")["version"].alias("version"))
+    idiom = F.col("cultural_idioms")["ghar_ki_izzat"]
+    return kb.select(
+        F.col("_meta")["doc"].alias("doc"), F.array_join(F.array_sort(F.map_keys("stressor_taxonomy")), ",").alias("ids"), notes.alias("notes"), F.array_join(F.col("crisis_keywords")["tier_2"], ",").alias("tier_2"), F.size(F.col("crisis_keywords")["tier_3"]).alias("tier_3"),
+        idiom["risk_amplifier"].alias("amplifies"), F.array_join(idiom["escalates_stressors"], ",").alias("escalates"), idiom["meaning"].alias("meaning"), "safeguarding_context", F.col("_meta")["version"].alias("version"),
+    )
 
 
 @query
 def kb_risk_phrases(spark, sf_dir):
-    return safety.risk_phrases(fixtures.knowledge_base(spark)).select("tier", F.array_join("phrases", ",").alias("phrases"))
+    return safety.risk_phrases(fixtures.knowledge(spark, sf_dir)).select("tier", F.array_join("phrases", ",").alias("phrases"))
 
 
 @query
@@ -502,12 +513,48 @@ def io_index(spark, sf_dir):
 
 @query
 def io_document(spark, sf_dir):
-    """A document replaced twice: the backup holds the one before."""
-    path, kb = shared_path(spark, "document"), fixtures.knowledge_base(spark)
-    for version in ("1", "2", "3"):
-        files.replace_document(retrieval.enrich(kb, spark.createDataFrame([], "id string"), meta={"version": version}), path, f"{path}-backup")
-    now, old = (files.read_document(spark, p, retrieval.KB_SCHEMA) for p in (path, f"{path}-backup"))
-    return now.select(F.col("_meta")["version"].alias("now"), F.size("stressor_taxonomy").alias("stressors")).crossJoin(old.select(F.col("_meta")["version"].alias("before")))
+    """Documents replaced twice, the second time by a part of them as they were read: the backup holds those before."""
+    path, kb = shared_path(spark, "document"), fixtures.knowledge(spark, sf_dir)
+    none = spark.createDataFrame([], "id string")
+    for version in ("1", "2"):
+        files.replace_document(retrieval.enrich(kb, none, meta={"version": version}), path, f"{path}-backup")
+    some = files.read_document(spark, path, retrieval.KB_SCHEMA, lines=True).where(F.col("_meta")["doc"].cast("long") % 3 != 0)
+    files.replace_document(retrieval.enrich(some, none, meta={"version": "3"}), path, f"{path}-backup")
+    now, old = (files.read_document(spark, p, retrieval.KB_SCHEMA, lines=True).select(F.col("_meta")["doc"].cast("long").alias("doc_id"), F.col("_meta")["version"].alias("version"), F.md5(F.array_join(F.array_sort(F.transform(F.map_entries("stressor_taxonomy"), lambda e: F.concat_ws(":", e["key"], e["value"]["label"], e["value"]["description"]))), "|")).alias("md5")) for p in (path, f"{path}-backup"))
+    old = old.select("doc_id", F.col("version").alias("before"), F.col("md5").alias("old_md5"))
+    return old.join(now, "doc_id", "left").select("doc_id", "before", F.col("version").alias("now"), (F.col("md5") == F.col("old_md5")).alias("same"))
+
+
+@query
+def io_json_fields(spark, sf_dir):
+    """JSON lines with missing, null and wrong-typed fields, read once and validated, tolerantly and strictly; lines that are no objects apart."""
+    path, r, i = shared_path(spark, "fields"), fixtures.records(spark, sf_dir), F.col("doc_id")
+    field = lambda name, value: F.concat(F.lit(f', "{name}": '), value)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    line = F.concat(
+        F.lit('{"doc_id": '), i.cast("string"), F.lit(', "text": "'), F.md5("text"), F.lit('"'), F.when(i % 5 == 0, "").when(i % 5 == 1, field("intent", F.lit("null"))).otherwise(field("intent", quoted(F.col("intent")))),
+        F.when(i % 7 == 0, "").when(i % 7 == 1, field("category", F.lit("7"))).otherwise(field("category", quoted(F.col("category")))),
+        F.when(i % 11 == 0, "").when(i % 11 == 1, field("urgency", F.lit("[1]"))).when(i % 11 == 2, field("urgency", F.lit('"4"'))).when(i % 11 == 3, field("urgency", F.lit("null"))).otherwise(field("urgency", F.col("urgency").cast("string"))),
+        F.lit("}"),
+    )
+    r.select(F.when(i % 13 == 0, "[1, 2]").when(i % 13 == 1, F.concat(F.lit("{broken "), i.cast("string"))).otherwise(line)).write.text(path)
+    good, bad = files.read_jsonl(spark, path, "doc_id long, text string, intent string, category string, urgency int, language string", "part-*", variants=True)
+    lacks = {f: files.lacks(f) for f in (*labels.REQUIRED, "language")}
+    given = good.withColumns({"lacks_intent": files.lacks("intent"), "null_intent": files.is_null("intent"), "kind": F.coalesce(files.kind_of("urgency"), F.lit("-"))})
+    tolerant = labels.validate(given, missing=lacks).select("doc_id", "lacks_intent", "null_intent", "kind", "intent", "category", "urgency", _joined(F.slice("_corrections", 1, 3)).alias("corrections"))
+    strict = labels.validate(given, True, lacks).select("doc_id", F.coalesce("_drop_reason", F.lit("")).alias("reason"))
+    return tolerant.join(strict, "doc_id").crossJoin(F.broadcast(bad.agg(F.count("*").alias("malformed"))))
+
+
+@query
+def curate_two_batches(spark, sf_dir):
+    """The whole flow over files, twice: the second batch holds copies of the first, which its store of fingerprints knows."""
+    raw, out, r = shared_path(spark, "raw"), shared_path(spark, "curated"), fixtures.records(spark, sf_dir).where("doc_id % 4 > 0")
+    for name, rows in (("one", r.where("doc_id % 4 < 3")), ("two", r.where("doc_id % 4 > 1"))):
+        rows.select(F.to_json(F.struct("text", "language", "intent", "category", "urgency")).alias("value")).write.option("compression", "none").text(f"{raw}/{name}")
+        curation.run(spark, f"{raw}/{name}", out, glob="part-*")
+    final = files.read_jsonl(spark, f"{out}/final", files.RAW_SCHEMA, "part-*")[0]
+    return dedup.with_fingerprint(final).groupBy("_fingerprint").agg(F.count("*").alias("n")).select(F.col("_fingerprint").alias("fp"), "n")
 
 
 @query
@@ -585,11 +632,40 @@ def parse_emotion_lists(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", parse.emotion_list(given).alias("emotions"), parse.truthy(F.when(i % 2 == 0, "True").otherwise("no")).alias("mixed"))
 
 
+def _token_lines(e):
+    line = F.when(F.col("event_id") % 13 == 0, "not json").otherwise(F.concat(F.lit('{"response": "'), F.substring("event_type", 1, 1), F.lit('", "done": '), F.when(F.col("event_id") % 97 == 0, "true").otherwise("false"), F.lit("}")))
+    return e.select("user_id", "event_id", line.alias("line"))
+
+
 @query
 def parse_token_stream(spark, sf_dir):
-    e = _read(spark, sf_dir, "events")
-    line = F.when(F.col("event_id") % 13 == 0, "not json").otherwise(F.concat(F.lit('{"response": "'), F.substring("event_type", 1, 1), F.lit('", "done": '), F.when(F.col("event_id") % 97 == 0, "true").otherwise("false"), F.lit("}")))
-    return parse.stream_text(e.select("user_id", "event_id", line.alias("line")), "user_id", "event_id")
+    return parse.stream_text(_token_lines(_read(spark, sf_dir, "events")), "user_id", "event_id")
+
+
+@query
+def stream_tokens(spark, sf_dir):
+    """The same lines as a stream: texts of the finished ones, and of those that the state holds open."""
+    done, rest = tokens.run(_token_lines(_stream(spark, sf_dir, "events")), "user_id", "event_id")
+    return done.unionByName(rest).select(F.col("key").alias("user_id"), "text")
+
+
+@query
+def sql_records(spark, sf_dir):
+    """parse_records in SQL alone, by a table function in a lateral join."""
+    sql.register(spark)
+    fixtures.records(spark, sf_dir).createOrReplaceTempView("gm_documents")
+    return spark.sql("""
+        WITH i AS (SELECT doc_id, to_json(named_struct('text', replace(text, ']', ')'), 'intent', CASE WHEN doc_id % 2 = 0 THEN intent END, 'urgency', doc_id % 9)) AS item FROM gm_documents),
+        r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('```json\\n[', item, ']\\n```') WHEN 1 THEN concat('Sure: [', item, '] done') ELSE 'no array here' END AS raw FROM i)
+        SELECT r.doc_id, md5(x.text) AS text_md5, x.intent, x.category, x.urgency, x.language FROM r, LATERAL gm_records(r.raw, 'casual_chat', 'neutral') x""")
+
+
+@query
+def sql_fingerprints(spark, sf_dir):
+    """Fingerprints, words and their overlap with the language's shortest document, in SQL alone."""
+    sql.register(spark)
+    _read(spark, sf_dir, "documents").createOrReplaceTempView("gm_raw_documents")
+    return spark.sql("SELECT doc_id, gm_fingerprint(text) AS fp, gm_seed_fingerprint(text) AS seed_fp, size(gm_words(text)) AS n_words, round(gm_overlap(gm_words(lower(text)), array('the', 'of', 'and', 'der', 'la')), 6) AS overlap FROM gm_raw_documents")
 
 
 @query

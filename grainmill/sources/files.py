@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainmill.functions.taxonomy import SEED_COLUMNS
-from grainmill.sources.runs import exists, names
+from grainmill.sources.runs import exists, move, names, remove
 from grainmill.sources.scratch import small, table
 
 META = "struct<model: string, batch_id: string, prompt_hash: string, generated_at: string>"
@@ -103,17 +104,22 @@ def append_seed_csv(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
-def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Nested JSON documents, one each file."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+def read_document(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Nested JSON documents, one each file, or one each line as replace_document() writes them."""
+    return spark.read.option("multiLine", not lines).schema(schema).json(path)
 
 
 def replace_document(df: DataFrame, path: str, backup: str) -> None:
-    """Writes the old document to backup and then the new one to path."""
-    spark = df.sparkSession
+    """Puts the documents of df, a line each, in place of those at path, which are moved to backup.
+
+    The new ones are written beside first, so a failure leaves what was there; df may read from path.
+    """
+    spark, beside = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
+    df.write.json(beside)
     if exists(spark, path):
-        spark.read.option("multiLine", True).schema(df.schema).json(path).write.mode("overwrite").json(backup)
-    df.write.mode("overwrite").json(path)
+        remove(spark, backup)
+        move(spark, path, backup)
+    move(spark, beside, path)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:

@@ -47,6 +47,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """One rename; what is moved must not be there already."""
+    place, fs = _file_system(spark, path)
+    if not fs.rename(place, _file_system(spark, to)[0]):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """What is in a folder, by name; a missing one is empty."""
     place, fs = _file_system(spark, folder)
@@ -133,8 +140,7 @@ class Run:
                     remove(spark, f"{self.root}/{name}/{old}")
             place, fs = _file_system(spark, f"{self.root}/{name}")
             fs.mkdirs(place)
-            if not fs.rename(_file_system(spark, source)[0], _file_system(spark, target)[0]):
-                raise OSError(f"{source} could not be moved")
+            move(spark, source, target)
         remove(spark, f"{self.folder}/{run}/outputs")
 
     def clean(self) -> None:

@@ -93,17 +93,22 @@ def conversation_state(turns: DataFrame, idle_ms: int | None = None) -> DataFram
     return rows.groupBy("conv_id").transformWithStateInPandas(Conversation(idle_ms), OUTPUT, "append", "ProcessingTime" if idle_ms else "None")
 
 
-def run(turns: DataFrame, path: str | None = None, idle_ms: int | None = None) -> tuple[DataFrame, str]:
-    """Runs the stream over what there is: (rows of conversation_state(), folder of the query's state)."""
-    spark = turns.sparkSession
-    path = path or shared_path(spark, "conversations")
+def keyed(out: DataFrame, path: str) -> None:
+    """Runs a stream with state by key over what there is: its rows to <path>/rows, its state to <path>/state."""
+    spark = out.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
-        out = conversation_state(turns, idle_ms)
         out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def run(turns: DataFrame, path: str | None = None, idle_ms: int | None = None) -> tuple[DataFrame, str]:
+    """Runs the stream over what there is: (rows of conversation_state(), folder of the query's state)."""
+    spark = turns.sparkSession
+    path = path or shared_path(spark, "conversations")
+    keyed(conversation_state(turns, idle_ms), path)
     return spark.read.schema(OUTPUT).parquet(f"{path}/rows"), f"{path}/state"
 
 

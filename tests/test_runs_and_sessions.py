@@ -192,3 +192,43 @@ def test_state_by_key_over_batches(spark, tmp_path):
     rows = {(r["conv_id"], r["turn"]): (r["turn_count"], r["arc"]) for r in out.collect()}
     assert rows[2, 3] == (1, None) and rows[1, 8] == (8, "e5 → e6 → e7 → e8") and (2, 2) not in rows
 
+
+
+def test_sql_functions(spark):
+    from grainmill.functions import sql
+    from grainmill.functions.text import fingerprint, seed_fingerprint
+
+    assert len(sql.register(spark)) == len(set(sql.register(spark))) == len(sql.FUNCTIONS)
+    df = spark.createDataFrame([("Hello, World! a - b",), ("  मुझे x ",), ("",), (None,)], "t string")
+    df.createOrReplaceTempView("gm_test")
+    got = spark.sql("SELECT t, gm_fingerprint(t) AS a, gm_seed_fingerprint(t) AS b, gm_words(t) AS w FROM gm_test")
+    assert got.where((got["a"] != fingerprint(F.col("t"))) | (got["b"] != seed_fingerprint(F.col("t")))).count() == 0
+    assert {tuple(r["w"]) for r in got.where("t IS NOT NULL").collect()} == {("Hello,", "World!", "a", "-", "b"), ("मुझे", "x"), ()}
+    rows = spark.sql("""SELECT x.* FROM VALUES ('```json\\n[{"text": "long enough", "urgency": 99}]\\n```'), ('x [{"text": "inside", "intent": "greeting"}] y'), ('none') AS v(raw), LATERAL gm_records(raw, 'casual_chat', 'neutral') x""").collect()
+    assert {tuple(r) for r in rows} == {("long enough", "casual_chat", "neutral", 5, "en"), ("inside", "greeting", "neutral", 2, "en")}
+
+
+def test_token_streams_over_batches(spark, tmp_path):
+    from grainmill.streaming import tokens
+
+    schema = "k long, at long, line string"
+    said = lambda k, at, piece, done=False: (k, at, json.dumps({"response": piece, "done": done}))
+    feed = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    feed("a", [said(1, 2, "b"), said(1, 1, "a"), said(2, 1, "x"), said(2, 2, "y", True), said(2, 3, "never"), (3, 1, "not json"), (3, 2, json.dumps({"message": {"content": "m"}}))])
+    done, rest = tokens.run(stream(), "k", "at", path=f"{tmp_path}/q")
+    assert [tuple(r) for r in done.collect()] == [(2, "xy")] and sorted(tuple(r) for r in rest.collect()) == [(1, "ab"), (3, "m")]
+    feed("b", [said(1, 3, "c"), said(1, 4, "", True), said(2, 4, "late")])
+    done, rest = tokens.run(stream(), "k", "at", path=f"{tmp_path}/q")
+    assert sorted(tuple(r) for r in done.collect()) == [(1, "abc"), (2, "xy")] and [tuple(r) for r in rest.collect()] == [(3, "m")]
+
+
+def test_documents_are_replaced_whole(spark, tmp_path):
+    doc = lambda v: spark.createDataFrame([(v, {"a": v})], "v string, m map<string, string>")
+    path = str(tmp_path / "doc")
+    for v in ("1", "2"):
+        files.replace_document(doc(v), path, f"{path}-old")
+    held = files.read_document(spark, path, "v string, m map<string, string>", lines=True)
+    files.replace_document(held.withColumn("v", F.lit("3")), path, f"{path}-old")
+    read = lambda p: [tuple(r) for r in files.read_document(spark, p, "v string, m map<string, string>", lines=True).collect()]
+    assert read(path) == [("3", {"a": "2"})] and read(f"{path}-old") == [("2", {"a": "2"})]

@@ -133,3 +133,72 @@ def test_marks_are_replaced(spark):
     df = dedup.with_fingerprint(spark.createDataFrame([(1, "a text here"), (2, "a text here"), (3, "other")], "i int, text string"))
     once = dedup.marked_copies(df, "i")
     assert sorted((r["i"], r["_dedup_reason"]) for r in dedup.marked_copies(once, "i").collect()) == [(1, None), (2, "exact_duplicate"), (3, None)]
+
+
+# --- words and top-k
+
+
+def test_word_rules_decide_as_patterns_do(spark):
+    """Every pattern of the cascades over texts made of its own choices, parts of them, and other letters around them."""
+    from grainmill.functions import patterns as P
+    from grainmill.functions.text import count_words, folded, found_words, hits_folded, matches, word_hits, word_rule
+    from grainmill.operators.affect import SIGNALS
+
+    listed = {**SIGNALS, "stigma": P.STIGMA, "good": P.POSITIVE_WORDS, "bad": P.NEGATIVE_WORDS}
+    assert all(word_rule(p) for p in listed.values())
+    rng, bits = random.Random(8), []
+    for p in listed.values():
+        bits += [c.replace(r"\s+", rng.choice([" ", "  ", "\n"])).replace(".?", rng.choice(["-", "", "x"])) for c in p[4:-3].split("|")]
+    edges = [" ", "-", "é", "s", "'", "_", ". ", "́", "9", " "]
+    texts = ["".join(rng.choice([b, b.upper(), b.title(), b[: rng.randint(1, len(b))]]) + rng.choice(edges) for b in rng.sample(bits, rng.randint(1, 5))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("low", folded(F.col("t"))).withColumn("hits", word_hits(F.col("low"), list(listed.values())))
+    off = df.select("i", "t", *[(found_words(F.col("low"), F.col("hits"), p) != matches(F.col("t"), p)).alias(k) for k, p in listed.items()], *[(count_words(F.col("low"), F.col("hits"), p) != hits_folded(F.col("low"), p)).alias(f"n_{k}") for k, p in listed.items()])
+    bad = off.where(" OR ".join(c for c in off.columns[2:])).collect()
+    assert not bad, [(r["t"], [k for k in off.columns[2:] if r[k]]) for r in bad[:3]]
+    some = df.select(*[F.sum(found_words(F.col("low"), F.col("hits"), p).cast("int")).alias(k) for k, p in listed.items()]).first()
+    assert all(v > 3 for v in some)
+
+
+@pytest.mark.parametrize(("queries", "part"), [(30, 1 << 17), (300, 1 << 17), (300, 40)])
+def test_topk_in_blocks(spark, monkeypatch, queries, part):
+    """More queries than a block, a divided index, vectors of any length, ties: as a loop finds them."""
+    from grainmill.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(retrieval, "INDEX_PART", part)
+    rng = np.random.default_rng(2)
+    index = np.round(rng.normal(size=(120, 6)) * rng.choice([0.01, 1, 3], size=(120, 1)), 2)
+    index[50:60] = index[40]
+    asked = np.round(rng.normal(size=(queries, 6)), 2)
+    kinds = [None if i % 4 == 0 else f"s{i % 3}" for i in range(120)]
+    chunks = spark.createDataFrame([(i, [float(x) for x in v], k) for i, (v, k) in enumerate(zip(index, kinds, strict=True))], "chunk_id long, embedding array<double>, stressor_type string")
+    wanted = [["none", None, "s1"][i % 3] for i in range(queries)]
+    ask = spark.createDataFrame([(i, [float(x) for x in v], w) for i, (v, w) in enumerate(zip(asked, wanted, strict=True))], "query_id long, embedding array<double>, wanted string")
+    got = {}
+    for r in retrieval.top_k(chunks, ask, wanted="wanted").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], round(r["score"], 9)))
+    for q in range(queries):
+        near = sorted(range(120), key=lambda c: (-float(asked[q] @ index[c]), c))[:9]
+        want = [c for c in near if wanted[q] in (None, "none") or kinds[c] in (None, wanted[q])][:3]
+        assert [c for c, _ in got.get(q, [])] == want
+
+
+def test_topk_reads_the_index_once(spark, monkeypatch, tmp_path):
+    """5,000 queries over 50 chunks: one scan of each, in one plan, and nothing of the queries collected."""
+    from grainmill.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    for name, n in (("index", 50), ("asked", 5000)):
+        vectors_of(spark, rng.normal(size=(n, 4))).withColumn("stressor_type", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/{name}")
+    index, asked = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("index", "asked"))
+    out = retrieval.top_k(index.withColumnRenamed("vec_id", "chunk_id"), asked.withColumnRenamed("vec_id", "query_id"))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 2 and plan.count("MapInArrow") == 1
+    assert out.count() == 15000
+
+
+def test_distributions_in_one_scan(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", None, 1), ("b", "x", 2)], "p string, q string, r int")
+    got = [tuple(r) for r in reports.distributions(df, ["p", "q", "r"]).collect()]
+    assert got == [("p", "a", 2, 66.7), ("p", "b", 1, 33.3), ("q", "x", 2, 66.7), ("q", "unknown", 1, 33.3), ("r", "1", 2, 66.7), ("r", "2", 1, 33.3)]
+    assert reports.distributions(df, ["p", "q"])._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
