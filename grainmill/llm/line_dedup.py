@@ -108,15 +108,15 @@ def _few(spans: DataFrame) -> DataFrame:
     return F.broadcast(spans) if rows * 64 + numbers * 16 <= BROADCAST_BYTES else spans
 
 
-def drop_repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS, counts: tuple[str, str] = ("_n_lines", "_n_removed")) -> DataFrame:
-    """docs with all its columns, `text` without the later copies of repeated line runs, and the two columns of `counts` (which replace such ones).
+def drop_repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS, counts: tuple[str, str] | None = ("_n_lines", "_n_removed")) -> DataFrame:
+    """docs with all its columns, `text` without the later copies of repeated line runs, and the two columns of `counts` (which replace such ones; None: no such columns).
 
     A line is what stands between line feeds, compared exactly. Null texts stay null and empty texts empty, with no
     lines. Null doc_ids come before all others and are told apart by their texts; repeated rows (one doc_id, one text)
     are one place: neither removes the other. Documents whose lines all go stay as rows with an empty text. An empty
     table gives no rows. A long text is one row: its lines are ranked as rows, its text is cut in one piece.
     """
-    own = [c for c in docs.columns if c not in counts]
+    own = [c for c in docs.columns if not counts or c not in counts]
     joined = docs.select(document_key(docs), F.struct(*own).alias("_row"), F.col("text").alias("_text")).join(_few(repeated_runs(docs, run, words)), "_d", "left")
     schema = joined.select("_row", "_text").withColumns({"_lines": F.lit(0).cast("long"), "_removed": F.lit(0).cast("long")}).schema
 
@@ -134,7 +134,8 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = WOR
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64())], names=["_row", "_text", "_lines", "_removed"])
 
     out = joined.select("_row", "_text", "_spans").mapInArrow(run_batches, schema)
-    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in own], F.col("_lines").alias(counts[0]), F.col("_removed").alias(counts[1]))
+    added = [F.col("_lines").alias(counts[0]), F.col("_removed").alias(counts[1])] if counts else []
+    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in own], *added)
 
 
 def digest(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:

@@ -44,7 +44,7 @@ y AS (SELECT *, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(word_chars::DOUBLE / nullif(n_words, 0) BETWEEN 2 AND 20, true)
   AND coalesce(n_symbols::DOUBLE / nullif(n_words, 0) <= 0.25, true) AND coalesce(n_upper::DOUBLE / nullif(word_chars, 0) <= 0.5, true)
-  AND coalesce(n_exclaims::DOUBLE / nullif(n_words, 0) <= 0.5, true) AND n_stop >= 1
+  AND coalesce(n_exclaims::DOUBLE / nullif(n_words, 0) <= 0.5, true) AND coalesce(n_stop::DOUBLE / nullif(n_words, 0) >= 0.01, true)
   AND coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0) <= 0.5, true) AS kept
 FROM y
 """

@@ -35,7 +35,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.25),
     Rule("shouting", "n_upper", "word_chars", None, 0.5),
     Rule("exclamations_per_word", "n_exclaims", "n_words", None, 0.5),
-    Rule("stop_words", "n_stop_words", None, 1.0, None),
+    Rule("stop_words", "n_stop_words", "n_words", 0.01, None),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
 )
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -103,7 +103,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...
     """keep, the signals, base_failed, kept, failed_rules (names, in table order).
 
     Null, empty and blank texts have under 50 words and so fail the base. Repeated rows are judged alike, one
-    row each. Only `text` and `keep` are read; further columns of docs, whatever their names, do not matter.
+    row each. Only `text` and `keep` are read; further columns of docs, whatever their names, do not matter. A long text is
+    judged whole, in one row's arrays. An empty table gives no rows.
     """
     failed = F.filter(F.array(*[F.when(~passes(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     out = signals(docs, keep).withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
@@ -111,7 +112,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns: all in one narrow pass.
+    """The rows of docs that judge() keeps, with their own columns, whatever their names: all in one narrow pass.
+
+    Null, empty and blank texts go; of repeated rows all stay or go; null ids do not matter; long texts are judged whole; an
+    empty table stays empty.
 
     A random column stands between, so that Catalyst leaves the filter above the projections (1 is above any such
     number, 0 is not): pushed below them it would hold their expressions several times over.

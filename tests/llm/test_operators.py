@@ -70,13 +70,16 @@ def test_equals_sql(name, same):
 # --- 1 and 4: classifiers
 
 
-@pytest.mark.parametrize(("module", "label", "folds", "held", "least"), [(quality_model, "quality", 4, 2, 0.93), (toxicity_model, "toxic", 5, 0, 0.88)])
-def test_held_out(spark, module, label, folds, held, least):
+@pytest.mark.parametrize(("module", "label", "folds", "held", "least", "found", "wrong"), [(quality_model, "quality", 4, 2, 0.93, 0.95, 0.1), (toxicity_model, "toxic", 5, 0, 0.9, 0.45, 0.04)])
+def test_held_out(spark, module, label, folds, held, least, found, wrong):
+    """Right in so many, so many of label 1 found, so few of label 0 taken for it: no constant passes."""
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = module.classify(d.join(known.select("doc_id"), "doc_id", "left_semi"), known).join(known, "doc_id").where("held_out").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % folds == held for r in out)
     assert np.mean([r["predicted"] == r[label] for r in out]) >= least
+    assert np.mean([r["predicted"] for r in out if r[label] == 1]) >= found
+    assert np.mean([r["predicted"] for r in out if r[label] == 0]) <= wrong
 
 
 @pytest.mark.parametrize("module", [quality_model, toxicity_model])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from grainmill.llm import quality_rules
 from tests.conftest import DATA
@@ -44,3 +46,22 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     used, total = check_packing([(d, texts[d]) for d, n in copies.items() for _ in range(n)], out)
     assert used <= 1.03 * total / 2048 + 2
+
+
+#: Names that the stages use themselves, and others that join, filter or group there.
+CLASHING = ["_n_lines", "_n_removed", "_row", "_text", "_d", "_spans", "_h", "_c", "_w", "kept", "n_words", "size", "rank", "copies", "target", "set_id", "k"]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Each stage but the last returns the same rows with and without extra columns, and these with their values."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 150")
+    extra = docs.select("*", *[(F.col("doc_id") * 1000 + i).alias(c) for i, c in enumerate(CLASHING)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, docs, DATA), stage(spark, extra, DATA)
+        assert wide.columns == extra.columns, name
+        rows = wide.collect()
+        assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in plain.collect()), name
+        assert all(r[c] == r["doc_id"] * 1000 + i for r in rows for i, c in enumerate(CLASHING)), name
+        docs, extra = (spark.createDataFrame(df.collect(), df.schema) for df in (plain, wide))
+    packed = corpus_pipeline.STAGES[-1][1](spark, extra, DATA)
+    assert packed.agg(F.sum("length")).first()[0] == corpus_pipeline.STAGES[-1][1](spark, docs, DATA).agg(F.sum("length")).first()[0]
