@@ -27,7 +27,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null texts stay null; repeated rows are one place and keep their lines alike; rows without an id come first, told apart by their texts.
     """
-    kept = line_dedup.drop_repeated_lines(docs)
+    kept = line_dedup.drop_repeated_lines(docs, counts=None)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
