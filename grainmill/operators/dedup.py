@@ -292,55 +292,75 @@ _FOLD = "block int, kind int, o long, near_of long, copy boolean, g string, w ar
 
 
 def _fold(least: float, window: int):
-    """Folds rows (block, kind, o, g, w, f, known), sorted by block and kind, into rows of _FOLD.
+    """Folds rows (block, kind, o, g, w, f, known, was, redone), sorted by block and kind, into rows of _FOLD.
 
-    Kind 0 are the accepted rows that a range finds before it, kind 1 its own. What comes out: kind 1, each own row's result;
-    kind 2, the accepted rows that the next range finds; kind 3, marks of the window found (o) and left (near_of), from the
-    numbers of their rows.
+    Kind 0 are the accepted rows that a range finds before it, kind 1 those that it was given the time before (if any), kind 2
+    its own, with what they were near to then (`was`, if `redone`). Where the windows of both times are the same, the rest is the same as
+    well and is not compared again (not with values of f, which reach farther than a window). What comes out: kind 1, each
+    own row's result; kind 2, the accepted rows that the next range finds; kind 3, marks of the window found (o) and left
+    (near_of), from the numbers of their rows; kind 4, the rows found.
     """
 
     def mark(g: str | None, held: list) -> int:
-        return int.from_bytes(hashlib.blake2b(repr((g, [h[0] for h in held]) if held else None).encode(), digest_size=8).digest(), "big", signed=True)
+        return int.from_bytes(hashlib.blake2b(repr((g, list(held)) if held else None).encode(), digest_size=8).digest(), "big", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, group, found, held, seen, out = None, None, None, deque(maxlen=window), set(), []
+        names = [f.split(" ")[0] for f in _FOLD.split(", ")]
+        shape = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("o", pa.int64()), ("near_of", pa.int64()), ("copy", pa.bool_()), ("g", pa.string()), ("w", pa.list_(pa.string())), ("f", pa.string())])
+        block, out = None, []
+        # The window: numbers and sets of words (or words not yet looked at), and the numbers it had the time before.
+        held, sets, old = deque(maxlen=window), deque(maxlen=window), deque(maxlen=window)
 
         def left():
-            yield from ((block, 2, o, None, None, group, list(w), None) for o, w in held)
-            yield (block, 3, found, mark(group, held), None, None, None, None)
+            yield from ((block, 2, o, None, None, group, list(w) if isinstance(w, set) else w.as_py(), None) for o, w in zip(held, sets, strict=True))
+            yield (block, 3, found if found is not None else mark(group, held), mark(group, held), None, None, None, None)
 
         def flushed(rows):
             return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=shape)
 
-        names = [f.split(" ")[0] for f in _FOLD.split(", ")]
-        shape = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("o", pa.int64()), ("near_of", pa.int64()), ("copy", pa.bool_()), ("g", pa.string()), ("w", pa.list_(pa.string())), ("f", pa.string())])
         for b in batches:
-            for at, kind, o, g, words, f, known in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
+            words = b.column(4)
+            for i, (at, kind, o, g, f, known, was, redone) in enumerate(zip(*[b.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6, 7, 8)], strict=True)):
                 if at != block:
                     if block is not None:
-                        if found is None:
-                            found = mark(group, held)
                         out.extend(left())
-                    block, group, found, held, seen = at, g, None, deque(maxlen=window), set()
-                mine = set(words or ())
+                    block, group, old_group, found, seen, settled = at, g, None, None, set(), False
+                    held.clear(), sets.clear(), old.clear()
                 if kind == 0:
                     group = g
-                    held.append((o, mine))
+                    held.append(o), sets.append(set(words[i].as_py() or ()))
+                    out.append((block, 4, o, None, None, g, None, None))
+                    continue
+                if kind == 1:
+                    old_group = g
+                    old.append(o)
                     continue
                 if found is None:
                     found = mark(group, held)
                 if g != group:
                     group = g
-                    held.clear()
-                copy = f is not None and (known or f in seen)
-                near, n = None, len(mine)
-                if n and not copy:
-                    # Sets whose sizes are too far apart cannot reach the share: they are not intersected.
-                    near = next((k for k, w in held if w and (n / len(w) if n < len(w) else len(w) / n) >= least and len(mine & w) / max(n, len(w)) >= least), None)
-                if near is None and not copy:
-                    held.append((o, mine))
-                    if f is not None:
-                        seen.add(f)
+                    held.clear(), sets.clear()
+                if g != old_group:
+                    old_group = g
+                    old.clear()
+                settled = settled or (redone and f is None and held == old)
+                if settled:
+                    near, copy = was, False
+                    if near is None:
+                        held.append(o), sets.append(words[i])
+                else:
+                    copy = f is not None and (known or f in seen)
+                    mine = set(words[i].as_py() or ())
+                    near, n = None, len(mine)
+                    if n and not copy:
+                        # Sets whose sizes are too far apart cannot reach the share: they are not intersected.
+                        near = next((k for k, w in zip(held, sets, strict=True) if w and (n / len(w) if n < len(w) else len(w) / n) >= least and len(mine & w) / max(n, len(w)) >= least), None)
+                    if near is None and not copy:
+                        held.append(o), sets.append(mine)
+                        if f is not None:
+                            seen.add(f)
+                    if redone and was is None:
+                        old.append(o)
                 out.append((block, 1, o, near, copy, None, None, f))
                 if len(out) >= 4096:
                     yield flushed(out)
@@ -383,13 +403,13 @@ def overlap_window(df: DataFrame, order: str, text: str = "text", least: float =
     fold = _fold(least, window)
     nothing = F.lit(None).cast("boolean")
 
-    def folded(of: DataFrame, windows: DataFrame | None) -> DataFrame:
-        own = of.select("block", F.lit(1).alias("kind"), "o", "g", "w", "f", "known")
-        if windows is not None:
-            own = own.unionByName(windows.select("block", F.lit(0).alias("kind"), "o", "g", "w", F.lit(None).cast("string").alias("f"), nothing.alias("known")))
+    def folded(of: DataFrame, *windows: DataFrame) -> DataFrame:
+        own = of.select("block", F.lit(2).alias("kind"), "o", "g", "w", "f", "known", "was", "redone")
+        for kind, w in enumerate(windows):
+            own = own.unionByName(w.select("block", F.lit(kind).alias("kind"), "o", "g", "w", F.lit(None).cast("string").alias("f"), nothing.alias("known"), F.lit(None).cast("long").alias("was"), nothing.alias("redone")))
         return own.repartition(blocks, "block").sortWithinPartitions("block", "kind", "o").mapInArrow(fold, _FOLD)
 
-    state, known = table(folded(rows.withColumn("known", nothing), None), "folds"), None
+    state, known = table(folded(rows.withColumns({"known": nothing, "was": F.lit(None).cast("long"), "redone": nothing})), "folds"), None
     while True:
         marks = state.where("kind = 3").select("block", F.col("o").alias("found"), F.col("near_of").alias("left"))
         before = marks.select(F.col("block").alias("before"), F.col("left").alias("there"))
@@ -408,7 +428,12 @@ def overlap_window(df: DataFrame, order: str, text: str = "text", least: float =
         of = rows.join(small(redo.select("block"), 8), "block")
         of = of.join(small(known, 80), "f", "left").withColumn("known", F.coalesce(F.col("at") < F.col("block"), F.lit(False))).drop("at") if copy_of else of.withColumn("known", nothing)
         windows = state.where("kind = 2").select(F.col("block").alias("before"), "o", "g", "w").join(small(redo, 16), "before")
-        done = table(folded(of, windows).unionByName(state.join(small(redo.select("block"), 8), "block", "left_anti")), "folds")
+        if copy_of:
+            of, given = of.withColumns({"was": F.lit(None).cast("long"), "redone": nothing}), []
+        else:
+            was = state.where("kind = 1").join(small(redo.select("block"), 8), "block").select("o", F.col("near_of").alias("was"), F.lit(True).alias("redone"))
+            of, given = of.join(small(was, 16), "o"), [state.where("kind = 4").select("block", "o", "g", "w").join(small(redo.select("block"), 8), "block")]
+        done = table(folded(of, windows, *given).unionByName(state.join(small(redo.select("block"), 8), "block", "left_anti")), "folds")
         drop_table(state)
         state = done
     return state.where("kind = 1").select(F.col("o").alias("order"), "near_of", "copy")
