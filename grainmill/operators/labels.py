@@ -84,7 +84,7 @@ def validate(df: DataFrame, strict: bool = False, missing: dict[str, Column] | N
         F.when((F.col("_gm_c2") == "crisis") & (F.col("_gm_u2") < 4), arrow("urgency_crisis_floor", text_of("_gm_u2"), F.lit("4"))),
         F.when((F.col("_gm_c2") == "high_distress") & (F.col("_gm_u2") < 3), arrow("urgency_distress_floor", text_of("_gm_u2"), F.lit("3"))),
         F.when((F.col("_gm_c2") == "neutral") & (F.col("_gm_u2") > 1), arrow("urgency_neutral_cap", text_of("_gm_u2"), F.lit("1"))),
-        F.when(raised, arrow("category_high_urgency_escalated", quoted(F.col("_gm_c2")), quoted(F.lit("high_distress")))),
+        F.when(raised, arrow("category_high_urgency_escalated", quoted(F.col("_gm_c2")), F.lit("high_distress"))),
         F.when(align, arrow("category_intent_aligned", quoted(F.col("_gm_c4")), quoted(F.col("_gm_want")))),
     )
     reason = F.when(F.lit(strict) & (F.col("_gm_absent") != ""), F.concat(F.lit("missing_fields:"), F.col("_gm_absent"))).when(F.col("_gm_text") == "", "empty_text")

@@ -116,7 +116,7 @@ v5 AS (SELECT *, c4 <> want AND NOT (risk AND want <> 'crisis') AS align, concat
   CASE WHEN c2 = 'crisis' AND u2 < 4 THEN 'urgency_crisis_floor:' || u2 || '→4' END,
   CASE WHEN c2 = 'high_distress' AND u2 < 3 THEN 'urgency_distress_floor:' || u2 || '→3' END,
   CASE WHEN c2 = 'neutral' AND u2 > 1 THEN 'urgency_neutral_cap:' || u2 || '→1' END,
-  CASE WHEN raised THEN 'category_high_urgency_escalated:''' || c2 || '''→''high_distress''' END,
+  CASE WHEN raised THEN 'category_high_urgency_escalated:''' || c2 || '''→high_distress' END,
   CASE WHEN c4 <> want AND NOT (risk AND want <> 'crisis') THEN 'category_intent_aligned:''' || c4 || '''→''' || want || '''' END) AS said FROM v4d)
 """
 

@@ -44,7 +44,7 @@ LABELS = [
     ("I want to die before this exam, I will kill this exam", "academic_pressure", "crisis", 4, ("academic_pressure", "life_stressor", 2), ["category_metaphor_demoted:crisis→life_stressor", "urgency_metaphor_capped:4→2"]),
     ("I want to die", "academic_pressure", "life_stressor", 2, ("suicidal_thoughts", "crisis", 5), ["category_crisis_promoted:'life_stressor'→crisis", "intent_crisis_promoted:'academic_pressure'→suicidal_thoughts", "urgency_crisis_promoted:2→5"]),
     ("plain words", "hopelessness", "crisis", 1, ("hopelessness", "high_distress", 4), ["urgency_crisis_floor:1→4", "category_intent_aligned:'crisis'→'high_distress'"]),
-    ("falling apart now", "anxiety_panic", "emotional", 4, ("anxiety_panic", "emotional", 4), ["category_high_urgency_escalated:'emotional'→'high_distress'", "category_intent_aligned:'high_distress'→'emotional'"]),
+    ("falling apart now", "anxiety_panic", "emotional", 4, ("anxiety_panic", "emotional", 4), ["category_high_urgency_escalated:'emotional'→high_distress", "category_intent_aligned:'high_distress'→'emotional'"]),
 ]
 
 
