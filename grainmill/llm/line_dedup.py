@@ -57,7 +57,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = WORDS) ->
     """
     lines = docs.select(document_key(docs), F.posexplode(F.split("text", "\n")).alias("_i", "_line"))
     count = F.least(F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(words)) if words else F.lit(0)
-    first = lines.select("_d", "_i", F.xxhash64("_line").alias("a"), F.lit(0).cast("long").alias("b"), count.cast("int").alias("w"))
+    # Two hashes, 128 bits, stand for a line.
+    first = lines.select("_d", "_i", F.xxhash64("_line").alias("a"), F.xxhash64("_line", F.lit(1)).alias("b"), count.cast("int").alias("w"))
     # Ranks by length; repeated rows are one place.
     known = {1: _ranked(first, "lines", once=False)}
     single, found = known[1], [_later(known[1], 1, "false")]
