@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import fingerprint, word_list
-from grainmill.sources.scratch import drop_table, numbered_rows, small, table
+from grainmill.sources.scratch import drop_table, small, table, with_numbers
 
 
 def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
@@ -387,11 +387,13 @@ def overlap_window(df: DataFrame, order: str, text: str = "text", least: float =
     ranges need more than two rounds. Each round writes its results; a task holds a window.
     """
     key = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    rows = df.select(key.alias("g"), F.col(order).cast("long").alias("o"), F.array_distinct(word_list(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("w"), (F.col(copy_of) if copy_of else F.lit(None)).cast("string").alias("f"))
-    rows = numbered_rows(rows.orderBy("g", "o")).withColumn("block", F.expr(f"int((_gm_number - 1) DIV {block})")).drop("_gm_number")
-    rows = table(rows, "ranges")
+    # Texts are sorted as they are: a sort looks at its rows twice, to sample them and to move them.
+    held = df.select(key.alias("g"), F.col(order).cast("long").alias("o"), F.col(text).alias("t"), (F.col(copy_of) if copy_of else F.lit(None)).cast("string").alias("f"))
+    held = table(held.orderBy("g", "o").withColumn("_gm_row", F.monotonically_increasing_id()), "sorted")
+    words = F.array_distinct(word_list(F.lower(F.coalesce("t", F.lit("")))))
+    rows = table(with_numbers(held).select("g", "o", words.alias("w"), "f", F.expr(f"int((_gm_number - 1) DIV {block})").alias("block")), "ranges")
+    drop_table(held)
     blocks = (rows.agg(F.max("block")).first()[0] or 0) + 1
-    repeated = None
     if copy_of:
         repeated = table(rows.where("f IS NOT NULL").groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", F.lit(True).alias("again")), "repeated")
         marked = table(rows.join(small(repeated, 64), "f", "left").withColumn("f", F.when(F.col("again"), F.col("f"))).drop("again"), "ranges")

@@ -52,7 +52,11 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
 
 def numbered_rows(df: DataFrame) -> DataFrame:
     """df, written, with _gm_number: 1, 2, 3 ... in the order in which its partitions hold the rows."""
-    held = table(df.withColumn("_gm_row", F.monotonically_increasing_id()), "numbered")
+    return with_numbers(table(df.withColumn("_gm_row", F.monotonically_increasing_id()), "numbered"))
+
+
+def with_numbers(held: DataFrame) -> DataFrame:
+    """A written table with _gm_row (numbers that grow along its partitions as it was written), with _gm_number in its place."""
     part = F.shiftright("_gm_row", 33)
     counts = held.groupBy(part.alias("_gm_part")).agg(F.count("*").alias("_gm_k"), F.min("_gm_row").alias("_gm_first"))
     # One row for each partition.
