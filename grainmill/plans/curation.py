@@ -73,13 +73,15 @@ def run(spark, raw_path: str, out_path: str, near: float | None = None, strict:
     """
     this = runs.Run(spark, out_path, f"{runs.signature(spark, raw_path, glob)} {near} {strict}")
     records, malformed = files.read_jsonl(spark, raw_path, glob=glob, variants=True)
-    records = files.in_order(records, keep=this.stage)
-    missing = {f: files.lacks(f) for f in (*labels.REQUIRED, "language")}
+    # What is asked of the lines is asked at once, so that they need not be kept beside the records.
+    asked = {f: f"_lacks_{f}" for f in (*labels.REQUIRED, "language")}
+    records = files.in_order(records.withColumns({c: files.lacks(f) for f, c in asked.items()}).drop(files.WHOLE), keep=this.stage)
+    missing = {f: F.col(c) for f, c in asked.items()}
     known = lambda batch: fingerprints.known(spark, f"{this.root}/_store", batch)
     out = curate(records, "_ord", known, near, strict=strict, in_order=True, missing=missing, keep=this.stage)
     made = [("final", out.final, True), ("corrections", out.corrected, True), ("rejected", out.dropped, True), ("clean_rejected", out.clean_rejected, False), ("removed", out.removed, False), ("malformed", malformed, False)]
     for name, df, append in made:
-        this.output(df.drop(files.WHOLE), name, append)
+        this.output(df.drop(*asked.values()), name, append)
     this.output(fingerprints.rows(out.written), "_store/fingerprints", kind="parquet", by=("bucket",))
     this.output(fingerprints.filter_rows(out.written), "_store/filter", kind="parquet")
     this.commit()

@@ -76,7 +76,7 @@ class Run:
     _runs/<run>.json in one rename, from when on the run counts as done, and then moves each output to its place, which can be
     repeated. A run that ended before its commit is taken up by the next one over the same input (by `signature`): stages
     and outputs that are complete are read and not made anew. One that ended behind it is moved to its places first.
-    One run at a time writes below a root.
+    Stages of a committed run stay until the next run begins. One run at a time writes below a root.
     """
 
     def __init__(self, spark: SparkSession, root: str, input_signature: str):
@@ -85,6 +85,8 @@ class Run:
         for name in names(spark, self.folder):
             if name.endswith(".json") and exists(spark, f"{self.folder}/{name.removesuffix('.json')}/outputs"):
                 self._publish(json.loads(read_text(spark, f"{self.folder}/{name}")))
+            if name.endswith(".json"):
+                remove(spark, f"{self.folder}/{name.removesuffix('.json')}")
         # A run is open while there is a note of its input and no manifest.
         opened = [n for n in names(spark, self.folder) if n.endswith(".open")]
         found = None
@@ -143,10 +145,6 @@ class Run:
             move(spark, source, target)
         remove(spark, f"{self.folder}/{run}/outputs")
 
-    def clean(self) -> None:
-        """Removes this run's stages, when nothing lazy depends on them any more."""
-        remove(self.spark, f"{self.folder}/{self.id}/stages")
-
 
 def history(spark: SparkSession, root: str) -> list[dict]:
     """The manifests of the runs committed below root, in order."""
