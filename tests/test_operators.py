@@ -1,5 +1,6 @@
 """Fixture cases of single operators, and folds against plain Python loops."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -318,6 +319,44 @@ def test_minhash_recall(spark):
     assert got <= near | copies and copies <= got and len(got & near) >= 0.9 * len(near)
 
 
+def test_minhash_misses_no_pair(spark, monkeypatch):
+    """Sets of all sizes with as few common words as a pair may have, small ones too, and unlike ones: exactly the pairs of the loop."""
+    import random
+
+    monkeypatch.setattr(dedup, "PART", 8)
+    rng, sets = random.Random(7), []
+    for n in [5, 6, 7, 8, 10, 13, 17, 20, 40, 85, 100, 230, 700] * 12:
+        base = rng.sample(range(3000), n)
+        sets.append(base)
+        for gone in {n - -(-n * 17 // 20), -(-(n * 3) // 37), 1}:
+            sets.append(base[gone:])  # 17 in 20 and less
+            sets.append(base[gone // 2 :] + [5000 + len(sets) * 100 + x for x in range(gone // 2)])
+    data = [(i, " ".join(f"w{x}" for x in s)) for i, s in enumerate(sets)]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    distinct = list(first.items())
+    want = {(i, j) for x, (a, i) in enumerate(distinct) for b, j in distinct[x + 1 :] if len(a & b) / len(a | b) >= 0.85}
+    want |= {(first[frozenset(s)], i) for i, s in enumerate(sets) if first[frozenset(s)] != i}
+    got = [(r["a"], r["b"]) for r in dedup.minhash(rows(spark, data, "i long, text string"), "i").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 400
+
+
+def test_minhash_moves_few_rows(spark):
+    """Texts of common words: of 1,500 texts with hardly a pair, what meets is a small part of all pairs."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join({f"w{int(200 * rng.random() ** 2)}" for _ in range(60)}) for _ in range(1500)]
+    firsts = dedup._classes_of_size(0.85, 100)
+    seen = {}
+    for i, t in enumerate(texts):
+        words = np.array(sorted({int.from_bytes(hashlib.md5(w.encode()).digest()[:8]) for w in t.split()}), np.uint64)
+        for h in dedup._signature(words, 0.85, firsts).tolist():
+            seen.setdefault(h, []).append(i)
+    assert sum(len(x) * (len(x) - 1) // 2 for x in seen.values()) < 0.05 * 1500 * 1499 / 2
+
+
 def test_arc_of_ended_turns(spark):
     data = [(1, i, e, x) for i, (e, x) in enumerate([("a", False), ("b", True), ("c", False), ("d", False), ("e", True), ("f", None), ("g", False)])]
     got = [(r["arc_length"], r["arc"]) for r in sessions.emotion_arc(rows(spark, data, "conv_id long, turn long, primary_emotion string, ended boolean"), ended="ended").orderBy("turn").collect()]
