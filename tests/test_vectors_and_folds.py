@@ -66,6 +66,15 @@ def test_copies_of_vectors(spark):
     assert set(got) == set(want) and got == pytest.approx(want, abs=1.1e-4)
 
 
+def test_evenly_spread_vectors_move_a_bounded_number_of_times(spark):
+    """Where cells do not tell vectors apart, a vector goes to PARTS parts at most, however many blocks there are."""
+    moved = []
+    v = np.random.default_rng(5).normal(size=(20000, 32))
+    classes = vectors_of(spark, v / np.linalg.norm(v, axis=1, keepdims=True)).select(F.col("vec_id").alias("a"), F.col("embedding").alias("v"))
+    assert dedup.class_pairs(classes, 0.6, moved=moved).count() > 0
+    assert moved[0] <= dedup.PARTS * 20000
+
+
 def fold(texts, fps=None, window=200, least=0.85):
     """(near_of, copy) of each text, by a loop; fps: values of which an accepted row makes later ones copies."""
     held, seen, out = [], set(), []
