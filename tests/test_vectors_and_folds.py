@@ -75,6 +75,32 @@ def test_evenly_spread_vectors_move_a_bounded_number_of_times(spark):
     assert moved[0] <= dedup.PARTS * 20000
 
 
+@pytest.mark.parametrize("held", [32 << 20, 100])
+def test_dense_vectors_by_ranges(spark, monkeypatch, held):
+    """The same rows go as in the loop, through several ranges, with few or many kept ones, and without the pairs among removed ones."""
+    made = []
+    pairs = dedup.class_pairs
+    monkeypatch.setattr(dedup, "FIRST", 20)
+    monkeypatch.setattr(dedup, "HELD_BYTES", held)
+    monkeypatch.setattr(dedup, "class_pairs", lambda *a, **b: made.append((found := pairs(*a, **b)).count()) or found)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(600, 6))
+    v[::50] = v[7]
+    v[3::40] *= 0.01
+    v /= np.maximum(1, np.linalg.norm(v, axis=1, keepdims=True))
+    kept, want = [], {}
+    for k, x in enumerate(v):
+        best = max((float(x @ v[j]) for j in kept), default=-2)
+        if best >= 0.5:
+            want[k] = best
+        else:
+            kept.append(k)
+    got = {r["vec_id"]: r["_sim_score"] for r in dedup.semantic(vectors_of(spark, v), 0.5).where("_dedup_reason IS NOT NULL").collect()}
+    assert set(got) == set(want) and got == pytest.approx(want, abs=1.1e-4)
+    if held > 100:
+        assert sum(made) < 0.2 * int((np.triu(v @ v.T, 1) >= 0.5).sum())
+
+
 def fold(texts, fps=None, window=200, least=0.85):
     """(near_of, copy) of each text, by a loop; fps: values of which an accepted row makes later ones copies."""
     held, seen, out = [], set(), []
