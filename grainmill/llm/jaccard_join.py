@@ -24,10 +24,9 @@ BLOCK, BLOCK_BYTES = 256, 32 << 20
 COLUMNS = 8192
 #: Columns of the rows that tasks compare.
 DEALT = ("_key", "_lo", "_hi", "_at", "set_id", "n", "made")
-#: Frequent shingles are those that SEEN of every SAMPLE_SHARE-th document hold (every document of a small table, of
-#: SAMPLE_DOCS at least), whatever the size of the table; the FREQUENT most common ones are put last, by their counts.
-#: This only shapes the order of prefixes, in which any order finds every link.
-SAMPLE_SHARE, SAMPLE_DOCS, FREQUENT, SEEN = 16, 4000, 1 << 18, 3
+#: Counters of shingles, each shared by those that are hashed to it: how many documents hold them, over all documents. They
+#: give the order of prefixes, rare shingles first; any order finds every link.
+COUNTERS = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -63,38 +62,37 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount(((shingles >> np.uint64(32)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
-class Common:
-    """Frequent shingles with their places in the order of frequency."""
+class Counts:
+    """How many documents hold the shingles of each counter."""
 
-    def __init__(self, shingles: np.ndarray):
-        """shingles: the most common ones first."""
-        order = np.argsort(shingles)
-        self.shingles, self.place = shingles[order], (len(shingles) - order).astype(np.int32)
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
 
     def ordered(self, shingles: np.ndarray) -> np.ndarray:
-        """One order of all shingles: others by value, then the frequent ones, the most common last."""
-        if not len(self.shingles):
-            return shingles
-        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
-        last = self.shingles[at] == shingles
-        return np.concatenate([shingles[~last], shingles[last][np.argsort(self.place[at[last]])]])
+        """One order of all shingles: by the count of their counter, the least first, then by value. Given in order of value."""
+        return shingles[np.argsort(self.counts[(shingles & np.uint64(len(self.counts) - 1)).astype(np.int64)], kind="stable")]
 
 
-def _frequent(docs: DataFrame, words: int) -> Common:
-    """Shingles that several documents of a share of all hold."""
-    share = max(1, min(SAMPLE_SHARE, docs.count() // SAMPLE_DOCS))
-    some = binary_text(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("doc_id", "text"), "doc_id")
+def _frequent(docs: DataFrame, words: int) -> Counts:
+    """Every document's shingles, counted; a task hands on its sums, a row for each of COUNTERS at most."""
+    size = COUNTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
         for b in batches:
-            for _, _, data, off in byte_slices(b.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(data, off, words)).view(np.int64))], names=["s"])
+            for _, _, data, off in byte_slices(b.column(0)):
+                counts += np.bincount((np.concatenate(shingle_sets(data, off, words)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["at", "n"])
 
-    top = some.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "s").limit(FREQUENT)
-    return Common(top.select("s").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    text = binary_text(docs.select("text"))
+    sums = text.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts = np.zeros(size, np.int64)
+    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return Counts(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
 
 
-def _prefix(shingles: np.ndarray, frequent: Common, numerator: int, denominator: int) -> np.ndarray:
+def _prefix(shingles: np.ndarray, frequent: Counts, numerator: int, denominator: int) -> np.ndarray:
     """The first shingles in one order of all shingles: two sets that link share one of them."""
     n = len(shingles)
     return frequent.ordered(shingles)[: n - (n * numerator + denominator - 1) // denominator + 1]

@@ -644,3 +644,16 @@ def test_topk_beyond_a_long(spark):
     rows = [(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [-3e38, 0.0]), (3, [1e15, 2.0]), (4, [0.0, 5.0])]
     got = [(r["vec_id"], r["score"]) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()]
     assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (4, 1024 * 5 * 1024), (2, 1 - 2**63)]
+
+
+def test_shingles_of_every_document_are_counted(spark):
+    """Of 9,000 documents each has a shingle of all, one of every ninth and one of its own: counters hold them all, and prefixes begin with the rare ones."""
+    texts = [f"one two three four five {' '.join(f'g{i % 9}x{k}' for k in range(5))} {' '.join(f'u{i}x{k}' for k in range(5))}" for i in range(9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = jaccard_join._frequent(docs, 5)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    sets = jaccard_join.shingle_sets(data, np.cumsum([0, *map(len, texts)]), 5)
+    want = np.bincount((np.concatenate(sets) & np.uint64(len(counts.counts) - 1)).astype(np.int64), minlength=len(counts.counts))
+    assert (counts.counts == want).all()
+    held = counts.counts[(counts.ordered(sets[17]) & np.uint64(len(counts.counts) - 1)).astype(np.int64)]
+    assert (np.diff(held) >= 0).all() and held[-1] >= 9000
