@@ -27,6 +27,8 @@ DEALT = ("_key", "_lo", "_hi", "_at", "set_id", "n", "made")
 #: Counters of shingles, each shared by those that are hashed to it: how many documents hold them, over all documents. They
 #: give the order of prefixes, rare shingles first; any order finds every link.
 COUNTERS = 1 << 20
+#: Rows that hold them, each a run of counters: what tasks hand on are few rows, not one for each counter.
+COUNTER_PARTS = 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -73,23 +75,39 @@ class Counts:
         return shingles[np.argsort(self.counts[(shingles & np.uint64(len(self.counts) - 1)).astype(np.int64)], kind="stable")]
 
 
-def _frequent(docs: DataFrame, words: int) -> Counts:
-    """Every document's shingles, counted; a task hands on its sums, a row for each of COUNTERS at most."""
-    size = COUNTERS
+def _partial_counts(docs: DataFrame, words: int) -> DataFrame:
+    """part, counts: every document's shingles, counted; a task hands on its sums as COUNTER_PARTS rows at most, in the least width that holds them."""
+    size, share = COUNTERS, COUNTERS // COUNTER_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for b in batches:
             for _, _, data, off in byte_slices(b.column(0)):
                 counts += np.bincount((np.concatenate(shingle_sets(data, off, words)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["at", "n"])
+        parts = np.flatnonzero(counts.reshape(-1, share).any(1)).tolist()
+        held = [(x := counts[p * share : (p + 1) * share]).astype(np.min_scalar_type(int(x.max()))).tobytes() for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(held, pa.binary())], names=["part", "counts"])
+
+    return binary_text(docs.select("text")).mapInArrow(run, "part int, counts binary")
+
+
+def _frequent(docs: DataFrame, words: int) -> Counts:
+    """The sums of all tasks' counts, each part's in one task, which adds row after row."""
+    size, share, most = COUNTERS, COUNTERS // COUNTER_PARTS, np.iinfo(np.int32).max
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums.setdefault(part, np.zeros(share, np.int64))
+                sums[part] += np.frombuffer(held, f"u{len(held) // share}").astype(np.int64)
+        rows = [np.minimum(x, most).astype(np.int32).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
 
-    text = binary_text(docs.select("text"))
-    sums = text.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
-    counts = np.zeros(size, np.int64)
-    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    return Counts(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+    counts = np.zeros(size, np.int32)
+    for part, held in _partial_counts(docs, words).repartition("part").mapInArrow(add, "part int, counts binary").collect():  # COUNTER_PARTS rows, 4 bytes a counter
+        counts[part * share : (part + 1) * share] = np.frombuffer(held, np.int32)
+    return Counts(counts)
 
 
 def _prefix(shingles: np.ndarray, frequent: Counts, numerator: int, denominator: int) -> np.ndarray:
@@ -285,26 +303,27 @@ def _clusters(docs: DataFrame, classes: DataFrame, words: int, numerator: int, d
         held = [np.frombuffer(v, np.uint16 if n < 1 << 16 else np.uint32).astype(np.int32) for n, v in rows]
         return bounded_links(ids, held, np.array([n for n, _ in rows]), side, numerator, denominator)
 
-    near = table(_pairs_of(_dealt(met, "center").join(vectors, "set_id").select(*DEALT), bound).distinct(), "near")
-    clusters = table(connected_components(near).select(F.col("node").alias("set_id"), "root").join(first.select("set_id", "n"), "set_id"), "clusters")
+    # Pairs go as they are found into the forest of their task, which is what is written.
+    near = connected_components(_pairs_of(_dealt(met, "center").join(vectors, "set_id").select(*DEALT), bound))
+    clusters = table(near.select(F.col("node").alias("set_id"), "root").join(first.select("set_id", "n"), "set_id"), "clusters")
     wanted = table(first.drop("n").join(clusters.select("set_id"), "set_id", "left_semi"), "wanted")
     shingles = table(_made(docs, wanted, words, shingles=True), "shingles")
-    for t in (met, first, vectors, near, wanted):
+    for t in (met, first, vectors, wanted):
         drop_table(t)
     return clusters, shingles
 
 
-def _links(docs: DataFrame, classes: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """a, b: set ids of verified links that connect what any links connect."""
+def _roots(docs: DataFrame, classes: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """set_id, root: sets with links, and the smallest set id that verified links connect each to."""
 
     def verify(ids, rows, side):
         return spanning_links(ids, [np.frombuffer(s, np.uint64) for _, s in rows], side, numerator, denominator)
 
     clusters, shingles = _clusters(docs, classes, words, numerator, denominator)
-    links = table(_pairs_of(_dealt(clusters, "root").join(shingles, "set_id").select(*DEALT), verify).distinct(), "links")
+    roots = connected_components(_pairs_of(_dealt(clusters, "root").join(shingles, "set_id").select(*DEALT), verify))
     for t in (clusters, shingles):
         drop_table(t)
-    return links
+    return roots.withColumnsRenamed({"node": "set_id"})
 
 
 def linked_weights(ids: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray | None = None, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> list[tuple[int, int]]:
@@ -359,8 +378,7 @@ def join_links(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR,
 def _components(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """_d, n, _c: the key of each row, its number of shingles, the least key of its component."""
     classes = set_classes(docs, words, numerator, denominator)
-    links = _links(docs, classes, words, numerator, denominator)
-    root = connected_components(links).withColumnsRenamed({"node": "set_id"})
+    root = _roots(docs, classes, words, numerator, denominator)
     first = classes.where("n > 0").groupBy("set_id").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
     # Only sets of several documents or with links need a name. Written before they are joined, as in _dealt: a
     # component may hold a third of all sets, and a set be that of a third of all documents.

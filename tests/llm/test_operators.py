@@ -657,3 +657,15 @@ def test_shingles_of_every_document_are_counted(spark):
     assert (counts.counts == want).all()
     held = counts.counts[(counts.ordered(sets[17]) & np.uint64(len(counts.counts) - 1)).astype(np.int64)]
     assert (np.diff(held) >= 0).all() and held[-1] >= 9000
+
+
+def test_counters_are_handed_on_as_few_rows(spark):
+    """Eight tasks with some 20,000 shingles hand on a row for each part of the counters at most; sums wider than a task's counts are right."""
+    texts = ["same five words all over " * 40 + " ".join(f"w{i}x{k}" for k in range(50)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    partial = jaccard_join._partial_counts(docs, 5)
+    assert partial.count() <= 8 * jaccard_join.COUNTER_PARTS
+    sets = jaccard_join.shingle_sets(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]), 5)
+    at = (np.concatenate(sets) & np.uint64(jaccard_join.COUNTERS - 1)).astype(np.int64)
+    counts = jaccard_join._frequent(docs, 5).counts
+    assert (counts == np.bincount(at, minlength=len(counts))).all() and counts.max() >= 400
