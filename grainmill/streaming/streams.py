@@ -20,7 +20,7 @@ def read_jsonl_stream(spark: SparkSession, path: str, schema: str, files_per_bat
 
 def curated_stream(raw: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
     """Clean, new and valid records: later copies are dropped while the watermark remembers the first."""
-    kept = cleaning.clean(raw).where("_drop_reason IS NULL").drop("_drop_reason")
+    kept = cleaning.settled(cleaning.clean(raw)).where("_drop_reason IS NULL").drop("_drop_reason")
     new = dedup.with_fingerprint(kept).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_fingerprint"])
     return labels.validate(new).where("_drop_reason IS NULL").drop("_drop_reason")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grainmill.operators import labels, retrieval
 from grainmill.plans import curation, fixtures, turns
 from grainmill.sources import files, fingerprints, models, runs
-from grainmill.streaming import conversations
+from grainmill.streaming import conversations, streams
 
 
 def line(text, **more):
@@ -232,3 +232,10 @@ def test_documents_are_replaced_whole(spark, tmp_path):
     files.replace_document(held.withColumn("v", F.lit("3")), path, f"{path}-old")
     read = lambda p: [tuple(r) for r in files.read_document(spark, p, "v string, m map<string, string>", lines=True).collect()]
     assert read(path) == [("3", {"a": "2"})] and read(f"{path}-old") == [("2", {"a": "2"})]
+
+
+def test_a_streams_filter_stays_above_the_cascade(spark, tmp_path, capsys):
+    """The plan holds each step of the cleaning a few times at most: moved below the projections, the filter would hold the first step hundreds of times."""
+    raw = spark.readStream.schema("text string, language string, intent string, category string, urgency int, ts timestamp").json(str(tmp_path))
+    streams.curated_stream(raw, "ts").explain()
+    assert 0 < capsys.readouterr().out.count("regexp_replace(") <= 20
