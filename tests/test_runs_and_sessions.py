@@ -239,3 +239,15 @@ def test_a_streams_filter_stays_above_the_cascade(spark, tmp_path, capsys):
     raw = spark.readStream.schema("text string, language string, intent string, category string, urgency int, ts timestamp").json(str(tmp_path))
     streams.curated_stream(raw, "ts").explain()
     assert 0 < capsys.readouterr().out.count("regexp_replace(") <= 20
+
+
+def test_a_batch_adds_one_file_to_a_bucket(spark, tmp_path):
+    """However many tasks hold the fingerprints; each task wrote a file of its own to every bucket."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        new = spark.range(20000).select(F.md5(F.col("id").cast("string")).alias("_fingerprint"))
+        fingerprints.rows(new).write.partitionBy("bucket").parquet(f"{tmp_path}/fingerprints")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(tmp_path.glob("fingerprints/bucket=*/part-*.parquet"))) == fingerprints.BUCKETS
+    assert spark.read.parquet(f"{tmp_path}/fingerprints").count() == 20000
