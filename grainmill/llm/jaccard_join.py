@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import binary_text, byte_slices, document_key, drop_table, mix64, real_id, small, table, word_hashes
-from grainmill.llm.components import connected_components
+from grainmill.llm.components import connected_components, forest
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Shingles to a group, about: the groups that tokens are hashed to are the coordinates of the count vectors, and
@@ -20,6 +20,8 @@ PER_GROUP, LEAST_GROUPS = 8, 16
 LEAF = 16
 #: Sets of one block, and their shingles' bytes; larger neighbourhoods are dealt out as pairs of such blocks.
 BLOCK, BLOCK_BYTES = 256, 32 << 20
+#: Bytes of texts that a task makes shingles of at a time: hashing holds some 40 times as many.
+SLICE_BYTES = 1 << 19
 #: Shingles that a task counts common ones of at a time.
 COLUMNS = 8192
 #: Columns of the rows that tasks compare.
@@ -54,6 +56,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     return out
 
 
+def sliced_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Runs of about SLICE_BYTES of a column of texts: first row, last row (exclusive), their shingles. A single longer text comes alone."""
+    for i, j, data, off in byte_slices(column, SLICE_BYTES):
+        yield i, j, shingle_sets(data, off, words)
+
+
 def _set_id(shingles: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         return int(mix64(np.array([np.bitwise_xor.reduce(mix64(shingles + np.uint64(77))) + shingles.sum() * np.uint64(0x9E3779B97F4A7C15)]))[0].view(np.int64))
@@ -82,8 +90,8 @@ def _partial_counts(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for b in batches:
-            for _, _, data, off in byte_slices(b.column(0)):
-                counts += np.bincount((np.concatenate(shingle_sets(data, off, words)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            for _, _, sets in sliced_sets(b.column(0), words):
+                counts += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size)
         parts = np.flatnonzero(counts.reshape(-1, share).any(1)).tolist()
         held = [(x := counts[p * share : (p + 1) * share]).astype(np.min_scalar_type(int(x.max()))).tobytes() for p in parts]
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(held, pa.binary())], names=["part", "counts"])
@@ -211,8 +219,7 @@ def set_classes(docs: DataFrame, words: int, numerator: int, denominator: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, off in byte_slices(b.column(1)):
-                sets = shingle_sets(data, off, words)
+            for i, j, sets in sliced_sets(b.column(1), words):
                 keys = [_prefix(s, frequent, numerator, denominator).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 flat, ends = np.concatenate(keys), np.cumsum([0, *map(len, keys)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["_d", "n", "set_id", "prefix"])
@@ -244,8 +251,8 @@ def _dealt(groups: DataFrame, key: str) -> DataFrame:
     return dealt.select(F.col(key).alias("_key"), "set_id", "_at", F.least("_at", "_other").alias("_lo"), F.greatest("_at", "_other").alias("_hi"))
 
 
-def _pairs_of(rows: DataFrame, close) -> DataFrame:
-    """a, b: what `close` finds in each run of equal (_key, _lo, _hi). One group at a time is held."""
+def _pairs_of(rows: DataFrame, close, after=iter) -> DataFrame:
+    """a, b: what `close` finds in each run of equal (_key, _lo, _hi), one group at a time held, and `after`, in the same Python worker, makes of a task's batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -270,7 +277,7 @@ def _pairs_of(rows: DataFrame, close) -> DataFrame:
                 yield batch(out)
         yield batch(ended())
 
-    return rows.repartition("_key", "_lo", "_hi").sortWithinPartitions("_key", "_lo", "_hi").mapInArrow(run, "a long, b long")
+    return rows.repartition("_key", "_lo", "_hi").sortWithinPartitions("_key", "_lo", "_hi").mapInArrow(lambda batches: after(run(batches)), "a long, b long")
 
 
 def _made(docs: DataFrame, first: DataFrame, words: int, shingles: bool) -> DataFrame:
@@ -278,8 +285,7 @@ def _made(docs: DataFrame, first: DataFrame, words: int, shingles: bool) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, off in byte_slices(b.column(1)):
-                sets = shingle_sets(data, off, words)
+            for i, j, sets in sliced_sets(b.column(1), words):
                 made = [s if shingles else count_vector(s).astype(np.uint16 if len(s) < 1 << 16 else np.uint32) for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(2).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=["set_id", "n", "made"])
 
@@ -304,7 +310,7 @@ def _clusters(docs: DataFrame, classes: DataFrame, words: int, numerator: int, d
         return bounded_links(ids, held, np.array([n for n, _ in rows]), side, numerator, denominator)
 
     # Pairs go as they are found into the forest of their task, which is what is written.
-    near = connected_components(_pairs_of(_dealt(met, "center").join(vectors, "set_id").select(*DEALT), bound))
+    near = connected_components(_pairs_of(_dealt(met, "center").join(vectors, "set_id").select(*DEALT), bound, forest), stars=True)
     clusters = table(near.select(F.col("node").alias("set_id"), "root").join(first.select("set_id", "n"), "set_id"), "clusters")
     wanted = table(first.drop("n").join(clusters.select("set_id"), "set_id", "left_semi"), "wanted")
     shingles = table(_made(docs, wanted, words, shingles=True), "shingles")
@@ -320,7 +326,7 @@ def _roots(docs: DataFrame, classes: DataFrame, words: int, numerator: int, deno
         return spanning_links(ids, [np.frombuffer(s, np.uint64) for _, s in rows], side, numerator, denominator)
 
     clusters, shingles = _clusters(docs, classes, words, numerator, denominator)
-    roots = connected_components(_pairs_of(_dealt(clusters, "root").join(shingles, "set_id").select(*DEALT), verify))
+    roots = connected_components(_pairs_of(_dealt(clusters, "root").join(shingles, "set_id").select(*DEALT), verify, forest), stars=True)
     for t in (clusters, shingles):
         drop_table(t)
     return roots.withColumnsRenamed({"node": "set_id"})

@@ -14,7 +14,7 @@ from grainmill.sources.scratch import drop_table, small, table
 ONE_TASK = 1 << 18
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one partition as stars: each node with the least node that the partition connects it to."""
     root: dict[int, int] = {}
 
@@ -32,22 +32,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in range(2)], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK, stars: bool = False) -> DataFrame:
     """node, root: for each node of edges (a, b), the smallest node that it is connected to. Null ends are dropped.
 
     First each partition, as it lies, turns its edges into stars. If few edges are left, one task connects them. Else two
     star steps alternate until nothing changes: each node's larger neighbours are hung on its smallest neighbour, then
     its smaller neighbours likewise. Edges never grow in number; rounds are about the logarithm of the longest path.
-    Each round is a table in the shared folder.
+    Each round is a table in the shared folder. stars: edges are what `forest` makes of each partition; a step in Python that
+    finds them calls it itself, since each further one in a stage takes a Python worker of its own for each task.
     """
-    given = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, mark = table(given.mapInArrow(_forest, "a long, b long").distinct(), "edges"), None
+    if not stars:
+        given = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        edges = given.mapInArrow(forest, "a long, b long")
+    now, mark = table(edges.distinct(), "edges"), None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break
         if seen[0] <= one_task:
-            after = table(now.coalesce(1).mapInArrow(_forest, "a long, b long"), "edges")
+            after = table(now.coalesce(1).mapInArrow(forest, "a long, b long"), "edges")
             drop_table(now)
             now = after
             break

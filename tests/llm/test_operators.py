@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -669,3 +671,22 @@ def test_counters_are_handed_on_as_few_rows(spark):
     at = (np.concatenate(sets) & np.uint64(jaccard_join.COUNTERS - 1)).astype(np.int64)
     counts = jaccard_join._frequent(docs, 5).counts
     assert (counts == np.bincount(at, minlength=len(counts))).all() and counts.max() >= 400
+
+
+def test_pairs_are_found_and_joined_into_stars_in_one_python_step(spark, docs, monkeypatch):
+    """A second step in the stage would take a second Python worker, of some 200 MB, for each task that runs."""
+    from grainmill.operators import components
+
+    plans, table = [], components.table
+    monkeypatch.setattr(components, "table", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or table(df, label))
+    jaccard_join.join_components(docs.limit(200)).collect()
+    assert len(plans) == 4 and all(p.count("MapInArrow") == 1 for p in plans)
+
+
+def test_shingles_are_made_of_few_bytes_at_a_time():
+    texts = pa.array([" ".join(f"w{i}x{k}" for k in range(600)).encode() for i in range(1500)], pa.binary())
+    tracemalloc.start()
+    rows = sum(j - i for i, j, sets in jaccard_join.sliced_sets(texts) if len(sets) == j - i)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 and peak < 48 << 20, peak
